@@ -8,6 +8,7 @@ a handful of numpy passes over about 1 MB at a time, whatever the batch size is.
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,11 +39,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it: lineage ends there."""
-    spark = df.sparkSession
+    """Write df as a table in the shared folder and read it: lineage ends there.
+
+    Shuffle files of what was written go when the driver's references to it do;
+    asking for a collection now keeps the phases' files from adding up on disk.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def _clean() -> None:

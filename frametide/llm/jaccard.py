@@ -232,14 +232,14 @@ def divide_skip(sets: list[np.ndarray], labels: list, sides: list | None = None,
 
 
 def _search(rows: DataFrame, keys: list[str], labelled: bool, percent: int) -> DataFrame:
-    """Per group of keys: (comp, block, s1, s2, root) of its sets; with labels, (a, b) links between them."""
-    schema = "a long, b long" if labelled else "comp long, block int, s1 long, s2 long, root long"
+    """Per group of keys: (comp, block, of, s1, s2, root) of its sets; with labels, (a, b) links between them."""
+    schema = "a long, b long" if labelled else "comp long, block int, of int, s1 long, s2 long, root long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
 
         def made() -> pa.RecordBatch:
-            kinds = [pa.int64()] * 2 if labelled else [pa.int64(), pa.int32()] + [pa.int64()] * 3
+            kinds = [pa.int64()] * 2 if labelled else [pa.int64(), pa.int32(), pa.int32()] + [pa.int64()] * 3
             batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
             out.clear()
             return batch
@@ -258,7 +258,7 @@ def _search(rows: DataFrame, keys: list[str], labelled: bool, percent: int) -> D
             else:
                 names = list(zip(group["s1"], group["s2"], strict=True))
                 forest = divide_skip(sets, names, None, percent)
-                out += [(c, b, *name, forest.root(name)[0]) for c, b, name in zip(group["comp"], group["block"], names, strict=True)]
+                out += [(c, b, of, *name, forest.root(name)[0]) for c, b, of, name in zip(group["comp"], group["block"], group["of"], names, strict=True)]
             if len(out) > 20_000:
                 yield made()
         if out:
@@ -279,27 +279,28 @@ def _tokens(rows: DataFrame, k: int) -> DataFrame:
                 if fingerprint(s) == (s1[i], s2[i]):
                     keep.append(i), tokens.append(s.tobytes())
             got = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(got.column(j) for j in range(5)), pa.array(tokens, pa.binary())], names=["comp", "s1", "s2", "n", "block", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(got.column(j) for j in range(5)), pa.array(tokens, pa.binary())], names=["comp", "s1", "s2", "of", "block", "tokens"])
 
-    return rows.select("comp", "s1", "s2", "n", "block", "text").mapInArrow(run, "comp long, s1 long, s2 long, n long, block int, tokens binary")
+    return rows.select("comp", "s1", "s2", "of", "block", "text").mapInArrow(run, "comp long, s1 long, s2 long, of int, block int, tokens binary")
 
 
 def _across(whole: DataFrame, local: DataFrame, percent: int, block_sets: int) -> DataFrame:
-    """Links (a, b) between roots of different blocks of one component; empty where each has one block."""
-    many = local.groupBy("comp").agg(F.max("block").alias("last")).where("last > 0").select("comp")
-    members = materialize(whole.join(many, "comp").join(local.select("s1", "s2", "root"), ["s1", "s2"]), "members")
-    if members.isEmpty():
-        return members.select(F.col("s1").alias("a"), F.col("s2").alias("b"))
-    leaders = members.where("s1 = root")
-    groups = leaders.groupBy("comp").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("of"))
-    first = leaders.join(groups, "comp").select("comp", F.pmod(F.hash("s1", F.lit(1)), "of").alias("block"), "s1", "s2", "tokens", F.col("root").alias("label"))
+    """Links (a, b) between roots of different blocks of one component; empty where each has one block.
+
+    Who meets whom is settled on narrow rows; shingles are joined to those that are sent.
+    """
+    narrow = local.where("of > 1").select("comp", "block", "s1", "s2", "root")
+    tokens = whole.where("of > 1").select("s1", "s2", "tokens")
+    leaders = narrow.where("s1 = root")
+    groups = leaders.groupBy("comp").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("groups"))
+    first = leaders.join(groups, "comp").select("comp", F.pmod(F.hash("s1", F.lit(1)), "groups").alias("block"), "s1", "s2", F.col("root").alias("label")).join(tokens, ["s1", "s2"])
     joined = materialize(_search(first, ["comp", "block"], True, percent), "leader-links")
-    named = components(joined)
-    members = members.join(named.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").withColumn("label", F.coalesce("top", "root"))
+    named = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    members = narrow.join(named, "root", "left").select("comp", "block", "s1", "s2", F.coalesce("top", "root").alias("label"))
     of_block = members.groupBy("comp", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).select("comp", F.col("block").alias("other"), "lo", "hi")
     sent = members.join(of_block, "comp").where("other <> block and (lo <> label or hi <> label)").select(
-        "comp", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), F.col("block").alias("side"), "s1", "s2", "tokens", "label")
-    return joined.unionByName(_search(sent, ["comp", "left", "right"], True, percent))
+        "comp", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), F.col("block").alias("side"), "s1", "s2", "label")
+    return joined.unionByName(_search(sent.join(tokens, ["s1", "s2"]), ["comp", "left", "right"], True, percent))
 
 
 def join(documents: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -319,7 +320,7 @@ def join(documents: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT, bloc
     sets = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     inside = materialize(sets.join(candidates, "s1"), "candidates")
     load = inside.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n") / block_shingles)).cast("int").alias("of"))
-    asked = inside.join(load, "comp").select("comp", "s1", "s2", "n", F.pmod(F.hash("s1", "s2"), "of").alias("block"), F.coalesce("rep", F.lit(_NO_ID)).alias("id"))
+    asked = inside.join(load, "comp").select("comp", "s1", "s2", "of", F.pmod(F.hash("s1", "s2"), "of").alias("block"), F.coalesce("rep", F.lit(_NO_ID)).alias("id"))
     texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), "text")
     whole = materialize(_tokens(asked.join(texts, "id"), k), "shingles")
     local = materialize(_search(whole, ["comp", "block"], False, percent), "links")
