@@ -13,9 +13,10 @@
    are merged and what occurs T - L times or more is probed by binary search in
    the long ones. Sets already known to be connected aren't probed again.
 4. Components of several blocks: leaders of the blocks' components are joined
-   first; then each pair of blocks is searched for what is still apart, and only
-   sets that aren't in the other block's one component are sent there. So no
-   link between components is lost, and a group of near copies is not squared.
+   first; then pairs of blocks are searched for what is still apart: a set is sent
+   to a block only if that has a set of another component under one of its prefix
+   shingles. So no link between components is lost, and a group of near copies,
+   which is one component by then, is not squared.
 
 The k-way merge of short lists is one numpy sort of their postings instead of a
 Python heap; it gives the same sorted run with counts.
@@ -130,6 +131,12 @@ def _least_own(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The first n - T + 1 shingles in the sketch's order; sets that link have one in common."""
+    order = np.lexsort((s, counts[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)]))
+    return s[order[: len(s) - _least_own(len(s), percent) + 1]]
+
+
 def _prefixes(documents: DataFrame, sketch, k: int, percent: int) -> DataFrame:
     """(token, s1, n): the prefix of each set under the sketch's order; a task tells each set once while it remembers it."""
 
@@ -152,10 +159,8 @@ def _prefixes(documents: DataFrame, sketch, k: int, percent: int) -> DataFrame:
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(a)
-                p = len(s) - _least_own(len(s), percent) + 1
-                order = np.lexsort((s, counts[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)]))
-                tokens.append(s[order[:p]]), owners.append(a), sizes.append(len(s))
-                rows += p
+                tokens.append(_prefix(s, counts, percent)), owners.append(a), sizes.append(len(s))
+                rows += len(tokens[-1])
                 if rows > 100_000:
                     yield made()
                     tokens, owners, sizes, rows = [], [], [], 0
@@ -284,7 +289,27 @@ def _tokens(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("comp", "s1", "s2", "of", "block", "text").mapInArrow(run, "comp long, s1 long, s2 long, of int, block int, tokens binary")
 
 
-def _across(whole: DataFrame, local: DataFrame, percent: int, block_sets: int) -> DataFrame:
+def _apart(members: DataFrame, tokens: DataFrame, sketch, percent: int) -> DataFrame:
+    """(comp, left, right, side, s1, s2, label): sets to send to a pair of blocks.
+
+    A set goes to each other block that has a set of another label under one of its prefix shingles.
+    """
+    schema = "token long, comp long, block int, s1 long, s2 long, label long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_prefix(np.frombuffer(x, _U), sketch.value, percent) for x in batch.column(5).to_pylist()]
+            if found:
+                rows = batch.take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
+                yield pa.RecordBatch.from_arrays([pa.array(_long(np.concatenate(found))), *(rows.column(i) for i in range(5))], names=[x.split()[0] for x in schema.split(", ")])
+
+    rows = members.join(tokens, ["s1", "s2"]).select("comp", "block", "s1", "s2", "label", "tokens").mapInArrow(run, schema)
+    there = rows.groupBy("token", "comp", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).withColumnRenamed("block", "other")
+    return rows.join(there, ["token", "comp"]).where("other <> block and (lo <> label or hi <> label)").select(
+        "comp", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), F.col("block").alias("side"), "s1", "s2", "label").distinct()
+
+
+def _across(whole: DataFrame, local: DataFrame, sketch, percent: int, block_sets: int) -> DataFrame:
     """Links (a, b) between roots of different blocks of one component; empty where each has one block.
 
     Who meets whom is settled on narrow rows; shingles are joined to those that are sent.
@@ -297,9 +322,7 @@ def _across(whole: DataFrame, local: DataFrame, percent: int, block_sets: int) -
     joined = materialize(_search(first, ["comp", "block"], True, percent), "leader-links")
     named = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
     members = narrow.join(named, "root", "left").select("comp", "block", "s1", "s2", F.coalesce("top", "root").alias("label"))
-    of_block = members.groupBy("comp", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).select("comp", F.col("block").alias("other"), "lo", "hi")
-    sent = members.join(of_block, "comp").where("other <> block and (lo <> label or hi <> label)").select(
-        "comp", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), F.col("block").alias("side"), "s1", "s2", "label")
+    sent = materialize(_apart(members, tokens, sketch, percent), "apart")
     return joined.unionByName(_search(sent.join(tokens, ["s1", "s2"]), ["comp", "left", "right"], True, percent))
 
 
@@ -325,7 +348,7 @@ def join(documents: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT, bloc
     whole = materialize(_tokens(asked.join(texts, "id"), k), "shingles")
     local = materialize(_search(whole, ["comp", "block"], False, percent), "links")
     roots = local.select("s1", "s2", "root")
-    tops = components(_across(whole, local, percent, block_sets))
+    tops = components(_across(whole, local, sketch, percent, block_sets))
     labelled = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("s1", "s2", F.coalesce("top", "root").alias("root"))
     least = inside.join(labelled, ["s1", "s2"]).groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = labelled.join(least, "root").select("s1", "s2", "component_id")
