@@ -65,11 +65,18 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select("b", "b").distinct())
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Slices of few rows, so that what Python makes of wide rows stays small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, list]]:
     """Rows that follow each other with equal keys, as lists by column; one group is held at a time."""
     held: dict[str, list] | None = None
     last = None
-    for batch in batches:
+    for batch in small(batches):
         names = batch.schema.names
         columns = [c.to_pylist() for c in batch.columns]
         where = [names.index(k) for k in keys]

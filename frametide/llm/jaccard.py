@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, gram_hashes, materialize, mix
-from .graph import Forest, components, sorted_groups
+from .graph import Forest, components, small, sorted_groups
 
 SHINGLE, PERCENT = 5, 80
 SKETCH_BITS, SKETCH_PARTS = 20, 16
@@ -277,13 +277,13 @@ def _tokens(rows: DataFrame, k: int) -> DataFrame:
     """Adds each set's shingles; rows whose text isn't the set's (ids may repeat) go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             keep, tokens = [], []
             s1, s2 = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for i, s in shingle_sets(batch.column(5), k):
                 if fingerprint(s) == (s1[i], s2[i]):
                     keep.append(i), tokens.append(s.tobytes())
-            got = batch.take(pa.array(keep, pa.int64()))
+            got = batch.select(range(5)).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*(got.column(j) for j in range(5)), pa.array(tokens, pa.binary())], names=["comp", "s1", "s2", "of", "block", "tokens"])
 
     return rows.select("comp", "s1", "s2", "of", "block", "text").mapInArrow(run, "comp long, s1 long, s2 long, of int, block int, tokens binary")
@@ -297,10 +297,10 @@ def _apart(members: DataFrame, tokens: DataFrame, sketch, percent: int) -> DataF
     schema = "token long, comp long, block int, s1 long, s2 long, label long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_prefix(np.frombuffer(x, _U), sketch.value, percent) for x in batch.column(5).to_pylist()]
+        for part in small(batches):
+            found = [_prefix(np.frombuffer(x.as_buffer(), _U), sketch.value, percent) for x in part.column(5)]
             if found:
-                rows = batch.take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
+                rows = part.select(range(5)).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
                 yield pa.RecordBatch.from_arrays([pa.array(_long(np.concatenate(found))), *(rows.column(i) for i in range(5))], names=[x.split()[0] for x in schema.split(", ")])
 
     rows = members.join(tokens, ["s1", "s2"]).select("comp", "block", "s1", "s2", "label", "tokens").mapInArrow(run, schema)
