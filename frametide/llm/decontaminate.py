@@ -16,7 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import row_key
+
 NGRAM = 10
+KEY = ["_k1", "_k2"]
 BROADCAST_WINDOWS = 400_000
 BROADCAST_CHARS = 40_000_000
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -45,31 +48,37 @@ def benchmark_windows(benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
     return full.unionByName(short).groupBy("k", "win").agg(F.collect_set("item").alias("items"))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, *, n: int = NGRAM, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
-    """One row per row of documents: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, hit_positions.
-
-    hit_positions are the word places (from 0) inside any occurrence of a
-    benchmark window. Null or empty texts have no words and no hits; repeated
-    rows each get their row; an empty benchmark hits nothing; columns other than
-    doc_id and text are not looked at.
-    """
+def scan(documents: DataFrame, benchmark: DataFrame, *, n: int = NGRAM, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+    """A row's key, doc_id, n_words, hit_positions and items, for each row of documents."""
     found = benchmark_windows(benchmark, n)
     sizes = found.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.length("win")).alias("chars")).collect()  # at most n rows
     few = sum(r.n for r in sizes) <= broadcast_windows and sum(r.chars for r in sizes) <= broadcast_chars
-    rows = documents.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
-    texts = rows.select("rid", words(F.col("text")).alias("w"))
+    rows = documents.select("doc_id", "text").withColumns(row_key("doc_id", "text"))
+    texts = rows.select(*KEY, words(F.col("text")).alias("w"))
     hits = None
     for k in sorted(r.k for r in sizes):
         keys = found.where(F.col("k") == k).select("win", "items")
-        scanned = texts.where(F.size("w") >= k).select("rid", F.posexplode(_windows(F.col("w"), k)).alias("pos", "win"))
-        part = scanned.join(F.broadcast(keys) if few else keys, "win").select("rid", F.sequence("pos", F.col("pos") + (k - 1)).alias("at"), "items")
+        scanned = texts.where(F.size("w") >= k).select(*KEY, F.posexplode(_windows(F.col("w"), k)).alias("pos", "win"))
+        part = scanned.join(F.broadcast(keys) if few else keys, "win").select(*KEY, F.sequence("pos", F.col("pos") + (k - 1)).alias("at"), "items")
         hits = part if hits is None else hits.unionByName(part)
-    base = rows.select("rid", "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    base = rows.select(*KEY, "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     if hits is None:
         out = base.withColumns({"hit_positions": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
     else:
-        per = hits.groupBy("rid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("hit_positions"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        out = base.join(per, "rid", "left").withColumns({c: F.coalesce(c, F.array().cast(f"array<{kind}>")) for c, kind in (("hit_positions", "int"), ("items", "string"))})
+        per = hits.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("hit_positions"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        out = base.join(per, KEY, "left").withColumns({c: F.coalesce(c, F.array().cast(f"array<{kind}>")) for c, kind in (("hit_positions", "int"), ("items", "string"))})
+    return out
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """One row per row of documents: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, hit_positions.
+
+    hit_positions are the word places (from 0) inside any occurrence of a
+    benchmark window. Null or empty texts have no words and no hits; repeated
+    rows each get their row; an empty benchmark hits nothing; columns other than
+    doc_id and text are not looked at.
+    """
+    out = scan(documents, benchmark, **how)
     return out.select(
         "doc_id", "n_words", F.size("hit_positions").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hit_positions") > 0).alias("contaminated"), "items", "hit_positions",
@@ -81,9 +90,9 @@ def remove_documents(documents: DataFrame, benchmark: DataFrame, **how) -> DataF
 
     Windows are probed row by row, so a repeated doc_id is judged by its own text.
     """
-    rows = documents.withColumn("_fp", F.xxhash64(F.col("doc_id"), F.col("text")))
-    bad = decontaminate(documents.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), benchmark, **how).where("contaminated").select(F.col("doc_id").alias("_fp")).distinct()
-    return rows.join(bad, "_fp", "left_anti").drop("_fp")
+    rows = documents.withColumns(row_key("doc_id", "text"))
+    bad = scan(documents, benchmark, **how).where(F.size("hit_positions") > 0).select(*KEY).distinct()
+    return rows.join(bad, KEY, "left_anti").select(*documents.columns)
 
 
 ORACLE = """

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, blocks, gram_hashes, materialize, mix, powers
+from .common import Block, blocks, gram_hashes, materialize, mix, powers, row_key
 
 WINDOW, GRAM, PHRASE = 35, 12, 5
 HOT = 20_000
@@ -333,20 +333,20 @@ def _found(sent: DataFrame, window: int, phrase: int, shard_words: int) -> DataF
 
 
 def _places(rows: DataFrame, chosen, window: int, gram: int) -> DataFrame:
-    """(rid, c1, c2, start): where each sent segment is."""
+    """(_k1, _k2, c1, c2, start): where each sent segment is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rids = np.asarray(batch.column(0))
-            for b in blocks(batch.column(1)):
+            keys = [np.asarray(batch.column(i)) for i in range(2)]
+            for b in blocks(batch.column(2)):
                 s = Segments(b, window, gram)
                 start, windows, _ = chosen.value.pick(s)
                 if len(start):
                     row = np.searchsorted(b.wptr, start, side="right") - 1
                     c1, c2 = s.hashes(start, windows + window - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(rids[b.lo + row]), pa.array(_long(c1)), pa.array(_long(c2)), pa.array((start - b.wptr[row]).astype(np.int32))], names=["rid", "c1", "c2", "start"])
+                    yield pa.RecordBatch.from_arrays([*(pa.array(k[b.lo + row]) for k in keys), pa.array(_long(c1)), pa.array(_long(c2)), pa.array((start - b.wptr[row]).astype(np.int32))], names=["_k1", "_k2", "c1", "c2", "start"])
 
-    return rows.select("rid", "text").mapInArrow(run, "rid long, c1 long, c2 long, start int")
+    return rows.select("_k1", "_k2", "text").mapInArrow(run, "_k1 long, _k2 long, c1 long, c2 long, start int")
 
 
 def _cut(rows: DataFrame, window: int) -> DataFrame:
@@ -386,21 +386,21 @@ def dedup(documents: DataFrame, *, window: int = WINDOW, gram: int = GRAM, phras
     A word goes if a window over it starts anywhere else, in the same document
     too. Null and empty texts have no words; texts shorter than the window lose
     nothing, as a window is never cut. Repeated rows count as
-    occurrences of each other. Ids may be null or repeat: rows are told apart by
-    their place in the scan. The bitmap of minimizers has at most 2**map_bits
+    occurrences of each other. Ids may be null or repeat: rows of equal id and
+    text lose the same words. The bitmap of minimizers has at most 2**map_bits
     places; where there are more repeated minimizers, every segment is sent.
     """
     spark = documents.sparkSession
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rid", F.monotonically_increasing_id())
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns(row_key("doc_id", "text"))
     repeated = materialize(_minimizers(rows, window, gram).where("n > 1"), "minimizers")
     n, n_hot = repeated.agg(F.count("*"), F.count(F.when(F.col("n") > hot, 1))).first()
-    bits = min(map_bits, max(16, (12 * n).bit_length()))
-    hot_bits = min(map_bits, max(10, (64 * n_hot).bit_length()))
+    bits = max(3, min(map_bits, max(16, (12 * n).bit_length())))
+    hot_bits = max(3, min(map_bits, max(10, (64 * n_hot).bit_length())))
     bitmap = _bitmap(repeated, bits) if n <= 1 << map_bits else None
     chosen = spark.sparkContext.broadcast(Filter(bitmap, _bitmap(repeated.where(F.col("n") > hot), hot_bits)))
     found = materialize(_found(_sent(rows, chosen, window, gram), window, phrase, shard_words), "repeated")
-    placed = _places(rows, chosen, window, gram).join(found, ["c1", "c2"]).groupBy("rid").agg(F.collect_list(F.struct("start", "bits")).alias("found"))
-    return _cut(rows.join(placed, "rid", "left"), window)
+    placed = _places(rows, chosen, window, gram).join(found, ["c1", "c2"]).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "bits")).alias("found"))
+    return _cut(rows.join(placed, ["_k1", "_k2"], "left"), window)
 
 
 ORACLE = """

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path
+from .common import materialize, new_path, row_key
 
 BLOCK_LINES = 2_000
 FILE_BYTES = 256 << 20
@@ -101,17 +101,17 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def plan(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """rid, page_id, url, html and, for what revisits another record, refers_to and is_revisit.
+    """Key, page_id, url, html and, for what revisits another record, refers_to and is_revisit.
 
     Of rows with equal payloads of least_bytes or more the one with the largest
-    page_id (then the last row) is the response. Only hashes meet by payload,
-    and only rows of repeated payloads get a partner; html moves by row number.
+    page_id (then by key) is the response; rows that are equal in all are so alike. Only hashes meet by payload,
+    and only rows of repeated payloads get a partner; html moves by its row's key.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("rid", F.monotonically_increasing_id())
-    small = rows.select("rid", "page_id", F.sha1(F.encode("html", "UTF-8")).alias("sha"), F.octet_length("html").alias("n")).where(F.col("n") >= least_bytes)
-    heads = small.groupBy("sha", "n").agg(F.max(F.struct("page_id", "rid")).alias("head"), F.count("*").alias("of")).where("of > 1").select("sha", "n", "head")
-    revisits = small.join(heads, ["sha", "n"]).where("rid <> head.rid").select("rid", F.col("head.page_id").alias("refers_to"), F.lit(True).alias("is_revisit"))
-    return rows.join(revisits, "rid", "left").withColumn("is_revisit", F.coalesce("is_revisit", F.lit(False)))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumns(row_key("page_id", "url", "html"))
+    small = rows.select("_k1", "_k2", "page_id", F.sha1(F.encode("html", "UTF-8")).alias("sha"), F.octet_length("html").alias("n")).where(F.col("n") >= least_bytes)
+    heads = small.groupBy("sha", "n").agg(F.max(F.struct("page_id", "_k1", "_k2")).alias("head"), F.count("*").alias("of")).where("of > 1").select("sha", "n", "head")
+    revisits = small.join(heads, ["sha", "n"]).where("_k1 <> head._k1 or _k2 <> head._k2").select("_k1", "_k2", F.col("head.page_id").alias("refers_to"), F.lit(True).alias("is_revisit")).distinct()
+    return rows.join(revisits, ["_k1", "_k2"], "left").withColumn("is_revisit", F.coalesce("is_revisit", F.lit(False)))
 
 
 @dataclass
@@ -257,7 +257,7 @@ def write(pages: DataFrame, *, least_bytes: int = 0, block_lines: int = BLOCK_LI
             file.close()
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in _DIRECTORY.split(", ")])
 
-    planned = plan(pages, least_bytes).select("rid", "page_id", "url", "html", "refers_to", "is_revisit")
+    planned = plan(pages, least_bytes).select(F.col("_k1").alias("rid"), "page_id", "url", "html", "refers_to", "is_revisit")
     # written once, as the range partitioner reads its input twice
     entries = materialize(planned.mapInArrow(archive, _ENTRY), "warc-entries")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
