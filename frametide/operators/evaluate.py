@@ -131,6 +131,6 @@ def compare(summaries: DataFrame) -> DataFrame:
 
 def overlaps(specs: DataFrame) -> DataFrame:
     """Base clips of a film that begin before the one before has ended; empty for a sound answer key."""
-    once = specs.select("film_id", "base_id", "ref_start_s", "ref_duration_s").distinct()
+    once = specs.groupBy("film_id", "base_id", "ref_start_s").agg(F.max("ref_duration_s").alias("ref_duration_s"))
     after = F.lead("ref_start_s").over(Window.partitionBy("film_id").orderBy("ref_start_s"))
     return once.withColumn("next_start_s", after).where("ref_start_s + ref_duration_s > next_start_s")

@@ -196,10 +196,10 @@ def v1_densest_window(spark, d):
     return voting.densest_window(voting.inliers(own, voting.histogram_mode(own)))
 
 
-@query(f"WITH {_V1} SELECT clip_id, key AS candidate_key, round(confidence, 3) AS confidence, offset_s, aligned, round(align_ratio, 6) AS align_ratio, round(vote_ratio, 6) AS vote_ratio, coalesce(confidence >= 0.83 AND vote_ratio >= 0.9, false) AS accepted FROM v1")
+@query(f"WITH {_V1} SELECT clip_id, key AS candidate_key, round(confidence, 4) AS confidence, offset_s, aligned, round(align_ratio, 6) AS align_ratio, round(vote_ratio, 6) AS vote_ratio, coalesce(confidence >= 0.83 AND vote_ratio >= 0.9, false) AS accepted FROM v1")
 def v1_decide(spark, d):
     hits, clips = _hits(spark, d)
-    return voting.decide(hits, clips.select("clip_id", "n_frames")).select("clip_id", "candidate_key", _r("confidence", 3).alias("confidence"), "offset_s", "aligned", *[_r(c).alias(c) for c in ("align_ratio", "vote_ratio")], "accepted")
+    return voting.decide(hits, clips.select("clip_id", "n_frames")).select("clip_id", "candidate_key", _r("confidence", 4).alias("confidence"), "offset_s", "aligned", *[_r(c).alias(c) for c in ("align_ratio", "vote_ratio")], "accepted")
 
 
 def _judged(spark, d):
