@@ -3,11 +3,15 @@
 1. One pass over the texts makes each document's set of word shingles (64-bit
    hashes), its size and a 128-bit fingerprint, and adds all shingles to a sketch
    of fixed size. Documents with equal sets are one node from here on.
-2. Two sets that link share a shingle of their prefixes (n - T + 1 first ones in
-   any order that holds for all). The order is the sketch's count, then the hash:
-   frequent shingles come last and seldom are in a prefix. Prefix rows are
-   sorted by shingle; neighbours of compatible size are chained, so a shingle of
-   any frequency costs a linear stream. The chains' components are candidates.
+2. Two sets that link share at least c shingles of their prefixes (n - T + c first
+   ones in any order that holds for all); c is COMMON_PERCENT of the smaller set,
+   so that long texts aren't candidates for a few shingles that they share by
+   chance. The order is the sketch's count, then the hash: frequent shingles come
+   last and seldom are in a prefix. Prefix rows are sorted by shingle. Under a
+   shingle of more than RARE sets, neighbours of compatible size are chained, so
+   any frequency costs a linear stream. Of the others, pairs (at most RARE - 1 a
+   row) are counted and c must be reached: who shares no frequent shingle shares c
+   rare ones. The components of both are candidates.
 3. Sets of a candidate component meet in blocks of bounded size. In a block, a
    set's inverted lists are divided: the L longest are put aside, the short ones
    are merged and what occurs T - L times or more is probed by binary search in
@@ -39,6 +43,7 @@ SHINGLE, PERCENT = 5, 80
 SKETCH_BITS, SKETCH_PARTS = 20, 16
 BLOCK_SETS, BLOCK_SHINGLES = 1_024, 2_000_000
 MU = 0.0085
+COMMON_PERCENT, RARE = 2, 8
 _U = np.uint64
 _NO_ID = -(1 << 63)
 _SETS = "doc_id long, n long, s1 long, s2 long, part int, counts binary"
@@ -131,10 +136,16 @@ def _least_own(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The first n - T + 1 shingles in the sketch's order; sets that link have one in common."""
+def _least_common(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many prefix shingles sets of n share at least with any set that they link with and that isn't smaller."""
+    n = np.asarray(n, np.int64)
+    return np.maximum(1, np.minimum(n * COMMON_PERCENT // 100, _least_own(n, percent)))
+
+
+def _prefix(s: np.ndarray, counts: np.ndarray, percent: int, common: int = 1) -> np.ndarray:
+    """The first n - T + common shingles in the sketch's order; sets that link share as many of them as the lesser common says."""
     order = np.lexsort((s, counts[(s >> _U(64 - SKETCH_BITS)).astype(np.int64)]))
-    return s[order[: len(s) - _least_own(len(s), percent) + 1]]
+    return s[order[: len(s) - _least_own(len(s), percent) + common]]
 
 
 def _prefixes(documents: DataFrame, sketch, k: int, percent: int) -> DataFrame:
@@ -159,7 +170,7 @@ def _prefixes(documents: DataFrame, sketch, k: int, percent: int) -> DataFrame:
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(a)
-                tokens.append(_prefix(s, counts, percent)), owners.append(a), sizes.append(len(s))
+                tokens.append(_prefix(s, counts, percent, int(_least_common(len(s), percent)))), owners.append(a), sizes.append(len(s))
                 rows += len(tokens[-1])
                 if rows > 100_000:
                     yield made()
@@ -171,23 +182,51 @@ def _prefixes(documents: DataFrame, sketch, k: int, percent: int) -> DataFrame:
 
 
 def _chains(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) of a forest over sets that follow each other under one token with compatible sizes."""
+    """Edges (a, b) between sets that may link: chained under a frequent shingle, or with enough rare ones in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, last = Forest(), None
+        forest = Forest()
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last shingle's rows; of a frequent one, the last
+        frequent = False
+
+        def edges(token: np.ndarray, s1: np.ndarray, n: np.ndarray, hot: np.ndarray) -> pa.RecordBatch | None:
+            least = _least_common(n, percent)
+            joined, a, b, need = [], [], [], []
+            for d in range(1, RARE):
+                at = np.flatnonzero((token[d:] == token[:-d]) & (100 * n[:-d] >= percent * n[d:]) & (~hot[d:] | (d == 1)))
+                one = hot[at] | (least[at] == 1)  # rows are by size, so the first of a pair is the smaller set
+                joined += [x for x in zip(s1[at[one]].tolist(), s1[at[one] + d].tolist(), strict=True) if forest.join(*x)]
+                at = at[~one]
+                a.append(np.minimum(s1[at], s1[at + d])), b.append(np.maximum(s1[at], s1[at + d])), need.append(least[at])
+            left = np.array(joined, np.int64).reshape(-1, 2)
+            a, b, need = np.concatenate([left[:, 0], *a]), np.concatenate([left[:, 1], *b]), np.concatenate([np.zeros(len(left), np.int64), *need])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need)], names=["a", "b", "need"]) if len(a) else None
+
         for batch in batches:
-            token, s1, n = (np.asarray(c) for c in batch.columns)
-            if last is not None:
-                token, s1, n = np.r_[last[0], token], np.r_[last[1], s1], np.r_[last[2], n]
-            at = np.flatnonzero((token[1:] == token[:-1]) & (s1[1:] != s1[:-1]) & (100 * n[:-1].astype(np.int64) >= percent * n[1:].astype(np.int64)))
-            new = [(a, b) for a, b in zip(s1[at].tolist(), s1[at + 1].tolist(), strict=True) if forest.join(a, b)]
-            if new:
-                a, b = zip(*new, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            last = token[-1:], s1[-1:], n[-1:]
+            token, s1, n = (np.r_[h, np.asarray(c)].astype(np.int64) for h, c in zip(held, batch.columns, strict=True))
+            if not len(token):
+                continue
+            once = np.r_[True, (token[1:] != token[:-1]) | (s1[1:] != s1[:-1])]  # tasks may tell a set again
+            token, s1, n = token[once], s1[once], n[once]
+            begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            size = np.diff(np.r_[begin, len(token)])
+            hot = size > RARE
+            hot[0] |= frequent and token[0] == held[0][0]
+            frequent = bool(hot[-1])
+            until = len(token) if frequent else begin[-1]  # a rare shingle waits for the rest of its rows
+            made = edges(token[:until], s1[:until], n[:until], np.repeat(hot, size)[:until])
+            if made is not None:
+                yield made
+            keep = len(token) - 1 if frequent else begin[-1]
+            held = token[keep:], s1[keep:], n[keep:]
+        if len(held[0]) > 1:
+            made = edges(*held, np.zeros(len(held[0]), bool))
+            if made is not None:
+                yield made
 
     parts = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return prefixes.repartition(parts, "token").sortWithinPartitions("token", "n", "s1").mapInArrow(run, "a long, b long")
+    met = prefixes.repartition(parts, "token").sortWithinPartitions("token", "n", "s1").mapInArrow(run, "a long, b long, need long")
+    return met.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("need").alias("need")).where("common >= need").select("a", "b")
 
 
 def divide_skip(sets: list[np.ndarray], labels: list, sides: list | None = None, percent: int = PERCENT) -> Forest:

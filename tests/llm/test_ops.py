@@ -63,9 +63,7 @@ def test_substring_fm_index():
     assert index.search(text, at, 7, 2).tolist() == [count[tuple(text[i : i + 7])] > 1 for i in at]
 
 
-def test_jaccard(spark, docs):
-    rows = docs.select("doc_id", "text").collect()
-
+def _linked(rows):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
         return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
@@ -87,9 +85,31 @@ def test_jaccard(spark, docs):
     for i, r in enumerate(rows):
         if r["doc_id"] is not None:
             least[root(i)] = min(least.get(root(i), 1 << 60), r["doc_id"])
-    want = [(r["doc_id"], len(sets[i]), least.get(root(i)) if sets[i] else r["doc_id"]) for i, r in enumerate(rows)]
+    return sorted(((r["doc_id"], len(sets[i]), least.get(root(i)) if sets[i] else r["doc_id"]) for i, r in enumerate(rows)), key=str)
+
+
+def test_jaccard(spark, docs):
+    want = _linked(docs.select("doc_id", "text").collect())
+    for how in ({}, {"block_sets": 3}):
+        assert _rows(jaccard.join(docs, **how)) == want
+
+
+def test_jaccard_long_texts(spark):
+    """Copies about the limit, in groups on both sides of RARE, with passages and single shingles in common."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    passage, texts = some(90), []
+    for group in range(14):
+        base = some(rng.choice([90, 240, 600])) + passage[: rng.choice([0, 8, 90])]
+        for _ in range(rng.choice([1, 2, 3, jaccard.RARE, jaccard.RARE + 1, 14])):
+            rate = rng.choice([0.005, 0.015, 0.025])
+            texts.append(" ".join(rng.choice(words) if rng.random() < rate else w for w in base[: len(base) - rng.randrange(len(base) // 8)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = _linked(docs.collect())
+    assert len({w[2] for w in want}) > 20
     for how in ({}, {"block_sets": 3}):
-        assert _rows(jaccard.join(docs, **how)) == sorted(want, key=str)
+        assert _rows(jaccard.join(docs, **how)) == want
 
 
 def test_decontaminate(spark, docs):
