@@ -159,6 +159,55 @@ def blocks(column: pa.Array, lower: bool = False, limit: int = BLOCK_BYTES) -> I
         lo = hi
 
 
+def bitmap_of(keys: DataFrame, bits: int) -> np.ndarray:
+    """A bitmap of 2**bits places of the first bits of keys' only column (long); made in parts of 2**15 places on the executors."""
+    low = min(bits, 15)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = (np.asarray(batch.column(0)).view(_U) >> _U(64 - bits)).astype(np.int64)
+            part = at >> low
+            for p in np.unique(part).tolist():
+                mine = parts.setdefault(p, np.zeros(1 << low >> 3, np.uint8))
+                x = at[part == p] & ((1 << low) - 1)
+                np.bitwise_or.at(mine, x >> 3, (1 << (x & 7)).astype(np.uint8))
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["part", "bits"])
+
+    out = np.zeros((1 << bits - low, 1 << low >> 3), np.uint8)
+    spread = F.shiftrightunsigned(keys.columns[0], 64 - bits + low) if bits > low else F.lit(0)
+    n = max(1, min(1 << bits - low, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    for r in keys.repartition(n, spread).mapInArrow(run, "part long, bits binary").collect():
+        out[r["part"]] |= np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def in_bitmap(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x have their place set in bits; where one of the keys is, it is."""
+    at = (x >> _U(64 - (len(bits) * 8).bit_length() + 1)).astype(np.int64)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def among(ids: DataFrame, column: Column, map_bits: int = 27) -> Column:
+    """Whether column may be one of ids (one column, long); true for all of them, and for all where ids are more than 2**map_bits.
+
+    What is sent to the executors is a bitmap of at most 2**map_bits places (16 MB),
+    so that only the rows in question need be shuffled to a join with ids.
+    """
+    spark, n = ids.sparkSession, ids.count()
+    if n > 1 << map_bits:
+        return F.lit(True)
+    keys = ids.select(F.xxhash64(F.col(ids.columns[0]).cast("long")).alias("key"))
+    sent = spark.sparkContext.broadcast(bitmap_of(keys, max(16, min(map_bits, (12 * n).bit_length()))))
+
+    @F.arrow_udf("boolean")
+    def may(key: pa.Array) -> pa.Array:
+        return pa.array(in_bitmap(sent.value, np.asarray(key).view(_U)))
+
+    return may(F.xxhash64(column.cast("long")))
+
+
 _MULT = mix(np.arange(1001, 1001 + 64, dtype=_U)) | _U(1)
 
 

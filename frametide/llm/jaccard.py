@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, gram_hashes, materialize, mix
+from .common import among, blocks, gram_hashes, materialize, mix
 from .graph import Forest, components, small, sorted_groups
 
 SHINGLE, PERCENT = 5, 80
@@ -384,6 +384,7 @@ def join(documents: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT, bloc
     load = inside.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n") / block_shingles)).cast("int").alias("of"))
     asked = inside.join(load, "comp").select("comp", "s1", "s2", "of", F.pmod(F.hash("s1", "s2"), "of").alias("block"), F.coalesce("rep", F.lit(_NO_ID)).alias("id"))
     texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), "text")
+    texts = texts.where(among(inside.select(F.coalesce("rep", F.lit(_NO_ID))), F.col("id")))  # the others' texts aren't shuffled
     whole = materialize(_tokens(asked.join(texts, "id"), k), "shingles")
     local = materialize(_search(whole, ["comp", "block"], False, percent), "links")
     roots = local.select("s1", "s2", "root")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, blocks, gram_hashes, materialize, mix, powers, row_key
+from .common import Block, bitmap_of, blocks, gram_hashes, in_bitmap, materialize, mix, powers, row_key
 
 WINDOW, GRAM, PHRASE = 35, 12, 5
 HOT = 20_000
@@ -97,15 +97,10 @@ class Filter:
     def __init__(self, repeated: np.ndarray | None, hot: np.ndarray):
         self.repeated, self.hot = repeated, hot
 
-    @staticmethod
-    def _in(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
-        at = (x >> _U(64 - (len(bits) * 8).bit_length() + 1)).astype(np.int64)
-        return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-
     def pick(self, s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first word, windows, route) of what is sent; hot segments as single windows."""
-        keep = self._in(self.repeated, s.least) if self.repeated is not None else np.ones(len(s.least), bool)
-        hot = keep & self._in(self.hot, s.least)
+        keep = in_bitmap(self.repeated, s.least) if self.repeated is not None else np.ones(len(s.least), bool)
+        hot = keep & in_bitmap(self.hot, s.least)
         keep &= ~hot
         start, windows, route = s.start[keep], s.windows[keep], s.least[keep]
         if hot.any():
@@ -131,30 +126,6 @@ def _minimizers(documents: DataFrame, window: int, gram: int) -> DataFrame:
     return documents.select("text").mapInArrow(run, "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
 
 
-def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2**bits places of the keys' first bits; made in parts of 2**15 places on the executors."""
-    low = min(bits, 15)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at = (np.asarray(batch.column(0)).view(_U) >> _U(64 - bits)).astype(np.int64)
-            part = at >> low
-            for p in np.unique(part).tolist():
-                mine = parts.setdefault(p, np.zeros(1 << low >> 3, np.uint8))
-                x = at[part == p] & ((1 << low) - 1)
-                np.bitwise_or.at(mine, x >> 3, (1 << (x & 7)).astype(np.uint8))
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([x.tobytes() for x in parts.values()], pa.binary())], names=["part", "bits"])
-
-    out = np.zeros((1 << bits - low, 1 << low >> 3), np.uint8)
-    spread = F.shiftrightunsigned("least", 64 - bits + low) if bits > low else F.lit(0)
-    n = max(1, min(1 << bits - low, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    for r in keys.select("least").repartition(n, spread).mapInArrow(run, "part long, bits binary").collect():
-        out[r["part"]] |= np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
-
-
 _SENT = "route long, c1 long, c2 long, weight long, words binary"
 
 
@@ -396,8 +367,8 @@ def dedup(documents: DataFrame, *, window: int = WINDOW, gram: int = GRAM, phras
     n, n_hot = repeated.agg(F.count("*"), F.count(F.when(F.col("n") > hot, 1))).first()
     bits = max(3, min(map_bits, max(16, (12 * n).bit_length())))
     hot_bits = max(3, min(map_bits, max(10, (64 * n_hot).bit_length())))
-    bitmap = _bitmap(repeated, bits) if n <= 1 << map_bits else None
-    chosen = spark.sparkContext.broadcast(Filter(bitmap, _bitmap(repeated.where(F.col("n") > hot), hot_bits)))
+    bitmap = bitmap_of(repeated.select("least"), bits) if n <= 1 << map_bits else None
+    chosen = spark.sparkContext.broadcast(Filter(bitmap, bitmap_of(repeated.where(F.col("n") > hot).select("least"), hot_bits)))
     found = materialize(_found(_sent(rows, chosen, window, gram), window, phrase, shard_words), "repeated")
     placed = _places(rows, chosen, window, gram).join(found, ["c1", "c2"]).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "bits")).alias("found"))
     return _cut(rows.join(placed, ["_k1", "_k2"], "left"), window)
