@@ -404,9 +404,12 @@ def keep_one(documents: DataFrame, **how) -> DataFrame:
     without shingles. Where ids repeat, one row of equal id and text stays.
     """
     found = materialize(join(documents, **how), "components")
-    stay = found.where("component_id <=> doc_id").select(F.col("doc_id").alias("_id")).distinct()
-    out = documents.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
+    ids = materialize(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"), F.max(F.expr("component_id <=> doc_id")).alias("stays")), "ids")
+    gone = ids.where("not stays").select("_id")
+    maybe = among(gone, F.col("doc_id"))
+    asked = documents.where(maybe)
+    out = documents.where(~maybe).union(asked.join(gone, asked["doc_id"].cast("long").eqNullSafe(gone["_id"]), "left_anti"))
+    if not ids.where("n > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", "text"])
     return out
 

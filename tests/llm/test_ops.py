@@ -94,6 +94,17 @@ def test_jaccard(spark, docs):
         assert _rows(jaccard.join(docs, **how)) == want
 
 
+def test_jaccard_keep_one(spark, docs):
+    """The least id of each component stays, with rows without shingles; other columns may have any name."""
+    wide = docs.select("doc_id", "text", F.lit("x").alias("_id"), F.lit(1).alias("stays"))
+    found = _linked(docs.select("doc_id", "text").collect())
+    stay = {i for i, _, least in found if i == least}
+    want = {(r["doc_id"], r["text"], "x", 1) for r in wide.collect() if r["doc_id"] in stay}
+    assert len(stay) < len({i for i, _, _ in found})
+    assert _rows(jaccard.keep_one(wide)) == sorted(want, key=str)
+    assert _rows(jaccard.keep_one(wide.limit(0))) == []
+
+
 def test_jaccard_long_texts(spark):
     """Copies about the limit, in groups on both sides of RARE, with passages and single shingles in common."""
     rng = random.Random(8)
