@@ -37,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", identify), ("near_duplicates", deduplicate), ("decontamination", clear_benchmark), ("secrets", redact), ("packing", pack)]
 
-#: SQL can't express the first and the last stage; tests/llm holds run() against a plain version.
+#: SQL can't express the first and the last stage; tests/llm holds what the stages call against plain versions.
 ORACLE_SQL = None
 
 
