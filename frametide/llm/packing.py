@@ -6,8 +6,10 @@ windows are cut off first; what is left of a document is routed to the tier (a
 power of two) that just holds it. Tiers are packed from the longest to the
 shortest: a document opens a window of its tier, gaps are filled with the largest
 documents of shorter tiers that fit (best fit), and a last gap by a cut. What
-is left at the end of a partition is split over tiers, so that at most one
-sequence of a partition, below the shortest tier, needs padding.
+is left at the end of a partition is split over tiers, pieces too short to open
+a window of their own too, so that at most one sequence of a partition, below
+the shortest tier, needs padding. A full buffer is packed the same way until half
+is left, so that a partition of short documents alone does not pile up.
 
 Step groups: sequences of a tier are dealt in groups of the same number of
 tokens, so that each training step has one shape and as much work as any other.
@@ -30,6 +32,7 @@ TIERS = (64, 128, 256, 512, 1024, 2048)
 END = 1
 STEP_TOKENS = 1 << 16
 BUFFER_TOKENS = 1 << 20
+BUFFER_PIECES = 1 << 16
 CACHE_ENTRIES = 300_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 _SPECIAL = "<|endoftext|>"
@@ -83,8 +86,8 @@ def encoder(name: str = "byte_bpe_50k") -> Encoder:
 class Packer:
     """Takes documents' ids; gives finished pieces."""
 
-    def __init__(self, base: int, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS):
-        self.tiers, self.step_tokens, self.base = tiers, step_tokens, base
+    def __init__(self, base: int, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, buffer_tokens: int = BUFFER_TOKENS):
+        self.tiers, self.step_tokens, self.base, self.buffer_tokens = tiers, step_tokens, base, buffer_tokens
         self.longest = tiers[-1]
         self.n_sequences, self.per_tier = 0, dict.fromkeys(tiers, 0)
         self.docs: dict[int, tuple[object, np.ndarray]] = {}
@@ -137,23 +140,31 @@ class Packer:
         for key in [k for k in self.docs if not self.left[k]]:
             del self.docs[key], self.left[key]
 
+    def full(self, share: int = 1) -> bool:
+        """Whether what waits fills the buffer, or the given part of it."""
+        return self.tokens * share >= self.buffer_tokens or len(self.waiting) * share >= BUFFER_PIECES
+
+    def _fill(self, tier: int) -> None:
+        pieces, gap = [], tier
+        while gap:
+            piece = self._take(gap)
+            if piece is None:  # each one is too long: cut what the gap takes off the shortest
+                length, key, start = self._pop(0)
+                piece = (gap, key, start)
+                self._wait(length - gap, key, start + gap)
+            pieces.append(piece)
+            gap -= piece[0]
+        self._emit(pieces)
+
     def pack(self, last: bool = False) -> None:
-        """Pack what waits; without last, some may go on waiting for what comes."""
+        """Pack what waits; without last, up to half a buffer may go on waiting for what comes."""
         for tier in reversed(self.tiers):
-            while self.tokens >= tier and self.waiting and self.waiting[-1][0] > tier // 2:
-                pieces, gap = [], tier
-                while gap:
-                    piece = self._take(gap)
-                    if piece is None:  # each one is too long: cut what the gap takes off the shortest
-                        length, key, start = self._pop(0)
-                        piece = (gap, key, start)
-                        self._wait(length - gap, key, start + gap)
-                    pieces.append(piece)
-                    gap -= piece[0]
-                self._emit(pieces)
-            if not last:
-                break
-        if last and self.waiting:
+            while self.tokens >= tier and self.waiting[-1][0] > tier // 2 and (last or tier == self.longest or self.full(2)):
+                self._fill(tier)
+        for tier in reversed(self.tiers):  # pieces that open no window
+            while self.tokens >= tier and (last or self.full(2)):
+                self._fill(tier)
+        if last and self.waiting:  # less than the shortest tier
             self._emit([self._pop(0) for _ in range(len(self.waiting))])
         self._release()
 
@@ -174,7 +185,7 @@ def pack(documents: DataFrame, *, vocabulary: str = "byte_bpe_50k", tiers: tuple
     kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, packer = encoder(vocabulary), Packer(TaskContext.get().partitionId() << 32, tiers, step_tokens)
+        coder, packer = encoder(vocabulary), Packer(TaskContext.get().partitionId() << 32, tiers, step_tokens, buffer_tokens)
 
         def done() -> Iterator[pa.RecordBatch]:
             if rows := packer.take():
@@ -183,7 +194,7 @@ def pack(documents: DataFrame, *, vocabulary: str = "byte_bpe_50k", tiers: tuple
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 packer.add(doc_id, coder.ids(text or ""))
-                if packer.tokens >= buffer_tokens:
+                if packer.full():
                     packer.pack()
                     yield from done()
                 elif len(packer.out) >= 10_000:

@@ -188,6 +188,30 @@ def test_packing(spark, docs):
         assert at <= 2048
 
 
+def test_packing_short_documents(spark):
+    """A partition of empty and one-word texts: whole sequences but for one, and no more waiting than a buffer holds."""
+    rows = spark.createDataFrame([(i, [None, "", "one"][i % 3]) for i in range(3000)], "doc_id long, text string").coalesce(1)
+    for how in ({}, {"buffer_tokens": 300}):
+        got = packing.pack(rows, **how).collect()
+        size, tier = Counter(), {}
+        for p in got:
+            size[p["sequence_id"]] += p["length"]
+            tier[p["sequence_id"]] = p["tier"]
+        parts = Counter()
+        for p in got:
+            parts[p["doc_id"]] += p["length"]
+        assert parts == {p["doc_id"]: p["doc_tokens"] for p in got} and len(parts) == 3000
+        padded = [s for s in size if size[s] != tier[s]]
+        assert len(padded) <= 1 and all(size[s] < packing.TIERS[0] for s in padded)
+    packer, most = packing.Packer(0, buffer_tokens=4096), 0
+    for i in range(20_000):
+        packer.add(i, np.ones(1 + i % 5, "<u4"))
+        if packer.full():
+            packer.pack()
+        most = max(most, packer.tokens)
+    assert most < 4096 + 5
+
+
 def test_language(spark):
     en, fr = "the cat and the dog are here with that other one ", "le chat et le chien sont ici avec les autres qui "
     rows = [(i, (en if i % 2 else fr) * (1 + i % 4), "en" if i % 2 else "fr", "s", 0) for i in range(60)] + [(90, None, "en", "s", 0), (91, "12 34 !", "fr", "s", 0), (92, "the other cat", None, "s", 0), (None, en, "en", "s", 0)]
