@@ -9,7 +9,10 @@ and a digit.  A window of 20 characters slides over it.  The state holds how
 often each character is in the window and the sum of c * log2(c); one step adds
 the entering and takes the leaving character.  H = log2(20) - sum / 20.  The
 greatest H is held against the threshold of the candidate's character class.
-Candidates that the allow list knows, or that touch a base span, add nothing.
+Base spans and segments (between ``= - _ /``) with a placeholder's word are taken
+out of a run first; what is left of it stands for itself. Where a run as a whole
+adds nothing, each of its segments is judged as if it stood alone, so that a name
+joined to a secret changes neither its class nor its place in the allow list.
 """
 
 from __future__ import annotations
@@ -26,11 +29,15 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+SEGMENT = r"[A-Za-z0-9+]{20,}"
 # Bits of entropy in 20 characters from which a candidate counts, by class.
 THRESHOLD = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
 WINDOW = 20
 # What the allow list suppresses: UUIDs, placeholders, counted-up digits, identifiers joined of plain words.
-ALLOW = r"(?i:^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|example|sample|placeholder|changeme|dummy|xxxx|0123456789|1234567890|^[a-z]+(?:[-_/=][a-z]+)*[-_/=]?[0-9]{1,4}$)"
+PLACEHOLDER = "example|sample|placeholder|changeme|dummy|xxxx|0123456789|1234567890"
+ALLOW = rf"(?i:^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$|{PLACEHOLDER}|^[a-z]+(?:[-_/=][a-z]+)*[-_/=]?[0-9]{{1,4}}$)"
+#: A whole segment with a placeholder's word and what parts it from others; begins at their begin only, so the search is linear.
+PLACEHOLDER_SEGMENT = rf"(?:(?<![-_/=])[-_/=]+)?(?<![A-Za-z0-9+])[A-Za-z0-9+]*?(?i:{PLACEHOLDER})[A-Za-z0-9+]*[-_/=]*"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -88,14 +95,27 @@ def max_window_entropy(s: Column, window: int = WINDOW) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(s) - 1), state, step, lambda acc: acc["best"])
 
 
-def _added(text: Column, base: Column) -> Column:
-    """Spans of high entropy that the base did not touch."""
-    kind = KINDS.index("entropy")
-    spans, runs = _located(text, CANDIDATE, kind), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    pairs = F.filter(F.arrays_zip(spans.alias("s"), runs.alias("run")), lambda x: x["run"].rlike("[A-Za-z]") & x["run"].rlike("[0-9]") & ~x["run"].rlike(ALLOW) & ~F.exists(base, lambda b: (b["start"] < x["s"]["end"]) & (x["s"]["start"] < b["end"])))
+def _masked(text: Column, base: Column) -> Column:
+    """text with a space for each character of base spans and placeholder segments."""
+    held = F.when(text.rlike(f"(?i:{PLACEHOLDER})"), _located(text, PLACEHOLDER_SEGMENT, 0)).otherwise(_none())
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begin, end = F.greatest(acc["at"], x["start"]), F.greatest(acc["at"], x["end"])
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, begin - acc["at"]), F.repeat(F.lit(" "), end - begin)).alias("out"))
+
+    masked = F.aggregate(F.array_sort(F.concat(base, held)), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(text.rlike(CANDIDATE) & ((F.size(base) > 0) | text.rlike(f"(?i:{PLACEHOLDER})")), masked).otherwise(text)
+
+
+def _judged(masked: Column, pattern: str, known: Column | None = None) -> Column:
+    """Spans of the pattern's matches of high entropy, but for those that known has."""
+    spans, runs = _located(masked, pattern, KINDS.index("entropy")), F.regexp_extract_all(masked, F.lit(pattern), F.lit(0))
+    likely = lambda x: x["run"].rlike("[A-Za-z]") & x["run"].rlike("[0-9]") & ~x["run"].rlike(ALLOW)
+    pairs = F.filter(F.arrays_zip(spans.alias("s"), runs.alias("run")), likely if known is None else lambda x: likely(x) & ~F.exists(known, lambda k: (k["start"] <= x["s"]["start"]) & (x["s"]["end"] <= k["end"])))
     limit = lambda r: F.when(r.rlike("^[0-9A-Fa-f]+$"), THRESHOLD["hex"]).when(r.rlike("^[0-9A-Za-z]+$"), THRESHOLD["alnum"]).otherwise(THRESHOLD["base64"])
     kept = F.filter(pairs, lambda x: max_window_entropy(x["run"]) >= limit(x["run"]))
-    return F.when(text.rlike(r"(?=[A-Za-z0-9+/_=-]{20})[A-Za-z+/_=-]*[0-9]"), F.transform(kept, lambda x: x["s"])).otherwise(_none())
+    return F.when(masked.rlike(r"(?=[A-Za-z0-9+/_=-]{20})[A-Za-z+/_=-]*[0-9]"), F.transform(kept, lambda x: x["s"])).otherwise(_none())
 
 
 def _joined(spans: Column) -> Column:
@@ -110,7 +130,8 @@ def scan(documents: DataFrame) -> DataFrame:
     need no rule; other columns pass through.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.withColumn("_base", _base(text)).withColumn("_spans", F.array_sort(F.concat("_base", _added(text, F.col("_base")))))
+    runs = documents.withColumn("_base", _base(text)).withColumn("_masked", _masked(text, F.col("_base"))).withColumn("_runs", _judged(F.col("_masked"), CANDIDATE))
+    return runs.withColumn("_spans", F.array_sort(F.concat("_base", "_runs", _judged(F.col("_masked"), SEGMENT, F.col("_runs"))))).drop("_masked", "_runs")
 
 
 def digests(documents: DataFrame) -> DataFrame:

@@ -161,6 +161,20 @@ def test_secrets(spark):
     assert h == pytest.approx(np.log2(20))
 
 
+def test_secrets_joined(spark):
+    """A name, a placeholder or a base span beside a secret does not hide it."""
+    secret, upper = "Zx9Qw3Er7Ty1Ui5Op2As6Df4Gh8Jk0", "0F1E2D3C4B5A69788796A5B4C3D2E1F0"
+    low = "A1B2A1C3B2D4A1E5C3B2F6A1"  # of the hex class, below base64's threshold
+    cases = [(f"key-{low}", low), (f"AA_{low}", low), (f"AKIAABCDEFGHIJKLMN/{secret}", secret), (f"example-{secret}", secret), (f"{secret}/dummy", secret), (f"é x=sample_{upper} z", upper), (low, low)]
+    clean = ["my-long-example-identifier-12", f"example{secret}", "id-123e4567-e89b-12d3-a456-426614174000", "some-long-name-of-words-joined-2024", "sample/123e4567-e89b-12d3-a456-426614174000"]
+    texts = [t for t, _ in cases] + clean
+    got = {r["doc_id"]: r["spans"] for r in secrets.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, (text, hidden) in enumerate(cases):
+        spans = [tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x.startswith("entropy")]
+        assert any(a <= text.index(hidden) and text.index(hidden) + len(hidden) <= b for a, b in spans), text
+    assert [got[i] for i in range(len(cases), len(texts))] == [""] * len(clean)
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
     import public_tokenizers
