@@ -1,7 +1,8 @@
 """Language identification by cross-parsing against suffix automata.
 
-Per language, a bounded sample of labelled text becomes a suffix automaton, kept
-as one dense transition table. A text is parsed against it greedily: each phrase
+Per language, a bounded sample of labelled text becomes a suffix automaton over
+all of its letters. Transitions by its DENSE most frequent letters are one dense
+table, those by its other letters sorted keys. A text is parsed against it greedily: each phrase
 is the longest match that the automaton can follow; where it can't, the phrase
 ends and the next begins. Few phrases mean low cross-entropy. Phrases times
 log2(sample length) over the text's length is comparable between languages; the
@@ -15,6 +16,7 @@ automata by one character. Whole texts are parsed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,14 @@ from pyspark.sql import functions as F
 
 #: Bounds of the sample that is fitted on: documents a language, and letters and spaces a language and in all.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_CHARS_ALL, SAMPLE_DOC_CHARS = 200, 40_000, 400_000, 8_000
-ALPHABET = 200
+#: So many letters of each language have columns in the dense table; the others are looked up. Results don't depend on it.
+DENSE = 64
 LANE = 512
 BLOCK_CHARS = 1 << 20
 UNKNOWN = "und"
-#: From so many letters and spaces on, a text with more normalised phrases a character than this is in no learned language.
-REJECT_LETTERS, REJECT_RATE = 400, 4.5
+#: From so many letters and spaces on, a text with more normalised phrases a character than its language's limit is in no
+#: learned language. The limit is REJECT_RATE, or REJECT_MARGIN times the median rate of the language's own texts where that is more.
+REJECT_LETTERS, REJECT_RATE, REJECT_MARGIN = 400, 4.5, 1.5
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, phrases_per_char double"
 
 
@@ -44,12 +48,8 @@ def normal(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """The suffix automaton of codes as a table: 2 * next state, plus 1 where a phrase ends first.
-
-    A code that no state follows ends a phrase and starts the next one from the
-    root; one that the root doesn't know either stays at the root.
-    """
+def automaton(codes: list[int]) -> list[dict[int, int]]:
+    """The suffix automaton of codes: the transitions of each state; 0 is the root."""
     link, length, go = [-1], [0], [{}]
     last = 0
     for c in codes:
@@ -75,43 +75,81 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = twin
         last = now
-    root = np.zeros(width, np.int32)
-    for c, to in go[0].items():
-        root[c] = to
-    out = np.tile(root * 2 + 1, (len(go), 1))
-    for s, edges in enumerate(go):
-        for c, to in edges.items():
-            out[s, c] = to * 2
-    return out
+    return go
+
+
+@cache
+def _alphabetic() -> np.ndarray:
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 class Model:
-    """Automata of all languages in one table, and the map from code points to symbols."""
+    """Automata of all languages, and the map from code points to symbols.
+
+    Transitions are 2 * the next state, plus 1 where a phrase ends first. A code
+    that no state follows ends a phrase and starts the next one from the root;
+    one that the root doesn't know either stays at the root. A state is the
+    place of its row in the dense table; a row has as many columns as its
+    language needs: the space, its DENSE most frequent letters, and one for
+    letters that it doesn't have.
+    """
 
-    def __init__(self, texts: dict[str, str]):
+    def __init__(self, texts: dict[str, str], dense: int = DENSE):
         self.langs = sorted(texts)
-        seen = np.unique(np.frombuffer("".join(texts.values()).replace(" ", "").encode("utf-32-le"), np.uint32), return_counts=True)
-        letters = seen[0][np.argsort(-seen[1], kind="stable")][: ALPHABET - 2]
+        letters = np.unique(np.frombuffer("".join(texts.values()).replace(" ", "").encode("utf-32-le"), np.uint32))
         self.unknown = len(letters) + 1
-        self.width = len(letters) + 2
-        self.symbol = np.zeros(0x110000, np.uint8)
-        for c in range(0x110000):
-            if chr(c).isalpha():
-                self.symbol[c] = self.unknown
+        self.symbol = np.where(_alphabetic(), self.unknown, 0).astype(np.min_scalar_type(self.unknown))
         self.symbol[letters] = np.arange(1, len(letters) + 1)
-        tables, base = [], 0
+        # column of each symbol in each language's rows; -1: looked up by key
+        self.column = np.zeros((len(self.langs), self.unknown + 1), np.int32)
+        self.from_root = np.zeros(self.column.shape, np.int64)
+        tables, keys, values, base = [], [], [], 0
         self.roots, self.bits = [], []
-        for lang in self.langs:
+        for k, lang in enumerate(self.langs):
             codes = self.symbols(texts[lang])
-            # an unknown symbol belongs to no automaton
-            made = automaton([c for c in codes.tolist() if c != self.unknown], self.width)
-            tables.append((made // 2 + base) * 2 + made % 2)
+            count = np.bincount(codes, minlength=self.unknown + 1)
+            count[0] = 0
+            own = np.argsort(-count, kind="stable")[: np.count_nonzero(count)]
+            column = self.column[k]
+            column[:] = min(dense, len(own)) + 1
+            column[own] = -1
+            column[own[:dense]] = np.arange(1, min(dense, len(own)) + 1)
+            column[0] = 0
+            width = min(dense, len(own)) + 2
+            go = automaton(codes.tolist())
+            made = np.full((len(go), width), base * 2 + 1, np.int64)
+            for c, to in go[0].items():
+                self.from_root[k, c] = (base + to * width) * 2 + 1
+                if column[c] >= 0:
+                    made[:, column[c]] = self.from_root[k, c]
+            for state, edges in enumerate(go):
+                for c, to in edges.items():
+                    if column[c] >= 0:
+                        made[state, column[c]] = (base + to * width) * 2
+                    else:
+                        keys.append((base + state * width) * (self.unknown + 1) + c)
+                        values.append((base + to * width) * 2)
+            tables.append(made.astype(np.int32) if base + made.size < 1 << 30 else made)
             self.roots.append(base)
             self.bits.append(np.log2(max(2, len(codes))))
-            base += len(made)
-        self.table = (np.concatenate(tables) if tables else np.zeros((0, self.width))).astype(np.int32).ravel()
+            base += made.size
+        self.table = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.int32)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.int64)[order]
         self.bits = np.array(self.bits)
 
+    def _move(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        column = self.column[:, symbols]
+        if not len(self.keys):
+            return self.table[state + column]
+        moved = self.table[state + np.maximum(column, 0)].astype(np.int64)
+        lang, lane = np.nonzero(column < 0)
+        if len(lang):
+            key = state[lang, lane] * (self.unknown + 1) + symbols[lane]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            moved[lang, lane] = np.where(self.keys[at] == key, self.values[at], self.from_root[lang, symbols[lane]])
+        return moved
+
     def symbols(self, text: str) -> np.ndarray:
         got = self.symbol[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
         keep = got != 0
@@ -137,7 +175,7 @@ class Model:
         active = len(owner)
         for t in range(int(length[0])):
             active = int(np.searchsorted(-length[:active], -t, side="left"))
-            moved = self.table[state[:, :active] * self.width + flat[start[:active] + t]]
+            moved = self._move(state[:, :active], flat[start[:active] + t])
             count[:, :active] += moved & 1
             state[:, :active] = moved >> 1
         for k in range(len(self.langs)):
@@ -157,15 +195,46 @@ def model_of(texts: dict[str, str]) -> Model:
     return _models[key]
 
 
-def fit(documents: DataFrame) -> dict[str, str]:
-    """The sample's text of each language, cut to the same number of letters."""
+def learned(documents: DataFrame) -> dict[str, list[str]]:
+    """The sample's normal texts of each language, in order."""
     by: dict[str, list] = {}
     for row in sample(documents).collect():
         by.setdefault(row["lang"], []).append((row["_n"], normal(row["text"])))
-    joined = {k: " ".join(x for _, x in sorted(v)) for k, v in by.items()}
-    joined = {k: v for k, v in joined.items() if v}
-    most = min(SAMPLE_CHARS, SAMPLE_CHARS_ALL // max(1, len(joined)))
-    return {k: v[:most] for k, v in joined.items()}
+    return {k: [x for _, x in sorted(v) if x] for k, v in by.items() if any(x for _, x in v)}
+
+
+def _cut(by: dict[str, list[str]]) -> dict[str, str]:
+    most = min(SAMPLE_CHARS, SAMPLE_CHARS_ALL // max(1, len(by)))
+    return {k: " ".join(v)[:most] for k, v in by.items()}
+
+
+def fit(documents: DataFrame) -> dict[str, str]:
+    """The sample's text of each language, cut to the same number of letters."""
+    return _cut(learned(documents))
+
+
+def limits(by: dict[str, list[str]], least: float = REJECT_RATE, letters: int = REJECT_LETTERS) -> dict[str, float]:
+    """The rate from which a text is not in the nearest language, by language; at least least.
+
+    From the language's own texts that its automaton has not seen, in pieces of
+    as many letters as a text must have to be judged. Where the sample has no
+    such texts, the last third of it is held against the rest. A language of too
+    few letters for either has no limit: nothing is turned away without knowing.
+    """
+    out = {}
+    for lang, text in _cut(by).items():
+        unseen = " ".join(by[lang])[len(text) :]
+        if len(unseen) < 5 * letters:
+            whole = text + unseen
+            text, unseen = whole[: len(whole) * 2 // 3], whole[len(whole) * 2 // 3 :]
+        pieces = [unseen[i : i + letters] for i in range(0, min(len(unseen), SAMPLE_CHARS) - letters + 1, letters)]
+        if not pieces:
+            out[lang] = float("inf")
+            continue
+        model = Model({lang: text})
+        rates = verdicts(model, [model.symbols(x) for x in pieces])[2]
+        out[lang] = max(least, REJECT_MARGIN * float(np.median(rates)))
+    return out
 
 
 def verdicts(model: Model, symbols: list[np.ndarray]) -> tuple[list[str], list[float], list[float]]:
@@ -186,14 +255,18 @@ def verdicts(model: Model, symbols: list[np.ndarray]) -> tuple[list[str], list[f
     return langs, scores, best_rates
 
 
-def keep_identified(documents: DataFrame, texts: dict[str, str] | None = None, most: float = REJECT_RATE, least_letters: int = REJECT_LETTERS) -> DataFrame:
+def keep_identified(documents: DataFrame, texts: dict[str, str] | None = None, most: float = REJECT_RATE, least_letters: int = REJECT_LETTERS, limit: dict[str, float] | None = None) -> DataFrame:
     """The rows of documents whose language is known, with all their columns.
 
     und goes; so does a text of least_letters or more that even the nearest
-    language parses into more than most normalised phrases a character: it is in
-    none of the learned languages.
+    language parses into more normalised phrases a character than its limit: it is
+    in none of the learned languages. limit is by language, most for others;
+    both texts and limit are learned from documents where they aren't given.
     """
-    texts = fit(documents) if texts is None else texts
+    if texts is None:
+        by = learned(documents)
+        texts, limit = _cut(by), limits(by, most, least_letters) if limit is None else limit
+    limit = limit or {}
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +276,7 @@ def keep_identified(documents: DataFrame, texts: dict[str, str] | None = None, m
                 part = batch.slice(lo, 500)
                 symbols = [model.symbols(t or "") for t in part.column(at).to_pylist()]
                 langs, _, rates = verdicts(model, symbols)
-                yield part.filter(pa.array([lang != UNKNOWN and (len(x) < least_letters or r <= most) for lang, r, x in zip(langs, rates, symbols, strict=True)], pa.bool_()))
+                yield part.filter(pa.array([lang != UNKNOWN and (len(x) < least_letters or r <= limit.get(lang, most)) for lang, r, x in zip(langs, rates, symbols, strict=True)], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
 

@@ -250,6 +250,25 @@ def test_language(spark):
         assert abs(int(model.phrases([s])[0, 0]) - count) <= text.count("z")
 
 
+def test_language_of_many_letters(spark):
+    """Clean documents of a labelled language of 3,000 letters and short words stay; those of a script nobody learned go."""
+    rng = random.Random(4)
+    words = ["".join(chr(0x4E00 + int(rng.paretovariate(0.6)) % 3000) for _ in range(rng.randint(1, 3))) for _ in range(4000)]
+    en = "the cat and the dog are here with that other one ".split()
+    text = lambda some, n: " ".join(rng.choice(some) for _ in range(n))
+    rows = [(i, text(words, 400) if i % 2 else text(en, 150), "zh" if i % 2 else "en", "s", 0) for i in range(160)]
+    foreign = [(1000 + i, "".join(chr(0xAC00 + rng.randrange(9000)) for _ in range(900)), None, "s", 0) for i in range(5)]
+    df = spark.createDataFrame(rows + foreign, SCHEMA)
+    assert {r["doc_id"] for r in language.keep_identified(df).select("doc_id").collect()} == set(range(160))
+    # the dense table's width changes nothing, and all letters are in the automaton
+    texts = {"a": text(words, 300), "b": text(words, 200), "c": text(en, 50)}
+    models = [language.Model(texts, dense=n) for n in (1, 64, 10_000)]
+    tried = [texts["a"], texts["b"][:700], text(words, 700), "", "the ☃ 字 cat"]
+    counts = [m.phrases([m.symbols(x) for x in tried]) for m in models]
+    assert all((c == counts[0]).all() for c in counts)
+    assert counts[0][0, 0] == -(-len(texts["a"]) // language.LANE)
+
+
 def test_quality_and_rules(spark, docs):
     rng = random.Random(1)
     good = lambda: " ".join(rng.choice(["the", "house", "tree", "runs"]) for _ in range(60))
