@@ -5,9 +5,10 @@ the borders of block-level elements. Each block passes points for its length
 and its commas to its ancestors, in full to the parent, half to the next and
 less beyond; an element's points are discounted by its link density. The element
 with the most points is the container; siblings with enough points of their own
-are kept too, as are headings directly before it. Elements that can't hold the
+are kept too, as are headings and figures beside it. Elements that can't hold the
 article (scripts, menus, footers, forms, adverts, comments, by tag, role or name)
-are left out before scoring.
+are left out before scoring. A figure is a frame only: what is in it counts for
+the elements around it.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select title".split())
-DROPPED = frozenset("nav header footer aside form button dialog menu head figure figcaption fieldset label input legend".split()) | RAW
+RAW = frozenset("script style noscript template iframe object svg canvas audio video textarea select title".split())
+DROPPED = frozenset("nav header footer aside form button dialog menu head fieldset label input legend".split()) | RAW
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCK - {"body", "html"}
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
@@ -184,8 +185,8 @@ def extract(html: str | None) -> str:
     for text, owner, linked in found:
         points = 1 + text.count(",") + text.count("，") + min(MOST_LENGTH_POINTS, len(text) // POINT_CHARS)
         # the block's own element is the paragraph; its container is the next block-level one
-        chain = [n for n in _path(owner) if n.tag in BLOCK or n.parent is None]
-        holders = chain[1:] if owner.tag in ("p", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "td", "th", "blockquote", "tr") and len(chain) > 1 else chain
+        chain = [n for n in _path(owner) if n.tag in BLOCK and n.tag != "figure" or n.parent is None]
+        holders = chain[1:] if owner.tag in ("p", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "td", "th", "blockquote", "tr", "figcaption") and len(chain) > 1 else chain
         for depth, node in enumerate(holders):
             node.points += points / (1 if depth == 0 else 2 if depth == 1 else 3 * depth)
             scored[id(node)] = node
@@ -205,7 +206,7 @@ def extract(html: str | None) -> str:
         for s in best.parent.children:
             if isinstance(s, Node) and not s.dropped and s is not best and s.chars:
                 density = s.linked / s.chars
-                if worth(s) >= limit and s.points or s.tag in ("p", "h1", "h2") and density < 0.25 and (s.chars >= 80 or s.tag != "p"):
+                if worth(s) >= limit and s.points or s.tag in ("p", "h1", "h2", "figure") and density < 0.25 and (s.chars >= 80 or s.tag != "p"):
                     kept.add(id(s))
     return "\n".join(text for text, owner, _ in found if any(id(n) in kept for n in _path(owner)))
 

@@ -296,6 +296,17 @@ def test_html():
     assert html.extract("<div>" * 5000 + "<p>deep text</p>") == "deep text"
 
 
+def test_html_figures():
+    """Captions and what is wrapped in figures stay, in page order, and don't move the container."""
+    head = "".join(f"<p>Paragraph {i}, of the story, with words.</p>" for i in range(3))
+    cells = "".join(f"<tr><td>cell {i}, of a table, with text</td></tr>" for i in range(8))
+    page = f"<body><nav>Menu</nav><article>{head}<figure><img src=x><figcaption>A caption</figcaption></figure><figure><table>{cells}</table></figure><figure><blockquote><p>Quoted.</p></blockquote></figure><figure><pre>code()</pre></figure><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.<p>End, at last.</p></article><footer>f</footer></body>"
+    want = [f"Paragraph {i}, of the story, with words." for i in range(3)] + ["A caption"] + [f"cell {i}, of a table, with text" for i in range(8)] + ["Quoted.", "code()", "So x=1.", "End, at last."]
+    assert html.extract(page).split("\n") == want
+    beside = f"<body><div><figure><figcaption>Lead image</figcaption></figure><div class='content'>{head}</div><div><a href=x>More, to read</a></div></div></body>"
+    assert html.extract(beside).split("\n") == ["Lead image", *want[:3]]
+
+
 def test_warc(spark):
     rows = [(1, "http://www.B.example.com:80/x?q=1#f", "<p>é</p>"), (2, None, None), (3, "", ""), (4, "http://b.example.com/x?q=1", "<p>é</p>"), (5, "https://a.example.org/", "other"), (None, "x y", "other")]
     archive = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), block_lines=2)
