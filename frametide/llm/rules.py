@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from .common import blocks, gram_hashes
 
 COMMON = 50
-LANGUAGES = 64
 # Limits of the distances, least characters and words for them, base limits.
 CHAR_LIMIT, WORD_LIMIT = 0.3, 0.45
 LEAST_CHARS, LEAST_WORDS = 200, 100
@@ -63,8 +62,7 @@ def _words_of(raw: bytes) -> list[bytes]:
 def references(documents: DataFrame, common: int = COMMON) -> dict[str, tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
     """Per language: shares of the character classes, places of common words, and their shares with all others last.
 
-    Counts are over every labelled row. Tasks send sums, not rows. Beyond
-    LANGUAGES languages, those with the most characters are taken.
+    Counts are over every labelled row, for every language. Tasks send sums, not rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,13 +96,14 @@ def references(documents: DataFrame, common: int = COMMON) -> dict[str, tuple[np
     by: dict[str, dict] = {}
     for r in totals.collect():
         by.setdefault(r["lang"], {})[r["kind"]] = r["total"]
-    langs = sorted((lang for lang, t in by.items() if t.get("class") and t.get("word")), key=lambda lang: (-by[lang]["class"], lang))[:LANGUAGES]
-    rows = top.where(F.col("lang").isin(langs)).orderBy("lang", "kind", "r").collect() if langs else []
+    ranked: dict[str, list] = {}
+    for r in top.orderBy("lang", "kind", "r").collect():
+        ranked.setdefault(r["lang"], []).append(r)
     out = {}
-    for lang in langs:
+    for lang in sorted(lang for lang, t in by.items() if t.get("class") and t.get("word")):
         share = np.zeros(len(CLASSES))
         common_words, counts = {}, []
-        for r in (r for r in rows if r["lang"] == lang):
+        for r in ranked[lang]:
             if r["kind"] == "class":
                 share[CLASSES.index(r["key"])] = r["n"]
             else:
@@ -132,6 +131,16 @@ def judge(documents: DataFrame, refs: dict | None = None) -> DataFrame:
     """
     refs = references(documents) if refs is None else refs
     langs = sorted(refs)
+    # the place of each common word, and of all others, in each language's shares; the last column is of words that are common nowhere
+    known: dict[bytes, int] = {}
+    for lang in langs:
+        for w in refs[lang][1]:
+            known.setdefault(w, len(known))
+    others = np.array([len(refs[lang][1]) for lang in langs], np.int64)
+    place = np.repeat(others[:, None], len(known) + 1, 1).astype(np.min_scalar_type(int(others.max(initial=0))))
+    for k, lang in enumerate(langs):
+        for w, i in refs[lang][1].items():
+            place[k, known[w]] = i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +155,7 @@ def judge(documents: DataFrame, refs: dict | None = None) -> DataFrame:
                 n_words = b.n_words
                 grams = gram_hashes(b.hashes(), 3)
                 repeats, dups = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-                words = [[] for _ in range(rows)]
+                words = [np.zeros(0, np.int64)] * rows
                 raw = b.data.tobytes()
                 for i in range(rows):
                     lo, hi = int(b.wptr[i]), int(b.wptr[i + 1])
@@ -162,17 +171,16 @@ def judge(documents: DataFrame, refs: dict | None = None) -> DataFrame:
                     text = raw[bounds[i] : bounds[i + 1]]
                     lines = [x for x in text.split(b"\n") if x.strip(b" \t\r\x0b\x0c")]
                     dups[i] = len(lines) - len(set(lines))
-                    words[i] = _words_of(text)
+                    found = _words_of(text)
+                    words[i] = np.fromiter((known.get(x, -1) for x in found), np.int64, len(found))
                 p = classes / np.maximum(classes.sum(1, keepdims=True), 1)
                 best, nearest = np.full((rows, 2), np.inf), np.full(rows, -1)
+                n_found = np.array([len(w) for w in words])
+                owner, of_known = np.repeat(np.arange(rows), n_found), np.concatenate([*words, np.zeros(0, np.int64)])
                 for k, lang in enumerate(langs):
-                    share, known, counts = refs[lang]
-                    other = len(known)
-                    q = np.zeros((rows, other + 1))
-                    for i, w in enumerate(words):
-                        if w:
-                            c = np.bincount(np.fromiter((known.get(x, other) for x in w), np.int64, len(w)), minlength=other + 1)
-                            q[i] = c / len(w)
+                    share, _, counts = refs[lang]
+                    width = len(counts)
+                    q = np.bincount(owner * width + place[k, of_known], minlength=rows * width).reshape(rows, width) / np.maximum(n_found, 1)[:, None]
                     d = np.stack([js_distance(p, share), js_distance(q, counts)], 1)
                     nearer = d.sum(1) < best.sum(1)
                     best[nearer], nearest[nearer] = d[nearer], k

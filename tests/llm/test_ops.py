@@ -289,6 +289,24 @@ def test_quality_and_rules(spark, docs):
     assert rules.js_distance(p, q)[0] == pytest.approx(np.sqrt(0.5)) and rules.js_distance(p, p[0])[0] == 0
 
 
+def test_rules_many_languages(spark):
+    """Each of 70 languages has references, and documents of the smallest are held against their own."""
+    rows, own = [], lambda k: [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}" for j in range(20)]
+    for k in range(70):
+        rng = random.Random(k)
+        rows += [(k * 10 + i, " ".join(rng.choice(own(k)) for _ in range(400 - 3 * k)), f"l{k:02}", "s", 0) for i in range(2)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    refs = rules.references(df)
+    assert sorted(refs) == [f"l{k:02}" for k in range(70)]
+    got = {r["doc_id"]: r for r in rules.judge(df, refs).collect()}
+    assert all(got[i]["nearest"] == lang and got[i]["kept"] for i, _, lang, _, _ in rows)
+    # distances against a plain count
+    for i, text, lang, _, _ in rows[::20]:
+        _, known, shares = refs[lang]
+        q = np.bincount([known.get(w.encode(), len(known)) for w in text.split()], minlength=len(known) + 1) / len(text.split())
+        assert got[i]["word_distance"] == pytest.approx(rules.js_distance(q[None], shares)[0])
+
+
 def test_html():
     page = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><a href=x>Menu, one</a></nav><div class='ad'>Buy, now, this, great, thing, today</div><article><h1>Head &amp; line</h1><p>One,  two &eacute;\nthree.<p><b>Four <i>five</b> six<br>seven.</p><ul><li>a</li><li>b</li></ul></article><div id='comments'><p>Nice, post, indeed.</p></div><footer>&copy; x</footer></body></html>"
     assert html.extract(page) == "Head & line\nOne, two é three.\nFour five six seven.\na\nb"
