@@ -306,7 +306,7 @@ def file_hash(spark, d):
 
 @query("SELECT page_id, regexp_matches(substr(url, 1, 40), '^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$') AS ok, regexp_matches(concat('v', page_id), '^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$') AS ok2 FROM pages")
 def valid_id(spark, d):
-    return _table(spark, d, "pages").select("page_id", C.is_video_id(F.substring("url", 1, 40)).alias("ok"), C.is_video_id(F.concat(F.lit("v"), F.col("page_id"))).alias("ok2"))
+    return _table(spark, d, "pages").select("page_id", C.is_video_id(F.col("url")).alias("ok"), C.is_video_id(F.concat(F.lit("v"), F.col("page_id"))).alias("ok2"))
 
 
 @query(

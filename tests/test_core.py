@@ -146,3 +146,11 @@ def test_missing_features_fail_the_gate(spark):
 def test_ids(spark):
     rows = spark.createDataFrame([("/x/My clip (1).mp4",), ("/x/...",), ("/x/a.b.mkv",)], "path string")
     assert [r[0] for r in rows.select(C.video_id_of(F.col("path"))).collect()] == ["My-clip-1", "video", "a.b"]
+
+
+def test_valid_id_takes_the_whole_url(spark, tmp_path):
+    from frametide.plans import catalog
+
+    rows = [(1, "a" * 60 + "/b"), (2, "a" * 60), (3, "a" * 129), (4, "http://a")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert {r["page_id"]: r["ok"] for r in catalog.QUERIES["valid_id"](spark, str(tmp_path)).collect()} == {1: False, 2: True, 3: False, 4: False}
