@@ -1,4 +1,4 @@
-"""Readers and writers of manifests, answer keys, query stores and media files."""
+"""Readers of manifests and media files; readers and writers of answer keys."""
 
 from __future__ import annotations
 
