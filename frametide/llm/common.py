@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
+MAP_BITS = 27
 _FALLBACK_DIR = "/tmp/checkpoints"
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -28,8 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; our own only where none is set."""
+    """The folder that driver and executors share; our own only where none is set and all run on one machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or _FALLBACK_DIR).rstrip("/")
 
 
@@ -89,14 +93,14 @@ _LOWER[65:91] += 32
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i < n; kept up to 4 M entries."""
+    """P**i and P**-i modulo 2**64 for i < n; kept up to 2 M entries."""
     if len(_powers[0]) < n:
         made = []
         for base in (_P, _P_INV):
             x = np.full(max(n, 1 << 16), base, _U)
             x[0] = 1
             made.append(np.cumprod(x, dtype=_U))
-        if n > 1 << 22:
+        if n > 1 << 21:
             return made[0], made[1]
         _powers[:] = made
     return _powers[0], _powers[1]
@@ -160,7 +164,7 @@ def blocks(column: pa.Array, lower: bool = False, limit: int = BLOCK_BYTES) -> I
 
 
 def bitmap_of(keys: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2**bits places of the first bits of keys' only column (long); made in parts of 2**15 places on the executors."""
+    """A bitmap of 2**bits places of the first bits of keys' only column, evenly spread hashes; made in parts of 2**15 places on the executors."""
     low = min(bits, 15)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,29 +187,32 @@ def bitmap_of(keys: DataFrame, bits: int) -> np.ndarray:
     return out.ravel()
 
 
+def map_bits_for(n: int, most: int) -> int:
+    """12 places or more a key, up to 2**most places in all; beyond, more of the others pass, but none of the keys is missed."""
+    return max(3, min(most, max(16, (12 * n).bit_length())))
+
+
 def in_bitmap(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Which of x have their place set in bits; where one of the keys is, it is."""
     at = (x >> _U(64 - (len(bits) * 8).bit_length() + 1)).astype(np.int64)
     return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
-def among(ids: DataFrame, column: Column, map_bits: int = 27) -> Column:
-    """Whether column may be one of ids (one column, long); true for all of them, and for all where ids are more than 2**map_bits.
+def among(ids: DataFrame, *columns: Column | str, map_bits: int = MAP_BITS) -> Column:
+    """Whether columns may be one of the rows of ids, by its columns in turn; true for all of them.
 
     What is sent to the executors is a bitmap of at most 2**map_bits places (16 MB),
     so that only the rows in question need be shuffled to a join with ids.
     """
-    spark, n = ids.sparkSession, ids.count()
-    if n > 1 << map_bits:
-        return F.lit(True)
-    keys = ids.select(F.xxhash64(F.col(ids.columns[0]).cast("long")).alias("key"))
-    sent = spark.sparkContext.broadcast(bitmap_of(keys, max(16, min(map_bits, (12 * n).bit_length()))))
+    spark = ids.sparkSession
+    keys = ids.select(F.xxhash64(*ids.columns).alias("key"))
+    sent = spark.sparkContext.broadcast(bitmap_of(keys, map_bits_for(ids.count(), map_bits)))
 
     @F.arrow_udf("boolean")
     def may(key: pa.Array) -> pa.Array:
         return pa.array(in_bitmap(sent.value, np.asarray(key).view(_U)))
 
-    return may(F.xxhash64(column.cast("long")))
+    return may(F.xxhash64(*columns))
 
 
 _MULT = mix(np.arange(1001, 1001 + 64, dtype=_U)) | _U(1)
@@ -222,6 +229,18 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """names, each with as many underscores more as it takes to be none of columns, whatever the case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def row_key(*columns: str) -> dict[str, Column]:
     """128 bits of a row's own values, as _k1 and _k2: the same wherever and however often the row is read.
 

@@ -45,8 +45,7 @@ BLOCK_SETS, BLOCK_SHINGLES = 1_024, 2_000_000
 MU = 0.0085
 COMMON_PERCENT, RARE = 2, 8
 _U = np.uint64
-_NO_ID = -(1 << 63)
-_SETS = "doc_id long, n long, s1 long, s2 long, part int, counts binary"
+_SETS = "doc_id long, n long, s1 long, s2 long, alt long, part int, counts binary"
 
 
 def _long(x: np.ndarray) -> np.ndarray:
@@ -78,7 +77,7 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
 def _measure(documents: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
         names = [x.split()[0] for x in _SETS.split(", ")]
         waiting, held = [], 0
 
@@ -99,13 +98,14 @@ def _measure(documents: DataFrame, k: int) -> DataFrame:
                 if held > 1 << 20:
                     add()
             nothing = [None] * len(n)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((batch.column(0).to_pylist(), n, s1, s2, nothing, nothing), kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((batch.column(0).to_pylist(), n, s1, s2, batch.column(2).to_pylist(), nothing, nothing), kinds, strict=True)], names=names)
         add()
         none = [None] * SKETCH_PARTS
         pieces = [p.tobytes() for p in np.split(counts, SKETCH_PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((none, none, none, none, list(range(SKETCH_PARTS)), pieces), kinds, strict=True)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((none, none, none, none, none, list(range(SKETCH_PARTS)), pieces), kinds, strict=True)], names=names)
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SETS)
+    # a text without an id is found again by its hash
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("alt")).mapInArrow(run, _SETS)
 
 
 def _sketch(measured: DataFrame) -> np.ndarray:
@@ -275,8 +275,11 @@ def divide_skip(sets: list[np.ndarray], labels: list, sides: list | None = None,
     return forest
 
 
-def _search(rows: DataFrame, keys: list[str], labelled: bool, percent: int) -> DataFrame:
-    """Per group of keys: (comp, block, of, s1, s2, root) of its sets; with labels, (a, b) links between them."""
+def _search(rows: DataFrame, keys: list[str], labelled: bool, k: int, percent: int) -> DataFrame:
+    """Per group of keys: (comp, block, of, s1, s2, root) of its sets; with labels, (a, b) links between them.
+
+    Texts are moved and their shingles made here: these take more room than the text.
+    """
     schema = "a long, b long" if labelled else "comp long, block int, of int, s1 long, s2 long, root long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,18 +292,17 @@ def _search(rows: DataFrame, keys: list[str], labelled: bool, percent: int) -> D
             return batch
 
         for group in sorted_groups(batches, keys):
-            once = dict.fromkeys(zip(group["s1"], group["s2"], strict=True))
-            if len(once) < len(group["s1"]):  # a set may come twice where ids repeat
-                first = {}
-                for i, x in enumerate(zip(group["s1"], group["s2"], strict=True)):
-                    first.setdefault(x, i)
-                group = {c: [v[i] for i in first.values()] for c, v in group.items()}
-            sets = [np.frombuffer(x, _U) for x in group["tokens"]]
+            sets, first, texts = [], {}, group.pop("text")
+            for i, (x, (_, tokens)) in enumerate(zip(zip(group["s1"], group["s2"], strict=True), shingle_sets(pa.array(texts, pa.large_string()), k), strict=True)):
+                if x not in first and fingerprint(tokens) == x:  # ids may repeat: a set may come twice, or with another's text
+                    first[x] = i
+                    sets.append(tokens)
+            group = {c: [v[i] for i in first.values()] for c, v in group.items()}
             if labelled:
                 forest = divide_skip(sets, group["label"], group.get("side"), percent)
                 out += [(a, forest.root(a)) for a in forest.up]
             else:
-                names = list(zip(group["s1"], group["s2"], strict=True))
+                names = list(first)
                 forest = divide_skip(sets, names, None, percent)
                 out += [(c, b, of, *name, forest.root(name)[0]) for c, b, of, name in zip(group["comp"], group["block"], group["of"], names, strict=True)]
             if len(out) > 20_000:
@@ -312,23 +314,7 @@ def _search(rows: DataFrame, keys: list[str], labelled: bool, percent: int) -> D
     return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def _tokens(rows: DataFrame, k: int) -> DataFrame:
-    """Adds each set's shingles; rows whose text isn't the set's (ids may repeat) go."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            keep, tokens = [], []
-            s1, s2 = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for i, s in shingle_sets(batch.column(5), k):
-                if fingerprint(s) == (s1[i], s2[i]):
-                    keep.append(i), tokens.append(s.tobytes())
-            got = batch.select(range(5)).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(got.column(j) for j in range(5)), pa.array(tokens, pa.binary())], names=["comp", "s1", "s2", "of", "block", "tokens"])
-
-    return rows.select("comp", "s1", "s2", "of", "block", "text").mapInArrow(run, "comp long, s1 long, s2 long, of int, block int, tokens binary")
-
-
-def _apart(members: DataFrame, tokens: DataFrame, sketch, percent: int) -> DataFrame:
+def _apart(members: DataFrame, texts: DataFrame, sketch, k: int, percent: int) -> DataFrame:
     """(comp, left, right, side, s1, s2, label): sets to send to a pair of blocks.
 
     A set goes to each other block that has a set of another label under one of its prefix shingles.
@@ -337,32 +323,32 @@ def _apart(members: DataFrame, tokens: DataFrame, sketch, percent: int) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small(batches):
-            found = [_prefix(np.frombuffer(x.as_buffer(), _U), sketch.value, percent) for x in part.column(5)]
+            found = [_prefix(x, sketch.value, percent) for _, x in shingle_sets(part.column(5), k)]
             if found:
                 rows = part.select(range(5)).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
                 yield pa.RecordBatch.from_arrays([pa.array(_long(np.concatenate(found))), *(rows.column(i) for i in range(5))], names=[x.split()[0] for x in schema.split(", ")])
 
-    rows = members.join(tokens, ["s1", "s2"]).select("comp", "block", "s1", "s2", "label", "tokens").mapInArrow(run, schema)
+    rows = members.join(texts, ["s1", "s2"]).select("comp", "block", "s1", "s2", "label", "text").mapInArrow(run, schema)
     there = rows.groupBy("token", "comp", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).withColumnRenamed("block", "other")
     return rows.join(there, ["token", "comp"]).where("other <> block and (lo <> label or hi <> label)").select(
         "comp", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), F.col("block").alias("side"), "s1", "s2", "label").distinct()
 
 
-def _across(whole: DataFrame, local: DataFrame, sketch, percent: int, block_sets: int) -> DataFrame:
+def _across(whole: DataFrame, local: DataFrame, sketch, k: int, percent: int, block_sets: int) -> DataFrame:
     """Links (a, b) between roots of different blocks of one component; empty where each has one block.
 
-    Who meets whom is settled on narrow rows; shingles are joined to those that are sent.
+    Who meets whom is settled on narrow rows; texts are joined to those that are sent.
     """
     narrow = local.where("of > 1").select("comp", "block", "s1", "s2", "root")
-    tokens = whole.where("of > 1").select("s1", "s2", "tokens")
+    texts = whole.where("of > 1").select("s1", "s2", "text")
     leaders = narrow.where("s1 = root")
     groups = leaders.groupBy("comp").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("groups"))
-    first = leaders.join(groups, "comp").select("comp", F.pmod(F.hash("s1", F.lit(1)), "groups").alias("block"), "s1", "s2", F.col("root").alias("label")).join(tokens, ["s1", "s2"])
-    joined = materialize(_search(first, ["comp", "block"], True, percent), "leader-links")
+    first = leaders.join(groups, "comp").select("comp", F.pmod(F.hash("s1", F.lit(1)), "groups").alias("block"), "s1", "s2", F.col("root").alias("label")).join(texts, ["s1", "s2"])
+    joined = materialize(_search(first, ["comp", "block"], True, k, percent), "leader-links")
     named = components(joined).select(F.col("node").alias("root"), F.col("root").alias("top"))
     members = narrow.join(named, "root", "left").select("comp", "block", "s1", "s2", F.coalesce("top", "root").alias("label"))
-    sent = materialize(_apart(members, tokens, sketch, percent), "apart")
-    return joined.unionByName(_search(sent.join(tokens, ["s1", "s2"]), ["comp", "left", "right"], True, percent))
+    sent = materialize(_apart(members, texts, sketch, k, percent), "apart")
+    return joined.unionByName(_search(sent.join(texts, ["s1", "s2"]), ["comp", "left", "right"], True, k, percent))
 
 
 def join(documents: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -375,20 +361,21 @@ def join(documents: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT, bloc
     """
     spark = documents.sparkSession
     measured = materialize(_measure(documents, k), "sets")
-    rows = measured.where("part is null").select("doc_id", "n", "s1", "s2")
+    rows = measured.where("part is null").select("doc_id", "n", "s1", "s2", "alt")
     sketch = spark.sparkContext.broadcast(_sketch(measured))  # 4 MB at any input
     chained = materialize(_chains(_prefixes(documents, sketch, k, percent), percent), "chains")
     candidates = components(chained).select(F.col("node").alias("s1"), F.col("root").alias("comp"))
-    sets = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    sets = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min("alt").alias("alt"), F.count("*").alias("copies"))
     inside = materialize(sets.join(candidates, "s1"), "candidates")
     load = inside.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n") / block_shingles)).cast("int").alias("of"))
-    asked = inside.join(load, "comp").select("comp", "s1", "s2", "of", F.pmod(F.hash("s1", "s2"), "of").alias("block"), F.coalesce("rep", F.lit(_NO_ID)).alias("id"))
-    texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), "text")
-    texts = texts.where(among(inside.select(F.coalesce("rep", F.lit(_NO_ID))), F.col("id")))  # the others' texts aren't shuffled
-    whole = materialize(_tokens(asked.join(texts, "id"), k), "shingles")
-    local = materialize(_search(whole, ["comp", "block"], False, percent), "links")
+    asked = materialize(inside.join(load, "comp").select("comp", "s1", "s2", "of", F.pmod(F.hash("s1", "s2"), "of").alias("block"), F.coalesce("rep", "alt").alias("id"), F.col("rep").isNull().alias("nameless")), "asked")
+    named = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.lit(False).alias("nameless"), "text")
+    nameless = documents.where("doc_id is null and text is not null").select(F.xxhash64("text").alias("id"), F.lit(True).alias("nameless"), "text").dropDuplicates(["id"])
+    texts = named.union(nameless).where(among(asked.select("id", "nameless"), "id", "nameless"))  # the others' texts aren't shuffled
+    whole = materialize(asked.join(texts, ["id", "nameless"]).select("comp", "s1", "s2", "of", "block", "text"), "texts")
+    local = materialize(_search(whole, ["comp", "block"], False, k, percent), "links")
     roots = local.select("s1", "s2", "root")
-    tops = components(_across(whole, local, sketch, percent, block_sets))
+    tops = components(_across(whole, local, sketch, k, percent, block_sets))
     labelled = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("s1", "s2", F.coalesce("top", "root").alias("root"))
     least = inside.join(labelled, ["s1", "s2"]).groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = labelled.join(least, "root").select("s1", "s2", "component_id")
@@ -406,7 +393,7 @@ def keep_one(documents: DataFrame, **how) -> DataFrame:
     found = materialize(join(documents, **how), "components")
     ids = materialize(found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"), F.max(F.expr("component_id <=> doc_id")).alias("stays")), "ids")
     gone = ids.where("not stays").select("_id")
-    maybe = among(gone, F.col("doc_id"))
+    maybe = F.coalesce(among(gone, F.col("doc_id").cast("long")), F.lit(False))
     asked = documents.where(maybe)
     out = documents.where(~maybe).union(asked.join(gone, asked["doc_id"].cast("long").eqNullSafe(gone["_id"]), "left_anti"))
     if not ids.where("n > 1").isEmpty():

@@ -31,12 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Block, bitmap_of, blocks, gram_hashes, in_bitmap, materialize, mix, powers, row_key
+from .common import MAP_BITS, Block, among, bitmap_of, blocks, gram_hashes, in_bitmap, map_bits_for, materialize, mix, powers, row_key
 
 WINDOW, GRAM, PHRASE = 35, 12, 5
 HOT = 20_000
 SHARD_WORDS = 1 << 18
-MAP_BITS = 27
 _U = np.uint64
 _FULL = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -74,13 +73,14 @@ class Segments:
         new = np.ones(len(valid), bool)
         new[1:] = (valid[1:] != valid[:-1] + 1) | (least[valid[1:]] != least[valid[:-1]])
         first = np.flatnonzero(new)
-        self.start, self.least = valid[first], least[valid[first]]
+        self.start, smallest = valid[first], least[valid[first]]
+        self.least = mix(smallest ^ _U(0x2545F4914F6CDD1D))  # the least of many hashes is small: spread it again, for bitmaps and routes
         self.windows = np.diff(np.append(first, len(valid)))
         # how often the minimizer is in its segment: a window may repeat inside one
         span = self.windows + window - gram
         begin = np.cumsum(span) - span
         at = np.repeat(self.start - begin, span) + np.arange(span.sum())
-        self.times = np.add.reduceat((grams[at] == np.repeat(self.least, span)).astype(np.int64), begin)
+        self.times = np.add.reduceat((grams[at] == np.repeat(smallest, span)).astype(np.int64), begin)
         up, self.down = powers(len(h) + 1)
         for salt in (_U(0), _U(0xA0761D6478BD642F)):
             p = np.zeros(len(h) + 1, _U)
@@ -92,14 +92,14 @@ class Segments:
 
 
 class Filter:
-    """Which minimizers to send (a bitmap; None: all), and which are hot."""
+    """Which minimizers to send, and which are hot."""
 
-    def __init__(self, repeated: np.ndarray | None, hot: np.ndarray):
+    def __init__(self, repeated: np.ndarray, hot: np.ndarray):
         self.repeated, self.hot = repeated, hot
 
     def pick(self, s: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first word, windows, route) of what is sent; hot segments as single windows."""
-        keep = in_bitmap(self.repeated, s.least) if self.repeated is not None else np.ones(len(s.least), bool)
+        keep = in_bitmap(self.repeated, s.least)
         hot = keep & in_bitmap(self.hot, s.least)
         keep &= ~hot
         start, windows, route = s.start[keep], s.windows[keep], s.least[keep]
@@ -359,19 +359,22 @@ def dedup(documents: DataFrame, *, window: int = WINDOW, gram: int = GRAM, phras
     nothing, as a window is never cut. Repeated rows count as
     occurrences of each other. Ids may be null or repeat: rows of equal id and
     text lose the same words. The bitmap of minimizers has at most 2**map_bits
-    places; where there are more repeated minimizers, every segment is sent.
+    places; where repeated minimizers are so many that it is full, every segment is sent.
     """
     spark = documents.sparkSession
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns(row_key("doc_id", "text"))
     repeated = materialize(_minimizers(rows, window, gram).where("n > 1"), "minimizers")
     n, n_hot = repeated.agg(F.count("*"), F.count(F.when(F.col("n") > hot, 1))).first()
-    bits = max(3, min(map_bits, max(16, (12 * n).bit_length())))
     hot_bits = max(3, min(map_bits, max(10, (64 * n_hot).bit_length())))
-    bitmap = bitmap_of(repeated.select("least"), bits) if n <= 1 << map_bits else None
-    chosen = spark.sparkContext.broadcast(Filter(bitmap, bitmap_of(repeated.where(F.col("n") > hot).select("least"), hot_bits)))
+    chosen = spark.sparkContext.broadcast(Filter(bitmap_of(repeated.select("least"), map_bits_for(n, map_bits)), bitmap_of(repeated.where(F.col("n") > hot).select("least"), hot_bits)))
     found = materialize(_found(_sent(rows, chosen, window, gram), window, phrase, shard_words), "repeated")
-    placed = _places(rows, chosen, window, gram).join(found, ["c1", "c2"]).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "bits")).alias("found"))
-    return _cut(rows.join(placed, ["_k1", "_k2"], "left"), window)
+    # a place once, however many rows are equal in id and text; then only texts with places are shuffled
+    once = _places(rows, chosen, window, gram).join(found, ["c1", "c2"]).groupBy("_k1", "_k2", "start").agg(F.first("bits").alias("bits"))
+    placed = materialize(once.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "bits")).alias("found")), "places")
+    maybe = among(placed.select("_k1", "_k2"), "_k1", "_k2", map_bits=map_bits)
+    nothing = F.lit(None).cast(placed.schema["found"].dataType).alias("found")
+    asked = rows.where(maybe).join(placed, ["_k1", "_k2"], "left").select("doc_id", "text", "found")
+    return _cut(rows.where(~maybe).select("doc_id", "text", nothing).union(asked), window)
 
 
 ORACLE = """
