@@ -1,14 +1,17 @@
 """Benchmark decontamination by a broadcast hash set of normalised n-grams.
 
 Native throughout: benchmark windows become a small keyed relation that a
-broadcast hash join holds as a hash set; documents are scanned as streams of
-token windows which probe it.  The key is the window's text itself, so a probe
-that succeeds is a verified hit.  Only hits are shuffled (one row each), and the
-partial aggregate on the scanning side already holds whole documents.
-
-The set is broadcast only while it has at most ``broadcast_windows`` windows of
-at most ``broadcast_chars`` characters in total; beyond, the join is a shuffled
-one, where AQE may split skewed keys.
+broadcast hash join holds as a hash set. Documents are scanned as streams of
+token windows. The first HEAD words of each window are looked up by their hash in
+a bitmap of the benchmark's; only of windows that pass is the text made, which
+probes the set and is the key itself, so a probe that succeeds is a verified hit.
+Long documents are cut into parts, each with the words that its windows reach
+into. Documents are read once, and one shuffle of a row for each document and
+hit brings hits together; equal ones are merged before it.
+
+A benchmark of more than ``broadcast_windows`` windows or ``broadcast_chars``
+characters is broadcast in several blocks of that size, each of which is probed
+in a pass of its own; the windows of documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -16,13 +19,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key
+from .common import row_key, unused
 
-NGRAM = 10
+NGRAM, HEAD = 10, 3
+PART, LONG_CHARS = 4096, 200_000
 KEY = ["_k1", "_k2"]
 BROADCAST_WINDOWS = 400_000
 BROADCAST_CHARS = 40_000_000
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,26 +53,98 @@ def benchmark_windows(benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
     return full.unionByName(short).groupBy("k", "win").agg(F.collect_set("item").alias("items"))
 
 
-def scan(documents: DataFrame, benchmark: DataFrame, *, n: int = NGRAM, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+def _parts(rows: DataFrame, most: int, part_words: int, long_chars: int) -> DataFrame:
+    """KEY, doc_id, at, starts, w: the words of each document, of long ones in parts of part_words window starts.
+
+    A part has the words that its windows reach into, too. A document without
+    words has one empty part.
+    """
+    text = F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _LOWER)
+    word = rf"{_WORD}++{_NOT_WORD[:-1]}*+"
+    head = rf"^(?:{word}){{1,{max(1, most - 1)}}}+"
+    cut = F.when(F.length(text) > long_chars, F.regexp_extract_all(text, F.lit(rf"(?:{word}){{1,{part_words}}}+"), F.lit(0)))
+
+    def dealt(pieces: Column) -> Column:
+        after = lambda j: F.regexp_extract(F.coalesce(F.get(pieces, j + 1), F.lit("")), head, 0)
+        parts = F.transform(pieces, lambda x, j: F.struct((j * part_words).alias("at"), F.concat(x, F.lit(" "), after(j)).alias("text")))
+        return F.when(F.size(pieces) > 1, parts).otherwise(F.array(F.struct(F.lit(0).alias("at"), text.alias("text"))))
+
+    held = rows.select(*KEY, "doc_id", F.explode(F.get(F.transform(F.array(F.coalesce(cut, F.array().cast("array<string>"))), dealt), F.lit(0))).alias("p"), (F.length(text) > long_chars).alias("long"))
+    w = F.filter(F.split("p.text", _NOT_WORD), lambda x: x != "")
+    each = held.select(*KEY, "doc_id", "p.at", "long", w.alias("w"))
+    return each.select(*KEY, "doc_id", "at", F.when(F.col("long"), F.least(F.lit(part_words), F.size("w"))).otherwise(F.size("w")).alias("starts"), "w")
+
+
+def _head_hash(w: Column, i: Column, n: int) -> Column:
+    return F.xxhash64(*[F.get(w, i + j) for j in range(n)])
+
+
+def _bits(found: DataFrame, lengths: list[int], windows: int) -> dict[int, tuple[Column, int]]:
+    """By the words of a window that are looked at first: a bitmap, as 64-bit words, of the hashes of these words in the benchmark.
+
+    16 places a window, so a bounded block of windows has a bounded bitmap.
+    """
+    out = {}
+    for n in sorted({min(k, HEAD) for k in lengths}):
+        size = 1 << max(4, (windows // 4).bit_length())
+        at = found.where(F.least("k", F.lit(HEAD)) == n).select(_head_hash(F.split("win", " "), F.lit(0), n).alias("h"))
+        bits = at.select(F.pmod(F.shiftrightunsigned("h", 6), F.lit(size)).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+        full = [0] * size
+        for r in bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():
+            full[r["at"]] = r["bits"]
+        out[n] = F.split(F.lit(",".join(map(str, full))), ",").cast("array<bigint>"), size  # folded to a constant by the optimizer
+    return out
+
+
+def _probes(w: Column, starts: Column, lengths: list[int], bits: dict[int, tuple[Column, int]], marked: bool) -> Column:
+    """(pos, k, win) of each window whose first words are in the bitmap; with marked also (-1, 0, null)."""
+    none = F.array().cast("array<struct<pos:int,k:int,win:string>>")
+    mark = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(0).alias("k"), F.lit(None).cast("string").alias("win"))) if marked else none
+
+    def of(k: int) -> Column:
+        n = min(k, HEAD)
+        places, size = bits[n]
+
+        def may(i: Column) -> Column:
+            def is_set(h: Column) -> Column:
+                return F.getbit(F.get(places, F.pmod(F.shiftrightunsigned(h, 6), F.lit(size)).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+            return F.exists(F.array(_head_hash(w, i, n)), is_set)
+
+        last = F.least(starts, F.size(w) - k + 1) - 1
+        win = lambda i: F.struct(i.alias("pos"), F.lit(k).alias("k"), F.concat_ws(" ", *[F.get(w, i + j) for j in range(k)]).alias("win"))
+        return F.when(last >= 0, F.transform(F.filter(F.sequence(F.lit(0), last), may), win)).otherwise(none)
+
+    return F.concat(mark, *[of(k) for k in lengths])
+
+
+def scan(documents: DataFrame, benchmark: DataFrame, *, n: int = NGRAM, broadcast_windows: int = BROADCAST_WINDOWS, broadcast_chars: int = BROADCAST_CHARS, part_words: int = PART, long_chars: int = LONG_CHARS) -> DataFrame:
     """A row's key, doc_id, n_words, hit_positions and items, for each row of documents."""
+    if part_words < n:
+        raise ValueError("a window reaches into the next part only")
     found = benchmark_windows(benchmark, n)
-    sizes = found.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.length("win")).alias("chars")).collect()  # at most n rows
-    few = sum(r.n for r in sizes) <= broadcast_windows and sum(r.chars for r in sizes) <= broadcast_chars
+    sizes = found.groupBy("k").agg(F.count("*").alias("n"), F.sum(F.length("win") + F.length(F.array_join("items", ","))).alias("chars")).collect()  # at most n rows
+    windows, chars = sum(r.n for r in sizes), sum(r.chars for r in sizes)
+    blocks = max(1, -(-windows // max(1, broadcast_windows)), -(-chars // max(1, broadcast_chars)))
+    lengths = sorted(r.k for r in sizes)
     rows = documents.select("doc_id", "text").withColumns(row_key("doc_id", "text"))
-    texts = rows.select(*KEY, words(F.col("text")).alias("w"))
+    parts = _parts(rows, max(lengths, default=1), part_words, long_chars)
     hits = None
-    for k in sorted(r.k for r in sizes):
-        keys = found.where(F.col("k") == k).select("win", "items")
-        scanned = texts.where(F.size("w") >= k).select(*KEY, F.posexplode(_windows(F.col("w"), k)).alias("pos", "win"))
-        part = scanned.join(F.broadcast(keys) if few else keys, "win").select(*KEY, F.sequence("pos", F.col("pos") + (k - 1)).alias("at"), "items")
-        hits = part if hits is None else hits.unionByName(part)
-    base = rows.select(*KEY, "doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    if hits is None:
-        out = base.withColumns({"hit_positions": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
-    else:
-        per = hits.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("hit_positions"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        out = base.join(per, KEY, "left").withColumns({c: F.coalesce(c, F.array().cast(f"array<{kind}>")) for c, kind in (("hit_positions", "int"), ("items", "string"))})
-    return out
+    for block in range(blocks):
+        keys = found.where(F.pmod(F.xxhash64("win"), F.lit(blocks)) == block)
+        probes = _probes(F.col("w"), F.col("starts"), lengths, _bits(keys, lengths, windows // blocks), block == 0)
+        asked = parts.select(*KEY, "doc_id", "at", "starts", F.explode(probes).alias("x")).select(*KEY, "doc_id", "at", "starts", "x.pos", "x.k", "x.win")
+        met = asked.join(F.broadcast(keys.select("win", "items")), "win", "left").where((F.col("pos") < 0) | F.col("items").isNotNull())
+        got = met.select(*KEY, "doc_id", "at", "starts", (F.col("at") + F.col("pos")).alias("pos"), "k", "items")
+        hits = got if hits is None else hits.unionByName(got)
+    is_hit = F.col("k") > 0
+    per = hits.groupBy(*KEY).agg(
+        F.first("doc_id").alias("doc_id"), F.count(F.when(~is_hit & (F.col("at") == 0), 1)).alias("rows"), F.sum(F.when(~is_hit, F.col("starts")).otherwise(0)).alias("words"),
+        F.collect_set(F.when(is_hit, F.struct("pos", "k"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(is_hit, F.col("items")))))).alias("items"),
+    )
+    places = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["pos"], x["pos"] + x["k"] - 1)))))
+    each = per.select(*KEY, "doc_id", F.expr("words div rows").alias("n_words"), places.alias("hit_positions"), "items", "rows")
+    return each.withColumn("rows", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).drop("rows")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
@@ -86,13 +163,15 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, **how) -> DataFram
 
 
 def remove_documents(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of documents without any hit, with all their columns.
+    """The rows of documents without any hit, with all their columns, whatever their names.
 
     Windows are probed row by row, so a repeated doc_id is judged by its own text.
     """
-    rows = documents.withColumns(row_key("doc_id", "text"))
-    bad = scan(documents, benchmark, **how).where(F.size("hit_positions") > 0).select(*KEY).distinct()
-    return rows.join(bad, KEY, "left_anti").select(*documents.columns)
+    keys = row_key("doc_id", "text")
+    names = unused(documents.columns, *keys)
+    rows = documents.withColumns(dict(zip(names, keys.values(), strict=True)))
+    bad = scan(documents, benchmark, **how).where(F.size("hit_positions") > 0).select(*(F.col(k).alias(a) for k, a in zip(keys, names, strict=True))).distinct()
+    return rows.join(bad, names, "left_anti").select(*documents.columns)
 
 
 ORACLE = """
