@@ -1,16 +1,17 @@
 """Language identification by cross-parsing against suffix automata.
 
 Per language, a bounded sample of labelled text becomes a suffix automaton over
-all of its letters. Transitions by its DENSE most frequent letters are one dense
-table, those by its other letters sorted keys. A text is parsed against it greedily: each phrase
-is the longest match that the automaton can follow; where it can't, the phrase
-ends and the next begins. Few phrases mean low cross-entropy. Phrases times
-log2(sample length) over the text's length is comparable between languages; the
-least wins, ties go to the name that sorts first.
-
-Parsing is vectorised over lanes: a text is cut into lanes of LANE characters (a
-phrase ends there too), and each step moves all lanes of a block through all
-automata by one character. Whole texts are parsed.
+all of its letters. A text is parsed against it greedily: each phrase is the
+longest match that the automaton can follow, or one letter that it doesn't know;
+where it can't go on, the phrase ends and the next begins. Few phrases mean low
+cross-entropy. Phrases times log2(sample length) over the text's length is
+comparable between languages; the least wins, ties go to the name that sorts first.
+
+Parsing is vectorised over lanes of LANE letters: all lanes of a block take a
+step through all automata at a time, as if each began a phrase. Then each lane is
+parsed again from the state in which the one before it really ended, until both
+parses are in the same state, as they are after a few letters; so phrases go
+across lanes, and the result is that of a parse from begin to end. Whole texts are parsed.
 """
 
 from __future__ import annotations
@@ -27,12 +28,16 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_CHARS_ALL, SAMPLE_DOC_CHARS = 200, 40_000, 400_000, 8_000
 #: So many letters of each language have columns in the dense table; the others are looked up. Results don't depend on it.
 DENSE = 64
-LANE = 512
+LANE = 256
 BLOCK_CHARS = 1 << 20
+#: Letters times languages that are parsed at a time.
+BLOCK_CELLS = 1 << 22
 UNKNOWN = "und"
-#: From so many letters and spaces on, a text with more normalised phrases a character than its language's limit is in no
-#: learned language. The limit is REJECT_RATE, or REJECT_MARGIN times the median rate of the language's own texts where that is more.
-REJECT_LETTERS, REJECT_RATE, REJECT_MARGIN = 400, 4.5, 1.5
+#: A text with more normalised phrases a character than its language's limit for its length is in no learned language. The
+#: limit is REJECT_RATE, or REJECT_MARGIN times what all but 1 % of pieces of the language's own texts of that length have, where that is more.
+REJECT_RATE, REJECT_MARGIN = 4.5, 1.5
+#: Lengths of the pieces; limits in between are interpolated.
+REJECT_LENGTHS = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024)
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, phrases_per_char double"
 
 
@@ -86,12 +91,14 @@ def _alphabetic() -> np.ndarray:
 class Model:
     """Automata of all languages, and the map from code points to symbols.
 
-    Transitions are 2 * the next state, plus 1 where a phrase ends first. A code
-    that no state follows ends a phrase and starts the next one from the root;
-    one that the root doesn't know either stays at the root. A state is the
-    place of its row in the dense table; a row has as many columns as its
-    language needs: the space, its DENSE most frequent letters, and one for
-    letters that it doesn't have.
+    A state is a number over all automata. Transitions are 2 * the next state, plus
+    1 where a phrase ends first. Of a state with one way on, the symbol and the
+    transition are kept; states with several have a row in a dense table: the
+    space, the language's DENSE most frequent letters, and one column for letters that
+    it doesn't have; transitions by its other letters are looked up by sorted keys.
+    What a state can't follow ends the phrase and starts the next one from the root;
+    after a letter that the root doesn't know either comes the dead state, where
+    each letter starts a phrase. Row 0 of a language's table is the dead state's.
     """
 
     def __init__(self, texts: dict[str, str], dense: int = DENSE):
@@ -102,9 +109,9 @@ class Model:
         self.symbol[letters] = np.arange(1, len(letters) + 1)
         # column of each symbol in each language's rows; -1: looked up by key
         self.column = np.zeros((len(self.langs), self.unknown + 1), np.int32)
-        self.from_root = np.zeros(self.column.shape, np.int64)
-        tables, keys, values, base = [], [], [], 0
-        self.roots, self.bits = [], []
+        self.from_root = np.zeros(self.column.shape, np.int32)
+        tables, keys, values, rows, only, way, at, base = [], [], [], [], [], [], 0, 0
+        self.roots, self.bits = np.zeros(len(self.langs), np.int32), np.ones(len(self.langs))
         for k, lang in enumerate(self.langs):
             codes = self.symbols(texts[lang])
             count = np.bincount(codes, minlength=self.unknown + 1)
@@ -117,38 +124,54 @@ class Model:
             column[0] = 0
             width = min(dense, len(own)) + 2
             go = automaton(codes.tolist())
-            made = np.full((len(go), width), base * 2 + 1, np.int64)
+            dead = base + len(go)
+            self.from_root[k] = 2 * dead + 1
             for c, to in go[0].items():
-                self.from_root[k, c] = (base + to * width) * 2 + 1
-                if column[c] >= 0:
-                    made[:, column[c]] = self.from_root[k, c]
+                self.from_root[k, c] = 2 * (base + to) + 1
+            miss = np.full(width, 2 * dead + 1, np.int32)
+            has = column >= 0
+            miss[column[has]] = self.from_root[k][has]
+            made = [miss]
+            row, one, on = np.full(len(go) + 1, at, np.int32), np.full(len(go) + 1, -1, np.int32), np.zeros(len(go) + 1, np.int32)
             for state, edges in enumerate(go):
-                for c, to in edges.items():
-                    if column[c] >= 0:
-                        made[state, column[c]] = (base + to * width) * 2
-                    else:
-                        keys.append((base + state * width) * (self.unknown + 1) + c)
-                        values.append((base + to * width) * 2)
-            tables.append(made.astype(np.int32) if base + made.size < 1 << 30 else made)
-            self.roots.append(base)
-            self.bits.append(np.log2(max(2, len(codes))))
-            base += made.size
-        self.table = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.int32)
+                if len(edges) == 1 and state:
+                    ((c, to),) = edges.items()
+                    one[state], on[state] = c, 2 * (base + to)
+                elif edges or not state:
+                    row[state] = at + len(made) * width
+                    x = miss.copy() if state else np.where(miss == 2 * dead + 1, 2 * dead, miss).astype(np.int32)
+                    for c, to in edges.items():
+                        if column[c] >= 0:
+                            x[column[c]] = 2 * (base + to)
+                        else:
+                            keys.append((base + state) * (self.unknown + 1) + c)
+                            values.append(2 * (base + to))
+                    made.append(x)
+                go[state] = None
+            tables.append(np.concatenate(made)), rows.append(row), only.append(one), way.append(on)
+            self.roots[k], self.bits[k] = base, np.log2(max(2, len(codes)))
+            at, base = at + len(made) * width, dead + 1
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int32)
+        self.table, self.row, self.only, self.way = join(tables), join(rows), join(only), join(way)
+        self.sparse = bool((self.column < 0).any())
         order = np.argsort(np.array(keys, np.int64))
-        self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.int64)[order]
-        self.bits = np.array(self.bits)
-
-    def _move(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        column = self.column[:, symbols]
-        if not len(self.keys):
-            return self.table[state + column]
-        moved = self.table[state + np.maximum(column, 0)].astype(np.int64)
-        lang, lane = np.nonzero(column < 0)
-        if len(lang):
-            key = state[lang, lane] * (self.unknown + 1) + symbols[lane]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            moved[lang, lane] = np.where(self.keys[at] == key, self.values[at], self.from_root[lang, symbols[lane]])
-        return moved
+        self.keys, self.values = np.array(keys, np.int64)[order], np.array(values, np.int32)[order]
+
+    def _move(self, lang: np.ndarray, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Transitions of states of languages by symbols, all of one length."""
+        column = self.column.ravel()[lang * self.column.shape[1] + symbol]
+        moved = self.table[self.row[state] + (np.maximum(column, 0) if self.sparse else column)]
+        one = self.only[state]
+        if not self.sparse:
+            return np.where(one == symbol, self.way[state], moved)
+        if len(self.keys):
+            at = np.flatnonzero((column < 0) & (one < 0))
+            key = state[at] * np.int64(self.unknown + 1) + symbol[at]
+            place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            moved[at] = np.where(self.keys[place] == key, self.values[place], self.from_root[lang[at], symbol[at]])
+        other = np.flatnonzero((column < 0) & (one >= 0))
+        moved[other] = self.from_root[lang[other], symbol[other]]
+        return np.where(one == symbol, self.way[state], moved)
 
     def symbols(self, text: str) -> np.ndarray:
         got = self.symbol[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -156,31 +179,73 @@ class Model:
         keep[1:] |= got[:-1] != 0  # one of a run of spaces
         return got[keep]
 
-    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each text against each language: (texts, languages)."""
-        sizes = np.array([len(x) for x in texts])
-        out = np.zeros((len(texts), len(self.langs)))
-        if not sizes.sum() or not self.langs:
+    def phrases(self, texts: list[np.ndarray], lane: int = LANE, cells: int = BLOCK_CELLS) -> np.ndarray:
+        """Phrases of each text against each language: (texts, languages). At most about cells states are held at a time."""
+        sizes = np.array([len(x) for x in texts], np.int64)
+        n = len(self.langs)
+        out = np.where(sizes[:, None] > 0, 1.0, 0.0) * np.ones((1, n))
+        if not sizes.sum() or not n:
             return out
-        flat = np.concatenate(texts).astype(np.int64)
-        lanes = -(-sizes // LANE)
+        lanes = -(-sizes // lane)
         owner = np.repeat(np.arange(len(texts)), lanes)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        start = np.repeat(np.cumsum(sizes) - sizes, lanes) + nth * LANE
-        length = np.minimum(LANE, np.repeat(sizes, lanes) - nth * LANE)
+        many = max(1, cells // (lane * n))
+        carried = self.roots
+        for lo in range(0, len(owner), many):
+            who, which = owner[lo : lo + many], nth[lo : lo + many]
+            parts = [texts[i][j * lane : (j + 1) * lane] for i, j in zip(who.tolist(), which.tolist(), strict=True)]
+            ends, carried = self._block(parts, which == 0, carried)
+            for k in range(n):
+                out[:, k] += np.bincount(who, ends[k], len(texts))
+        return out
+
+    def _block(self, parts: list[np.ndarray], first: np.ndarray, carried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ended phrases of each lane, (languages, lanes), and the last lane's states; carried are the states before the first lane."""
+        n, m = len(self.langs), len(parts)
+        length = np.array([len(x) for x in parts])
+        flat, start = np.concatenate(parts).astype(np.int32), np.cumsum(length) - length
         order = np.argsort(-length, kind="stable")
-        owner, start, length = owner[order], start[order], length[order]
-        state = np.repeat(np.array(self.roots, np.int64)[:, None], len(owner), 1)
-        count = np.ones(state.shape, np.int64)
-        active = len(owner)
-        for t in range(int(length[0])):
-            active = int(np.searchsorted(-length[:active], -t, side="left"))
-            moved = self._move(state[:, :active], flat[start[:active] + t])
-            count[:, :active] += moved & 1
+        lang = np.arange(n)
+        path = np.zeros((int(length.max()), n, m), np.int32)
+        state = np.repeat(self.roots[:, None], m, 1)
+        if not first[0]:
+            state[:, 0] = carried
+        state = state[:, order]
+        for t in range(len(path)):
+            active = int(np.searchsorted(-length[order], -t, side="left"))
+            lanes = order[:active]
+            moved = self._move(np.repeat(lang, active), state[:, :active].ravel(), np.tile(flat[start[lanes] + t], n)).reshape(n, active)
+            path[t][:, lanes] = moved
             state[:, :active] = moved >> 1
-        for k in range(len(self.langs)):
-            out[:, k] = np.bincount(owner, count[k], len(texts))
-        return out
+        final = np.empty((n, m), np.int32)
+        final[:, order] = state
+        # from where the lane before really ended, until the path is met again
+        k, x = np.nonzero(np.repeat(~first[None], n, 0))
+        k, x = (v[x > 0] for v in (k, x))
+        entry = final[k, x - 1]
+        while len(k):
+            late_k, late_x = [], []
+            t, now = 0, entry
+            while len(k):
+                over = length[x] <= t
+                if over.any():  # not met within the lane: the next one begins elsewhere, too
+                    final[k[over], x[over]] = now[over]
+                    late_k.append(k[over]), late_x.append(x[over])
+                    k, x, now = k[~over], x[~over], now[~over]
+                    continue
+                moved = self._move(k, now, flat[start[x] + t])
+                apart = moved != path[t, k, x]
+                k, x, moved = k[apart], x[apart], moved[apart]
+                path[t, k, x] = moved
+                now, t = moved >> 1, t + 1
+            k, x = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (late_k, late_x))
+            on = np.flatnonzero(x + 1 < m)
+            on = on[~first[x[on] + 1]]
+            entry, k, x = final[k[on], x[on]], k[on], x[on] + 1
+        ends = np.zeros((n, m), np.int32)
+        for t, moved in enumerate(path):
+            ends += (moved & 1) * (length > t)
+        return ends, final[:, -1]
 
 
 _models: dict[int, Model] = {}
@@ -209,34 +274,41 @@ def _cut(by: dict[str, list[str]]) -> dict[str, str]:
 
 
 def fit(documents: DataFrame) -> dict[str, str]:
-    """The sample's text of each language, cut to the same number of letters."""
+    """The sample's text of each language, cut to at most the same number of letters."""
     return _cut(learned(documents))
 
 
-def limits(by: dict[str, list[str]], least: float = REJECT_RATE, letters: int = REJECT_LETTERS) -> dict[str, float]:
-    """The rate from which a text is not in the nearest language, by language; at least least.
+def limits(by: dict[str, list[str]], least: float = REJECT_RATE) -> dict[str, list[float]]:
+    """By language, the rates of REJECT_LENGTHS from which a text is not in the nearest language; at least least.
 
     From the language's own texts that its automaton has not seen, in pieces of
-    as many letters as a text must have to be judged. Where the sample has no
-    such texts, the last third of it is held against the rest. A language of too
-    few letters for either has no limit: nothing is turned away without knowing.
+    each length. Where the sample has few such texts, the last third of it is held
+    against the rest. Where there are too few letters for a piece, there is no limit: nothing is
+    turned away without knowing.
     """
     out = {}
     for lang, text in _cut(by).items():
         unseen = " ".join(by[lang])[len(text) :]
-        if len(unseen) < 5 * letters:
+        if len(unseen) < 5 * REJECT_LENGTHS[-1]:
             whole = text + unseen
             text, unseen = whole[: len(whole) * 2 // 3], whole[len(whole) * 2 // 3 :]
-        pieces = [unseen[i : i + letters] for i in range(0, min(len(unseen), SAMPLE_CHARS) - letters + 1, letters)]
-        if not pieces:
-            out[lang] = float("inf")
-            continue
-        model = Model({lang: text})
-        rates = verdicts(model, [model.symbols(x) for x in pieces])[2]
-        out[lang] = max(least, REJECT_MARGIN * float(np.median(rates)))
+        model, out[lang] = Model({lang: text}), []
+        unseen = model.symbols(unseen[:SAMPLE_CHARS])
+        for n in REJECT_LENGTHS:
+            pieces = [unseen[i : i + n] for i in range(0, len(unseen) - n + 1, max(n, len(unseen) // 200))]
+            rates = verdicts(model, [x for x in pieces if x.any()])[2]
+            out[lang].append(max(least, REJECT_MARGIN * float(np.quantile(rates, 0.99))) if rates else float("inf"))
     return out
 
 
+def limit_at(own: list[float], letters: int) -> float:
+    """The limit for a text of so many letters."""
+    if not np.isfinite(own).all():
+        own = [x if np.isfinite(x) else np.inf for x in own]
+        return own[int(np.searchsorted(REJECT_LENGTHS, max(1, letters), side="left").clip(0, len(own) - 1))]
+    return float(np.interp(np.log2(max(1, letters)), np.log2(REJECT_LENGTHS), own))
+
+
 def verdicts(model: Model, symbols: list[np.ndarray]) -> tuple[list[str], list[float], list[float]]:
     """Language, score and normalised phrases of each text."""
     counts = model.phrases(symbols)
@@ -255,28 +327,40 @@ def verdicts(model: Model, symbols: list[np.ndarray]) -> tuple[list[str], list[f
     return langs, scores, best_rates
 
 
-def keep_identified(documents: DataFrame, texts: dict[str, str] | None = None, most: float = REJECT_RATE, least_letters: int = REJECT_LETTERS, limit: dict[str, float] | None = None) -> DataFrame:
+def _judged(model: Model, texts: list, most: int = BLOCK_CHARS) -> Iterator[tuple[list[str], list[float], list[float], list[int]]]:
+    """Verdicts and sizes of texts in order, a bounded number of letters at a time."""
+    symbols, total = [], 0
+    for i, text in enumerate(texts):
+        symbols.append(model.symbols(text or ""))
+        total += len(symbols[-1])
+        if total >= most or i + 1 == len(texts):
+            yield *verdicts(model, symbols), [len(x) for x in symbols]
+            symbols, total = [], 0
+
+
+def keep_identified(documents: DataFrame, texts: dict[str, str] | None = None, limit: dict[str, list[float]] | None = None) -> DataFrame:
     """The rows of documents whose language is known, with all their columns.
 
-    und goes; so does a text of least_letters or more that even the nearest
-    language parses into more normalised phrases a character than its limit: it is
-    in none of the learned languages. limit is by language, most for others;
-    both texts and limit are learned from documents where they aren't given.
+    und goes; so does a text that even the nearest language parses into more
+    normalised phrases a character than its limit for that length: it is in none of
+    the learned languages. limit is by language, see limits; a language without
+    one turns nothing away. Both texts and limit are learned from documents where texts aren't given.
     """
     if texts is None:
         by = learned(documents)
-        texts, limit = _cut(by), limits(by, most, least_letters) if limit is None else limit
+        texts, limit = _cut(by), limits(by) if limit is None else limit
     limit = limit or {}
     at = documents.columns.index("text")
+    inf = [float("inf")] * len(REJECT_LENGTHS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(texts)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                symbols = [model.symbols(t or "") for t in part.column(at).to_pylist()]
-                langs, _, rates = verdicts(model, symbols)
-                yield part.filter(pa.array([lang != UNKNOWN and (len(x) < least_letters or r <= limit.get(lang, most)) for lang, r, x in zip(langs, rates, symbols, strict=True)], pa.bool_()))
+            lo = 0
+            for langs, _, rates, sizes in _judged(model, batch.column(at).to_pylist()):
+                keep = [lang != UNKNOWN and r <= limit_at(limit.get(lang, inf), n) for lang, r, n in zip(langs, rates, sizes, strict=True)]
+                yield batch.slice(lo, len(keep)).filter(pa.array(keep, pa.bool_()))
+                lo += len(keep)
 
     return documents.mapInArrow(run, documents.schema)
 
@@ -293,20 +377,12 @@ def classify(documents: DataFrame, texts: dict[str, str] | None = None) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(texts)
 
-        def judge(ids: list, held: list, symbols: list[np.ndarray]) -> pa.RecordBatch:
-            langs, scores, rates = verdicts(model, symbols)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score", "phrases_per_char"])
-
         for batch in batches:
-            ids, held, symbols, total = [], [], [], 0
-            for doc_id, is_held, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ids.append(doc_id), held.append(is_held), symbols.append(model.symbols(text or ""))
-                total += len(symbols[-1])
-                if total >= BLOCK_CHARS:
-                    yield judge(ids, held, symbols)
-                    ids, held, symbols, total = [], [], [], 0
-            if ids:
-                yield judge(ids, held, symbols)
+            lo = 0
+            for langs, scores, rates, sizes in _judged(model, batch.column(2).to_pylist()):
+                part = batch.slice(lo, len(sizes))
+                lo += len(sizes)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score", "phrases_per_char"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("coalesce(crc32(cast(doc_id as string)) % 3 = 1, false)").alias("held_out"), "text")
     return rows.mapInArrow(run, SCHEMA)
