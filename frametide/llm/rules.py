@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, gram_hashes
+from .common import blocks, gram_hashes, materialize
 
 COMMON = 50
 # Limits of the distances, least characters and words for them, base limits.
@@ -89,7 +89,8 @@ def references(documents: DataFrame, common: int = COMMON) -> dict[str, tuple[np
                     yield from flush(False)
         yield from flush(True)
 
-    sums = documents.where("lang is not null and text is not null").select("lang", "text").mapInArrow(run, "lang string, kind string, key string, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    counted = documents.where("lang is not null and text is not null").select("lang", "text").mapInArrow(run, "lang string, kind string, key string, n long")
+    sums = materialize(counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "word-counts")  # read twice, counted once
     order = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
     totals = sums.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
     top = sums.withColumn("r", F.row_number().over(order)).where(F.col("r") <= common)
