@@ -2,8 +2,8 @@
 
 A tolerant tokenizer builds a tree of elements; text is gathered into blocks at
 the borders of block-level elements. Each block passes points for its length
-and its commas to its ancestors, in full to the parent, half to the next and
-less beyond; an element's points are discounted by its link density. The element
+and its commas to its ancestors, in full to the parent, half to the next, a quarter
+to the one after and so on; an element's points are discounted by its link density. The element
 with the most points is the container; siblings with enough points of their own
 are kept too, as are headings and figures beside it. Elements that can't hold the
 article (scripts, menus, footers, forms, adverts, comments, by tag, role or name)
@@ -35,19 +35,59 @@ _BAD = re.compile(
     re.I,
 )
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|main|content|entry|post-?body|story|body-?text)(?:$|[\s_-])", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[\s\x00]+")
 POINT_CHARS, MOST_LENGTH_POINTS, SIBLING_SHARE = 100, 3, 0.2
 
 
+# Elements that the end tag of an inline element doesn't cross, that end the search for an open paragraph or
+# item, and that are paragraphs themselves: their points go to the element around them.
+BARRIERS = frozenset("article main body table td th".split())
+SCOPES = frozenset("article main body html div section table ul ol td th blockquote nav header footer aside form".split())
+PARAGRAPHS = frozenset("p pre h1 h2 h3 h4 h5 h6 li dd dt td th blockquote tr figcaption".split())
+ITEMS = frozenset("li tr option dd dt".split())
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "chars", "linked", "bonus", "order")
+    """An element. block and holder are the nearest block-level elements, itself included; holder isn't a figure."""
+
+    __slots__ = ("tag", "parent", "children", "dropped", "points", "chars", "linked", "bonus", "block", "holder", "first", "depth", "inline", "scope", "kept")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False, bonus: float = 0.0):
         self.tag, self.parent, self.dropped, self.bonus = tag, parent, dropped, bonus
         self.children: list = []
-        self.points, self.chars, self.linked = 0.0, 0, 0
+        self.points, self.chars, self.linked, self.first, self.kept = 0.0, 0, 0, -1, False
+        self.depth = parent.depth + 1 if parent is not None else 0
+        self.block = self if tag in BLOCK or parent is None else parent.block
+        self.holder = self if tag in BLOCK and tag != "figure" or parent is None else parent.holder
+
+
+class _Open:
+    """Which elements are open, so that a search among them is begun only where it finds something.
+
+    inline counts those within the innermost barrier, scope those within the innermost scope.
+    """
+
+    def __init__(self, root: Node):
+        self.all: dict[str, int] = {}
+        root.inline, root.scope = {}, {}
+
+    def enter(self, node: Node) -> None:
+        for counts in (self.all, node.parent.inline, node.parent.scope):
+            counts[node.tag] = counts.get(node.tag, 0) + 1
+        node.inline = {} if node.tag in BARRIERS else node.parent.inline
+        node.scope = {} if node.tag in SCOPES else node.parent.scope
+
+    def leave(self, here: Node, until: Node) -> Node:
+        """Closes all from here to until."""
+        while True:
+            for counts in (self.all, here.parent.inline, here.parent.scope):
+                counts[here.tag] -= 1
+            if here is until:
+                return here.parent
+            here = here.parent
 
 
 def _is_dropped(tag: str, attributes: str) -> tuple[bool, float]:
@@ -66,60 +106,95 @@ def _is_dropped(tag: str, attributes: str) -> tuple[bool, float]:
     return False, 5.0 if good else 0.0
 
 
-def parse(html: str) -> Node:
-    """A tree whose leaves are strings, character references still in place. Loops over tokens; deep nesting needs no stack."""
+def parse(html: str) -> tuple[Node, list[Node]]:
+    """A tree whose leaves are strings, character references still in place, and its elements, parents first.
+
+    Loops over tokens; each search in the text or among open elements passes what it
+    goes over, so time is linear, whatever is left open.
+    """
     root = Node("#root", None)
-    at, here = 0, root
-    low = None
-    while at < len(html):
-        m = _TOKEN.search(html, at)
-        if m is None:
-            here.children.append(html[at:])
+    at, here, size = 0, root, len(html)
+    nodes, opened = [root], _Open(root)
+    low, quoted, never = None, True, set()  # never: what isn't found any more
+
+    def find(what: str, start: int, text: str) -> int:
+        if what in never:
+            return -1
+        end = text.find(what, start)
+        if end < 0:
+            never.add(what)
+        return end
+
+    while at < size:
+        lt = html.find("<", at)
+        if lt < 0 or lt > at:
+            here.children.append(html[at : lt if lt >= 0 else size])
+        if lt < 0:
             break
-        if m.start() > at:
-            here.children.append(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                here.children.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+        at = lt + 1
+        if html.startswith("<!--", lt):
+            end = find("-->", lt + 4, html)
+            at = end + 3 if end >= 0 else size
+            continue
+        if html.startswith("<![CDATA[", lt):
+            end = find("]]>", lt + 9, html)
+            here.children.append(html[lt + 9 : end if end >= 0 else size].replace("&", "&amp;"))
+            at = end + 3 if end >= 0 else size
+            continue
+        m = _NAME.match(html, lt)
+        if m is None and html[at : at + 1] not in ("!", "?"):
+            here.children.append("<")
+            continue
+        end = -1
+        if m is not None and quoted and ">" not in never:
+            inside = _ATTRIBUTES.match(html, m.end())
+            end = inside.end() if inside is not None else -1
+            quoted = inside is not None  # from a quote or tag that never ends on, quotes are letters like others
+        if end < 0:
+            end = find(">", m.end() if m is not None else at, html)
+        if end < 0:
+            here.children.append("<")
+            continue
+        at = end + 1
+        if m is None:
             continue
-        tag = m[2].lower()
+        tag, attributes = m[2].lower(), html[m.end() : end]
         if m[1]:  # an end tag closes the nearest open one of its name; others are ignored
-            node = here
-            while node is not None and node.tag != tag:
-                if node.tag in ("article", "main", "body", "table", "td", "th") and tag not in BLOCK:
-                    node = None
-                    break
-                node = node.parent
-            if node is not None and node.parent is not None:
-                here = node.parent
+            if (opened.all if tag in BLOCK else here.inline).get(tag, 0):
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                here = opened.leave(here, node)
             continue
         if tag in RAW:
-            if m[3].endswith("/") and tag not in ("script", "style"):
+            if attributes.endswith("/") and tag not in ("script", "style"):
                 continue
             low = html.lower() if low is None else low
-            end = low.find(f"</{tag}", at) if len(low) == len(html) else html.find(f"</{m[2]}", at)
+            end = find(f"</{tag}", at, low) if len(low) == size else find(f"</{m[2]}", at, html)
             if end < 0:
                 if tag in ("script", "style", "textarea", "title"):
-                    at = len(html)
+                    at = size
                 continue
             close = html.find(">", end)
-            at = len(html) if close < 0 else close + 1
-            here.children.append(Node(tag, here, True))
+            at = size if close < 0 else close + 1
+            nodes.append(Node(tag, here, True))
+            here.children.append(nodes[-1])
             continue
-        if tag in CLOSES_P or tag in ("li", "td", "th", "tr", "option"):
+        closes = ("p",) if tag in CLOSES_P else ()
+        closes += (tag,) if tag in ITEMS else ()
+        if any(here.scope.get(c, 0) for c in closes) and here.tag not in SCOPES:
             node = here
-            while node.parent is not None and node.tag not in ("article", "main", "body", "html", "div", "section", "table", "ul", "ol", "td", "th", "blockquote", "nav", "header", "footer", "aside", "form"):
-                if node.tag == "p" and tag in CLOSES_P or node.tag == tag and tag in ("li", "tr", "option", "dd", "dt"):
-                    here = node.parent
-                    break
+            while node.tag not in closes:
                 node = node.parent
-        dropped, bonus = _is_dropped(tag, m[3])
+            here = opened.leave(here, node)
+        dropped, bonus = _is_dropped(tag, attributes)
         node = Node(tag, here, dropped, bonus)
+        nodes.append(node)
         here.children.append(node)
-        if tag not in VOID and not m[3].endswith("/"):
+        if tag not in VOID and not attributes.endswith("/"):
+            opened.enter(node)
             here = node
-    return root
+    return root, nodes
 
 
 def _blocks(root: Node) -> list[tuple[str, Node, int]]:
@@ -145,10 +220,7 @@ def _blocks(root: Node) -> list[tuple[str, Node, int]]:
             child = node.children[i]
             if isinstance(child, str):
                 if not parts:
-                    p = node
-                    while p.parent is not None and p.tag not in BLOCK:
-                        p = p.parent
-                    owner[0] = p
+                    owner[0] = node.block
                 parts.append((child, linked))
             elif not child.dropped:
                 if child.tag == "br":
@@ -163,58 +235,68 @@ def _blocks(root: Node) -> list[tuple[str, Node, int]]:
     return out
 
 
-def _path(node: Node) -> Iterator[Node]:
-    while node is not None:
-        yield node
-        node = node.parent
+def _score(nodes: list[Node], found: list[tuple[str, Node, int]]) -> list[Node]:
+    """Gives points and sizes to the elements around the blocks; those with points, inner before outer, by their first block."""
+    for i, (text, owner, linked) in enumerate(found):
+        points = 1 + text.count(",") + text.count("，") + min(MOST_LENGTH_POINTS, len(text) // POINT_CHARS)
+        to = owner.holder
+        if owner.tag in PARAGRAPHS and owner.parent is not None:  # the block's own element is the paragraph
+            to = owner.parent.holder
+        to.points += points
+        to.first = i if to.first < 0 else to.first
+        owner.chars += len(text)
+        owner.linked += min(linked, len(text))
+    for node in reversed(nodes):  # children before parents
+        up = node.parent
+        if up is None:
+            continue
+        up.chars += node.chars
+        up.linked += node.linked
+        if node.points and node.holder is node:
+            to = up.holder
+            to.points += node.points / 2
+            to.first = node.first if to.first < 0 else min(to.first, node.first)
+    return sorted((n for n in nodes if n.points), key=lambda n: (n.first, -n.depth))
 
 
 def extract(html: str | None) -> str:
     """The article's blocks joined by newlines; empty where there is none.
 
     Every element gets points only from blocks inside it, so ties (of a lone
-    child and its parent) go to the inner, of siblings to the first.
+    child and its parent) go to the inner, of siblings to the first. Linear in the
+    page's length, however deep it is and however long.
     """
     if not html:
         return ""
-    root = parse(html)
+    root, nodes = parse(html)
     found = _blocks(root)
     if not found:
         return ""
-    scored: dict[int, Node] = {}
-    for text, owner, linked in found:
-        points = 1 + text.count(",") + text.count("，") + min(MOST_LENGTH_POINTS, len(text) // POINT_CHARS)
-        # the block's own element is the paragraph; its container is the next block-level one
-        chain = [n for n in _path(owner) if n.tag in BLOCK and n.tag != "figure" or n.parent is None]
-        holders = chain[1:] if owner.tag in ("p", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "td", "th", "blockquote", "tr", "figcaption") and len(chain) > 1 else chain
-        for depth, node in enumerate(holders):
-            node.points += points / (1 if depth == 0 else 2 if depth == 1 else 3 * depth)
-            scored[id(node)] = node
-        for node in _path(owner):
-            node.chars += len(text)
-            node.linked += min(linked, len(text))
+    scored = _score(nodes, found)
 
     def worth(n: Node) -> float:
         return (n.points + (n.bonus if n.points else 0)) * (1 - n.linked / max(1, n.chars))
 
-    best = max(scored.values(), key=worth)  # the first of equals: inner before outer, as chains begin inside
+    best = max(scored, key=worth)
     while best.parent is not None and best.parent.tag in ("p", "b", "i", "em", "strong", "span", "blockquote", "pre"):
         best = best.parent
-    kept = {id(best)}
+    best.kept = True
     if best.parent is not None:
         limit = SIBLING_SHARE * worth(best)
         for s in best.parent.children:
             if isinstance(s, Node) and not s.dropped and s is not best and s.chars:
                 density = s.linked / s.chars
-                if worth(s) >= limit and s.points or s.tag in ("p", "h1", "h2", "figure") and density < 0.25 and (s.chars >= 80 or s.tag != "p"):
-                    kept.add(id(s))
-    return "\n".join(text for text, owner, _ in found if any(id(n) in kept for n in _path(owner)))
+                s.kept = bool(worth(s) >= limit and s.points or s.tag in ("p", "h1", "h2", "figure") and density < 0.25 and (s.chars >= 80 or s.tag != "p"))
+    for node in nodes:  # parents before children
+        node.kept = node.kept or node.parent is not None and node.parent.kept
+    return "\n".join(text for text, owner, _ in found if owner.kept)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
-    Null or empty html gives an empty text. Nothing is shuffled; repeated rows
+    Null or empty html gives an empty text; very long pages take time in
+    proportion to their length. Nothing is shuffled; repeated rows
     give their rows; other columns aren't looked at.
     """
 
