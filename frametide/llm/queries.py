@@ -43,7 +43,8 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.write(table(spark, sf_dir, "pages")).read()
+    pages = table(spark, sf_dir, "pages")
+    return warc.write(pages).read(pages.select("url"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

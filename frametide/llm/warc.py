@@ -8,8 +8,9 @@ nothing wrong behind.
 Index: rows are sorted by reversed-host key over a range partitioning (page and
 row follow the key, so that one URL with many captures is split too), cut into
 gzip blocks of BLOCK_LINES lines; the directory keeps the first key and the place
-of each block. A look-up bisects the directory, reads one or more block ranges,
-bisects their lines, and then reads the records' ranges.
+of each block. A look-up, of one URL or of a table of them, bisects the directory,
+reads one or more block ranges, bisects their lines, and then reads the records'
+ranges, file by file.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ BLOCK_LINES = 2_000
 FILE_BYTES = 256 << 20
 LEVEL = 3
 JOIN_GAP = 1 << 16
+READ_ROWS = 500
+PART_BLOCKS = 500_000
+_BLOCK = "key string, file string, at long, size long"
+_FOUND = "key string, page_id long, record_type string, file string, at long, size long"
 _ENTRY = "key string, rid long, page_id long, url string, record_type string, file string, at long, size long"
 _DIRECTORY = "first_key string, file string, at long, size long, lines long"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -57,7 +62,7 @@ def surt(url: str | None) -> str:
     if not host:
         return quote(url, safe="/:?&=%+,;@~-._")
     host = re.sub(r"^www\d*\.", "", host)
-    head = host if re.fullmatch(r"[0-9.]+|.*:.*", host) else ",".join(reversed(host.split(".")))
+    head = quote(host if re.fullmatch(r"[0-9.]+|.*:.*", host) else ",".join(reversed(host.split("."))), safe=",:.-_")  # no space or line end is in a key
     if port and port != {"http": 80, "https": 443}.get(parts.scheme.lower()):
         head += f":{port}"
     tail = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
@@ -121,36 +126,113 @@ class Archive:
     spark: SparkSession
     folder: str
     directory: DataFrame
+    part_blocks: int = PART_BLOCKS
 
-    def lookup(self, url: str) -> list[tuple[dict[str, str], bytes]]:
+    def lookup(self, url: str | None) -> list[tuple[dict[str, str], bytes]]:
         """All captures of a URL, by bisecting the directory, then blocks; reads ranges only."""
-        key = surt(url)
-        low = self.directory.where(F.col("first_key") < key).agg(F.max("first_key")).first()[0]
-        blocks = self.directory.where((F.col("first_key") == key) | (F.col("first_key") == low) if low is not None else F.col("first_key") == key).orderBy("first_key", "file", "at")
         out = []
-        for row in blocks.toLocalIterator():
-            lines = _block_lines(row["file"], row["at"], row["size"])
-            keys = [x.partition(" ")[0] for x in lines]
-            for line in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-                entry = json.loads(line.partition(" ")[2])
-                fs, path = _open(entry["file"])
-                with fs.open_input_file(path) as file:
-                    out.append(parse_record(file.read_at(entry["size"], entry["at"])))
+        for row in self.find(self.spark.createDataFrame([(url,)], "url string")).toLocalIterator():
+            fs, path = _open(row["file"])
+            with fs.open_input_file(path) as file:
+                out.append(parse_record(file.read_at(row["size"], row["at"])))
         return out
 
-    def read(self) -> DataFrame:
-        """One row per record, see RECORD, by way of the index: tasks take blocks and read their records' ranges in file order."""
+    def find(self, urls: DataFrame) -> DataFrame:
+        """(key, page_id, record_type, file, at, size): all captures of urls(url), each once; nulls and empty ones have a key too.
+
+        Tasks bisect the directory for each key, which gives the blocks to read; these are
+        dealt over tasks, so that a URL of very many captures is too, and each is
+        read once, as a range, and bisected for its keys. The directory has a line for
+        block_lines captures; it is sent in parts of at most part_blocks lines, in turn.
+        """
+        n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(sorted({surt(u) for u in batch.column(0).to_pylist()}), pa.string())], names=["key"])
+
+        keys = urls.select("url").mapInArrow(keyed, "key string").distinct()
+        asked = None
+        for part in self._directory_parts():
+            sent = self.spark.sparkContext.broadcast(part)
+            got = keys.mapInArrow(_bisector(sent), _BLOCK)
+            asked = got if asked is None else asked.union(got)
+        if asked is None:
+            return self.spark.createDataFrame([], _FOUND)
+        return asked.repartition(n, "file", "at").sortWithinPartitions("file", "at", "key").mapInArrow(_in_blocks, _FOUND)
+
+    def _directory_parts(self) -> Iterator[tuple[list[str], list[tuple], bool, bool]]:
+        """First keys and places of part_blocks blocks each, whether the first one is of the part before, and whether it is the last part."""
+        held: list[tuple] = []
+        carried = False
+        for row in self.directory.orderBy("first_key", "file", "at").toLocalIterator():
+            if len(held) > self.part_blocks:
+                yield [r[0] for r in held], [r[1:] for r in held], carried, False
+                held, carried = held[-1:], True
+            held.append((row["first_key"], row["file"], row["at"], row["size"]))
+        if held:
+            yield [r[0] for r in held], [r[1:] for r in held], carried, True
+
+    def read(self, urls: DataFrame) -> DataFrame:
+        """One row per record of urls(url), see RECORD: found through the index, read in ranges, in the order of the archives."""
+        n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row in batch.to_pylist():
-                    entries = [json.loads(x.partition(" ")[2]) for x in _block_lines(row["file"], row["at"], row["size"])]
-                    got = [_checked(*parse_record(member)) for member in _ranges(entries)]
+                for lo in range(0, batch.num_rows, READ_ROWS):
+                    got = [_checked(*parse_record(member)) for member in _ranges(batch.slice(lo, READ_ROWS).to_pylist())]
                     columns = list(zip(*got, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+                    if got:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-        n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        return self.directory.repartition(n).mapInArrow(run, RECORD)
+        found = self.find(urls).select("file", "at", "size")
+        return found.repartition(n, "file", F.shiftright("at", 26)).sortWithinPartitions("file", "at").mapInArrow(run, RECORD)
+
+
+def _bisector(sent):
+    """Of a part of the directory: the blocks that may have each key, as (key, file, at, size)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, places, carried, last = sent.value
+        for batch in batches:
+            out = []
+            for key in batch.column(0).to_pylist():
+                lo, hi = bisect.bisect_left(first, key), bisect.bisect_right(first, key)
+                if lo and (last or lo < len(first)):  # the block before may end with it; past a part's end it is for the next part to say
+                    out.append((key, *places[lo - 1]))
+                out += [(key, *places[i]) for i in range(max(lo, 1 if carried else 0), hi)]
+                if len(out) >= 10_000:
+                    yield _batch(out, _BLOCK)
+                    out = []
+            if out:
+                yield _batch(out, _BLOCK)
+
+    return run
+
+
+def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries of the keys asked of each block; rows come block by block."""
+    place, lines, keys = None, [], []
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            if place != (row["file"], row["at"]):
+                place = row["file"], row["at"]
+                lines = _block_lines(row["file"], row["at"], row["size"])
+                keys = [x.partition(" ")[0] for x in lines]
+            for line in lines[bisect.bisect_left(keys, row["key"]) : bisect.bisect_right(keys, row["key"])]:
+                entry = json.loads(line.partition(" ")[2])
+                out.append((row["key"], entry["page_id"], entry["record_type"], entry["file"], entry["at"], entry["size"]))
+            if len(out) >= 10_000:
+                yield _batch(out, _FOUND)
+                out = []
+        if out:
+            yield _batch(out, _FOUND)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if kind == "string" else pa.int64()) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
 
 
 def _block_lines(file_uri: str, at: int, size: int) -> list[str]:
