@@ -1,11 +1,12 @@
 """Frame embedders and pixel kernels in numpy, behind Arrow.
 
-An embedder is a class with name, dim and embed(frames) -> (n, dim) unit rows.
-Neural ones need packages that may be absent: register a class for them.
+An embedder is a class with name, dim and embed(frames) -> (n, dim) unit rows;
+register adds more. Neural ones run ONNX files, which are the user's to bring.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -112,8 +113,44 @@ def embed_frames(frames: DataFrame, embedders: list[str], short_side: int = 288)
     return frames.select("video_id", "t", "h", "w", "rgb").mapInArrow(run, "video_id string, t double, embedder string, vector array<float>")
 
 
+def capped_height(image: np.ndarray, most: int = 720) -> np.ndarray:
+    """At most so many rows; even sides, as codecs want them."""
+    h, w = image.shape[:2]
+    if h <= most:
+        return image
+    return np.rint(resize_area(image, most, max(2, round(w * most / h / 2) * 2))).astype(np.uint8)
+
+
+def paint_overlay(image: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A caption bar with letters' blocks below, and a badge in a corner."""
+    out = image.copy()
+    h, w = image.shape[:2]
+    bar = max(1, h // 8)
+    out[-bar:] = out[-bar:] // 3
+    for x in range(w // 20, w - w // 20, max(2, w // 24)):
+        out[-bar + bar // 4 : h - bar // 4, x : x + max(1, w // 48)] = 235 if rng.random() < 0.8 else 0
+    side = max(1, min(h, w) // 7)
+    x = 0 if rng.random() < 0.5 else w - side
+    out[:side, x : x + side] = rng.integers(0, 256, 3)
+    return out
+
+
+def shift_colors(image: np.ndarray, light: float, contrast: float, saturation: float, hue: float) -> np.ndarray:
+    """Brightness and contrast about the middle grey; saturation and hue (radians) turn the colour difference planes."""
+    x = (image.astype(np.float64) - 127.5) * contrast + 127.5 + 255 * light
+    y = x @ np.array([0.299, 0.587, 0.114])
+    u, v = (x[..., 2] - y) * 0.492, (x[..., 0] - y) * 0.877
+    u, v = saturation * (u * np.cos(hue) - v * np.sin(hue)), saturation * (u * np.sin(hue) + v * np.cos(hue))
+    r, b = y + v / 0.877, y + u / 0.492
+    g = (y - 0.299 * r - 0.114 * b) / 0.587
+    return np.clip(np.rint(np.stack([r, g, b], -1)), 0, 255).astype(np.uint8)
+
+
 def distort(image: np.ndarray, kind: str, rng: np.random.Generator) -> np.ndarray:
-    """Pixel forms of the ten kinds; compression and screen recording are approximations by quantising and noise."""
+    """Pixel forms of the ten kinds; compression and screen recording are approximations by quantising, blur and noise.
+
+    speed changes times only. Draws are the same for all frames of a clip where the generator is seeded alike.
+    """
     h, w = image.shape[:2]
     if kind in ("original", "speed"):
         return image
@@ -124,24 +161,101 @@ def distort(image: np.ndarray, kind: str, rng: np.random.Generator) -> np.ndarra
     if kind == "downscale":
         return shrink(image, min(240, h, w))
     if kind == "crop":
-        keep = rng.uniform(0.6, 0.8)
+        keep, (y, x) = rng.uniform(0.6, 0.8), rng.random(2)
         ch, cw = max(1, int(h * keep)), max(1, int(w * keep))
-        y, x = rng.integers(0, 2, 2) * np.array([h - ch, w - cw])
-        return image[y : y + ch, x : x + cw]
-    if kind == "letterbox":
-        out = np.zeros_like(image)
-        bar = h // 8
-        out[bar : h - bar] = np.rint(resize_area(image, h - 2 * bar, w))
+        top, left = int(y * (h - ch)), int(x * (w - cw))
+        return image[top : top + ch, left : left + cw]
+    if kind == "letterbox":  # a square with the picture, unchanged, in its middle
+        side = max(h, w)
+        out = np.zeros((side, side, 3), np.uint8)
+        top, left = (side - h) // 2, (side - w) // 2
+        out[top : top + h, left : left + w] = image
         return out
     if kind == "color":
-        light, contrast = rng.uniform(0.04, 0.10) * rng.choice([-1, 1]), rng.uniform(1.15, 1.4)
-        return np.clip((image - 127.5) * contrast + 127.5 + 255 * light, 0, 255).astype(np.uint8)
+        sign = rng.choice([-1, 1], 2)
+        return shift_colors(image, sign[0] * rng.uniform(0.04, 0.10), rng.uniform(1.15, 1.4), rng.uniform(1.3, 1.7), sign[1] * np.radians(rng.uniform(15, 35)))
     if kind == "overlay":
-        out = image.copy()
-        out[-max(1, h // 8) :, : w // 2] = rng.integers(0, 256, 3)
-        return out
+        return paint_overlay(image, rng)
     if kind == "screen_recording":
         small = np.rint(resize_area(image, max(1, int(h * 0.88)), max(1, int(w * 0.88))))
-        noisy = small + rng.normal(0, 10, small.shape)
-        return (255 * (np.clip(noisy, 0, 255) / 255) ** (1 / 1.15)).astype(np.uint8)
+        blurred = (small + np.roll(small, 1, 0) + np.roll(small, 1, 1) + np.roll(small, (1, 1), (0, 1))) / 4
+        noisy = blurred + rng.normal(0, 10, small.shape)
+        faded = shift_colors(np.clip(noisy, 0, 255).astype(np.uint8), 0.0, 1.0, 0.85, 0.0)
+        return (255 * (faded / 255) ** (1 / 1.15)).astype(np.uint8)
     raise ValueError(f"unknown distortion {kind}")
+
+
+# Mean and deviation of the pictures that the usual image networks were trained on.
+MEAN, DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
+CLIP_MEAN, CLIP_DEVIATION = (0.48145466, 0.4578275, 0.40821073), (0.26862954, 0.26130258, 0.27577711)
+
+
+def standardized(images: np.ndarray, mean: tuple = MEAN, deviation: tuple = DEVIATION) -> np.ndarray:
+    """(n, 3, h, w) single precision of (n, h, w, 3) bytes."""
+    x = (images.astype(np.float32) / 255 - np.array(mean, np.float32)) / np.array(deviation, np.float32)
+    return np.ascontiguousarray(x.transpose(0, 3, 1, 2))
+
+
+def by_shape(frames: list[np.ndarray], batch_size: int, run: Callable[[np.ndarray], np.ndarray], dim: int) -> np.ndarray:
+    """run over batches of frames of one shape each; rows come back in the order of frames."""
+    out = np.zeros((len(frames), dim), np.float32)
+    places: dict[tuple, list[int]] = {}
+    for i, f in enumerate(frames):
+        places.setdefault(f.shape, []).append(i)
+    for same in places.values():
+        for lo in range(0, len(same), batch_size):
+            part = same[lo : lo + batch_size]
+            out[part] = run(np.stack([frames[i] for i in part]))
+    return out
+
+
+class Network:
+    """A neural embedder from an ONNX file, whose path and sha256 are settings: FRAMETIDE_MODEL_<NAME> and _SHA256."""
+
+    def __init__(self, name: str, dim: int, size: int, *, crop: bool = True, mean: tuple = MEAN, deviation: tuple = DEVIATION, batch_size: int = 32):
+        import os
+
+        self.name, self.dim, self.size, self.crop, self.mean, self.deviation, self.batch_size = name, dim, size, crop, mean, deviation, batch_size
+        key = "FRAMETIDE_MODEL_" + name.upper().replace("-", "_")
+        if key not in os.environ:
+            raise ValueError(f"{name} needs a model: set {key} to the path of its ONNX file")
+        path = weights(os.environ[key], os.environ.get(f"{key}_SHA256"))
+        import onnxruntime
+
+        self._session = onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"])
+
+    def embed(self, frames: list[np.ndarray]) -> np.ndarray:
+        return by_shape([self._fitted(f) for f in frames], self.batch_size, self._run, self.dim)
+
+    def _fitted(self, f: np.ndarray) -> np.ndarray:
+        h, w = f.shape[:2]
+        if self.crop:  # short side to size, then the middle
+            scale = self.size / min(h, w)
+            f = resize_area(f, max(self.size, round(h * scale)), max(self.size, round(w * scale)))
+            top, left = (f.shape[0] - self.size) // 2, (f.shape[1] - self.size) // 2
+            f = f[top : top + self.size, left : left + self.size]
+        else:
+            f = resize_area(f, self.size, self.size)
+        return np.clip(np.rint(f), 0, 255).astype(np.uint8)
+
+    def _run(self, images: np.ndarray) -> np.ndarray:
+        (name,) = (x.name for x in self._session.get_inputs())
+        return unit_rows(self._session.run(None, {name: standardized(images, self.mean, self.deviation)})[0])
+
+
+def weights(path: str, sha256: str | None) -> str:
+    """path, if the file there has the given digest."""
+    if sha256 is not None:
+        digest = hashlib.sha256()
+        with open(path, "rb") as file:
+            while part := file.read(1 << 20):
+                digest.update(part)
+        if digest.hexdigest() != sha256.lower():
+            raise ValueError(f"{path} isn't the model that was asked for: its sha256 is {digest.hexdigest()}")
+    return path
+
+
+register("clip-vit-b32")(lambda: Network("clip-vit-b32", 512, 224, mean=CLIP_MEAN, deviation=CLIP_DEVIATION))
+register("clip-vit-l14")(lambda: Network("clip-vit-l14", 768, 224, mean=CLIP_MEAN, deviation=CLIP_DEVIATION))
+register("sscd-disc-mixup")(lambda: Network("sscd-disc-mixup", 512, 288, crop=False))
+register("dinov2-base")(lambda: Network("dinov2-base", 768, 224, crop=False))

@@ -48,7 +48,7 @@ def metrics(rows: DataFrame, acc: Column, *by: str) -> DataFrame:
 
 
 def breakdown(rows: DataFrame, acc: Column, slices: tuple[str, ...] = ("distortion", "length_s", "film_id")) -> DataFrame:
-    """(kind, slice, metrics) for each value of each slice column, and group over unknown queries only; one pass by grouping sets."""
+    """(kind, slice, metrics) for each value of each slice column, and group over unknown queries only; rows are read once, told once a slice."""
     tagged = rows.withColumn("_acc", acc)
     pairs = [F.struct(F.lit(s).alias("kind"), F.col(s).cast("string").alias("slice")) for s in slices]
     if "group" in rows.columns:
@@ -122,6 +122,11 @@ def missing(specs: DataFrame, stored: DataFrame, failures: DataFrame) -> DataFra
     return specs.join(stored.select("query_id").distinct(), "query_id", "left_anti").join(failures.select("query_id").distinct(), "query_id", "left_anti")
 
 
+def choose(rows: DataFrame, grid: DataFrame, target_far: float, feature_is_most: bool) -> DataFrame:
+    """pick on the val split."""
+    return pick(sweep(rows.where("split = 'val'"), grid, feature_is_most), target_far, feature_is_most)
+
+
 def compare(summaries: DataFrame) -> DataFrame:
     """Runs by DIR, best first; all must share one answer key."""
     if summaries.select("answer_key_digest").distinct().count() > 1:

@@ -22,14 +22,19 @@ def media(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".mp4", "
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Films of a manifest; ids must be unique and well formed, roles known, and one film at least indexed."""
+    """Films of a manifest; ids must be unique and well formed, roles and archive kinds known, and one film at least indexed."""
     films = spark.read.schema(f"films array<struct<{schemas.FILMS.replace(' string', ':string').replace(' int', ':int').replace(' long', ':bigint')}>>").option("multiLine", True).json(path).select(F.explode("films").alias("f")).select("f.*")
-    bad = films.where(~is_video_id(F.col("id")) | ~F.coalesce(F.col("role").isin("library", "heldout"), F.lit(False)))
+    bad = films.where(~is_video_id(F.col("id")) | ~F.coalesce(F.col("role").isin("library", "heldout"), F.lit(False)) | ~F.coalesce(F.col("archive").isin("", "zip"), F.lit(True)))
     if not bad.isEmpty() or not films.groupBy("id").count().where("count > 1").isEmpty() or films.where("role = 'library'").isEmpty():
         raise ValueError("bad manifest")
     return films
 
 
+def manifest_digest(spark: SparkSession, path: str) -> str:
+    """The manifest file's sha256: what results are bound to."""
+    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
+
+
 def save_answer_key(specs: DataFrame, path: str, meta: dict) -> None:
     """JSON lines; the first file is one line with the meta data."""
     spark = specs.sparkSession

@@ -1,14 +1,15 @@
 """A versioned vector library: Parquet versions and a manifest that is replaced last.
 
-Layout: root/v<N>/lib_vectors (partitioned by key), root/v<N>/videos, and
-root/manifest/v<N>.json written when the version's tables are complete; readers
-take the highest complete one. A change writes a new version, so readers of the
+Layout: root/v<N>-<writer>/lib_vectors (partitioned by key) and videos, and
+root/manifest/v<N>.json, which names the folder and is written when its tables are complete; readers
+take the highest one. Of two writers of one version the second gets an error. A change writes a new version, so readers of the
 old one are never disturbed, and a failed change leaves it in place.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -53,7 +54,7 @@ class Library:
         m = json.loads(text)
         if m["schema_version"] != SCHEMA_VERSION:
             raise LibraryError(f"schema version {m['schema_version']}")
-        at = f"{root}/v{versions[-1]}"
+        at = f"{root}/{m['folder']}"
         out = cls(spark.read.schema(schemas.LIB_VECTORS).parquet(f"{at}/lib_vectors"), spark.read.schema(schemas.VIDEOS).parquet(f"{at}/videos"), m["embedder"], m["dim"], m["next_id"], m["next_key"])
         out.check(m["n_videos"], m["n_vectors"])
         return out
@@ -73,17 +74,18 @@ class Library:
         fs, folder = _files(spark, f"{root}/manifest")
         names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
         version = max([int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")], default=0) + 1
-        at = f"{root}/v{version}"
-        self.vectors.write.mode("overwrite").partitionBy("key").parquet(f"{at}/lib_vectors")
-        self.videos.write.mode("overwrite").parquet(f"{at}/videos")
+        name = f"v{version}-{uuid.uuid4().hex[:8]}"  # each writer has its own folder, whoever commits first
+        at = f"{root}/{name}"
+        self.vectors.write.partitionBy("key").parquet(f"{at}/lib_vectors")
+        self.videos.write.parquet(f"{at}/videos")
         n_videos, n_vectors = spark.read.schema(schemas.VIDEOS).parquet(f"{at}/videos").count(), spark.read.schema(schemas.LIB_VECTORS).parquet(f"{at}/lib_vectors").count()
-        manifest = {"schema_version": SCHEMA_VERSION, "embedder": self.embedder, "dim": self.dim, "metric": "inner_product", "next_id": self.next_id, "next_key": self.next_key, "n_videos": n_videos, "n_vectors": n_vectors}
-        _, tmp = _files(spark, f"{root}/manifest/.v{version}.tmp")
+        manifest = {"schema_version": SCHEMA_VERSION, "embedder": self.embedder, "dim": self.dim, "metric": "inner_product", "next_id": self.next_id, "next_key": self.next_key, "n_videos": n_videos, "n_vectors": n_vectors, "folder": name}
+        _, tmp = _files(spark, f"{root}/manifest/.{name}.tmp")
         _, done = _files(spark, f"{root}/manifest/v{version}.json")
         stream = fs.create(tmp, True)
         stream.write(bytearray(json.dumps(manifest).encode()))
         stream.close()
-        if not fs.rename(tmp, done):
+        if fs.exists(done) or not fs.rename(tmp, done):
             raise LibraryError(f"version {version} was written by someone else")
         return Library.load(spark, root)
 
@@ -116,22 +118,46 @@ class Library:
         counts = frames.groupBy("video_id").agg(F.count("*").cast("int").alias("n_vectors"))
         if not new.join(counts, "video_id", "left_anti").isEmpty():
             raise LibraryError("no frames")
-        base = self.remove([r["video_id"] for r in new.join(self.videos, "video_id", "left_semi").select("video_id").collect()]) if replace else self
+        base = self._without(new.select("video_id")) if replace else self
         # keys are numbered over the batch of videos, ids within a video after the videos before it
         keyed = new.join(counts, "video_id").withColumn("_n", F.row_number().over(Window.orderBy("video_id"))).withColumns({"key": (F.col("_n") - 1 + self.next_key).cast("int"), "_first": F.coalesce(F.sum("n_vectors").over(Window.orderBy("video_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + self.next_id})
-        numbered = frames.join(keyed.select("video_id", "key", "_first"), "video_id").withColumn("vector_id", F.col("_first") + F.row_number().over(Window.partitionBy("video_id").orderBy("t")) - 1)
+        numbered = frames.join(keyed.select("video_id", "key", "_first"), "video_id").withColumn("vector_id", F.col("_first") + F.row_number().over(Window.partitionBy("video_id").orderBy("t", F.xxhash64("vector"))) - 1)
         total = keyed.agg(F.count("*"), F.coalesce(F.sum("n_vectors"), F.lit(0))).first()
         return Library(base.vectors.unionByName(numbered.selectExpr("cast(vector_id as long) vector_id", "key", "cast(t as float) t", "vector")), base.videos.unionByName(keyed.select(*base.videos.columns)), self.embedder, self.dim, self.next_id + total[1], self.next_key + total[0])
 
     def remove(self, video_ids: list[str]) -> Library:
         """Without these videos; an id that isn't there is an error."""
-        gone = self.videos.where(F.col("video_id").isin(video_ids)).select("key", "video_id")
-        if gone.count() != len(set(video_ids)):
+        asked = self.videos.sparkSession.createDataFrame([(v,) for v in dict.fromkeys(video_ids)], "video_id string")
+        if not asked.join(self.videos, "video_id", "left_anti").isEmpty():
             raise LibraryError("no such video")
+        return self._without(asked)
+
+    def _without(self, video_ids: DataFrame) -> Library:
+        gone = self.videos.join(video_ids, "video_id", "left_semi").select("key")
         return Library(self.vectors.join(gone.select("key"), "key", "left_anti").select(*self.vectors.columns), self.videos.join(gone.select("key"), "key", "left_anti").select(*self.videos.columns), self.embedder, self.dim, self.next_id, self.next_key)
 
     def orphans(self) -> DataFrame:
         return self.vectors.join(self.videos, "key", "left_anti")
 
+    def get(self, video_id: str) -> DataFrame:
+        return self.videos.where(F.col("video_id") == video_id).limit(1)
+
+    def by_key(self, key: int) -> DataFrame:
+        return self.videos.where(F.col("key") == key).limit(1)
+
     def find_by_sha256(self, digest: str) -> DataFrame:
         return self.videos.where(F.col("sha256") == digest).limit(1)
+
+    def decode(self, hits: DataFrame) -> DataFrame:
+        """hits(vector_id, ...) with key, ref_t and video_id; ids that aren't in the library go."""
+        placed = hits.join(self.vectors.select("vector_id", "key", F.col("t").cast("double").alias("ref_t")), "vector_id")
+        return placed.join(self.videos.select("key", "video_id"), "key")
+
+    def listing(self) -> DataFrame:
+        """What may be told of the videos, by id; not where they came from."""
+        return self.videos.select("video_id", "duration_s", "sample_fps", "n_vectors", "indexed_at").orderBy("video_id")
+
+    def totals(self) -> DataFrame:
+        """(n_videos, n_vectors, hours, index_bytes): four bytes a number."""
+        n = F.coalesce(F.sum("n_vectors"), F.lit(0)).cast("long")
+        return self.videos.agg(F.count("*").alias("n_videos"), n.alias("n_vectors"), (F.coalesce(F.sum("duration_s"), F.lit(0.0)) / 3600).alias("hours"), (n * self.dim * 4).alias("index_bytes"))

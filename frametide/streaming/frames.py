@@ -1,12 +1,14 @@
-"""Streaming forms: sampling with late frames dropped, and resumable embedding."""
+"""Streaming forms: sampling, time repair with state, resumable embedding, clips answered as they come."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def first_per_bucket(frames: DataFrame, seconds: float, lateness: str = "10 seconds") -> DataFrame:
@@ -17,6 +19,62 @@ def first_per_bucket(frames: DataFrame, seconds: float, lateness: str = "10 seco
     return windows.agg(first.alias("f")).select("video_id", "f.*")
 
 
+REPAIRED = "video_id string, frame_idx long, pts double, t double"
+
+
+def repair_times(frames: DataFrame, fps: float = 30.0, idle: str | None = None) -> DataFrame:
+    """Rows of REPAIRED of a stream of frames(video_id, frame_idx, pts): the batch form's rule, with each video's last time as state.
+
+    Frames of a micro-batch are taken in order; one that comes late is given the
+    time after the last, not dropped. State of a video that was idle for so
+    many milliseconds is dropped where idle is given.
+    """
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        (before,) = state.get if state.exists else (-1.0,)
+        rows = pd.concat(list(parts)).sort_values("frame_idx", kind="stable")
+        times = []
+        for pts in rows["pts"]:
+            before = float(pts) if not pd.isna(pts) and pts > before else before + 1.0 / fps
+            times.append(before)
+        state.update((before,))
+        if idle is not None:
+            state.setTimeoutDuration(int(idle))
+        yield rows.assign(video_id=key[0], t=times)[["video_id", "frame_idx", "pts", "t"]]
+
+    timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+    rows = frames.select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.col("pts").cast("double").alias("pts"))
+    return rows.groupBy("video_id").applyInPandasWithState(run, REPAIRED, "before double", "append", timeout)
+
+
+def arriving(spark: SparkSession, path: str, files_at_once: int = 16) -> DataFrame:
+    """path, length, content of files as they come into a folder, at most so many in a micro-batch: what waits, waits on disk."""
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true")
+    return stream.option("maxFilesPerTrigger", files_at_once).load(path).select("path", "length", "content")
+
+
 def run_available(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Takes what is there and isn't done, batch by batch, and ends; a later call goes on from the checkpoint."""
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def embed_arriving(stream: DataFrame, store, embed: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str) -> StreamingQuery:
+    """Each micro-batch of clips becomes a shard of a query store, by the batch's number: one that is done again writes nothing twice."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        vectors, failures = embed(batch)
+        store.append(vectors, f"{number:08d}", failures)
+
+    return run_available(stream, step, checkpoint)
+
+
+def answer_arriving(stream: DataFrame, answer: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
+    """Answers of each micro-batch of clips are written as Parquet in a folder of the batch's number."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        answer(batch).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
+
+    return run_available(stream, step, checkpoint)

@@ -154,3 +154,287 @@ def test_valid_id_takes_the_whole_url(spark, tmp_path):
     rows = [(1, "a" * 60 + "/b"), (2, "a" * 60), (3, "a" * 129), (4, "http://a")]
     spark.createDataFrame(rows, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
     assert {r["page_id"]: r["ok"] for r in catalog.QUERIES["valid_id"](spark, str(tmp_path)).collect()} == {1: False, 2: True, 3: False, 4: False}
+
+
+def _npz(frames, **more):
+    import io
+
+    out = io.BytesIO()
+    np.savez(out, frames=np.stack(frames), **more)
+    return out.getvalue()
+
+
+def _picture(seed, t):
+    """A scene for every 3 s with a bar that moves."""
+    rng = np.random.default_rng([seed, int(t // 3)])
+    out = np.full((48, 64, 3), rng.integers(0, 256, 3), np.uint8)
+    for _ in range(6):
+        y, x = rng.integers(0, 40), rng.integers(0, 50)
+        out[y : y + 14, x : x + 20] = rng.integers(0, 256, 3)
+    out[:, int(t * 7) % 64] = 255
+    return out
+
+
+@pytest.fixture(scope="module")
+def media(tmp_path_factory):
+    """Two videos, a copy of one, a clip of the first from 6 s on, a clip of none, and two bad files."""
+    root = tmp_path_factory.mktemp("media")
+    for d in ("ref", "clips"):
+        (root / d).mkdir()
+    video = lambda seed, lo, hi: _npz([_picture(seed, t) for t in np.arange(lo, hi, 0.2)], fps=5.0)
+    for name, seed in (("ref a", 1), ("ref_b", 2), ("ref_c", 1)):
+        (root / "ref" / f"{name}.npz").write_bytes(video(seed, 0, 15))
+    (root / "ref" / "broken.npz").write_bytes(b"no archive")
+    (root / "ref" / "empty.npz").write_bytes(_npz([np.zeros((4, 4, 3), np.uint8)], fps=0.0))
+    (root / "clips" / "known.npz").write_bytes(video(1, 6, 11))
+    (root / "clips" / "unknown.npz").write_bytes(video(9, 0, 5))
+    return root
+
+
+def test_index_and_match(spark, media, tmp_path):
+    from frametide.config import Settings
+    from frametide.operators import index, matcher
+    from frametide.sources import videos
+
+    lib = Library.empty(spark, "tiny16", 256)
+    lib, report = index.index(lib, videos.files(spark, [str(media / "ref")]))
+    told = {r["path"].rsplit("/", 1)[1]: (r["video_id"], r["n_vectors"], r["error"]) for r in report.collect()}
+    assert told["ref a.npz"] == ("ref-a", 30, None)
+    assert told["ref_b.npz"] == ("ref_b", 30, None) and told["ref_c.npz"][2] == "the content comes twice" and told["empty.npz"][2] == "no frames, rate or size" and told["broken.npz"][2]
+    lib = lib.save(str(tmp_path / "lib"))
+    totals = lib.totals().first()
+    assert (totals["n_videos"], totals["n_vectors"], totals["index_bytes"]) == (2, 60, 60 * 256 * 4) and totals["hours"] == pytest.approx(30 / 3600)
+    names = [r["video_id"] for r in lib.listing().collect()]
+    assert names == sorted(names) and "source_path" not in lib.listing().columns
+    one = lib.get("ref_b").first()
+    assert lib.by_key(one["key"]).first()["video_id"] == "ref_b" == lib.find_by_sha256(one["sha256"]).first()["video_id"] and lib.get("none").isEmpty()
+    _, again = index.index(lib, videos.files(spark, [str(media / "ref")]))
+    assert {r["error"] for r in again.where("video_id = 'ref_b'").collect()} == {"exists"}
+    clips, failures = index.query_frames(videos.limited(videos.files(spark, [str(media / "clips"), str(media / "ref" / "broken.npz")]), 10), "tiny16")
+    assert failures.count() == 1
+    got = {r["clip_id"].rsplit("/", 1)[1]: r for r in matcher.match(clips, lib, Settings(), "tiny16").collect()}
+    assert got["known.npz"]["status"] == "match" and got["known.npz"]["video_id"] != "ref_b" and abs(got["known.npz"]["offset_s"] - 6) < 0.3 and got["unknown.npz"]["status"] == "unknown"
+    with pytest.raises(ValueError):
+        matcher.match(clips, lib, Settings(), "phash64")
+    assert {r["error"] for r in videos.probe(videos.limited(videos.files(spark, [str(media / "clips")]), 0.0001)).collect()} == {"the file can't be read"}
+
+
+def test_render_and_store(spark, media, tmp_path):
+    from frametide.operators import index, report
+    from frametide.sources import store, videos
+    from frametide.streaming import frames as streams
+
+    films = spark.createDataFrame([("f1", "library", "g", 300.0, 0.0)], "film_id string, role string, `group` string, duration_s double, pts_shift_s double")
+    base = [(f"q{i}-{k}", f"q{i}", "f1", "library", "g", "val", 2.0, 4.0 * answer_key.DISTORTIONS[k], 4.0, k, 5, 2.0) for i, k in enumerate(answer_key.DISTORTIONS)]
+    from frametide import schemas
+
+    specs = spark.createDataFrame(base, schemas.QUERY_SPECS)
+    source = videos.files(spark, [str(media / "ref" / "ref_b.npz")]).withColumn("film_id", F.lit("f1")).drop("length")
+    made = videos.render(specs, source, 2.0)
+    times = {}
+    for r in made.collect():
+        assert r["error"] is None and len(r["rgb"]) == r["h"] * r["w"] * 3
+        times.setdefault(r["query_id"].split("-")[1], []).append(r["t"])
+    assert set(times) == set(answer_key.DISTORTIONS) and all(len(t) == 8 and max(t) < 4 for t in times.values())
+    vectors = embedders.embed_frames(made.where("query_id like 'q%'").withColumnRenamed("query_id", "video_id"), ["tiny16"]).selectExpr("video_id query_id", "cast(row_number() over (partition by video_id order by t) - 1 as int) q_idx", "cast(t as float) q_t", "vector")
+    held = store.QueryStore(spark, str(tmp_path / "store"), "tiny16", 256, "digest")
+    failed = spark.createDataFrame([("q3-crop", "lost")], store.FAILURES)
+    assert held.todo(specs).count() == 10 and [r["query_id"] for r in held.todo(specs, 2).collect()] == sorted(x[0] for x in base)[:2]
+    assert held.append(vectors.where("query_id < 'q5'").where("query_id <> 'q3-crop'"), "a", failed) and not held.append(vectors, "a")
+    assert tuple(held.status(specs).first()) == ("tiny16", 10, 4, 1, 5)
+    with pytest.raises(LibraryError):
+        held.present(specs)
+    assert held.present(specs, allow_partial=True).count() == 4
+    assert held.embed(specs, lambda todo: (vectors.join(todo, "query_id", "left_semi"), failed.limit(0)), "b") and held.todo(specs).isEmpty() and held.load().select("query_id").distinct().count() == 9
+    with pytest.raises(LibraryError):
+        store.QueryStore(spark, str(tmp_path / "store"), "phash64", 64, "digest")
+    # clips that come into a folder become shards; what is done is not done again
+    clips = store.QueryStore(spark, str(tmp_path / "clips"), "tiny16", 256)
+
+    def embed(batch):
+        rows, bad = index.query_frames(batch, "tiny16")
+        return rows.withColumnRenamed("clip_id", "query_id"), bad.withColumnRenamed("clip_id", "query_id")
+
+    for _ in range(2):
+        streams.embed_arriving(streams.arriving(spark, str(media / "clips"), 1), clips, embed, str(tmp_path / "check")).awaitTermination(120)
+        assert clips.load().select("query_id").distinct().count() == 2
+    assert report.counts(answer_key.build(films)).first()["n_distortions"] == 10
+
+
+def test_stream_repairs_times(spark, tmp_path):
+    from frametide.streaming import frames as streams
+
+    rng = np.random.default_rng(2)
+    rows = [(v, i, None if rng.random() < 0.2 else float(rng.integers(0, 12)), i // 7) for v in "ab" for i in range(20)]
+    whole = spark.createDataFrame(rows, "video_id string, frame_idx long, pts double, part long")
+    for part in range(3):
+        whole.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("video_id string, frame_idx long, pts double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = streams.repair_times(stream, 10.0).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    plain = []
+    for v in "ab":
+        before = -1.0
+        for _, i, pts, _ in (r for r in rows if r[0] == v):
+            before = pts if pts is not None and pts > before else before + 0.1
+            plain.append((v, i, round(before, 6)))
+    told = lambda df: sorted((r["video_id"], r["frame_idx"], round(r["t"], 6)) for r in df.collect())
+    assert told(spark.read.parquet(str(tmp_path / "out"))) == sorted(plain) == told(sampling.repair_times(whole, 10.0))
+
+
+def test_sampler_is_the_closed_form():
+    from frametide.sources import videos
+
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        fps, step = float(rng.choice([0.5, 2, 3, 7])), 1 / 30
+        pts = [None if rng.random() < 0.1 else float(x) for x in np.cumsum(rng.choice([0, 0.04, 0.3, 1.1], 60))]
+        seen = [(p, None if rng.random() < 0.2 else np.zeros((2, 2, 3), np.uint8)) for p in pts]
+        got = [t for t, _ in videos.sampled(iter(seen), fps, None, step)]
+        want, before, used = [], -1.0, set()
+        for p, picture in seen:
+            before = p if p is not None and p > before else before + step
+            bucket = int(np.floor((before + 1e-6) * fps))
+            if picture is not None and bucket >= 0 and bucket not in used:
+                used.add(bucket)
+                want.append(before)
+        assert got == want
+
+
+def test_films(spark, tmp_path):
+    from frametide.sources import films, files
+    import json
+
+    listed = [{"id": f"f{i}", "title": "t", "role": "library" if i < 2 else "heldout", "group": f"g{i % 2}", "md5": f"{i:032x}", "archive": "zip" if i else ""} for i in range(4)]
+    path = str(tmp_path / "m.json")
+    (tmp_path / "m.json").write_text(json.dumps({"films": listed}))
+    rows = files.manifest(spark, path)
+    assert films.by_role(rows, "library").count() == 2 == films.only(rows, ["f1", "f3"]).count() and films.film(rows, "f2").count() == 1 and films.uncovered(rows).isEmpty() and len(files.manifest_digest(spark, path)) == 64
+    for record in ({"film_id": "f0", "path": "p", "duration_s": 3.0}, {"film_id": "f1", "path": "p", "duration_s": 3.0, "pts_shift_s": 0.5}):
+        films.save_record(spark, str(tmp_path / "records"), record)
+    held = films.records(spark, str(tmp_path / "records" / "*"))
+    assert [r["pts_shift_s"] for r in held.orderBy("film_id").collect()] == [0.0, 0.5]
+    with pytest.raises(LibraryError, match="f2, f3"):
+        films.with_files(rows, held)
+    with pytest.raises(LibraryError, match="f9"):
+        films.only(rows, ["f9", "f1"])
+    assert films.with_files(films.by_role(rows, "library"), held).count() == 2
+    listed[0]["archive"] = "rar"
+    (tmp_path / "m.json").write_text(json.dumps({"films": listed}))
+    with pytest.raises(ValueError):
+        files.manifest(spark, path)
+
+
+def test_answer_key_files_and_members(spark, tmp_path):
+    import zipfile
+
+    from frametide.sources import files
+
+    films = spark.createDataFrame([("f1", "library", "g", 600.0, 0.0)], "film_id string, role string, `group` string, duration_s double, pts_shift_s double")
+    specs = answer_key.build(films, seed=1, distortions=["original", "speed"])
+    files.save_answer_key(specs, str(tmp_path / "key"), {"seed": 1})
+    back, meta = files.load_answer_key(spark, str(tmp_path / "key"))
+    assert meta == {"seed": 1} and sorted(map(tuple, back.collect())) == sorted(map(tuple, specs.collect()))
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for name, n in (("x.txt", 999), ("small.mp4", 5), ("large.mkv", 50)):
+            z.writestr(name, b"0" * n)
+    (tmp_path / "b.zip").write_bytes(b"none")
+    got = {r["path"][-5:]: r for r in files.largest_member(spark.read.format("binaryFile").load(str(tmp_path / "*.zip"))).collect()}
+    assert got["a.zip"]["member"] == "large.mkv" and got["b.zip"]["error"]
+    with pytest.raises(Exception, match="too short"):
+        answer_key.build(films.withColumn("duration_s", F.lit(12.0))).collect()
+    with pytest.raises(ValueError):
+        answer_key.build(films, distortions=["none"])
+
+
+def test_report(spark, tmp_path):
+    from frametide.operators import report
+
+    rows = []
+    for i in range(40):
+        known = i % 4 != 3
+        right = i % 5 != 0
+        rows.append((f"q{i:02}", f"b{i // 2}", f"f{i % 4}", "library" if known else "heldout", f"g{i % 2}", "test" if i % 2 else "val", ["speed", "original", "crop"][i % 3], [3.0, 10.0, 5.0][i % 3], 1.0, f"f{i % 4}" if right and known else None, 0.9 if right else 0.2, 0.1, 1.0 + 0.1 * (i % 7)))
+    both = spark.createDataFrame(rows, "query_id string, base_id string, film_id string, role string, `group` string, split string, distortion string, length_s double, true_offset_s double, candidate string, confidence double, feature double, offset_s double")
+    specs = both.drop("candidate", "confidence", "feature", "offset_s")
+    judged = evaluate.judged(specs, both)
+    acc = evaluate.accepted(F.lit(0.5), F.lit(0.5), True)
+    per = report.per_query(specs, {"v2": (judged, acc), "v1": (judged, F.lit(False))})
+    first = per.first()
+    assert per.count() == 40 and first["query_id"] == "q00" and first["v2_accepted"] is False and per.where("role = 'heldout' and v2_correct is not null").isEmpty()
+    weights = evaluate.hashed_weights(judged, 50)
+    one = report.summary("v2", judged, acc, answer_key_digest="d", thresholds={"primary": 0.5}, weights=weights)
+    assert [x["slice"] for x in one["breakdown"] if x["kind"] == "distortion"] == ["original", "crop", "speed"] and [x["slice"] for x in one["breakdown"] if x["kind"] == "length_s"] == ["3.0", "5.0", "10.0"]
+    assert {x["kind"] for x in one["breakdown"]} == {"distortion", "length_s", "film_id", "group"} and one["metrics"]["n_known"] + one["metrics"]["n_unknown"] == 20
+    two = one | {"run": "v1", "metrics": one["metrics"] | {"dir": 0.99}}
+    grid = evaluate.threshold_grid(spark, "v2")
+    best = evaluate.choose(judged, grid, 0.01, True).first()
+    assert best["feasible"] and best["dir"] == pytest.approx(judged.where("split = 'val' and known").agg(F.avg(F.col("correct").cast("double"))).first()[0])
+    report.write(spark, str(tmp_path / "one"), [one, two], per, evaluate.roc(judged, grid, 0.8, True), latency={"search_p50": 1.0, "search_p95": None}, index_bytes=138_000_000)
+    text = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "one" / "report"), lineSep="\x00").collect())
+    assert "| dir |" in text and "138 MB" in text and "## DIR by distortion" in text and "| search | 1.00 | - |" in text
+    assert spark.read.option("header", True).csv(str(tmp_path / "one" / "per_query")).count() == 40
+    assert [r["run"] for r in report.compare(spark, [str(tmp_path / "one")], str(tmp_path / "cmp")).collect()] == ["v1", "v2"]
+    report.write(spark, str(tmp_path / "two"), [one | {"answer_key_digest": "other"}], per)
+    with pytest.raises(ValueError):
+        report.compare(spark, [str(tmp_path / "one"), str(tmp_path / "two")], str(tmp_path / "cmp"))
+    assert report.environment(spark)["spark"] == spark.version and report.latency_sample(specs, 3).count() == 3 and report.base_index(specs).agg(F.max("base_index")).first()[0] == 19
+    assert (report.percent(None), report.percent(0.5), report.interval(0.5, [0.25, 0.75])) == ("-", "50.0%", "50.0% [25.0, 75.0]")
+
+
+def test_monitoring(spark):
+    import json
+    import logging
+
+    from frametide import monitoring
+
+    answers, seen = monitoring.observed(spark.createDataFrame([("match", 0.9, 20.0), ("unknown", 0.3, 700.0)], "status string, confidence double, total_ms double"), "test")
+    answers.write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == 2 and seen.get["n_match"] == 1 and seen.get["total_ms_le_1000"] == 2 and seen.get["total_ms_le_25"] == 1 and "frametide_n_match 1" in monitoring.exposition(seen.get)
+    rows = spark.createDataFrame([(413, "a-1"), (422, "bad id!"), (None, "x")], "status int, request string").select(monitoring.error_column(F.col("status"), F.lit("m"), F.col("request")).alias("e")).collect()
+    assert rows[0]["e"]["error"]["code"] == "too_large" and rows[0]["e"]["request_id"] == "a-1" and rows[1]["e"]["request_id"] != "bad id!" and rows[2]["e"] is None
+    assert spark.range(1).select(monitoring.total_ms(F.create_map(F.lit("a"), F.lit(1.5), F.lit("b"), F.lit(2.0)))).first()[0] == 3.5
+    line = json.loads(monitoring.JsonLines().format(logging.makeLogRecord({"name": "x", "levelname": "INFO", "msg": "hi %s", "args": ("you",), "clip": 3})))
+    assert line["message"] == "hi you" and line["clip"] == 3 and line["level"] == "info"
+    monitoring.configure_logging()
+    assert len(logging.getLogger("frametide").handlers) == 1
+
+
+def test_networks_and_batches(tmp_path, monkeypatch):
+    rng = np.random.default_rng(0)
+    frames = [rng.integers(0, 256, s, np.uint8) for s in ((4, 6, 3), (6, 4, 3), (4, 6, 3), (4, 6, 3))]
+    seen = []
+
+    def run(images):
+        seen.append(images.shape)
+        return images.reshape(len(images), -1).sum(1, keepdims=True)
+
+    assert embedders.by_shape(frames, 2, run, 1).ravel().tolist() == [float(f.sum()) for f in frames] and sorted(seen) == [(1, 4, 6, 3), (1, 6, 4, 3), (2, 4, 6, 3)]
+    assert embedders.standardized(np.full((1, 2, 2, 3), 255, np.uint8)).shape == (1, 3, 2, 2)
+    for name in ("clip-vit-b32", "clip-vit-l14", "sscd-disc-mixup", "dinov2-base"):
+        with pytest.raises(ValueError, match="needs a model"):
+            embedders.create(name)
+    (tmp_path / "m.onnx").write_bytes(b"x")
+    monkeypatch.setenv("FRAMETIDE_MODEL_CLIP_VIT_B32", str(tmp_path / "m.onnx"))
+    monkeypatch.setenv("FRAMETIDE_MODEL_CLIP_VIT_B32_SHA256", "0" * 64)
+    with pytest.raises(ValueError, match="sha256"):
+        embedders.create("clip-vit-b32")
+    tall = rng.integers(0, 256, (900, 400, 3), np.uint8)
+    assert embedders.capped_height(tall).shape == (720, 320, 3) and embedders.distort(tall[:90], "letterbox", rng).shape == (400, 400, 3)
+    grey = np.full((8, 8, 3), 120, np.uint8)
+    assert np.abs(embedders.shift_colors(grey, 0.0, 1.0, 1.5, 0.5).astype(int) - 120).max() <= 1
+
+
+def test_settings(monkeypatch):
+    from frametide.config import Settings
+
+    monkeypatch.setenv("FRAMETIDE_TOP_K", "7")
+    assert Settings.from_env().top_k == 7 and Settings.from_env(top_k=3).top_k == 3
+    for bad in ({"top_k": 0}, {"index_fps": 0.0}, {"algorithm": "v3"}, {"v2_tolerance_s": 6.0}):
+        with pytest.raises(ValueError):
+            Settings(**bad)
+
+
+def test_rejections(spark):
+    rows = spark.createDataFrame([("a.MP4", 10, 5.0), ("a.txt", 10, 5.0), ("a.mp4", 10**9, 5.0), ("a.mp4", 10, None), ("a.mp4", 10, 90.0)], "name string, size long, d double")
+    assert [r[0] for r in rows.select(C.rejection(F.col("name"), F.col("size"), F.col("d"), [".mp4"], 50, 60)).collect()] == [None, 415, 413, 422, 422]
