@@ -40,7 +40,11 @@ def per_frame(hits: DataFrame, tolerance: float) -> DataFrame:
 
 def support(hits: DataFrame, clips: DataFrame, tolerance: float) -> DataFrame:
     """(clip_id, key, cand, support): over all frames of the clip, with or without hits."""
-    return per_frame(hits, tolerance).groupBy("clip_id", "key", "cand").agg(F.sum("s").alias("total")).join(clips, "clip_id").select("clip_id", "key", "cand", F.round(F.col("total") / F.col("n_frames"), 9).alias("support"))
+    return supported(per_frame(hits, tolerance), clips)
+
+
+def supported(frames: DataFrame, clips: DataFrame) -> DataFrame:
+    return frames.groupBy("clip_id", "key", "cand").agg(F.sum("s").alias("total")).join(clips, "clip_id").select("clip_id", "key", "cand", F.round(F.col("total") / F.col("n_frames"), 9).alias("support"))
 
 
 def best_fits(supports: DataFrame) -> DataFrame:
@@ -66,14 +70,20 @@ def weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str, n
     return at.where("_run >= _half").groupBy(*keys).agg(F.min(value).alias(name))
 
 
+def best_aligned(frames: DataFrame, fits: DataFrame, best: DataFrame) -> DataFrame:
+    """(clip_id, q_idx, s, off, q_t): the best video's frames of positive score at its best candidate."""
+    chosen = frames.join(fits.select("clip_id", "key", "cand"), ["clip_id", "key", "cand"]).where("s > 0")
+    return chosen.join(best.select("clip_id", "key"), ["clip_id", "key"]).select("clip_id", "q_idx", "s", F.col("top.off").alias("off"), F.col("top.q_t").cast("double").alias("q_t"))
+
+
 def decide(hits: DataFrame, clips: DataFrame, *, min_score: float = 0.785, max_ratio: float = 0.8, tolerance: float = 0.6) -> DataFrame:
     """One row per clip: accepted, candidate_key, confidence, offset_s, window_start, window_end, reason, runner_up, ratio, coverage, offset_spread_s, n_aligned, votes, evidence."""
     frames = per_frame(hits, tolerance)
-    fits = best_fits(support(hits, clips, tolerance))
+    fits = best_fits(supported(frames, clips))
     best = ranking(fits)
     chosen = frames.join(fits.select("clip_id", "key", "cand"), ["clip_id", "key", "cand"]).where("s > 0")
     votes = fits.select("clip_id", "key").join(chosen.groupBy("clip_id", "key").agg(F.count("*").cast("int").alias("n")), ["clip_id", "key"], "left").groupBy("clip_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", F.coalesce("n", F.lit(0)).alias("n"))))).alias("votes"))
-    aligned = chosen.join(best.select("clip_id", "key"), ["clip_id", "key"]).select("clip_id", "q_idx", "s", F.col("top.off").alias("off"), F.col("top.q_t").cast("double").alias("q_t"))
+    aligned = best_aligned(frames, fits, best)
     offset = weighted_median(aligned, ["clip_id"], "off", "s", "offset_s")
     shape = aligned.join(offset, "clip_id").groupBy("clip_id").agg(
         F.first("offset_s").alias("offset_s"), F.median(F.abs(F.col("off") - F.col("offset_s"))).alias("offset_spread_s"), F.min("q_t").alias("q_lo"), F.max("q_t").alias("q_hi"), F.count("*").alias("n_aligned"))

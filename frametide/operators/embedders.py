@@ -49,7 +49,8 @@ def _shares(n: int, m: int) -> np.ndarray:
 def resize_area(image: np.ndarray, h: int, w: int) -> np.ndarray:
     """Each pixel is the mean of the area that it covers."""
     rows, cols = _shares(image.shape[0], h), _shares(image.shape[1], w)
-    return np.einsum("hi,ij...,wj->hw...", rows, image.astype(np.float64), cols)
+    by_rows = np.tensordot(rows, image.astype(np.float64), (1, 0))
+    return np.moveaxis(np.tensordot(by_rows, cols, (1, 1)), -1, 1)
 
 
 def shrink(image: np.ndarray, short_side: int) -> np.ndarray:
@@ -185,6 +186,28 @@ def distort(image: np.ndarray, kind: str, rng: np.random.Generator) -> np.ndarra
     raise ValueError(f"unknown distortion {kind}")
 
 
+def distort_frames(frames: DataFrame, kinds: list[str], seed: int = 0) -> DataFrame:
+    """(video_id, t, distortion, h, w, rgb): each of frames(video_id, t, h, w, rgb) in each kind, with the same draws for all frames of a video."""
+    import zlib
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 32):
+                out = []
+                for r in whole.slice(lo, 32).to_pylist():
+                    if r["rgb"] is None or len(r["rgb"]) != r["h"] * r["w"] * 3:
+                        continue
+                    image = np.frombuffer(r["rgb"], np.uint8).reshape(r["h"], r["w"], 3)
+                    for kind in kinds:
+                        made = np.ascontiguousarray(distort(image, kind, np.random.default_rng([seed, zlib.crc32(f"{r['video_id']}/{kind}".encode())])))
+                        out.append((r["video_id"], r["t"], kind, made.shape[0], made.shape[1], made.tobytes()))
+                if out:
+                    a, b, c, d, e, f = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.float64()), pa.array(c, pa.string()), pa.array(d, pa.int32()), pa.array(e, pa.int32()), pa.array(f, pa.binary())], names=["video_id", "t", "distortion", "h", "w", "rgb"])
+
+    return frames.select("video_id", "t", "h", "w", "rgb").mapInArrow(run, "video_id string, t double, distortion string, h int, w int, rgb binary")
+
+
 # Mean and deviation of the pictures that the usual image networks were trained on.
 MEAN, DEVIATION = (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 CLIP_MEAN, CLIP_DEVIATION = (0.48145466, 0.4578275, 0.40821073), (0.26862954, 0.26130258, 0.27577711)

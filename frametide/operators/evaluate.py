@@ -135,7 +135,7 @@ def compare(summaries: DataFrame) -> DataFrame:
 
 
 def overlaps(specs: DataFrame) -> DataFrame:
-    """Base clips of a film that begin before the one before has ended; empty for a sound answer key."""
+    """Base clips of a film that begin before the one before has ended; empty for a sound answer key. Of equal starts the smaller base_id is before."""
     once = specs.groupBy("film_id", "base_id", "ref_start_s").agg(F.max("ref_duration_s").alias("ref_duration_s"))
-    after = F.lead("ref_start_s").over(Window.partitionBy("film_id").orderBy("ref_start_s"))
-    return once.withColumn("next_start_s", after).where("ref_start_s + ref_duration_s > next_start_s")
+    after = Window.partitionBy("film_id").orderBy("ref_start_s", "base_id")
+    return once.withColumns({"next_base_id": F.lead("base_id").over(after), "next_start_s": F.lead("ref_start_s").over(after)}).where("ref_start_s + ref_duration_s > next_start_s")

@@ -9,6 +9,7 @@ from ..config import Settings
 from ..functions.columns import is_video_id, video_id_of
 from ..sources import videos
 from ..sources.library import Library
+from ..staging import staged
 from . import embedders
 
 
@@ -57,13 +58,16 @@ def index(library: Library, rows: DataFrame, settings: Settings | None = None, *
     before all is embedded; save() commits the batch at once.
     """
     settings = settings or Settings()
-    judged = checked(rows, library, replace)
+    judged = staged(checked(rows, library, replace), "probed")
     good = judged.where("error is null").select("path", "video_id", "duration_s", "sha256")
     frames = videos.sample(rows.join(good.select("path"), "path", "left_semi"), settings.index_fps, short_side=settings.frame_short_side)
     made = embedders.embed_frames(frames.where("error is null").withColumnRenamed("path", "video_id"), [library.embedder], settings.frame_short_side)
-    vectors = made.select(F.col("video_id").alias("path"), "t", "vector")
+    ended = frames.where("error is not null").select("path", F.lit(None).cast("double").alias("t"), F.lit(None).cast("array<float>").alias("vector"), "error")
+    # decoded and embedded once; both reads of the files are of the good ones
+    both = staged(made.select(F.col("video_id").alias("path"), "t", "vector", F.lit(None).cast("string").alias("error")).union(ended), "embedded")
+    vectors = both.where("error is null").select("path", "t", "vector")
     counts = vectors.groupBy("path").agg(F.count("*").alias("n_vectors"))
-    failed = frames.where("error is not null").select("path", F.col("error").alias("decode_error"))
+    failed = both.where("error is not null").groupBy("path").agg(F.min("error").alias("decode_error"))
     report = judged.join(failed, "path", "left").join(counts, "path", "left").select("path", "video_id", F.coalesce("n_vectors", F.lit(0)).alias("n_vectors"), "duration_s", F.coalesce("error", "decode_error", F.when(F.coalesce("n_vectors", F.lit(0)) == 0, "no frames")).alias("error"))
     kept = good.join(report.where("error is null").select("path"), "path", "left_semi")
     new = kept.select("video_id", F.col("path").alias("source_path"), "sha256", "duration_s", F.lit(float(settings.index_fps)).alias("sample_fps"), F.lit(indexed_at).alias("indexed_at"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Settings
 from ..functions.columns import rounded
 from ..sources.library import Library
+from ..staging import staged
 from . import aligned, search, voting
 
 
@@ -36,6 +37,6 @@ def match(q_frames: DataFrame, library: Library, settings: Settings | None = Non
     settings = settings or Settings()
     if embedder is not None and embedder != library.embedder:
         raise ValueError(f"clips of {embedder}, library of {library.embedder}")
-    hits = search.topk(q_frames, library.vectors, settings.top_k, library.dim)
+    hits = staged(search.topk(q_frames, library.vectors, settings.top_k, library.dim), "hits")  # the rule reads them several times
     clips = q_frames.groupBy(F.col("clip_id").cast("string").alias("clip_id")).agg(F.count("*").alias("n_frames"))
     return results(decide(hits, clips, settings), library.videos, settings.algorithm, library.embedder)

@@ -5,11 +5,14 @@ Doubles are rounded to 6 digits on both sides; every tie is broken.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import aligned, evaluate, sampling, search, voting
+from ..operators import aligned, embedders, evaluate, index, matcher, sampling, search, voting
+from ..sources import files, store
+from ..sources.library import Library
+from ..staging import staged
 from . import surrogate
 
 K, DIM, TOLERANCE = 10, 64, 0.6
@@ -20,8 +23,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _hits(spark, d, k=K):
+    """Hits, searched once, and clips."""
     q = surrogate.clips(spark, d)
-    return search.topk(q, surrogate.library(spark, d), k, DIM), surrogate.clip_table(q)
+    return staged(search.topk(q, surrogate.library(spark, d), k, DIM), "hits"), surrogate.clip_table(q)
 
 
 def _r(c, n=6):
@@ -123,10 +127,15 @@ def knn_topk_blocks(spark, d):
 
 @query(f"WITH {_BASE} SELECT clip_id, q_idx, CAST(hits.rank AS INT) AS rank, concat('video-', hits.key) AS video_id, round(ref_t - q_t, 6) AS off FROM hits")
 def hit_decode(spark, d):
-    hits, _ = _hits(spark, d)
     lib = surrogate.library(spark, d)
     names = lib.select("key").distinct().withColumn("video_id", F.concat(F.lit("video-"), F.col("key")))
-    return hits.select("clip_id", "q_idx", "q_t", "rank", "vector_id").join(lib.select("vector_id", "key", "t"), "vector_id").join(names, "key").select("clip_id", "q_idx", "rank", "video_id", _r(F.col("t") - F.col("q_t")).alias("off"))
+    decoded = Library(lib, names, "surrogate", DIM).decode(_hits(spark, d)[0].select("clip_id", "q_idx", "q_t", "rank", "vector_id"))
+    return decoded.select("clip_id", "q_idx", "rank", "video_id", _r(F.col("ref_t") - F.col("q_t")).alias("off"))
+
+
+@query(f"WITH {_V2} SELECT clip_id, q_idx, CAST(rank AS INT) AS rank, round(off, 6) AS off, round(s, 6) AS s, cand FROM h")
+def offset_projection(spark, d):
+    return aligned.offsets(_hits(spark, d)[0]).select("clip_id", "q_idx", "rank", _r("off").alias("off"), _r("s").alias("s"), "cand")
 
 
 @query(f"WITH {_V2} SELECT * FROM c")
@@ -167,6 +176,37 @@ def v2_votes(spark, d):
     return aligned.decide(hits, clips.select("clip_id", "n_frames")).select("clip_id", F.explode("votes").alias("key", "n")).select("clip_id", "key", F.col("n").cast("long").alias("n"))
 
 
+def _v2_frames(spark, d):
+    hits, clips = _hits(spark, d)
+    frames = aligned.per_frame(hits, TOLERANCE)
+    fits = aligned.best_fits(aligned.supported(frames, clips.select("clip_id", "n_frames")))
+    return aligned.best_aligned(frames, fits, aligned.ranking(fits))
+
+
+@query(f"WITH {_V2} SELECT clip_id, round(offset_s, 6) AS offset_s FROM wm")
+def v2_weighted_median(spark, d):
+    return aligned.weighted_median(_v2_frames(spark, d), ["clip_id"], "off", "s", "offset_s").select("clip_id", _r("offset_s").alias("offset_s"))
+
+
+@query(f"WITH {_V2} SELECT clip_id, round(spread, 6) AS offset_spread_s FROM v2")
+def v2_spread(spark, d):
+    hits, clips = _hits(spark, d)
+    return aligned.decide(hits, clips.select("clip_id", "n_frames")).select("clip_id", _r("offset_spread_s").alias("offset_spread_s"))
+
+
+@query(f"WITH {_V2} SELECT clip_id, round(offset_s + q_lo, 2) AS window_start, round(offset_s + q_hi, 2) AS window_end, round(n_aligned / n_frames, 6) AS coverage FROM v2 WHERE key IS NOT NULL")
+def v2_window(spark, d):
+    hits, clips = _hits(spark, d)
+    return aligned.decide(hits, clips.select("clip_id", "n_frames")).where("candidate_key is not null").select("clip_id", "window_start", "window_end", _r("coverage").alias("coverage"))
+
+
+@query(f"WITH {_V2} SELECT clip_id, round(q_t, 6) AS query_t, round(q_t + off, 6) AS ref_t, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY s DESC, q_idx) AS n FROM al) WHERE n <= 10")
+def v2_evidence(spark, d):
+    hits, clips = _hits(spark, d)
+    each = aligned.decide(hits, clips.select("clip_id", "n_frames")).select("clip_id", F.explode("evidence").alias("e"))
+    return each.select("clip_id", *[_r(f"e.{c}").alias(c) for c in ("query_t", "ref_t", "score")])
+
+
 @query(f"WITH {_V1} SELECT clip_id, key, votes, round(score_sum, 6) AS score_sum FROM vo")
 def v1_votes(spark, d):
     return voting.votes(_hits(spark, d)[0]).select("clip_id", "key", "votes", _r("score_sum").alias("score_sum"))
@@ -202,6 +242,32 @@ def v1_decide(spark, d):
     return voting.decide(hits, clips.select("clip_id", "n_frames")).select("clip_id", "candidate_key", _r("confidence", 4).alias("confidence"), "offset_s", "aligned", *[_r(c).alias(c) for c in ("align_ratio", "vote_ratio")], "accepted")
 
 
+@query(f"WITH {_V1} SELECT clip_id, count(*) AS n_used, any_value(n_hits) AS n_hits, any_value(aligned) AS aligned FROM us GROUP BY clip_id")
+def v1_inliers(spark, d):
+    hits, _ = _hits(spark, d)
+    own = voting.winner_hits(hits, voting.winner(voting.votes(hits)))
+    return voting.inliers(own, voting.histogram_mode(own)).groupBy("clip_id").agg(F.count("*").alias("n_used"), F.first("n_hits").alias("n_hits"), F.first("aligned").alias("aligned"))
+
+
+@query(f"WITH {_V1} SELECT clip_id, round(confidence, 4) AS confidence, round(base_conf, 5) AS base_conf, round(align_ratio, 6) AS align_ratio FROM v1 WHERE key IS NOT NULL")
+def v1_confidence(spark, d):
+    hits, clips = _hits(spark, d)
+    return voting.decide(hits, clips.select("clip_id", "n_frames")).where("candidate_key is not null").select("clip_id", _r("confidence", 4).alias("confidence"), _r("base_conf", 5).alias("base_conf"), _r("align_ratio").alias("align_ratio"))
+
+
+@query(f"WITH {_V1} SELECT clip_id, round(est_timestamp, 2) AS est_timestamp FROM v1")
+def v1_timestamp(spark, d):
+    hits, clips = _hits(spark, d)
+    return voting.decide(hits, clips.select("clip_id", "n_frames")).select("clip_id", _r("est_timestamp", 2).alias("est_timestamp"))
+
+
+@query(f"WITH {_V1}, e1 AS (SELECT *, row_number() OVER (PARTITION BY clip_id, round(ref_t, 2) ORDER BY pos) AS n FROM ow), e2 AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY pos) AS m FROM e1 WHERE n = 1) SELECT clip_id, CAST(m - 1 AS INT) AS place, q_t AS query_t, CAST(ref_t AS DOUBLE) AS ref_t, round(score, 6) AS score FROM e2 WHERE m <= 10")
+def v1_evidence(spark, d):
+    hits, clips = _hits(spark, d)
+    each = voting.decide(hits, clips.select("clip_id", "n_frames")).select("clip_id", F.posexplode("evidence").alias("place", "e"))
+    return each.select("clip_id", "place", "e.query_t", "e.ref_t", _r("e.score").alias("score"))
+
+
 def _judged(spark, d):
     hits, clips = _hits(spark, d)
     done = aligned.decide(hits, clips.select("clip_id", "n_frames"))
@@ -292,19 +358,16 @@ def pts_repair(spark, d):
 
 @query("SELECT a.doc_id, min(b.doc_id) AS other FROM documents a JOIN documents b ON sha256(a.text) = sha256(b.text) AND a.doc_id <> b.doc_id GROUP BY a.doc_id")
 def dup_content(spark, d):
-    """The least other id of the same content: from the two least of each content, so that no group is squared."""
-    rows = _table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
-    two = rows.groupBy("sha256").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("n")).where("n > 1")
-    second = rows.join(two, "sha256").where("doc_id > a").groupBy("sha256").agg(F.min("doc_id").alias("b"))
-    return rows.join(two, "sha256").join(second, "sha256").select("doc_id", F.when(F.col("doc_id") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"))
+    """The least other id of the same content."""
+    return index.content_duplicates(_table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256")), "doc_id", "sha256")
 
 
 @query("SELECT doc_id, sha256(text) AS sha256, md5(text) AS md5 FROM documents")
 def file_hash(spark, d):
-    return _table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.md5("text").alias("md5"))
+    return index.digests(_table(spark, d, "documents"), "text").select("doc_id", "sha256", "md5")
 
 
-@query("SELECT page_id, regexp_matches(substr(url, 1, 40), '^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$') AS ok, regexp_matches(concat('v', page_id), '^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$') AS ok2 FROM pages")
+@query("SELECT page_id, regexp_matches(url, '^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$') AS ok, regexp_matches(concat('v', page_id), '^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$') AS ok2 FROM pages")
 def valid_id(spark, d):
     return _table(spark, d, "pages").select("page_id", C.is_video_id(F.col("url")).alias("ok"), C.is_video_id(F.concat(F.lit("v"), F.col("page_id"))).alias("ok2"))
 
@@ -324,14 +387,21 @@ def resume_antijoin(spark, d):
 
 @query("SELECT lang, count(*) AS n, count(l.doc_id) AS done FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY lang")
 def progress(spark, d):
-    done = _table(spark, d, "labels").select("doc_id").distinct().withColumn("done", F.lit(1))
-    return _table(spark, d, "documents").join(done, "doc_id", "left").groupBy("lang").agg(F.count("*").alias("n"), F.count("done").alias("done"))
+    done = _table(spark, d, "labels")
+    return store.progress(_table(spark, d, "documents"), done, done.limit(0), "lang", key="doc_id").select("lang", "n", "done")
+
+
+@query("SELECT 'surrogate' AS embedder, count(*) AS n, count(*) FILTER (quality = 1) AS done, count(*) FILTER (coalesce(quality, 0) <> 1 AND toxic = 1) AS failed, count(*) FILTER (coalesce(quality, 0) <> 1 AND coalesce(toxic, 0) <> 1) AS todo FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)")
+def store_status(spark, d):
+    """labels stand for the store: quality 1 is stored, toxic 1 failed."""
+    marks = _table(spark, d, "labels").withColumnRenamed("doc_id", "query_id")
+    specs = _table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.lit("surrogate").alias("embedder"))
+    return store.progress(specs, marks.where("quality = 1"), marks.where("toxic = 1"), "embedder")
 
 
 @query("SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start FROM conversations")
 def exclusive_prefix(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return _table(spark, d, "conversations").select("conv_id", "turn", F.sum(F.length("text")).over(w).alias("start"))
+    return store.shard_starts(_table(spark, d, "conversations"), "conv_id", "turn", F.length("text")).select("conv_id", "turn", "start")
 
 
 @query("SELECT quantile_cont(value, 0.5) AS value_p50, quantile_cont(value, 0.95) AS value_p95 FROM events")
@@ -346,14 +416,11 @@ def histogram_metrics(spark, d):
 
 @query("SELECT a.event_id, b.event_id AS next_id FROM (SELECT *, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS event_b, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts FROM events) a JOIN events b ON a.event_b = b.event_id WHERE epoch_us(a.ts) / 1e6 + 600 > epoch_us(a.next_ts) / 1e6")
 def answer_key_overlap(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = _table(spark, d, "events").withColumns({"next_id": F.lead("event_id").over(w), "s": F.unix_micros(F.col("ts").cast("timestamp")) / 1e6})
-    return rows.withColumn("next_s", F.lead("s").over(w)).where("s + 600 > next_s").select("event_id", "next_id")
+    rows = _table(spark, d, "events").select(F.col("user_id").alias("film_id"), F.col("event_id").alias("base_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ref_start_s"), F.lit(600.0).alias("ref_duration_s"))
+    return evaluate.overlaps(rows).select(F.col("base_id").alias("event_id"), F.col("next_base_id").alias("next_id"))
 
 
 def _library(spark, d):
-    from ..sources.library import Library
-
     rows = surrogate.library(spark, d).withColumn("video_id", F.concat(F.lit("v"), F.col("key")))
     videos = rows.groupBy("video_id").agg(F.max("t").alias("duration_s")).select("video_id", F.lit("table").alias("source_path"), F.sha2("video_id", 256).alias("sha256"), "duration_s", F.lit(2.0).alias("sample_fps"), F.lit("1970-01-01T00:00:00+00:00").alias("indexed_at"))
     return Library.empty(spark, "surrogate", DIM), videos, rows.select("video_id", "t", "vector")
@@ -387,12 +454,87 @@ def library_replace(spark, d):
     return lib.add(videos, frames).add(one, frames.join(one.select("video_id"), "video_id", "left_semi"), replace=True).vectors.select("key", "vector_id")
 
 
-@query()
-def match_results(spark, d):
-    from ..operators import matcher
+@query(f"WITH {_LB} y AS (SELECT CAST(label AS INT) AS key, row_number() OVER (ORDER BY label, rn) - 1 AS vector_id FROM lb) SELECT key, vector_id FROM y WHERE key IN (2, 5)")
+def orphan_vectors(spark, d):
+    lib, videos, frames = _library(spark, d)
+    full = lib.add(videos, frames)
+    return Library(full.vectors, full.videos.where("key not in (2, 5)"), full.embedder, full.dim).orphans().select("key", "vector_id")
+
+
+@query(f"WITH {_LB} x AS (SELECT video_id, label, count(*) AS n FROM lb GROUP BY ALL) SELECT 'key' AS by_what, video_id, CAST(n AS INT) AS n_vectors FROM x WHERE label = 3 UNION ALL SELECT 'id', video_id, CAST(n AS INT) FROM x WHERE video_id = 'v5' UNION ALL SELECT 'sha256', video_id, CAST(n AS INT) FROM x WHERE video_id = 'v6'")
+def key_lookup(spark, d):
+    lib, videos, frames = _library(spark, d)
+    full = lib.add(videos, frames)
+    digest = videos.where("video_id = 'v6'").first()["sha256"]
+    found = {"key": full.by_key(3), "id": full.get("v5"), "sha256": full.find_by_sha256(digest)}
+    parts = [rows.select(F.lit(k).alias("by_what"), "video_id", "n_vectors") for k, rows in found.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(f"WITH {_LB} x AS (SELECT count(*) AS n, max(rn) * 0.5 AS s FROM lb GROUP BY label) SELECT count(*) AS n_videos, CAST(sum(n) AS BIGINT) AS n_vectors, round(sum(s) / 3600, 6) AS hours, CAST(sum(n) * 256 AS BIGINT) AS index_bytes FROM x")
+def library_totals(spark, d):
+    lib, videos, frames = _library(spark, d)
+    return lib.add(videos, frames).totals().select("n_videos", "n_vectors", _r("hours").alias("hours"), "index_bytes")
+
+
+@query("SELECT count(*) AS n_films, count(*) FILTER (NOT regexp_matches(id, '^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$')) AS bad_ids, count(*) FILTER (role NOT IN ('library', 'heldout')) AS bad_roles, 0::BIGINT AS bad_archives, (SELECT count(*) FROM (SELECT n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name HAVING count(*) > 1)) AS repeated_ids, count(*) FILTER (role = 'library') AS n_library FROM (SELECT n_name AS id, CASE WHEN s_acctbal < 0 THEN 'none' WHEN s_suppkey % 3 = 0 THEN 'heldout' ELSE 'library' END AS role FROM supplier JOIN nation ON s_nationkey = n_nationkey)")
+def manifest_validate(spark, d):
+    """Suppliers by their nation's name as a manifest with faults."""
+    met = _table(spark, d, "supplier").join(_table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    role = F.when(F.col("s_acctbal") < 0, "none").when(F.col("s_suppkey") % 3 == 0, "heldout").otherwise("library")
+    return files.manifest_problems(met.select(F.col("n_name").alias("id"), role.alias("role"), F.lit("").alias("archive")))
+
+
+def _pictures(spark, d):
+    """The 64 numbers of each embedding as a grey picture of 8 by 8."""
+    byte = lambda x: F.lpad(F.hex(F.floor((x.cast("double") + 1) * 127.5).cast("long")), 2, "0")
+    rgb = F.unhex(F.array_join(F.transform("embedding", lambda x: F.concat(byte(x), byte(x), byte(x))), ""))
+    return _table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("video_id"), F.lit(0.0).alias("t"), F.lit(8).alias("h"), F.lit(8).alias("w"), rgb.alias("rgb"))
+
+
+_PX = "px AS (SELECT CAST(vec_id AS VARCHAR) AS video_id, unnest(range(64)) AS i, floor((CAST(unnest(embedding) AS DOUBLE) + 1) * 127.5) AS g FROM embeddings)"
+
 
+@query(f"WITH {_PX}, m AS (SELECT *, g - avg(g) OVER w AS x, 2 * sqrt(sum(g * g) OVER w - 64 * (avg(g) OVER w) ** 2) AS n FROM px WINDOW w AS (PARTITION BY video_id)) SELECT video_id, round(max(x / n) FILTER (i = 0), 4) AS first, round(max(x / n) FILTER (i = 63), 4) AS last, round(max(x / n), 4) AS most FROM m GROUP BY video_id")
+def tiny16(spark, d):
+    """Each pixel of 8 by 8 is four of 16 by 16."""
+    made = embedders.embed_frames(_pictures(spark, d), ["tiny16"])
+    at = lambda i: F.round(F.get("vector", F.lit(i)).cast("double"), 4)
+    return made.select("video_id", at(0).alias("first"), at(255).alias("last"), F.round(F.array_max("vector").cast("double"), 4).alias("most"))
+
+
+@query(
+    f"""WITH {_PX}, a AS (SELECT k, a, sum((CASE WHEN k = 0 THEN sqrt(1.0 / 32) ELSE sqrt(2.0 / 32) END) * cos(pi() * (2 * (4 * a + r) + 1) * k / 64)) AS m FROM range(8) t(k), range(8) u(a), range(4) v(r) GROUP BY k, a),
+co AS (SELECT video_id, x.k * 8 + y.k AS place, sum(x.m * y.m * g) AS c FROM px JOIN a x ON x.a = i // 8 JOIN a y ON y.a = i % 8 GROUP BY video_id, x.k, y.k),
+md AS (SELECT video_id, median(c) AS md FROM co WHERE place > 0 GROUP BY video_id)
+SELECT video_id, string_agg(CASE WHEN c > md THEN '1' ELSE '0' END, '' ORDER BY place) AS bits FROM co JOIN md USING (video_id) GROUP BY video_id"""
+)
+def phash64(spark, d):
+    made = embedders.embed_frames(_pictures(spark, d), ["phash64"])
+    return made.select("video_id", F.array_join(F.transform("vector", lambda x: F.when(x > 0, "1").otherwise("0")), "").alias("bits"))
+
+
+@query(
+    f"""WITH {_PX}, k AS (SELECT unnest(['original', 'mirror', 'compression', 'letterbox', 'speed']) AS distortion)
+SELECT video_id, distortion, CAST(max(v) FILTER (i = CASE WHEN distortion = 'mirror' THEN 7 ELSE 0 END) AS BIGINT) AS first, CAST(sum(v) AS BIGINT) AS total
+FROM (SELECT video_id, distortion, i, CASE WHEN distortion = 'compression' THEN floor(g / 24) * 24 + 12 ELSE g END AS v FROM px, k) GROUP BY video_id, distortion"""
+)
+def distortions(spark, d):
+    """The kinds that draw nothing."""
+    made = embedders.distort_frames(_pictures(spark, d), ["original", "mirror", "compression", "letterbox", "speed"])
+    grey = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substring(F.hex("rgb"), i * 6 + 1, F.lit(2)), 16, 10).cast("long"))
+    return made.select("video_id", "distortion", F.get(grey, F.lit(0)).alias("first"), F.aggregate(grey, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(
+    f"""WITH {_V2} SELECT clip_id, CASE WHEN accepted THEN 'match' ELSE 'unknown' END AS status, CASE WHEN accepted THEN concat('video-', key) END AS video_id, round(confidence, 4) AS confidence, CASE WHEN accepted THEN round(offset_s, 3) END AS offset_s,
+CASE WHEN accepted THEN round(offset_s + q_lo, 2) END AS window_start, CASE WHEN accepted THEN round(offset_s + q_hi, 2) END AS window_end, CASE WHEN key IS NOT NULL THEN concat('video-', key) END AS candidate, CASE WHEN key IS NOT NULL THEN round(offset_s, 3) END AS candidate_offset_s,
+reason, CAST(n_frames AS INT) AS n_query_frames, round(ratio, 4) AS ratio FROM v2"""
+)
+def match_results(spark, d):
     hits, clips = _hits(spark, d)
-    lib = surrogate.library(spark, d)
-    names = lib.select("key").distinct().withColumn("video_id", F.concat(F.lit("video-"), F.col("key")))
+    names = surrogate.library(spark, d).select("key").distinct().withColumn("video_id", F.concat(F.lit("video-"), F.col("key")))
     out = matcher.results(aligned.decide(hits, clips.select("clip_id", "n_frames")), names, "v2", "surrogate")
-    return out.select("clip_id", F.to_json(F.struct(*[c for c in out.columns if c != "clip_id"])).alias("result"))
+    return out.select(
+        "clip_id", "status", "video_id", "confidence", "offset_s", F.col("ref_window.start").alias("window_start"), F.col("ref_window.end").alias("window_end"), F.col("candidate.video_id").alias("candidate"),
+        F.col("candidate.offset_s").alias("candidate_offset_s"), "reason", "n_query_frames", F.col("diagnostics.ratio").alias("ratio"))

@@ -24,12 +24,22 @@ def media(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".mp4", "
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Films of a manifest; ids must be unique and well formed, roles and archive kinds known, and one film at least indexed."""
     films = spark.read.schema(f"films array<struct<{schemas.FILMS.replace(' string', ':string').replace(' int', ':int').replace(' long', ':bigint')}>>").option("multiLine", True).json(path).select(F.explode("films").alias("f")).select("f.*")
-    bad = films.where(~is_video_id(F.col("id")) | ~F.coalesce(F.col("role").isin("library", "heldout"), F.lit(False)) | ~F.coalesce(F.col("archive").isin("", "zip"), F.lit(True)))
-    if not bad.isEmpty() or not films.groupBy("id").count().where("count > 1").isEmpty() or films.where("role = 'library'").isEmpty():
-        raise ValueError("bad manifest")
+    found = manifest_problems(films).first()
+    if any(found[c] for c in ("bad_ids", "bad_roles", "bad_archives", "repeated_ids")) or not found["n_library"]:
+        raise ValueError(f"bad manifest: {found.asDict()}")
     return films
 
 
+def manifest_problems(films: DataFrame) -> DataFrame:
+    """One row: n_films, bad_ids, bad_roles, bad_archives, repeated_ids (ids that come twice or more), n_library."""
+    bad = lambda c: F.count(F.when(c, 1))
+    per = films.groupBy("id").agg(
+        F.count("*").alias("n"), bad(~is_video_id(F.col("id"))).alias("bad_ids"), bad(~F.coalesce(F.col("role").isin("library", "heldout"), F.lit(False))).alias("bad_roles"),
+        bad(~F.coalesce(F.col("archive").isin("", "zip"), F.lit(True))).alias("bad_archives"), bad(F.col("role") == "library").alias("n_library"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_films"), total("bad_ids"), total("bad_roles"), total("bad_archives"), bad(F.col("n") > 1).alias("repeated_ids"), total("n_library"))
+
+
 def manifest_digest(spark: SparkSession, path: str) -> str:
     """The manifest file's sha256: what results are bound to."""
     return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
