@@ -1,8 +1,8 @@
 """Exact inner-product top-k.
 
 Below ``broadcast_bytes`` the library is one broadcast matrix, and each task
-multiplies its own batches by it. Above, the library is dealt into blocks of
-bounded size; every query meets every block once, and the k best of each block
+multiplies its own batches by it. Above, the library is dealt into blocks of about
+``block_bytes``; every query meets every block once, and the k best of each block
 are merged. Ties go to the smaller vector_id. Rows whose vector is null or of the
 wrong length give no hits; an empty library gives none.
 """
@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,28 +19,37 @@ from pyspark.sql import functions as F
 from ..functions.columns import inner_product, is_valid_vector
 
 BROADCAST_BYTES = 256 << 20
-BLOCK_VECTORS = 200_000
+BLOCK_BYTES = 128 << 20
+SQL_VECTORS = 50_000
 BATCH = 1024
 _OUT = "clip_id string, q_idx int, q_t double, vector_id long, key int, ref_t double, score double"
 
 
-def _best(q: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, place) of the k best of each query; vectors by ascending id."""
-    scores = q @ vectors.T
-    if scores.shape[1] > k:
-        edge = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
-        rows, places = np.nonzero(scores >= edge[:, None])
+def _best(q: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, score) of the k best of each query, the best first; vectors by ascending id.
+
+    Products are taken in the vectors' own precision; all that may be among the k best
+    by its rounding error are scored again in double precision.
+    """
+    near = q.astype(vectors.dtype) @ vectors.T
+    if near.shape[1] > k:
+        error = 2 * np.finfo(vectors.dtype).eps * q.shape[1] * float(np.linalg.norm(q, axis=1).max(initial=0)) * float(np.linalg.norm(vectors, axis=1).max(initial=0))
+        edge = np.partition(near, near.shape[1] - k, axis=1)[:, -k]
+        rows, places = np.nonzero(near >= (edge - error)[:, None])
     else:
-        rows, places = np.nonzero(np.ones_like(scores, bool))
-    order = np.lexsort((ids[places], -scores[rows, places], rows))
-    rows, places = rows[order], places[order]
+        rows, places = np.nonzero(np.ones_like(near, bool))
+    scores = np.concatenate([np.einsum("ij,ij->i", q[rows[lo : lo + 65_536]].astype(np.float64), vectors[places[lo : lo + 65_536]].astype(np.float64)) for lo in range(0, len(rows), 65_536)] or [np.zeros(0)])
+    order = np.lexsort((ids[places], -scores, rows))
+    rows, places, scores = rows[order], places[order], scores[order]
     nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
     keep = nth < k
-    return rows[keep], places[keep], scores
+    return rows[keep], places[keep], scores[keep]
 
 
-def _matrix(column: list) -> np.ndarray:
-    return np.array(column, np.float64)
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """(rows, dim) of a list column without nulls, in its own precision."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -49,14 +57,14 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
-def topk(queries: DataFrame, library: DataFrame, k: int, dim: int, *, broadcast_bytes: int = BROADCAST_BYTES, block_vectors: int = BLOCK_VECTORS) -> DataFrame:
+def topk(queries: DataFrame, library: DataFrame, k: int, dim: int, *, broadcast_bytes: int = BROADCAST_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """hits(clip_id, q_idx, q_t, rank, vector_id, key, ref_t, score) of queries(clip_id, q_idx, q_t, vector) in library(vector_id, key, t, vector)."""
     lib = library.where(is_valid_vector(F.col("vector"), dim)).select("vector_id", "key", F.col("t").cast("double").alias("t"), "vector")
     q = queries.where(is_valid_vector(F.col("vector"), dim)).select(F.col("clip_id").cast("string").alias("clip_id"), F.col("q_idx").cast("int").alias("q_idx"), F.col("q_t").cast("double").alias("q_t"), "vector")
-    n = lib.count()
-    if n * dim * 8 <= broadcast_bytes:
-        held = lib.orderBy("vector_id").toPandas()
-        shared = queries.sparkSession.sparkContext.broadcast((held["vector_id"].to_numpy(np.int64), held["key"].to_numpy(np.int32), held["t"].to_numpy(np.float64), _matrix(held["vector"].tolist()).reshape(len(held), dim)))
+    n, width = lib.count(), 4 if "float" in lib.schema["vector"].dataType.simpleString() else 8
+    if n * dim * width <= broadcast_bytes:
+        held = lib.orderBy("vector_id").toArrow()
+        shared = queries.sparkSession.sparkContext.broadcast((held["vector_id"].to_numpy().astype(np.int64), held["key"].to_numpy().astype(np.int32), held["t"].to_numpy(), _matrix(held["vector"], dim)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, keys, times, vectors = shared.value
@@ -65,34 +73,38 @@ def topk(queries: DataFrame, library: DataFrame, k: int, dim: int, *, broadcast_
                     batch = whole.slice(lo, BATCH)
                     if not len(ids) or not batch.num_rows:
                         continue
-                    rows, places, scores = _best(_matrix(batch.column(3).to_pylist()), vectors, ids, k)
+                    rows, places, scores = _best(_matrix(batch.column(3), dim), vectors, ids, k)
                     take = pa.array(rows)
                     nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(nth.astype(np.int32)), pa.array(ids[places]), pa.array(keys[places]), pa.array(times[places]), pa.array(scores[rows, places])], names=["clip_id", "q_idx", "q_t", "rank", "vector_id", "key", "ref_t", "score"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(nth.astype(np.int32)), pa.array(ids[places]), pa.array(keys[places]), pa.array(times[places]), pa.array(scores)], names=["clip_id", "q_idx", "q_t", "rank", "vector_id", "key", "ref_t", "score"])
 
         return q.mapInArrow(run, "clip_id string, q_idx int, q_t double, rank int, vector_id long, key int, ref_t double, score double")
-    blocks = -(-n // block_vectors)
+    blocks = -(-n * dim * width // block_bytes)
 
-    def meet(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("vector_id")
+    def meet(_, left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = (pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.float64(), pa.float64())
         out = []
-        for lo in range(0, len(left), BATCH):
-            part = left.iloc[lo : lo + BATCH]
-            if len(right):
-                ids = right["vector_id"].to_numpy()
-                rows, places, scores = _best(_matrix(part["vector"].tolist()), _matrix(right["vector"].tolist()), ids, k)
-                out.append(pd.DataFrame({"clip_id": part["clip_id"].to_numpy()[rows], "q_idx": part["q_idx"].to_numpy()[rows], "q_t": part["q_t"].to_numpy()[rows], "vector_id": ids[places], "key": right["key"].to_numpy()[places], "ref_t": right["t"].to_numpy()[places], "score": scores[rows, places]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=[x.split()[0] for x in _OUT.split(", ")])
+        right = right.sort_by("vector_id")
+        vectors, ids = _matrix(right["vector"], dim), right["vector_id"].to_numpy()
+        for lo in range(0, left.num_rows if right.num_rows else 0, BATCH):
+            part = left.slice(lo, BATCH)
+            rows, places, scores = _best(_matrix(part["vector"], dim), vectors, ids, k)
+            mine, own = part.select(["clip_id", "q_idx", "q_t"]).take(pa.array(rows)), right.select(["vector_id", "key", "t"]).take(pa.array(places))
+            out.append(pa.table([c.cast(t) for c, t in zip([*mine.columns, *own.columns, pa.chunked_array([scores])], kinds, strict=True)], names=[x.split()[0] for x in _OUT.split(", ")]))
+        empty = pa.table([pa.array([], t) for t in kinds], names=[x.split()[0] for x in _OUT.split(", ")])
+        return pa.concat_tables(out) if out else empty
 
     parts = max(1, -(-q.count() // 20_000))  # queries of a block are dealt too: no task holds them all
     left = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(int(blocks - 1))))).withColumn("part", F.pmod(F.hash("clip_id", "q_idx"), F.lit(parts)))
     right = lib.withColumn("block", F.pmod(F.hash("vector_id"), F.lit(int(blocks)))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(meet, _OUT)
+    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(meet, _OUT)
     return _ranked(met, k).select("clip_id", "q_idx", "q_t", "rank", "vector_id", "key", "ref_t", "score")
 
 
 def topk_sql(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
-    """The same as a relational plan, for small libraries: nested loop and a group limit before the shuffle."""
-    pairs = queries.crossJoin(F.broadcast(library.withColumnRenamed("vector", "lv").withColumnRenamed("t", "lt")) if library.limit(50_001).count() <= 50_000 else library.withColumnRenamed("vector", "lv").withColumnRenamed("t", "lt"))
+    """The same as a relational plan: nested loop over a broadcast library and a group limit before the shuffle; larger libraries are refused."""
+    if library.limit(SQL_VECTORS + 1).count() > SQL_VECTORS:
+        raise ValueError(f"more than {SQL_VECTORS} vectors: use topk")
+    pairs = queries.crossJoin(F.broadcast(library.withColumnRenamed("vector", "lv").withColumnRenamed("t", "lt")))
     scored = pairs.select(F.col("clip_id").cast("string").alias("clip_id"), "q_idx", F.col("q_t").cast("double").alias("q_t"), "vector_id", "key", F.col("lt").cast("double").alias("ref_t"), inner_product(F.col("vector"), F.col("lv")).alias("score"))
     return _ranked(scored, k).select("clip_id", "q_idx", "q_t", "rank", "vector_id", "key", "ref_t", "score")

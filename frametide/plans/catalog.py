@@ -122,7 +122,7 @@ def knn_topk_sql(spark, d):
 
 @query(f"WITH {_BASE} SELECT clip_id, q_idx, CAST(rank AS INT) AS rank, vector_id FROM hits")
 def knn_topk_blocks(spark, d):
-    return search.topk(surrogate.clips(spark, d), surrogate.library(spark, d), K, DIM, broadcast_bytes=0, block_vectors=200).select("clip_id", "q_idx", "rank", "vector_id")
+    return search.topk(surrogate.clips(spark, d), surrogate.library(spark, d), K, DIM, broadcast_bytes=0, block_bytes=200 * DIM * 4).select("clip_id", "q_idx", "rank", "vector_id")
 
 
 @query(f"WITH {_BASE} SELECT clip_id, q_idx, CAST(hits.rank AS INT) AS rank, concat('video-', hits.key) AS video_id, round(ref_t - q_t, 6) AS off FROM hits")

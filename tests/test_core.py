@@ -82,7 +82,7 @@ def test_search_forms_agree(spark):
     q = spark.createDataFrame([("c", i, float(i), v) for i, v in enumerate(unit(7))], "clip_id string, q_idx int, q_t double, vector array<float>")
     told = lambda df: sorted((r["q_idx"], r["rank"], r["vector_id"]) for r in df.collect())
     one = told(search.topk(q, lib, 5, 8))
-    assert len(one) == 35 and one == told(search.topk(q, lib, 5, 8, broadcast_bytes=0, block_vectors=9)) == told(search.topk_sql(q, lib.where("vector is not null"), 5))
+    assert len(one) == 35 and one == told(search.topk(q, lib, 5, 8, broadcast_bytes=0, block_bytes=9 * 8 * 4)) == told(search.topk_sql(q, lib.where("vector is not null"), 5))
     assert search.topk(q, lib.where("false"), 5, 8).count() == 0
 
 
