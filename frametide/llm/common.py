@@ -7,10 +7,7 @@ a handful of numpy passes over about 1 MB at a time, whatever the batch size is.
 
 from __future__ import annotations
 
-import atexit
 import gc
-import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,30 +16,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import new_path
+
 BLOCK_BYTES = 1 << 20
 MAP_BITS = 27
-_FALLBACK_DIR = "/tmp/checkpoints"
-_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; our own only where none is set and all run on one machine."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (found or _FALLBACK_DIR).rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/frametide-{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append((spark, path))
-    return path
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it: lineage ends there.
 
@@ -58,18 +41,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def _clean() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended: the shared folder's owner cleans up
-            return
-
-
-atexit.register(_clean)
-
 _U = np.uint64
 
 

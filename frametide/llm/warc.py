@@ -32,7 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, row_key
+from ..staging import new_path
+from .common import materialize, row_key
 
 BLOCK_LINES = 2_000
 FILE_BYTES = 256 << 20
