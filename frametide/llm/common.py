@@ -7,8 +7,10 @@ a handful of numpy passes over about 1 MB at a time, whatever the batch size is.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,6 +43,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def kept_between_tasks(name: str, clear: Callable[[], None]) -> None:
+    """Names what a Python worker keeps for its next task of the same kind, and how to let it go."""
+    _CACHES[name] = clear
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keep: str | None = None) -> DataFrame:
+    """mapInArrow in workers that give back memory.
+
+    Workers are used again for other stages, and idle ones stay. A task
+    begins without what others keep, and what it freed goes to the system when it ends.
+    """
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _let_go(keep)
+        yield from run(batches)
+        _give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def _let_go(keep: str | None) -> None:
+    for name, clear in _CACHES.items():
+        if name != keep:
+            clear()
+
+
+def _give_back() -> None:
+    _powers[:] = [np.ones(1, _U), np.ones(1, _U)]
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _U = np.uint64
 
 
@@ -153,7 +191,7 @@ def bitmap_of(keys: DataFrame, bits: int) -> np.ndarray:
     out = np.zeros((1 << bits - low, 1 << low >> 3), np.uint8)
     spread = F.shiftrightunsigned(keys.columns[0], 64 - bits + low) if bits > low else F.lit(0)
     n = max(1, min(1 << bits - low, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    for r in keys.repartition(n, spread).mapInArrow(run, "part long, bits binary").collect():
+    for r in keys.repartition(n, spread).transform(mapped, run, "part long, bits binary").collect():
         out[r["part"]] |= np.frombuffer(r["bits"], np.uint8)
     return out.ravel()
 

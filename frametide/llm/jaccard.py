@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, blocks, gram_hashes, materialize, mix
+from .common import among, blocks, gram_hashes, mapped, materialize, mix
 from .graph import Forest, components, small, sorted_groups
 
 SHINGLE, PERCENT = 5, 80
@@ -105,7 +105,7 @@ def _measure(documents: DataFrame, k: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((none, none, none, none, none, list(range(SKETCH_PARTS)), pieces), kinds, strict=True)], names=names)
 
     # a text without an id is found again by its hash
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("alt")).mapInArrow(run, _SETS)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("alt")).transform(mapped, run, _SETS)
 
 
 def _sketch(measured: DataFrame) -> np.ndarray:
@@ -121,7 +121,7 @@ def _sketch(measured: DataFrame) -> np.ndarray:
 
     out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.uint32)
     pieces = measured.where("part is not null").select("part", "counts")
-    for r in pieces.repartition(SKETCH_PARTS, "part").mapInArrow(total, "part int, counts binary").collect():
+    for r in pieces.repartition(SKETCH_PARTS, "part").transform(mapped, total, "part int, counts binary").collect():
         out[r["part"]] += np.frombuffer(r["counts"], np.uint32)
     return out.ravel()
 
@@ -178,7 +178,7 @@ def _prefixes(documents: DataFrame, sketch, k: int, percent: int) -> DataFrame:
             if rows:
                 yield made()
 
-    return documents.select("text").mapInArrow(run, "token long, s1 long, n int")
+    return documents.select("text").transform(mapped, run, "token long, s1 long, n int")
 
 
 def _chains(prefixes: DataFrame, percent: int) -> DataFrame:
@@ -225,7 +225,7 @@ def _chains(prefixes: DataFrame, percent: int) -> DataFrame:
                 yield made
 
     parts = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = prefixes.repartition(parts, "token").sortWithinPartitions("token", "n", "s1").mapInArrow(run, "a long, b long, need long")
+    met = prefixes.repartition(parts, "token").sortWithinPartitions("token", "n", "s1").transform(mapped, run, "a long, b long, need long")
     return met.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("need").alias("need")).where("common >= need").select("a", "b")
 
 
@@ -311,7 +311,7 @@ def _search(rows: DataFrame, keys: list[str], labelled: bool, k: int, percent: i
             yield made()
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).transform(mapped, run, schema)
 
 
 def _apart(members: DataFrame, texts: DataFrame, sketch, k: int, percent: int) -> DataFrame:
@@ -328,7 +328,7 @@ def _apart(members: DataFrame, texts: DataFrame, sketch, k: int, percent: int) -
                 rows = part.select(range(5)).take(pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found])))
                 yield pa.RecordBatch.from_arrays([pa.array(_long(np.concatenate(found))), *(rows.column(i) for i in range(5))], names=[x.split()[0] for x in schema.split(", ")])
 
-    rows = members.join(texts, ["s1", "s2"]).select("comp", "block", "s1", "s2", "label", "text").mapInArrow(run, schema)
+    rows = members.join(texts, ["s1", "s2"]).select("comp", "block", "s1", "s2", "label", "text").transform(mapped, run, schema)
     there = rows.groupBy("token", "comp", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).withColumnRenamed("block", "other")
     return rows.join(there, ["token", "comp"]).where("other <> block and (lo <> label or hi <> label)").select(
         "comp", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), F.col("block").alias("side"), "s1", "s2", "label").distinct()

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import kept_between_tasks, mapped
+
 #: Bounds of the sample that is fitted on: documents a language, and letters and spaces a language and in all.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_CHARS_ALL, SAMPLE_DOC_CHARS = 200, 40_000, 400_000, 8_000
 #: So many letters of each language have columns in the dense table; the others are looked up. Results don't depend on it.
@@ -249,6 +251,7 @@ class Model:
 
 
 _models: dict[int, Model] = {}
+kept_between_tasks("language", _models.clear)
 
 
 def model_of(texts: dict[str, str]) -> Model:
@@ -362,7 +365,7 @@ def keep_identified(documents: DataFrame, texts: dict[str, str] | None = None, l
                 yield batch.slice(lo, len(keep)).filter(pa.array(keep, pa.bool_()))
                 lo += len(keep)
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.transform(mapped, run, documents.schema, "language")
 
 
 def classify(documents: DataFrame, texts: dict[str, str] | None = None) -> DataFrame:
@@ -385,4 +388,4 @@ def classify(documents: DataFrame, texts: dict[str, str] | None = None) -> DataF
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score", "phrases_per_char"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("coalesce(crc32(cast(doc_id as string)) % 3 = 1, false)").alias("held_out"), "text")
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.transform(mapped, run, SCHEMA, "language")

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import kept_between_tasks, mapped
+
 TIERS = (64, 128, 256, 512, 1024, 2048)
 END = 1
 STEP_TOKENS = 1 << 16
@@ -75,6 +77,7 @@ class Encoder(dict):
 
 
 _encoders: dict[str, Encoder] = {}
+kept_between_tasks("packing", _encoders.clear)
 
 
 def encoder(name: str = "byte_bpe_50k") -> Encoder:
@@ -202,4 +205,4 @@ def pack(documents: DataFrame, *, vocabulary: str = "byte_bpe_50k", tiers: tuple
         packer.pack(last=True)
         yield from done()
 
-    return documents.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    return documents.selectExpr("cast(doc_id as long) doc_id", "text").transform(mapped, run, SCHEMA, "packing")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mapped
+
 #: Bounds of the training sample: rows, and bytes of a document that may be in it.
 TRAIN_ROWS, TRAIN_DOC_BYTES = 3_000, 8_192
 EMBED, WIDTH, STRIDE, FILTERS = 6, 8, 4, 24
@@ -192,4 +194,4 @@ def classify(documents: DataFrame, net: Net) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("coalesce(crc32(cast(doc_id as string)) % 3 = 1, false)").alias("held_out"), "text")
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.transform(mapped, run, SCHEMA)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, gram_hashes, materialize
+from .common import blocks, gram_hashes, mapped, materialize
 
 COMMON = 50
 # Limits of the distances, least characters and words for them, base limits.
@@ -89,7 +89,7 @@ def references(documents: DataFrame, common: int = COMMON) -> dict[str, tuple[np
                     yield from flush(False)
         yield from flush(True)
 
-    counted = documents.where("lang is not null and text is not null").select("lang", "text").mapInArrow(run, "lang string, kind string, key string, n long")
+    counted = documents.where("lang is not null and text is not null").select("lang", "text").transform(mapped, run, "lang string, kind string, key string, n long")
     sums = materialize(counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "word-counts")  # read twice, counted once
     order = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key")
     totals = sums.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
@@ -195,4 +195,4 @@ def judge(documents: DataFrame, refs: dict | None = None) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(mapped, run, SCHEMA)

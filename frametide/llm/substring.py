@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAP_BITS, Block, among, bitmap_of, blocks, gram_hashes, in_bitmap, map_bits_for, materialize, mix, powers, row_key
+from .common import MAP_BITS, Block, among, bitmap_of, blocks, gram_hashes, in_bitmap, map_bits_for, mapped, materialize, mix, powers, row_key
 
 WINDOW, GRAM, PHRASE = 35, 12, 5
 HOT = 20_000
@@ -123,7 +123,7 @@ def _minimizers(documents: DataFrame, window: int, gram: int) -> DataFrame:
                 n = np.bincount(place, np.concatenate([s.times for s in found]), len(least))
                 yield pa.RecordBatch.from_arrays([pa.array(_long(least)), pa.array(n.astype(np.int64))], names=["least", "n"])
 
-    return documents.select("text").mapInArrow(run, "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
+    return documents.select("text").transform(mapped, run, "least long, n long").groupBy("least").agg(F.sum("n").alias("n"))
 
 
 _SENT = "route long, c1 long, c2 long, weight long, words binary"
@@ -160,7 +160,7 @@ def _sent(documents: DataFrame, chosen, window: int, gram: int) -> DataFrame:
             if seen:
                 yield made()
 
-    return documents.select("text").mapInArrow(run, _SENT)
+    return documents.select("text").transform(mapped, run, _SENT)
 
 
 class WaveletMatrix:
@@ -300,7 +300,7 @@ def _found(sent: DataFrame, window: int, phrase: int, shard_words: int) -> DataF
             yield from searched()
 
     parts = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sent.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(run, "c1 long, c2 long, bits binary")
+    return sent.repartition(parts, "route").sortWithinPartitions("route").transform(mapped, run, "c1 long, c2 long, bits binary")
 
 
 def _places(rows: DataFrame, chosen, window: int, gram: int) -> DataFrame:
@@ -317,7 +317,7 @@ def _places(rows: DataFrame, chosen, window: int, gram: int) -> DataFrame:
                     c1, c2 = s.hashes(start, windows + window - 1)
                     yield pa.RecordBatch.from_arrays([*(pa.array(k[b.lo + row]) for k in keys), pa.array(_long(c1)), pa.array(_long(c2)), pa.array((start - b.wptr[row]).astype(np.int32))], names=["_k1", "_k2", "c1", "c2", "start"])
 
-    return rows.select("_k1", "_k2", "text").mapInArrow(run, "_k1 long, _k2 long, c1 long, c2 long, start int")
+    return rows.select("_k1", "_k2", "text").transform(mapped, run, "_k1 long, _k2 long, c1 long, c2 long, start int")
 
 
 def _cut(rows: DataFrame, window: int) -> DataFrame:
@@ -348,7 +348,7 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
                     removed.append([{"start": int(a), "end": int(b)} for a, b in step.reshape(-1, 2)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(removed, spans)], names=["doc_id", "n_words", "n_removed", "kept", "removed"])
 
-    return rows.select("doc_id", "text", "found").mapInArrow(run, schema)
+    return rows.select("doc_id", "text", "found").transform(mapped, run, schema)
 
 
 def dedup(documents: DataFrame, *, window: int = WINDOW, gram: int = GRAM, phrase: int = PHRASE, hot: int = HOT, shard_words: int = SHARD_WORDS, map_bits: int = MAP_BITS) -> DataFrame:

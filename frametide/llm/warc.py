@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import new_path
-from .common import materialize, row_key
+from .common import mapped, materialize, row_key
 
 BLOCK_LINES = 2_000
 FILE_BYTES = 256 << 20
@@ -152,15 +152,15 @@ class Archive:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([pa.array(sorted({surt(u) for u in batch.column(0).to_pylist()}), pa.string())], names=["key"])
 
-        keys = urls.select("url").mapInArrow(keyed, "key string").distinct()
+        keys = urls.select("url").transform(mapped, keyed, "key string").distinct()
         asked = None
         for part in self._directory_parts():
             sent = self.spark.sparkContext.broadcast(part)
-            got = keys.mapInArrow(_bisector(sent), _BLOCK)
+            got = keys.transform(mapped, _bisector(sent), _BLOCK)
             asked = got if asked is None else asked.union(got)
         if asked is None:
             return self.spark.createDataFrame([], _FOUND)
-        return asked.repartition(n, "file", "at").sortWithinPartitions("file", "at", "key").mapInArrow(_in_blocks, _FOUND)
+        return asked.repartition(n, "file", "at").sortWithinPartitions("file", "at", "key").transform(mapped, _in_blocks, _FOUND)
 
     def _directory_parts(self) -> Iterator[tuple[list[str], list[tuple], bool, bool]]:
         """First keys and places of part_blocks blocks each, whether the first one is of the part before, and whether it is the last part."""
@@ -187,7 +187,7 @@ class Archive:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
         found = self.find(urls).select("file", "at", "size")
-        return found.repartition(n, "file", F.shiftright("at", 26)).sortWithinPartitions("file", "at").mapInArrow(run, RECORD)
+        return found.repartition(n, "file", F.shiftright("at", 26)).sortWithinPartitions("file", "at").transform(mapped, run, RECORD)
 
 
 def _bisector(sent):
@@ -342,9 +342,9 @@ def write(pages: DataFrame, *, least_bytes: int = 0, block_lines: int = BLOCK_LI
 
     planned = plan(pages, least_bytes).select(F.col("_k1").alias("rid"), "page_id", "url", "html", "refers_to", "is_revisit")
     # written once, as the range partitioner reads its input twice
-    entries = materialize(planned.mapInArrow(archive, _ENTRY), "warc-entries")
+    entries = materialize(planned.transform(mapped, archive, _ENTRY), "warc-entries")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    directory = entries.repartitionByRange(n, "key", "page_id", "rid").sortWithinPartitions("key", "page_id", "rid").mapInArrow(index, _DIRECTORY)
+    directory = entries.repartitionByRange(n, "key", "page_id", "rid").sortWithinPartitions("key", "page_id", "rid").transform(mapped, index, _DIRECTORY)
     return Archive(spark, folder, materialize(directory, "warc-directory"))
 
 
