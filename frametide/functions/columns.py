@@ -75,3 +75,13 @@ def percent(x: Column) -> Column:
 def bucket(x: Column, lo: float, hi: float, n: int) -> Column:
     """Place of x in n equal buckets, 0 below and n + 1 above."""
     return F.width_bucket(x, F.lit(lo), F.lit(hi), F.lit(n))
+
+
+def realtime_factor(duration: Column, seconds: Column) -> Column:
+    """Seconds of video for each second of work."""
+    return duration / F.greatest(seconds, F.lit(1e-9))
+
+
+def now_utc() -> Column:
+    """When the query began, as ISO 8601 in UTC."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
-from ..functions.columns import is_video_id, video_id_of
+from ..functions.columns import is_video_id, now_utc, video_id_of
 from ..sources import videos
 from ..sources.library import Library
 from ..staging import staged
@@ -51,7 +51,7 @@ def checked(rows: DataFrame, library: Library, replace: bool = False) -> DataFra
     return numbered.withColumn("error", error).drop("_i", "_c", "_has", "_same")
 
 
-def index(library: Library, rows: DataFrame, settings: Settings | None = None, *, replace: bool = False, indexed_at: str = "1970-01-01T00:00:00+00:00") -> tuple[Library, DataFrame]:
+def index(library: Library, rows: DataFrame, settings: Settings | None = None, *, replace: bool = False, indexed_at: str | None = None) -> tuple[Library, DataFrame]:
     """The library with the good ones of rows(path, content), and a report (path, video_id, n_vectors, duration_s, error).
 
     A bad file is a row with an error and stops no other. Nothing is changed
@@ -70,7 +70,7 @@ def index(library: Library, rows: DataFrame, settings: Settings | None = None, *
     failed = both.where("error is not null").groupBy("path").agg(F.min("error").alias("decode_error"))
     report = judged.join(failed, "path", "left").join(counts, "path", "left").select("path", "video_id", F.coalesce("n_vectors", F.lit(0)).alias("n_vectors"), "duration_s", F.coalesce("error", "decode_error", F.when(F.coalesce("n_vectors", F.lit(0)) == 0, "no frames")).alias("error"))
     kept = good.join(report.where("error is null").select("path"), "path", "left_semi")
-    new = kept.select("video_id", F.col("path").alias("source_path"), "sha256", "duration_s", F.lit(float(settings.index_fps)).alias("sample_fps"), F.lit(indexed_at).alias("indexed_at"))
+    new = kept.select("video_id", F.col("path").alias("source_path"), "sha256", "duration_s", F.lit(float(settings.index_fps)).alias("sample_fps"), (F.lit(indexed_at) if indexed_at is not None else now_utc()).alias("indexed_at"))
     return library.add(new, vectors.join(kept.select("path", "video_id"), "path").select("video_id", "t", "vector"), replace=replace), report
 
 

@@ -92,6 +92,8 @@ def test_library(spark, tmp_path):
     root = str(tmp_path / "lib")
     lib = Library.open_or_create(spark, root, "tiny", 2).add(videos, frames).save(root)
     assert (lib.next_id, lib.next_key) == (6, 2) and sorted(r["vector_id"] for r in lib.vectors.collect()) == list(range(6))
+    with pytest.raises(LibraryError):
+        Library.open_or_create(spark, str(tmp_path / "lib"), "tiny", 3)
     again = lib.remove(["a"]).save(root)
     assert again.vectors.count() == 3 and again.next_id == 6
     new = again.add(videos.where("video_id = 'a'"), frames.where("video_id = 'a'")).save(root)
@@ -435,6 +437,13 @@ def test_settings(monkeypatch):
             Settings(**bad)
 
 
+def test_clock_and_rate(spark):
+    import re
+
+    row = spark.range(1).select(C.now_utc(), C.realtime_factor(F.lit(6.0), F.lit(2.0)), C.realtime_factor(F.lit(6.0), F.lit(0.0))).first()
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\+00:00", row[0]) and row[1] == 3 and row[2] == pytest.approx(6e9)
+
+
 def test_rejections(spark):
     rows = spark.createDataFrame([("a.MP4", 10, 5.0), ("a.txt", 10, 5.0), ("a.mp4", 10**9, 5.0), ("a.mp4", 10, None), ("a.mp4", 10, 90.0)], "name string, size long, d double")
     assert [r[0] for r in rows.select(C.rejection(F.col("name"), F.col("size"), F.col("d"), [".mp4"], 50, 60)).collect()] == [None, 415, 413, 422, 422]
