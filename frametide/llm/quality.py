@@ -184,7 +184,12 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, doc_byt
 
 
 def classify(documents: DataFrame, net: Net) -> DataFrame:
-    """One row per row of documents: doc_id, held_out, score, predicted. Null texts score as empty ones."""
+    """One row per row of documents: doc_id, held_out, score, predicted.
+
+    Null texts score as empty ones; texts of any length are read whole, a bounded
+    part at a time. Repeated rows are scored each; a null doc_id isn't held out;
+    an empty table gives no rows; other columns aren't looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -51,5 +51,15 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "hit_positions")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_substring, op3_rules, op4_html, op5_language, op6_jaccard, op7_packing, op8_secrets, op9_warc, op10_decontaminate)}
-ORACLE_SQL = {"op2_substring": substring.ORACLE, "op6_jaccard": jaccard.ORACLE, "op9_warc": warc.ORACLE, "op10_decontaminate": decontaminate.ORACLE}
+def rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op3_rules that SQL can say, from the same operator."""
+    return op3_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8_secrets that SQL can say, from the same operator."""
+    return op8_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_substring, op3_rules, op4_html, op5_language, op6_jaccard, op7_packing, op8_secrets, op9_warc, op10_decontaminate, rules_base, secrets_base)}
+ORACLE_SQL = {"op2_substring": substring.ORACLE, "op6_jaccard": jaccard.ORACLE, "op9_warc": warc.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "rules_base": rules.BASE_ORACLE, "secrets_base": secrets.BASE_ORACLE}

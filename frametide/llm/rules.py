@@ -196,3 +196,17 @@ def judge(documents: DataFrame, refs: dict | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(mapped, run, SCHEMA)
+
+
+#: The base part, which SQL can say.
+BASE_ORACLE = """
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text,'') AS text, list_filter(string_split_regex(coalesce(text,''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT rid, i, array_to_string(w[i:i+2], ' ') AS g FROM (SELECT rid, w, unnest(generate_series(1, len(w)-2)) AS i FROM w WHERE len(w) >= 3)),
+c AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g) WHERE n > 1),
+r AS (SELECT rid, count(DISTINCT i + o) AS n FROM c, (SELECT unnest(range(3)) AS o) GROUP BY rid),
+l AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM w),
+d AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(coalesce(d.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(w) AS base_failed
+FROM w LEFT JOIN r USING (rid) LEFT JOIN d USING (rid)
+"""

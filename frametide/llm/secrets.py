@@ -215,3 +215,11 @@ def redact(documents: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(documents.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.drop(base, spans)
+
+
+#: The base spans' counts, which SQL can say.
+BASE_ORACLE = r"""
+SELECT doc_id, CAST(len(list_filter(regexp_extract_all(coalesce(text,''), '((?i:password|passwd|secret|token|api_?key))["\x27]?\x20*[:=]\x20*["\x27]?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(coalesce(text,''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS BIGINT) AS n_access, CAST(len(list_filter(regexp_extract_all(coalesce(text,''), '[0-9a-f]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_hex
+FROM documents
+"""
