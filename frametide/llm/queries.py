@@ -1,11 +1,11 @@
-"""The queries of this subpackage: op1 to op10, each over its whole table, and SQL where SQL can say it."""
+"""The queries of this subpackage: op1 to op13, each over its whole table, and SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, language, packing, quality, rules, secrets, substring, warc
+from . import codes, decontaminate, html, jaccard, language, packing, pieces, quality, rules, secrets, substring, warc, whitening
 from .common import table
 
 
@@ -51,6 +51,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "hit_positions")
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(embeddings, whitening.fit(embeddings))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of op3_rules that SQL can say, from the same operator."""
     return op3_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -61,5 +74,10 @@ def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_substring, op3_rules, op4_html, op5_language, op6_jaccard, op7_packing, op8_secrets, op9_warc, op10_decontaminate, rules_base, secrets_base)}
-ORACLE_SQL = {"op2_substring": substring.ORACLE, "op6_jaccard": jaccard.ORACLE, "op9_warc": warc.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "rules_base": rules.BASE_ORACLE, "secrets_base": secrets.BASE_ORACLE}
+def whitening_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op12_whitening that SQL can say, from the same operator."""
+    return op12_whitening(spark, sf_dir).select("vec_id", "component", "n", "deviation")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_substring, op3_rules, op4_html, op5_language, op6_jaccard, op7_packing, op8_secrets, op9_warc, op10_decontaminate, op11_sentencepiece, op12_whitening, op13_codes, rules_base, secrets_base, whitening_base)}
+ORACLE_SQL = {"op2_substring": substring.ORACLE, "op6_jaccard": jaccard.ORACLE, "op9_warc": warc.ORACLE, "op10_decontaminate": decontaminate.ORACLE, "op13_codes": codes.ORACLE, "rules_base": rules.BASE_ORACLE, "secrets_base": secrets.BASE_ORACLE, "whitening_base": whitening.BASE_ORACLE}
