@@ -6,8 +6,9 @@ and its commas to its ancestors, in full to the parent, half to the next, a quar
 to the one after and so on; an element's points are discounted by its link density. The element
 with the most points is the container; siblings with enough points of their own
 are kept too, as are headings and figures beside it. Elements that can't hold the
-article (scripts, menus, footers, forms, adverts, comments, by tag, role or name)
-are left out before scoring. A figure is a frame only: what is in it counts for
+article (scripts, menus, headers, footers, by tag or role, and what is hidden) are left out before
+scoring. So are forms and elements with a name of adverts, menus, notices and the like, unless
+they hold the article all the same; those of reader comments always. A figure is a frame only: what is in it counts for
 the elements around it.
 """
 
@@ -28,20 +29,30 @@ SCHEMA = "page_id long, url string, text string, n_chars long"
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg canvas audio video textarea select title".split())
-DROPPED = frozenset("nav header footer aside form button dialog menu head fieldset label input legend".split()) | RAW
+DROPPED = frozenset("nav header footer aside button dialog menu head input".split()) | RAW
+FORMS = frozenset("form fieldset".split())
+FIELDS = frozenset("input select textarea button".split())
+HEAD = frozenset("title meta link base script style noscript template".split())
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCK - {"body", "html"}
-DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-_BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side|footer|header|masthead|comments?|comment-?list|disqus|replies|respond|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|social|shar(?:e|ing)|related|recommended|widget|toolbar|pagination|pager|skip|hidden)(?:$|[\s_-])",
-    re.I,
+DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+# Words of class names and ids. Those of what goes, of reader comments, those that may follow them, and those that turn them round.
+BAD_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login social share sharing related recommended widget toolbar pagination pager skip hidden side".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
+FOLLOWERS = frozenset(
+    "list area box block section wrapper wrap container content inner outer bar bars button buttons link links item items group panel left right top bottom main text title heading body form policy slot unit space zone region column col row post posts article articles story stories news entry entries card cards feed thread icon icons tools small large primary secondary desktop mobile inline fixed sticky".split()
+)
+TURNERS = frozenset("no not non has have with without".split())
+_WORDS = re.compile(r"[a-z]+|[0-9]+")
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|main|content|entry|post-?body|story|body-?text)(?:$|[\s_-])", re.I)
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"[\s\x00]+")
 POINT_CHARS, MOST_LENGTH_POINTS, SIBLING_SHARE = 100, 3, 0.2
+FIELD_CHARS = 200
 
 
 # Elements that the end tag of an inline element doesn't cross, that end the search for an open paragraph or
@@ -55,10 +66,11 @@ ITEMS = frozenset("li tr option dd dt".split())
 class Node:
     """An element. block and holder are the nearest block-level elements, itself included; holder isn't a figure."""
 
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "chars", "linked", "bonus", "block", "holder", "first", "depth", "inline", "scope", "kept")
+    __slots__ = ("tag", "parent", "children", "dropped", "points", "chars", "linked", "bonus", "block", "holder", "first", "depth", "inline", "scope", "kept", "doubt", "prose", "fields", "marks")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, bonus: float = 0.0):
-        self.tag, self.parent, self.dropped, self.bonus = tag, parent, dropped, bonus
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, bonus: float = 0.0, doubt: str = ""):
+        self.tag, self.parent, self.dropped, self.bonus, self.doubt = tag, parent, dropped, bonus, doubt
+        self.prose, self.fields, self.marks = 0, 0, 0
         self.children: list = []
         self.points, self.chars, self.linked, self.first, self.kept = 0.0, 0, 0, -1, False
         self.depth = parent.depth + 1 if parent is not None else 0
@@ -92,20 +104,68 @@ class _Open:
             here = here.parent
 
 
-def _is_dropped(tag: str, attributes: str) -> tuple[bool, float]:
-    """Whether an element is left out; its bonus by name."""
+def doubt_of(names: str) -> str:
+    """What class names and an id say of an element: "comments", "name" (of what goes), or nothing.
+
+    A name counts if it ends in such a word or only in followers of one, and not
+    where a word before it turns it round; nothing counts beside the name layout.
+    """
+    out = ""
+    for name in (tokens := names.lower().split()):
+        words = _WORDS.findall(name)
+        at = next((i for i in range(len(words) - 1, -1, -1) if not words[i].isdigit() and words[i] not in FOLLOWERS), -1)
+        if at < 0 or TURNERS & set(words[:at]):
+            continue
+        if words[at] in COMMENT_WORDS:
+            out = "comments"
+        elif words[at] in BAD_WORDS and (words[at] != "side" or at == 0):
+            out = out or "name"
+    return "" if "layout" in tokens else out
+
+
+def _judged(tag: str, attributes: str) -> tuple[bool, str, float]:
+    """Whether an element is left out, what speaks against it, and its bonus by name."""
     if tag in DROPPED:
-        return True, 0.0
+        return True, "", 0.0
+    doubt, bonus = "form" if tag in FORMS else "", 5.0 if tag in ("article", "main") else 0.0
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False, 5.0 if tag in ("article", "main") else 0.0
+        return False, doubt, bonus
     found = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(attributes)}
-    name = f"{found.get('class', '')} {found.get('id', '')}"
-    if found.get("role", "").lower() in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
-        return True, 0.0
-    good = bool(_GOOD.search(name)) or tag in ("article", "main")
-    if tag not in ("html", "body", "article", "main") and _BAD.search(name):
-        return True, 0.0
-    return False, 5.0 if good else 0.0
+    name, role = f"{found.get('class', '')} {found.get('id', '')}", found.get("role", "").lower()
+    if role in DROPPED_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
+        return True, "", 0.0
+    if tag not in ("html", "body", "article", "main"):
+        doubt = doubt_of(name) or doubt or ("form" if role == "form" else "")
+    return False, doubt, 5.0 if bonus or _GOOD.search(name) and not doubt else 0.0
+
+
+def _settle(nodes: list[Node]) -> None:
+    """Drops the elements that something speaks against, but not those that hold the article.
+
+    An element does if it holds main, or more than half of the page's text outside links and
+    comments and one of its articles and main headings, if it has any; a form also where it has FIELD_CHARS of text and more for each of its fields.
+    """
+    holds_main = set()
+    for node in reversed(nodes):  # children before parents
+        node.marks += node.tag in ("article", "main", "h1")
+        if node.dropped or node.doubt == "comments" or node.tag == "a":
+            node.prose, node.marks = 0, 0
+        else:
+            node.prose += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        node.fields += node.tag in FIELDS
+        if node.tag == "main" or node in holds_main:
+            holds_main.add(node)
+            if node.parent is not None:
+                holds_main.add(node.parent)
+        if node.parent is not None:
+            node.parent.prose += node.prose if node.tag != "label" else 0
+            node.parent.fields += node.fields
+            node.parent.marks += node.marks
+    half = nodes[0].prose / 2
+    for node in nodes:
+        if node.doubt and not node.dropped:
+            holds = node.doubt != "comments" and (node.prose > half and (node.marks or not nodes[0].marks) or node in holds_main)
+            node.dropped = not holds and not (node.doubt == "form" and node.prose >= FIELD_CHARS * max(1, node.fields))
 
 
 def parse(html: str) -> tuple[Node, list[Node]]:
@@ -127,10 +187,19 @@ def parse(html: str) -> tuple[Node, list[Node]]:
             never.add(what)
         return end
 
+    def out_of_head(here: Node) -> Node:
+        node = here
+        while node.tag != "head":
+            node = node.parent
+        return opened.leave(here, node)
+
     while at < size:
         lt = html.find("<", at)
         if lt < 0 or lt > at:
-            here.children.append(html[at : lt if lt >= 0 else size])
+            text = html[at : lt if lt >= 0 else size]
+            if here.tag == "head" and not text.isspace():
+                here = out_of_head(here)
+            here.children.append(text)
         if lt < 0:
             break
         at = lt + 1
@@ -161,6 +230,8 @@ def parse(html: str) -> tuple[Node, list[Node]]:
         if m is None:
             continue
         tag, attributes = m[2].lower(), html[m.end() : end]
+        if not m[1] and tag not in HEAD and opened.all.get("head", 0):  # a head ends where something begins that it can't hold
+            here = out_of_head(here)
         if m[1]:  # an end tag closes the nearest open one of its name; others are ignored
             if (opened.all if tag in BLOCK else here.inline).get(tag, 0):
                 node = here
@@ -189,8 +260,8 @@ def parse(html: str) -> tuple[Node, list[Node]]:
             while node.tag not in closes:
                 node = node.parent
             here = opened.leave(here, node)
-        dropped, bonus = _is_dropped(tag, attributes)
-        node = Node(tag, here, dropped, bonus)
+        dropped, doubt, bonus = _judged(tag, attributes)
+        node = Node(tag, here, dropped, bonus, doubt)
         nodes.append(node)
         here.children.append(node)
         if tag not in VOID and not attributes.endswith("/"):
@@ -271,6 +342,7 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     root, nodes = parse(html)
+    _settle(nodes)
     found = _blocks(root)
     if not found:
         return ""
@@ -297,7 +369,7 @@ def extract(html: str | None) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
-    Null or empty html gives an empty text; very long pages take time in
+    Null or empty html gives an empty text; page_id and url are passed through, nulls too; very long pages take time in
     proportion to their length. Nothing is shuffled; repeated rows
     give their rows; other columns aren't looked at.
     """
