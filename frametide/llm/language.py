@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import kept_between_tasks, mapped
 
-#: Bounds of the sample that is fitted on: documents a language, and letters and spaces a language and in all.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_CHARS_ALL, SAMPLE_DOC_CHARS = 200, 40_000, 400_000, 8_000
+#: Bounds of the sample that is fitted on: documents a language, letters and spaces a language, and in all, that automata are built
+#: of, letters of one document; and characters a language that are looked at for the automaton and the limits.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_CHARS_ALL, SAMPLE_DOC_CHARS, SAMPLE_RAW_CHARS = 200, 40_000, 400_000, 8_000, 160_000
 #: So many letters of each language have columns in the dense table; the others are looked up. Results don't depend on it.
 DENSE = 64
 LANE = 256
@@ -44,10 +45,17 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, phrases
 
 
 def sample(documents: DataFrame, docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(lang, text) of labelled documents that aren't held out, at most docs a language, chosen by a hash of the id."""
-    usable = documents.where("lang is not null and text is not null and doc_id is not null and crc32(cast(doc_id as string)) % 3 <> 1")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    return usable.where(F.length("text").between(1, SAMPLE_DOC_CHARS)).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= docs).select("lang", "text", "_n")
+    """(lang, text) of labelled documents that aren't held out, at most docs a language, chosen by a hash of the id.
+
+    Of a long text the first letters are taken, so that a language of long texts alone is learned
+    too. Of a language come no more texts than it takes for SAMPLE_RAW_CHARS characters.
+    """
+    usable = documents.where("lang is not null and doc_id is not null and crc32(cast(doc_id as string)) % 3 <> 1").where(F.col("text").rlike(r"\p{L}"))
+    letters = F.when(F.length("text") <= SAMPLE_DOC_CHARS, F.col("text")).otherwise(F.left(F.regexp_replace("text", r"\P{L}+", " "), F.lit(SAMPLE_DOC_CHARS)))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "_h")
+    dealt = usable.select("lang", "doc_id", letters.alias("text"), F.xxhash64("text").alias("_h")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= docs)
+    before = F.coalesce(F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.withColumn("_before", before).where(F.col("_before") < SAMPLE_RAW_CHARS).select("lang", "text", "_n")
 
 
 def normal(text: str) -> str:
