@@ -93,7 +93,7 @@ class Packer:
         self.tiers, self.step_tokens, self.base, self.buffer_tokens = tiers, step_tokens, base, buffer_tokens
         self.longest = tiers[-1]
         self.n_sequences, self.per_tier = 0, dict.fromkeys(tiers, 0)
-        self.docs: dict[int, tuple[object, np.ndarray]] = {}
+        self.docs: dict[int, tuple[object, np.ndarray, int, int]] = {}  # id, the ids that wait, ids before those, ids in all
         self.left: dict[int, int] = {}  # pieces of each document that are still to be placed
         self.waiting: list[tuple[int, int, int]] = []  # (length, document, start), by length
         self.tokens, self.n_docs = 0, 0
@@ -101,14 +101,15 @@ class Packer:
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         key, self.n_docs = self.n_docs, self.n_docs + 1
-        self.docs[key], self.left[key] = (doc_id, ids), 0
+        self.docs[key], self.left[key] = (doc_id, ids, 0, len(ids)), 0
         whole = len(ids) // self.longest * self.longest
         for start in range(0, whole, self.longest):
             self._emit([(self.longest, key, start)])
         if whole < len(ids):
+            self.docs[key] = doc_id, ids[whole:].copy(), whole, len(ids)  # a long document's ids aren't held for its tail
             self._wait(len(ids) - whole, key, whole)
         else:
-            del self.docs[key]
+            del self.docs[key], self.left[key]
 
     def _wait(self, length: int, key: int, start: int) -> None:
         insort(self.waiting, (length, key, start))
@@ -135,8 +136,8 @@ class Packer:
         self.n_sequences += 1
         step = self.base + (self.tiers.index(tier) << 26) + group
         for length, key, start in pieces:
-            doc_id, ids = self.docs[key]
-            self.out.append((doc_id, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), sequence, offset, tier, step))
+            doc_id, ids, before, n_ids = self.docs[key]
+            self.out.append((doc_id, start, length, zlib.crc32(ids[start - before : start - before + length].tobytes()), n_ids, sequence, offset, tier, step))
             offset += length
 
     def _release(self) -> None:
@@ -180,7 +181,7 @@ def pack(documents: DataFrame, *, vocabulary: str = "byte_bpe_50k", tiers: tuple
     """One row per piece of a document: where its ids are, and in which sequence.
 
     Null and empty texts are one id (the end); texts of any length are cut into
-    whole windows; repeated rows are packed each; an empty table gives no rows.
+    whole windows; repeated rows and rows without a doc_id are packed each; an empty table gives no rows.
     Only doc_id and text are looked at. A sequence's id holds its partition's
     number, so a task that runs again gives the same rows.
     """
