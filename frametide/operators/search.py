@@ -1,49 +1,92 @@
 """Exact inner-product top-k.
 
-Below ``broadcast_bytes`` the library is one broadcast matrix, and each task
-multiplies its own batches by it. Above, the library is dealt into blocks of about
-``block_bytes``; every query meets every block once, and the k best of each block
-are merged. Ties go to the smaller vector_id. Rows whose vector is null or of the
-wrong length give no hits; an empty library gives none.
+``topk`` keeps a library below ``broadcast_bytes`` as one broadcast matrix, which
+each task multiplies its own queries by. Above, the library becomes an ``Index``:
+its vectors are dealt to cells around centres learned from a bounded sample, and
+written once, in blocks of about ``block_bytes`` with a centre and a radius each,
+in a folder a cell. No vector of a block has a higher product with a query than
+q.c + |q| r, so a block is skipped by the queries whose k-th score so far is above
+that, and a cell that all of them skip isn't read.
+
+A search takes the queries in groups of bounded bytes. Each group is broadcast and
+meets the index twice: in the cells that promise most, for a first k-th score of
+each query, and in all that are left, block after block. The library is
+never copied or shuffled by a search.
+
+Ties go to the smaller vector_id. Rows whose vector is null or of the wrong length
+give no hits; an empty library gives none.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Accumulator
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.columns import inner_product, is_valid_vector
+from ..staging import new_path, staged
 
 BROADCAST_BYTES = 256 << 20
-BLOCK_BYTES = 128 << 20
+BLOCK_BYTES = 32 << 20
+QUERY_BYTES = 64 << 20
 SQL_VECTORS = 50_000
-BATCH = 1024
-_OUT = "clip_id string, q_idx int, q_t double, vector_id long, key int, ref_t double, score double"
+#: Rows and columns of the products that are held at a time: 64 MB in double precision.
+BATCH, TILE = 1024, 8192
+#: Bounds of what the centres are learned from, and of their number; rounds of learning.
+SAMPLE_BYTES, MAX_CELLS, CELL_ROUNDS = 64 << 20, 4096, 6
+_NO_KEY = -(1 << 31)
+_QUERY = "clip_id string, q_idx int, q_t double"
+_HIT = "vector_id long, key int, ref_t double, score double"
+_HITS = ["clip_id", "q_idx", "q_t", "rank", "vector_id", "key", "ref_t", "score"]
 
 
-def _best(q: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, place, score) of the k best of each query, the best first; vectors by ascending id.
+class Best:
+    """The k best of each of n queries among the vectors met so far: rows (queries), ids, scores and what else comes with a vector."""
 
-    Products are taken in the vectors' own precision; all that may be among the k best
-    by its rounding error are scored again in double precision.
-    """
-    near = q.astype(vectors.dtype) @ vectors.T
-    if near.shape[1] > k:
-        error = 2 * np.finfo(vectors.dtype).eps * q.shape[1] * float(np.linalg.norm(q, axis=1).max(initial=0)) * float(np.linalg.norm(vectors, axis=1).max(initial=0))
-        edge = np.partition(near, near.shape[1] - k, axis=1)[:, -k]
-        rows, places = np.nonzero(near >= (edge - error)[:, None])
-    else:
-        rows, places = np.nonzero(np.ones_like(near, bool))
-    scores = np.concatenate([np.einsum("ij,ij->i", q[rows[lo : lo + 65_536]].astype(np.float64), vectors[places[lo : lo + 65_536]].astype(np.float64)) for lo in range(0, len(rows), 65_536)] or [np.zeros(0)])
-    order = np.lexsort((ids[places], -scores, rows))
-    rows, places, scores = rows[order], places[order], scores[order]
-    nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    keep = nth < k
-    return rows[keep], places[keep], scores[keep]
+    def __init__(self, n: int, k: int, least: np.ndarray | None = None):
+        self.k, self.n = k, n
+        self.floor = np.full(n, -np.inf) if least is None else least.astype(float)
+        self.rows, self.ids, self.scores, self.more = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), None
+
+    def meet(self, q: np.ndarray, vectors: np.ndarray, ids: np.ndarray, *more: np.ndarray, mine: np.ndarray | None = None) -> None:
+        """Takes vectors in, for the queries at mine (all by default), whose rows q are.
+
+        Products are taken in the vectors' own precision, a tile at a time; all that may
+        reach a query's k-th score so far by its rounding error are scored again in double precision.
+        """
+        mine = np.arange(self.n) if mine is None else mine
+        longest = float(np.linalg.norm(vectors, axis=1).max(initial=0))
+        error = 2 * np.finfo(vectors.dtype).eps * q.shape[1] * np.linalg.norm(q, axis=1) * longest
+        q_own = q.astype(vectors.dtype)
+        for lo in range(0, len(vectors), TILE):
+            tile = vectors[lo : lo + TILE]
+            near = q_own @ tile.T
+            floor = self.floor[mine] - error
+            if near.shape[1] > self.k:
+                floor = np.maximum(floor, np.partition(near, near.shape[1] - self.k, axis=1)[:, -self.k] - error)
+            rows, places = np.nonzero(near >= floor[:, None])
+            if len(rows):
+                exact = [np.einsum("ij,ij->i", q[rows[i : i + 65_536]].astype(np.float64), tile[places[i : i + 65_536]].astype(np.float64)) for i in range(0, len(rows), 65_536)]
+                places += lo
+                self._keep(mine[rows], ids[places], np.concatenate(exact), *[m[places] for m in more])
+
+    def _keep(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, *more: np.ndarray) -> None:
+        enough = scores >= self.floor[rows]
+        old = self.more if self.more is not None else tuple(m[:0] for m in more)
+        columns = [np.concatenate([a, b[enough]]) for a, b in zip((self.rows, self.ids, self.scores, *old), (rows, ids, scores, *more), strict=True)]
+        order = np.lexsort((columns[1], -columns[2], columns[0]))
+        columns = [c[order] for c in columns]
+        nth = np.arange(len(order)) - np.searchsorted(columns[0], columns[0])
+        last = nth == self.k - 1
+        self.floor[columns[0][last]] = np.maximum(self.floor[columns[0][last]], columns[2][last])
+        self.rows, self.ids, self.scores, *rest = (c[nth < self.k] for c in columns)
+        self.more = tuple(rest)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -57,48 +100,218 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
+def _sound(library: DataFrame, dim: int) -> DataFrame:
+    return library.where(is_valid_vector(F.col("vector"), dim)).select(F.col("vector_id").cast("long").alias("vector_id"), F.col("key").cast("int").alias("key"), F.col("t").cast("double").alias("t"), "vector")
+
+
+def _asked(queries: DataFrame, dim: int) -> DataFrame:
+    return queries.where(is_valid_vector(F.col("vector"), dim)).select(F.col("clip_id").cast("string").alias("clip_id"), F.col("q_idx").cast("int").alias("q_idx"), F.col("q_t").cast("double").alias("q_t"), "vector")
+
+
+def _width(vectors: DataFrame) -> int:
+    return 4 if "float" in vectors.schema["vector"].dataType.simpleString() else 8
+
+
+def centres_of(sample: np.ndarray, n: int, rounds: int = CELL_ROUNDS) -> np.ndarray:
+    """n or fewer centres of the sample's rows: begun with evenly spread rows, moved to the means of the rows nearest to each."""
+    if not len(sample):
+        return np.zeros((0, sample.shape[1]))
+    centres = sample[np.linspace(0, len(sample) - 1, min(n, len(sample))).astype(int)].astype(np.float32)
+    for _ in range(rounds):
+        cell = _nearest(sample, centres)
+        order = np.argsort(cell, kind="stable")
+        used, first = np.unique(cell[order], return_index=True)
+        centres[used] = np.add.reduceat(sample[order].astype(np.float64), first, axis=0) / np.diff(np.append(first, len(sample)))[:, None]
+    return np.unique(centres, axis=0).astype(np.float64)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    half = (centres.astype(np.float64) ** 2).sum(1) / 2
+    return np.concatenate([(x[lo : lo + BATCH] @ centres.T.astype(x.dtype) - half).argmax(1) for lo in range(0, len(x), BATCH)] or [np.zeros(0, np.int64)])
+
+
+@dataclass
+class Index:
+    """A library in blocks by cell: path has cell=.../ folders of (chunk, n, centre, radius, ids, keys, times, vectors)."""
+
+    spark: SparkSession
+    path: str
+    dim: int
+    cells: np.ndarray  # centre of each cell, of at most MAX_CELLS
+    met: Accumulator | None = None
+    skipped: Accumulator | None = None
+
+    @property
+    def blocks(self) -> DataFrame:
+        return self.spark.read.schema("chunk int, n int, centre array<double>, radius double, width int, ids binary, keys binary, times binary, vectors binary, cell int").parquet(self.path)
+
+    def share_skipped(self) -> float:
+        """Of the pairs of queries and blocks of all searches so far, the share that was skipped."""
+        return self.skipped.value / max(1, self.met.value + self.skipped.value)
+
+
+def build(library: DataFrame, dim: int, *, block_bytes: int = BLOCK_BYTES, cells: int | None = None, path: str | None = None) -> Index:
+    """Indexes every row of library(vector_id, key, t, vector) with a sound vector; written once, to path or the shared folder.
+
+    Centres come from a sample of SAMPLE_BYTES at most, chosen by a hash of the
+    ids; there are as many as the library has blocks, up to MAX_CELLS. A cell of several blocks
+    is cut by a hash of the ids, so that no task holds more than about a block, whatever
+    the data; a block's centre and radius are its own.
+    """
+    spark, lib = library.sparkSession, _sound(library, dim)
+    width = _width(lib)
+    n = lib.count()
+    wanted = min(MAX_CELLS, cells or max(1, -(-n * dim * width // block_bytes)))
+    few = lib.orderBy(F.xxhash64("vector_id"), "vector_id").select("vector").limit(max(1, SAMPLE_BYTES // (dim * 8))).toArrow()
+    centres = centres_of(_matrix(few["vector"], dim), wanted)
+    shared = spark.sparkContext.broadcast(centres)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_nearest(_matrix(batch.column(3), dim), shared.value).astype(np.int32))], names=[*batch.schema.names, "cell"])
+
+    celled = staged(lib.mapInArrow(dealt, StructType([*lib.schema, StructField("cell", IntegerType())])), "celled") if n else lib.withColumn("cell", F.lit(0))
+    shared.unpersist()
+    sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") * dim * width / block_bytes).cast("int").alias("chunks"))  # a row a cell
+    placed = celled.join(F.broadcast(sizes), "cell").withColumn("chunk", F.pmod(F.xxhash64("vector_id", F.lit(1)), F.col("chunks")).cast("int")).drop("chunks")
+
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by("vector_id")
+        v = _matrix(group["vector"], dim)
+        centre = v.mean(axis=0, dtype=np.float64)
+        radius = max((float(np.sqrt(((v[lo : lo + TILE] - centre) ** 2).sum(1)).max()) for lo in range(0, len(v), TILE)), default=0.0)
+        raw = [group["vector_id"].to_numpy().astype("<i8"), group["key"].fill_null(_NO_KEY).to_numpy().astype("<i4"), group["t"].fill_null(float("nan")).to_numpy().astype("<f8"), v.astype(f"<f{width}")]
+        head = [pa.array([group["chunk"][0].as_py()], pa.int32()), pa.array([len(v)], pa.int32()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([radius]), pa.array([width], pa.int32())]
+        return pa.table([*head, *[pa.array([x.tobytes()], pa.binary()) for x in raw], pa.array([group["cell"][0].as_py()], pa.int32())], names=["chunk", "n", "centre", "radius", "width", "ids", "keys", "times", "vectors", "cell"])
+
+    packed = placed.groupBy("cell", "chunk").applyInArrow(pack, "chunk int, n int, centre array<double>, radius double, width int, ids binary, keys binary, times binary, vectors binary, cell int")
+    path = path or new_path(spark, "index")
+    packed.write.partitionBy("cell").parquet(path)
+    return Index(spark, path, dim, centres, spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0))
+
+
+def _reach(q: np.ndarray, centre: np.ndarray, radius: float) -> np.ndarray:
+    """What no product of a query with a vector of a block is above, rounding included."""
+    norms = np.linalg.norm(q, axis=1)
+    slack = 8 * np.finfo(np.float64).eps * q.shape[1] * norms * (np.linalg.norm(centre) + radius)
+    return q @ centre + norms * radius + slack
+
+
+def _floors(index: Index, group, k: int, cell_of: np.ndarray) -> np.ndarray:
+    """A k-th score of each query, from the blocks of its own cell alone."""
+    dim = index.dim
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = group.value
+        best = Best(len(q), k)
+        for cell, _, _, ids, _, _, vectors in _read(batches, dim):
+            mine = np.flatnonzero(cell_of == cell)
+            for lo in range(0, len(mine), BATCH):
+                part = mine[lo : lo + BATCH]
+                best.meet(q[part], vectors, ids, mine=part)
+        yield pa.RecordBatch.from_arrays([pa.array(best.rows), pa.array(best.scores)], names=["q", "score"])
+
+    cells = np.unique(cell_of).tolist()
+    order = Window.partitionBy("q").orderBy(F.desc("score"))
+    found = index.blocks.where(F.col("cell").isin(cells)).mapInArrow(run, "q long, score double").withColumn("nth", F.row_number().over(order)).where(F.col("nth") == k).select("q", "score")
+    out = np.full(len(cell_of), -np.inf)
+    for q, score in found.collect():  # a number a query of the group
+        out[q] = score
+    return out
+
+
+def _read(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple]:
+    """(cell, centre, radius, ids, keys, times, vectors) of each block in turn."""
+    for batch in batches:
+        names = batch.schema.names
+        for i in range(batch.num_rows):
+            row = {n: batch.column(j)[i] for j, n in enumerate(names)}
+            raw = lambda n, kind: np.frombuffer(row[n].as_buffer(), kind)  # noqa: B023, E731
+            yield row["cell"].as_py(), np.array(row["centre"].as_py()), row["radius"].as_py(), raw("ids", "<i8"), raw("keys", "<i4"), raw("times", "<f8"), raw("vectors", f"<f{row['width'].as_py()}").reshape(-1, dim)
+
+
+def search(queries: DataFrame, index: Index, k: int, *, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """hits(clip_id, q_idx, q_t, rank, vector_id, key, ref_t, score) of queries(clip_id, q_idx, q_t, vector), a row for each of its sound rows' k best."""
+    spark, dim = index.spark, index.dim
+    asked = staged(_asked(queries, dim), "queries")
+    groups = max(1, -(-asked.count() * dim * 8 // query_bytes))
+    met, skipped = index.met, index.skipped
+    parts = []
+    for g in range(groups):
+        table = asked.where(F.pmod(F.xxhash64("clip_id", "q_idx"), F.lit(groups)) == g).orderBy("clip_id", "q_idx").toArrow()
+        q = _matrix(table["vector"], dim).astype(np.float64)
+        if not len(q) or not len(index.cells):
+            continue
+        group = spark.sparkContext.broadcast(q)
+        cell_of = np.concatenate([(q[lo : lo + BATCH] @ index.cells.T).argmax(1) for lo in range(0, len(q), BATCH)])
+        floors = _floors(index, group, k, cell_of)
+        wanted = _cells_left(index, group, floors)
+        names = spark.sparkContext.broadcast(table.select(["clip_id", "q_idx", "q_t"]).combine_chunks())
+
+        def run(batches: Iterator[pa.RecordBatch], group=group, floors=floors, names=names) -> Iterator[pa.RecordBatch]:
+            q = group.value
+            best = Best(len(q), k, floors)
+            for _, centre, radius, ids, own_keys, own_times, vectors in _read(batches, dim):
+                mine = np.flatnonzero(_reach(q, centre, radius) >= best.floor)
+                met.add(len(mine))
+                skipped.add(len(q) - len(mine))
+                for lo in range(0, len(mine), BATCH):
+                    part = mine[lo : lo + BATCH]
+                    best.meet(q[part], vectors, ids, own_keys, own_times, mine=part)
+            if len(best.rows):
+                keys, times = best.more
+                mine = names.value.take(pa.array(best.rows)).combine_chunks().to_batches()[0]
+                yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(best.ids), pa.array(keys, mask=keys == _NO_KEY), pa.array(times, mask=np.isnan(times)), pa.array(best.scores)], names=[x.split()[0] for x in f"{_QUERY}, {_HIT}".split(", ")])
+
+        parts.append(index.blocks.where(F.col("cell").isin(wanted)).mapInArrow(run, f"{_QUERY}, {_HIT}"))
+    if not parts:
+        return spark.createDataFrame([], f"{_QUERY}, rank int, {_HIT}").select(*_HITS)
+    hits = parts[0]
+    for more in parts[1:]:
+        hits = hits.union(more)
+    return _ranked(hits, k).select(*_HITS)
+
+
+def _cells_left(index: Index, group, floors: np.ndarray) -> list[int]:
+    """The cells with a block that any query of the group may need; only centres and radii are read."""
+    skipped = index.skipped
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, int] = {}
+        for batch in batches:
+            for cell, centre, radius in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                needed = bool((_reach(group.value, np.array(centre), radius) >= floors).any())
+                found[cell] = found.get(cell, 0) + (0 if needed else 1 << 32) + needed
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([v & 0xFFFFFFFF for v in found.values()], pa.int64()), pa.array([v >> 32 for v in found.values()], pa.int64())], names=["cell", "needed", "spared"])
+
+    rows = index.blocks.select("cell", "centre", "radius").mapInArrow(run, "cell int, needed long, spared long").groupBy("cell").agg(F.sum("needed").alias("needed"), F.sum("spared").alias("spared")).collect()
+    skipped.add(sum(r["spared"] for r in rows if not r["needed"]) * len(floors))
+    return sorted(r["cell"] for r in rows if r["needed"])
+
+
 def topk(queries: DataFrame, library: DataFrame, k: int, dim: int, *, broadcast_bytes: int = BROADCAST_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """hits(clip_id, q_idx, q_t, rank, vector_id, key, ref_t, score) of queries(clip_id, q_idx, q_t, vector) in library(vector_id, key, t, vector)."""
-    lib = library.where(is_valid_vector(F.col("vector"), dim)).select("vector_id", "key", F.col("t").cast("double").alias("t"), "vector")
-    q = queries.where(is_valid_vector(F.col("vector"), dim)).select(F.col("clip_id").cast("string").alias("clip_id"), F.col("q_idx").cast("int").alias("q_idx"), F.col("q_t").cast("double").alias("q_t"), "vector")
-    n, width = lib.count(), 4 if "float" in lib.schema["vector"].dataType.simpleString() else 8
-    if n * dim * width <= broadcast_bytes:
-        held = lib.orderBy("vector_id").toArrow()
-        shared = queries.sparkSession.sparkContext.broadcast((held["vector_id"].to_numpy().astype(np.int64), held["key"].to_numpy().astype(np.int32), held["t"].to_numpy(), _matrix(held["vector"], dim)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, keys, times, vectors = shared.value
-            for whole in batches:
-                for lo in range(0, whole.num_rows, BATCH):
-                    batch = whole.slice(lo, BATCH)
-                    if not len(ids) or not batch.num_rows:
-                        continue
-                    rows, places, scores = _best(_matrix(batch.column(3), dim), vectors, ids, k)
-                    take = pa.array(rows)
-                    nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(nth.astype(np.int32)), pa.array(ids[places]), pa.array(keys[places]), pa.array(times[places]), pa.array(scores)], names=["clip_id", "q_idx", "q_t", "rank", "vector_id", "key", "ref_t", "score"])
-
-        return q.mapInArrow(run, "clip_id string, q_idx int, q_t double, rank int, vector_id long, key int, ref_t double, score double")
-    blocks = -(-n * dim * width // block_bytes)
-
-    def meet(_, left: pa.Table, right: pa.Table) -> pa.Table:
-        kinds = (pa.string(), pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.float64(), pa.float64())
-        out = []
-        right = right.sort_by("vector_id")
-        vectors, ids = _matrix(right["vector"], dim), right["vector_id"].to_numpy()
-        for lo in range(0, left.num_rows if right.num_rows else 0, BATCH):
-            part = left.slice(lo, BATCH)
-            rows, places, scores = _best(_matrix(part["vector"], dim), vectors, ids, k)
-            mine, own = part.select(["clip_id", "q_idx", "q_t"]).take(pa.array(rows)), right.select(["vector_id", "key", "t"]).take(pa.array(places))
-            out.append(pa.table([c.cast(t) for c, t in zip([*mine.columns, *own.columns, pa.chunked_array([scores])], kinds, strict=True)], names=[x.split()[0] for x in _OUT.split(", ")]))
-        empty = pa.table([pa.array([], t) for t in kinds], names=[x.split()[0] for x in _OUT.split(", ")])
-        return pa.concat_tables(out) if out else empty
-
-    parts = max(1, -(-q.count() // 20_000))  # queries of a block are dealt too: no task holds them all
-    left = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(int(blocks - 1))))).withColumn("part", F.pmod(F.hash("clip_id", "q_idx"), F.lit(parts)))
-    right = lib.withColumn("block", F.pmod(F.hash("vector_id"), F.lit(int(blocks)))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    met = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(meet, _OUT)
-    return _ranked(met, k).select("clip_id", "q_idx", "q_t", "rank", "vector_id", "key", "ref_t", "score")
+    lib = _sound(library, dim)
+    if lib.count() * dim * _width(lib) > broadcast_bytes:
+        return search(queries, build(library, dim, block_bytes=block_bytes), k)
+    q = _asked(queries, dim)
+    held = lib.orderBy("vector_id").toArrow()
+    shared = queries.sparkSession.sparkContext.broadcast((held["vector_id"].to_numpy().astype(np.int64), held["key"].combine_chunks(), held["t"].combine_chunks(), _matrix(held["vector"], dim)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, keys, times, vectors = shared.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(lo, BATCH)
+                if not len(ids) or not batch.num_rows:
+                    continue
+                best = Best(batch.num_rows, k)
+                best.meet(_matrix(batch.column(3), dim), vectors, ids, np.arange(len(ids)))
+                take, places = pa.array(best.rows), pa.array(best.more[0])
+                nth = np.arange(len(best.rows)) - np.searchsorted(best.rows, best.rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(nth.astype(np.int32)), pa.array(best.ids), keys.take(places), times.take(places), pa.array(best.scores)], names=_HITS)
+
+    return q.mapInArrow(run, f"{_QUERY}, rank int, {_HIT}")
 
 
 def topk_sql(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
@@ -107,4 +320,4 @@ def topk_sql(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
         raise ValueError(f"more than {SQL_VECTORS} vectors: use topk")
     pairs = queries.crossJoin(F.broadcast(library.withColumnRenamed("vector", "lv").withColumnRenamed("t", "lt")))
     scored = pairs.select(F.col("clip_id").cast("string").alias("clip_id"), "q_idx", F.col("q_t").cast("double").alias("q_t"), "vector_id", "key", F.col("lt").cast("double").alias("ref_t"), inner_product(F.col("vector"), F.col("lv")).alias("score"))
-    return _ranked(scored, k).select("clip_id", "q_idx", "q_t", "rank", "vector_id", "key", "ref_t", "score")
+    return _ranked(scored, k).select(*_HITS)

@@ -120,6 +120,13 @@ def knn_topk_sql(spark, d):
     return search.topk_sql(surrogate.clips(spark, d), surrogate.library(spark, d), K).select("clip_id", "q_idx", "rank", "vector_id")
 
 
+@query(f"WITH {_BASE} SELECT clip_id, q_idx, CAST(rank AS INT) AS rank, vector_id, key, ref_t, round(score, 6) AS score FROM hits")
+def knn_topk_pruned(spark, d):
+    """By an index of cells and blocks; most blocks are out of reach of a query and skipped."""
+    made = search.build(surrogate.library(spark, d), DIM, block_bytes=32 * DIM * 4, cells=24)
+    return search.search(surrogate.clips(spark, d), made, K).select("clip_id", "q_idx", "rank", "vector_id", "key", "ref_t", _r("score").alias("score"))
+
+
 @query(f"WITH {_BASE} SELECT clip_id, q_idx, CAST(rank AS INT) AS rank, vector_id FROM hits")
 def knn_topk_blocks(spark, d):
     return search.topk(surrogate.clips(spark, d), surrogate.library(spark, d), K, DIM, broadcast_bytes=0, block_bytes=200 * DIM * 4).select("clip_id", "q_idx", "rank", "vector_id")
