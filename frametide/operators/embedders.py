@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _REGISTRY: dict[str, Callable[[], object]] = {}
 
@@ -99,19 +100,35 @@ def embed_frames(frames: DataFrame, embedders: list[str], short_side: int = 288)
 
     A frame whose bytes aren't h * w * 3 is an error of the input and gives no row.
     """
+    rows = frames.select("video_id", "t", "h", "w", "rgb", F.lit(None).cast("string").alias("error"))
+    return embed_or_tell(rows, embedders, short_side).drop("error")
+
+
+def embed_or_tell(frames: DataFrame, embedders: list[str], short_side: int = 288) -> DataFrame:
+    """As embed_frames, of frames that have errors too: those rows pass, with the error and without a vector, so that one pass gives both."""
     for name in embedders:
         create(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = [create(name) for name in embedders]
+        names, kinds = ["video_id", "t", "embedder", "vector", "error"], (pa.string(), pa.float64(), pa.string(), pa.list_(pa.float32()), pa.string())
+
+        def told(*columns: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
         for whole in batches:
             for lo in range(0, whole.num_rows, 32):
-                rows = [r for r in whole.slice(lo, 32).to_pylist() if r["rgb"] is not None and len(r["rgb"]) == r["h"] * r["w"] * 3]
+                all_rows = whole.slice(lo, 32).to_pylist()
+                lost = [r for r in all_rows if r["error"] is not None]
+                if lost:
+                    none = [None] * len(lost)
+                    yield told([r["video_id"] for r in lost], none, none, none, [r["error"] for r in lost])
+                rows = [r for r in all_rows if r["error"] is None and r["rgb"] is not None and len(r["rgb"]) == r["h"] * r["w"] * 3]
                 images = [shrink(np.frombuffer(r["rgb"], np.uint8).reshape(r["h"], r["w"], 3), short_side) for r in rows]
                 for e in made if rows else []:
-                    yield pa.RecordBatch.from_arrays([pa.array([r["video_id"] for r in rows], pa.string()), pa.array([r["t"] for r in rows], pa.float64()), pa.array([e.name] * len(rows), pa.string()), pa.array(e.embed(images).tolist(), pa.list_(pa.float32()))], names=["video_id", "t", "embedder", "vector"])
+                    yield told([r["video_id"] for r in rows], [r["t"] for r in rows], [e.name] * len(rows), e.embed(images).tolist(), [None] * len(rows))
 
-    return frames.select("video_id", "t", "h", "w", "rgb").mapInArrow(run, "video_id string, t double, embedder string, vector array<float>")
+    return frames.select("video_id", "t", "h", "w", "rgb", "error").mapInArrow(run, "video_id string, t double, embedder string, vector array<float>, error string")
 
 
 def capped_height(image: np.ndarray, most: int = 720) -> np.ndarray:

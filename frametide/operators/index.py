@@ -61,10 +61,8 @@ def index(library: Library, rows: DataFrame, settings: Settings | None = None, *
     judged = staged(checked(rows, library, replace), "probed")
     good = judged.where("error is null").select("path", "video_id", "duration_s", "sha256")
     frames = videos.sample(rows.join(good.select("path"), "path", "left_semi"), settings.index_fps, short_side=settings.frame_short_side)
-    made = embedders.embed_frames(frames.where("error is null").withColumnRenamed("path", "video_id"), [library.embedder], settings.frame_short_side)
-    ended = frames.where("error is not null").select("path", F.lit(None).cast("double").alias("t"), F.lit(None).cast("array<float>").alias("vector"), "error")
-    # decoded and embedded once; both reads of the files are of the good ones
-    both = staged(made.select(F.col("video_id").alias("path"), "t", "vector", F.lit(None).cast("string").alias("error")).union(ended), "embedded")
+    # one pass decodes, embeds and tells what can't be decoded
+    both = staged(embedders.embed_or_tell(frames.withColumnRenamed("path", "video_id"), [library.embedder], settings.frame_short_side).withColumnRenamed("video_id", "path"), "embedded")
     vectors = both.where("error is null").select("path", "t", "vector")
     counts = vectors.groupBy("path").agg(F.count("*").alias("n_vectors"))
     failed = both.where("error is not null").groupBy("path").agg(F.min("error").alias("decode_error"))
@@ -75,10 +73,10 @@ def index(library: Library, rows: DataFrame, settings: Settings | None = None, *
 
 
 def query_frames(rows: DataFrame, embedder: str, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
-    """q_frames(clip_id, q_idx, q_t, vector) of clips(path, content), by path, and failures (clip_id, error)."""
+    """q_frames(clip_id, q_idx, q_t, vector) of clips(path, content), by path, and failures (clip_id, error); decoded once, now."""
     settings = settings or Settings()
     frames = videos.sample(rows, settings.query_fps, short_side=settings.frame_short_side, max_frames=settings.query_max_frames, adaptive=True)
-    made = embedders.embed_frames(frames.where("error is null").withColumnRenamed("path", "video_id"), [embedder], settings.frame_short_side)
+    both = staged(embedders.embed_or_tell(frames.withColumnRenamed("path", "video_id"), [embedder], settings.frame_short_side), "query-frames")
     order = Window.partitionBy("video_id").orderBy("t")
-    out = made.select(F.col("video_id").alias("clip_id"), (F.row_number().over(order) - 1).alias("q_idx"), F.col("t").cast("float").alias("q_t"), "vector")
-    return out, frames.where("error is not null").select(F.col("path").alias("clip_id"), "error")
+    out = both.where("error is null").select(F.col("video_id").alias("clip_id"), (F.row_number().over(order) - 1).alias("q_idx"), F.col("t").cast("float").alias("q_t"), "vector")
+    return out, both.where("error is not null").select(F.col("video_id").alias("clip_id"), "error")
