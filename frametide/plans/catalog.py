@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import aligned, embedders, evaluate, index, matcher, sampling, search, voting
-from ..sources import files, store
+from ..sources import files, frames, store
 from ..sources.library import Library
-from ..staging import staged
+from ..staging import new_path, staged
 from . import surrogate
 
 K, DIM, TOLERANCE = 10, 64, 0.6
@@ -545,3 +545,18 @@ def match_results(spark, d):
     return out.select(
         "clip_id", "status", "video_id", "confidence", "offset_s", F.col("ref_window.start").alias("window_start"), F.col("ref_window.end").alias("window_end"), F.col("candidate.video_id").alias("candidate"),
         F.col("candidate.offset_s").alias("candidate_offset_s"), "reason", "n_query_frames", F.col("diagnostics.ratio").alias("ratio"))
+
+
+_PIXELS = " || ".join(f"lower(lpad(hex((vec_id + {j}) % 256), 2, '0'))" for j in range(12))
+
+
+@query("""WITH fr AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn FROM embeddings)
+SELECT CAST(label AS VARCHAR) AS video, rn AS frame_idx, rn * 0.4::DOUBLE AS t, """ + " || ".join(f"printf('%02x', (vec_id + {j}) % 256)" for j in range(12)) + " AS rgb FROM fr WHERE rn = 0 OR floor(rn * 0.4::DOUBLE + 0.000001) > floor((rn - 1) * 0.4::DOUBLE + 0.000001)")
+def frames_source(spark, d):
+    """Pictures of the embeddings table, written as clips through the sink and read back by ranges, one frame a second."""
+    rows = surrogate.frames(spark, d)
+    made = rows.select(F.col("key").cast("string").alias("query_id"), (F.col("rn") * 0.4).alias("t"), F.lit(2).alias("h"), F.lit(2).alias("w"), F.unhex(F.expr(_PIXELS)).alias("rgb"), F.lit(None).cast("string").alias("error"))
+    path = new_path(spark, "clips")
+    frames.save_clips(made, path, 2.5)
+    read = spark.read.format("frames").option("fps", 1).option("partition_bytes", 500).load(path)
+    return read.select(F.regexp_extract("path", r"([^/]+)\.npz$", 1).alias("video"), "frame_idx", "t", F.lower(F.hex("rgb")).alias("rgb"))

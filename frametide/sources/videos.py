@@ -123,16 +123,32 @@ def _header(file: BinaryIO) -> tuple[tuple[int, ...], bool, np.dtype]:
     return (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(file)
 
 
+def _suffix(path: str) -> str:
+    return "." + path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+
+
+def has_decoder(path: str) -> bool:
+    return _suffix(path) in _DECODERS
+
+
+def reads_ranges(path: str) -> bool:
+    return hasattr(_DECODERS[_suffix(path)], "pictures")
+
+
+def decoder_of(path: str):
+    if not has_decoder(path):
+        raise VideoError(f"no decoder for {_suffix(path) or 'files without a suffix'}")
+    return _DECODERS[_suffix(path)]()
+
+
 def _decoder_of(path: str, content: bytes | None):
-    end = "." + path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
-    if end not in _DECODERS:
-        raise VideoError(f"no decoder for {end or 'files without a suffix'}")
+    made = decoder_of(path)
     if content is None:
         raise VideoError("the file can't be read")
-    return _DECODERS[end]()
+    return made
 
 
-_BAD = (ValueError, KeyError, OSError, EOFError, NotImplementedError, zipfile.BadZipFile, zlib.error)
+BAD = (ValueError, KeyError, OSError, EOFError, NotImplementedError, zipfile.BadZipFile, zlib.error)
 
 
 def files(spark: SparkSession, paths: list[str], suffixes: tuple[str, ...] | None = None) -> DataFrame:
@@ -157,9 +173,9 @@ def probe(rows: DataFrame) -> DataFrame:
                 try:
                     v = _decoder_of(path, content).probe(io.BytesIO(content))
                     row = (path, v.fps, v.n_frames, v.width, v.height, v.duration_s, None)
-                except _BAD as e:
+                except BAD as e:
                     row = (path, None, None, None, None, None, str(e))
-                yield _batch([row], PROBED)
+                yield batch_of([row], PROBED)
 
     return rows.select("path", "content").mapInArrow(run, PROBED)
 
@@ -167,13 +183,15 @@ def probe(rows: DataFrame) -> DataFrame:
 class Grid:
     """Which of rising times are the first at or after a grid point 0, 1/fps, ...; at most so many."""
 
-    def __init__(self, fps: float, most: int | None = None):
+    def __init__(self, fps: float | None, most: int | None = None):
         self.fps, self.left, self.point = fps, most if most is not None else -1, 0.0
 
     def takes(self, t: float) -> bool:
-        if self.left == 0 or t + EPSILON < self.point:
+        if self.left == 0 or self.fps is not None and t + EPSILON < self.point:
             return False
         self.left -= 1
+        if self.fps is None:  # every frame
+            return True
         self.point = (np.floor((t + EPSILON) * self.fps) + 1) / self.fps
         return True
 
@@ -186,7 +204,7 @@ def repaired(frames: Iterable[tuple[float | None, object]], step: float) -> Iter
         yield before, what
 
 
-def sampled(frames: Iterable[tuple[float | None, np.ndarray | None]], fps: float, max_frames: int | None = None, step: float = 1 / DEFAULT_FPS) -> Iterator[tuple[float, np.ndarray]]:
+def sampled(frames: Iterable[tuple[float | None, np.ndarray | None]], fps: float | None, max_frames: int | None = None, step: float = 1 / DEFAULT_FPS) -> Iterator[tuple[float, np.ndarray]]:
     """The first picture at or after each grid point, with its repaired time.
 
     A picture that can't be decoded uses up no grid point.
@@ -199,8 +217,8 @@ def sampled(frames: Iterable[tuple[float | None, np.ndarray | None]], fps: float
             return
 
 
-def on_grid(reader, source: BinaryIO, fps: float, max_frames: int | None, step: float, part: int = 0, parts: int = 1) -> Iterator[tuple[int, float, np.ndarray]]:
-    """(frame, time, picture) of the sampled frames, or of one of parts equal runs of them."""
+def on_grid(reader, source: BinaryIO, fps: float | None, max_frames: int | None, step: float, part: int = 0, parts: int = 1) -> Iterator[tuple[int, float, np.ndarray]]:
+    """(frame, time, picture) of the sampled frames, without fps all, or of one of parts equal runs of them."""
     if hasattr(reader, "pictures"):
         known = ((None if np.isnan(t) else float(t), i) for i, t in enumerate(reader.times(source)))
         picks = list(sampled(known, fps, max_frames, step))
@@ -234,12 +252,12 @@ def sample(rows: DataFrame, fps: float, *, short_side: int = 288, max_frames: in
                         small = np.ascontiguousarray(shrink(picture, short_side))
                         held.append((path, t, small.shape[0], small.shape[1], small.tobytes(), None))
                         if len(held) == ROWS:
-                            yield _batch(held, SAMPLED)
+                            yield batch_of(held, SAMPLED)
                             held = []
-                except _BAD as e:
+                except BAD as e:
                     held.append((path, None, None, None, None, str(e)))
                 if held:
-                    yield _batch(held, SAMPLED)
+                    yield batch_of(held, SAMPLED)
 
     return rows.select("path", "content").mapInArrow(run, SAMPLED)
 
@@ -247,7 +265,7 @@ def sample(rows: DataFrame, fps: float, *, short_side: int = 288, max_frames: in
 _KINDS = {"string": pa.string(), "double": pa.float64(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "array<float>": pa.list_(pa.float32())}
 
 
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
     names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
     return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
 
@@ -325,12 +343,12 @@ def render(specs: DataFrame, sources: DataFrame, fps: float, *, most_height: int
                             made = np.ascontiguousarray(distort(capped, clip.kind, np.random.default_rng(clip.seed)))
                             held.append((clip.query, t, made.shape[0], made.shape[1], made.tobytes(), None))
                             if len(held) == ROWS:
-                                yield _batch(held, RENDERED)
+                                yield batch_of(held, RENDERED)
                                 held = []
-                except _BAD as e:
+                except BAD as e:
                     held += [(a["query_id"], None, None, None, None, str(e)) for a in asked]
                 for lo in range(0, len(held), ROWS):
-                    yield _batch(held[lo : lo + ROWS], RENDERED)
+                    yield batch_of(held[lo : lo + ROWS], RENDERED)
 
     clip = F.struct("query_id", F.col("ref_start_s").cast("double").alias("ref_start_s"), F.col("ref_duration_s").cast("double").alias("ref_duration_s"), "distortion", F.col("seed").cast("long").alias("seed"))
     each = specs.groupBy("film_id").agg(F.collect_list(clip).alias("clips")).join(sources, "film_id").select("path", "clips", "content")
