@@ -63,11 +63,47 @@ def threshold_grid(spark, algorithm: str) -> DataFrame:
     return spark.range(201).select((F.rint(F.col("id") * 5) / 1000).alias("primary")).crossJoin(spark.range(n).select(((F.col("id") + low) * 5 / 100).alias("secondary")))
 
 
+def _reached(rows: DataFrame, value: Column, limits: list[float], name: str) -> DataFrame:
+    """rows with how many of the rising limits are at most value: a binary search a row, in the JVM."""
+    from pyspark.ml.feature import Bucketizer
+
+    low, high = [] if limits[0] == float("-inf") else [float("-inf")], [] if limits[-1] == float("inf") else [float("inf")]
+    # the search puts -0.0 below 0.0; adding 0.0 makes them one
+    put = Bucketizer(splits=[*low, *[x + 0.0 for x in limits], *high], inputCol="_value", outputCol="_place")
+    placed = put.transform(rows.withColumn("_value", value + F.lit(0.0))).drop("_value")
+    return placed.withColumn(name, F.col("_place").cast("int") + (1 - len(low))).drop("_place")
+
+
 def sweep(rows: DataFrame, grid: DataFrame, feature_is_most: bool) -> DataFrame:
-    """(primary, secondary, dir, far) of each grid point: each row is met with the grid's fixed few points, summed before the shuffle."""
-    met = rows.crossJoin(F.broadcast(grid)).withColumn("acc", accepted(F.col("primary"), F.col("secondary"), feature_is_most))
-    share = lambda what, of: F.coalesce(F.avg(F.when(of, what.cast("double"))), F.lit(0.0))
-    return met.groupBy("primary", "secondary").agg(share(F.col("acc") & F.col("correct"), F.col("known")).alias("dir"), share(F.col("acc"), ~F.col("known")).alias("far"))
+    """(primary, secondary, dir, far) of each grid point, from one pass over rows, whatever the grid.
+
+    A row passes the points below its confidence and on its side of its feature: a
+    corner of the grid. So each row is counted once, in the cell of its corner, and counts are
+    cumulated over the cells along both sides. Rows that no point accepts (no
+    candidate, failed, null or NaN) lie in cell 0, 0.
+    """
+    spark, sign = rows.sparkSession, -1.0 if feature_is_most else 1.0
+    points = [(r[0], r[1]) for r in grid.select(F.col("primary").cast("double"), F.col("secondary").cast("double")).distinct().collect()]  # the grid's own few
+    if not points:
+        return grid.select("primary", "secondary", F.lit(0.0).alias("dir"), F.lit(0.0).alias("far"))
+    first, second = sorted({p for p, _ in points}), sorted({sign * q for _, q in points})
+    usable = ~F.col("failed") & F.col("candidate").isNotNull() & F.nanvl("confidence", F.lit(None).cast("double")).isNotNull() & F.nanvl("feature", F.lit(None).cast("double")).isNotNull()
+    told = rows.select("known", (F.col("known") & F.col("correct")).alias("hit"), F.when(usable, F.col("confidence").cast("double")).otherwise(float("-inf")).alias("c"), F.when(usable, sign * F.col("feature").cast("double")).otherwise(float("-inf")).alias("f"), F.coalesce(usable, F.lit(False)).alias("usable"))
+    placed = _reached(_reached(told, F.col("c"), first, "a"), F.col("f"), second, "b")
+    at = lambda c: F.when(F.col("usable"), F.col(c)).otherwise(0).alias(c)
+    count = lambda x: F.count(F.when(x, 1))
+    cells = placed.select(at("a"), at("b"), "known", "hit").groupBy("a", "b").agg(count(F.col("hit")).alias("hits"), count(F.col("known")).alias("known"), count(~F.col("known")).alias("unknown"))
+    n, m = len(first) + 1, len(second) + 1
+    lattice = spark.range(n * m).select(F.floor(F.col("id") / m).cast("int").alias("a"), (F.col("id") % m).cast("int").alias("b"))
+    full = lattice.join(F.broadcast(cells), ["a", "b"], "left").fillna(0, ["hits", "known", "unknown"])  # no more cells than the lattice has
+    along = Window.partitionBy("b").orderBy(F.desc("a")).rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy("a").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, 0)
+    for window in (along, across):
+        full = full.withColumns({c: F.sum(c).over(window) for c in ("hits", "known", "unknown")})
+    every = full.where("a = 0 and b = 0").select(F.col("known").alias("n_known"), F.col("unknown").alias("n_unknown"))
+    named = spark.createDataFrame([(first.index(p) + 1, second.index(sign * q) + 1, p, q) for p, q in points], "a int, b int, primary double, secondary double")
+    share = lambda x, of: F.when(F.col(of) > 0, F.col(x) / F.col(of)).otherwise(0.0)
+    return full.join(F.broadcast(named), ["a", "b"]).crossJoin(F.broadcast(every)).select("primary", "secondary", share("hits", "n_known").alias("dir"), share("unknown", "n_unknown").alias("far"))
 
 
 def pick(swept: DataFrame, target_far: float, feature_is_most: bool) -> DataFrame:

@@ -6,7 +6,8 @@ import atexit
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _LOCAL_DIR = "/tmp/checkpoints"
 _WRITTEN: list[tuple[SparkSession, str]] = []
@@ -33,6 +34,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, order: str, size: str | None = None) -> DataFrame:
+    """rows with _n, their place by a column without repeats, from 0, and _before, the sum of size over the rows before.
+
+    Rows are dealt out by ranges of order and written with their range's number; each range's count
+    and sum, a row a range, give where it begins; places within a range are counted in parallel.
+    """
+    size_of = F.col(size).cast("long") if size else F.lit(1).cast("long")
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = staged(rows.repartitionByRange(parts, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = sorted((r["_range"], r["n"], r["s"]) for r in dealt.groupBy("_range").agg(F.count("*").alias("n"), F.sum(size_of).alias("s")).collect())
+    starts, n, s = [], 0, 0
+    for part, count, total in totals:
+        starts.append((part, n, s))
+        n, s = n + count, s + (total or 0)
+    begun = F.broadcast(spark.createDataFrame(starts, "_range int, _start long, _sum long"))  # a row a range
+    within = Window.partitionBy("_range").orderBy(order)
+    out = dealt.join(begun, "_range")
+    before = F.coalesce(F.sum(size_of).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return out.withColumns({"_n": F.col("_start") + F.row_number().over(within) - 1, "_before": F.col("_sum") + before}).drop("_range", "_start", "_sum")
+
+
 def clean() -> None:
     """Removes what was written so far."""
     while _WRITTEN:
