@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def first_per_bucket(frames: DataFrame, seconds: float, lateness: str = "10 seconds") -> DataFrame:
-    """The first frame of each tumbling window of a stream of frames(video_id, ts, ...), once it is complete."""
+    """The first frame of each tumbling window of a stream of frames(video_id, ts, ...), once it is complete; of equal times that of the least frame_idx, then by a hash of the row."""
     rest = [c for c in frames.columns if c != "video_id"]
-    first = F.min_by(F.struct(*rest), "ts")
+    ties = [*(["frame_idx"] if "frame_idx" in rest else []), F.xxhash64(*rest)]
+    first = F.min_by(F.struct(*rest), F.struct("ts", *ties))
     windows = frames.withWatermark("ts", lateness).groupBy("video_id", F.window("ts", f"{int(seconds * 1000)} milliseconds"))
     return windows.agg(first.alias("f")).select("video_id", "f.*")
 
@@ -50,6 +53,68 @@ def repair_times(frames: DataFrame, fps: float = 30.0, idle: str | None = None)
     return rows.groupBy("video_id").applyInPandasWithState(run, REPAIRED, "before double", "append", timeout)
 
 
+PLACED = "video_id string, frame_idx long, pts double, t double, late boolean"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Placer(StatefulProcessor):
+    """Each video's last time and frame as typed state; it ends by an event-time timer, or by its time to live."""
+
+    def __init__(self, fps: float, idle_ms: int, by_event: bool):
+        self.fps, self.idle_ms, self.by_event = fps, idle_ms, by_event
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t double, frame_idx long, timer long", ttlDurationMs=None if self.by_event else self.idle_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before, seen, timer = self.last.get() if self.last.exists() else (-1.0, -1, -1)
+        whole = pd.concat(list(rows)).sort_values("frame_idx", kind="stable")
+        times, late = [], []
+        for frame, pts in zip(whole["frame_idx"], whole["pts"], strict=True):
+            late.append(frame <= seen)
+            if late[-1]:  # what came before it is told already: its own time, where it has one
+                times.append(float(pts))
+                continue
+            before, seen = (float(pts) if not pd.isna(pts) and pts > before else before + 1.0 / self.fps), frame
+            times.append(before)
+        if self.by_event:
+            ends = int(whole["ts"].max().timestamp() * 1000) + self.idle_ms
+            if ends > timer:
+                if timer >= 0:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(ends)
+                timer = ends
+        self.last.update((before, int(seen), timer))
+        yield pd.DataFrame({"video_id": pd.Series([key[0]] * len(whole), dtype=object), "frame_idx": whole["frame_idx"].to_numpy(), "pts": whole["pts"].to_numpy(), "t": np.array(times, float), "late": np.array(late, bool)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def place_frames(frames: DataFrame, fps: float = 30.0, idle: str = "60 seconds", *, lateness: str | None = "10 seconds") -> DataFrame:
+    """Rows of PLACED of a stream of frames(video_id, frame_idx, pts, ts): repair_times with state that ends, and late frames told.
+
+    A frame that comes after one of a higher number is a row with late = true; it
+    keeps its own time (null where it has none) and moves no other. With lateness, a video's state ends when the watermark is
+    idle past its newest ts (event-time timers), and frames behind the watermark are dropped by
+    Spark; without, it ends idle after its last change by the clock (time to live); such a stream runs on
+    and isn't for a trigger of what is available. Needs the
+    RocksDB state store, which is set for the session where none is named.
+    """
+    spark = frames.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") in ("", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = frames.select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.col("pts").cast("double").alias("pts"), "ts")
+    rows = rows.withWatermark("ts", lateness) if lateness else rows
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    return rows.groupBy("video_id").transformWithStateInPandas(_Placer(fps, idle_ms, lateness is not None), PLACED, "append", "EventTime" if lateness else "ProcessingTime")
+
+
 def arriving(spark: SparkSession, path: str, files_at_once: int = 16) -> DataFrame:
     """path, length, content of files as they come into a folder, at most so many in a micro-batch: what waits, waits on disk."""
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true")
