@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
+from ..staging import numbered, staged
 
 # Metrics in their order, and how many digits they have.
 METRICS = {"n_known": 0, "n_unknown": 0, "answer_precision": 4, "dir": 4, "frr": 4, "misid": 4, "top1": 4, "far": 4, "offset_median_s": 3, "offset_p90_s": 3, "offset_within_half": 4, "offset_within_1s": 4}
@@ -127,30 +128,113 @@ def hashed_weights(bases: DataFrame, replicates: int) -> DataFrame:
     return bases.select("base_id").distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("weight", weight).where("weight > 0")
 
 
-def multinomial_weights(spark, bases: list[str], replicates: int, seed: int = 0) -> DataFrame:
-    """Resampling of base clips with replacement; bases is the benchmark's bounded list of clips."""
-    import numpy as np
+def multinomial_weights(bases: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
+    """(base_id, rep, weight): resampling of the bases with replacement, as many draws a replicate as there are bases.
 
-    names = sorted(bases)
-    drawn = np.random.default_rng(seed).multinomial(len(names), [1 / len(names)] * len(names), size=replicates) if names else np.zeros((0, 0), int)
-    rows = [(names[j], int(i), int(drawn[i, j])) for i, j in zip(*np.nonzero(drawn), strict=True)]
-    return spark.createDataFrame(rows, "base_id string, rep int, weight int")
+    Draw j of a replicate falls on base floor(u * n) by name, u a hash of seed, replicate and j: counts of such draws are
+    multinomial, add up to n in each replicate, and are the same on any engine that has md5. Bases
+    are numbered by ranges and each makes its own draws, so nothing passes one task or the driver but n.
+    """
+    named = staged(numbered(bases.select("base_id").where("base_id is not null").distinct(), "base_id").select("base_id", "_n"), "bases")
+    n = named.count()
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("_n").cast("string"))), 1, 8), 16, 10).cast("long")
+    draws = named.select("_n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).select("rep", F.shiftright(u * F.lit(n).cast("long"), 32).alias("_n"))
+    counted = draws.groupBy("rep", "_n").agg(F.count("*").cast("int").alias("weight"))
+    return counted.join(named, "_n").select("base_id", "rep", "weight")
+
+
+def per_base(rows: DataFrame, value: Column, of: Column) -> DataFrame:
+    """(base_id, v, n): sums of a value over the rows that it is of, by base clip."""
+    return rows.groupBy("base_id").agg(F.sum(F.when(of, value.cast("double"))).alias("v"), F.count(F.when(of & value.isNotNull(), 1)).alias("n")).where("n > 0")
+
+
+def replicate_means(sums: DataFrame, weights: DataFrame) -> DataFrame:
+    """(rep, mean): the weighted mean of each replicate; one of no weight drops out."""
+    return sums.join(weights, "base_id").groupBy("rep").agg((F.sum(F.col("v") * F.col("weight")) / F.sum(F.col("n") * F.col("weight"))).alias("mean"))
+
+
+def _interval(means: DataFrame) -> DataFrame:
+    return means.agg(rounded(F.percentile("mean", F.lit(0.025)), 4).alias("lo"), rounded(F.percentile("mean", F.lit(0.975)), 4).alias("hi"))
 
 
 def bootstrap(rows: DataFrame, value: Column, of: Column, weights: DataFrame) -> DataFrame:
-    """(lo, hi): 2.5 and 97.5 percentiles of the weighted mean over replicates.
+    """(lo, hi): 2.5 and 97.5 percentiles of the weighted mean over replicates. Rows are summed per base clip first."""
+    return _interval(replicate_means(per_base(rows, value, of), weights))
 
-    Rows are summed per base clip first; replicates of no weight drop out.
+
+def paired(one: DataFrame, two: DataFrame, value: Column, of: Column, weights: DataFrame) -> DataFrame:
+    """(difference, lo, hi): the mean of run one less that of run two, and its interval over replicates that draw the same bases for both."""
+    a, b = per_base(one, value, of), per_base(two, value, of)
+    total = lambda sums, name: sums.agg((F.sum("v") / F.sum("n")).alias(name))
+    whole = total(a, "_a").crossJoin(total(b, "_b")).select(rounded(F.col("_a") - F.col("_b"), 4).alias("difference"))
+    means = replicate_means(a, weights).join(replicate_means(b, weights).withColumnRenamed("mean", "_b"), "rep").select((F.col("mean") - F.col("_b")).alias("mean"))
+    return whole.crossJoin(_interval(means))  # a row each
+
+
+BINS, LEFT = 4096, 100_000
+
+
+def percentiles(rows: DataFrame, value: Column, shares: tuple[float, ...], by: tuple[str, ...] = (), *, bins: int = BINS, left: int = LEFT) -> DataFrame:
+    """(by, share, percentile): exact, interpolated between the two ranks around share * (n - 1); NaN and null aside.
+
+    Distributed selection: values are counted in bins between the least and the
+    greatest, then again within the bin that holds the rank, until that has few values or only one
+    repeated; these alone are sorted. What is shuffled are counts, so one group
+    may have any number of rows. rows are read once a round, some three or four in all.
     """
-    per_base = rows.groupBy("base_id").agg(F.sum(F.when(of, value.cast("double"))).alias("v"), F.count(F.when(of & value.isNotNull(), 1)).alias("n")).where("n > 0")
-    means = per_base.join(weights, "base_id").groupBy("rep").agg((F.sum(F.col("v") * F.col("weight")) / F.sum(F.col("n") * F.col("weight"))).alias("mean"))
-    return means.agg(rounded(F.percentile("mean", F.lit(0.025)), 4).alias("lo"), rounded(F.percentile("mean", F.lit(0.975)), 4).alias("hi"))
+    groups, x = list(by), F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+    held = rows.select(*by, x.alias("_x")).where("_x is not null")
+    scaled = lambda c: F.greatest(F.least(c, F.lit(1e308)), F.lit(-1e308)) / 2
+    spread = [F.count("*").alias("_count"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")]
+    ranks = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("share"), F.lit(k).alias("_upper")) for s in shares for k in (0, 1)]))
+    at = F.col("share") * (F.col("_count") - 1)
+    wanted = held.groupBy(*by).agg(*spread).withColumn("_r", ranks).select(*by, "_r.*", "_count", "_lo", "_hi").withColumn("_rank", F.when(F.col("_upper") == 0, F.floor(at)).otherwise(F.ceil(at)))
+    wanted = staged(wanted.withColumns({"_weight": F.when(F.col("_upper") == 1, at - F.floor(at)).otherwise(1 - (at - F.floor(at)))}), "ranks")
+    done = []
+    for _ in range(64):
+        settled = (F.col("_lo") == F.col("_hi")) | (F.col("_count") <= left) | (scaled(F.col("_lo")) == scaled(F.col("_hi")))
+        done.append(wanted.where(settled))
+        wanted = wanted.where(~settled)
+        if wanted.isEmpty():
+            break
+        place = F.least(F.floor((scaled(F.col("_x")) - scaled(F.col("_wlo"))) / (scaled(F.col("_whi")) - scaled(F.col("_wlo"))) * bins), F.lit(bins - 1))
+        ends = wanted.select(*by, F.col("_lo").alias("_wlo"), F.col("_hi").alias("_whi")).distinct()
+        counted = _within(held, ends, groups, "_wlo", "_whi").withColumn("_bin", place).groupBy(*by, "_wlo", "_whi", "_bin").agg(*spread)
+        before = Window.partitionBy(*by, "_wlo", "_whi").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        bins_of = counted.withColumn("_below", F.coalesce(F.sum("_count").over(before), F.lit(0)))
+        same = [F.col("w._lo") == F.col("c._wlo"), F.col("w._hi") == F.col("c._whi"), *[F.col(f"w.{g}").eqNullSafe(F.col(f"c.{g}")) for g in groups]]
+        holds = (F.col("w._rank") >= F.col("c._below")) & (F.col("w._rank") < F.col("c._below") + F.col("c._count"))
+        met = wanted.alias("w").join(bins_of.alias("c"), [*same, holds])
+        wanted = staged(met.select(*[f"w.{g}" for g in groups], "w.share", "w._upper", "c._count", "c._lo", "c._hi", (F.col("w._rank") - F.col("c._below")).alias("_rank"), "w._weight"), "ranks")
+    ended = done[0]
+    for more in done[1:]:
+        ended = ended.unionByName(more)
+    ends = ended.where("_lo <> _hi").select(*by, F.col("_lo").alias("_wlo"), F.col("_hi").alias("_whi")).distinct()
+    last = _within(held, ends, groups, "_wlo", "_whi").groupBy(*by, "_wlo", "_whi", "_x").agg(F.count("*").alias("_c"))
+    upto = Window.partitionBy(*by, "_wlo", "_whi").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    last = last.withColumn("_to", F.sum("_c").over(upto))
+    same = [F.col("w._lo") == F.col("c._wlo"), F.col("w._hi") == F.col("c._whi"), *[F.col(f"w.{g}").eqNullSafe(F.col(f"c.{g}")) for g in groups]]
+    found = ended.alias("w").join(last.alias("c"), [*same, (F.col("w._rank") < F.col("c._to")) & (F.col("w._rank") >= F.col("c._to") - F.col("c._c"))], "left")
+    value_at = F.coalesce("c._x", "w._lo")
+    part = F.when(F.col("w._weight") == 0, 0.0).otherwise(value_at * F.col("w._weight"))
+    return found.groupBy(*[F.col(f"w.{g}").alias(g) for g in groups], F.col("w.share").alias("share")).agg(F.sum(part).alias("percentile"))
+
+
+def _within(held: DataFrame, ends: DataFrame, by: list[str], lo: str, hi: str) -> DataFrame:
+    """held with the ranges of its group that hold the value; a group has no more ranges than ranks asked for."""
+    same = [F.col(f"h.{g}").eqNullSafe(F.col(f"e.{g}")) for g in by]
+    inside = (F.col("h._x") >= F.col(f"e.{lo}")) & (F.col("h._x") <= F.col(f"e.{hi}"))
+    joined = held.alias("h").join(ends.alias("e") if by else F.broadcast(ends).alias("e"), [*same, inside])
+    return joined.select("h.*", f"e.{lo}", f"e.{hi}")
 
 
 def latency(rows: DataFrame, *columns: str) -> DataFrame:
-    """p50 and p95 of each column; NaN and null aside."""
-    clean = [(c, F.nanvl(F.col(c), F.lit(None).cast("double"))) for c in columns]
-    return rows.agg(*[F.percentile(x, F.lit(p)).alias(f"{c}_{n}") for c, x in clean for n, p in (("p50", 0.5), ("p95", 0.95))])
+    """p50 and p95 of each column, by selection; NaN and null aside."""
+    out = None
+    for c in columns:
+        two = percentiles(rows, F.col(c), (0.5, 0.95)).agg(*[F.max(F.when(F.col("share") == p, F.col("percentile"))).alias(f"{c}_{n}") for n, p in (("p50", 0.5), ("p95", 0.95))])
+        out = two if out is None else out.crossJoin(two)  # a row each
+    return out
 
 
 def missing(specs: DataFrame, stored: DataFrame, failures: DataFrame) -> DataFrame:

@@ -334,6 +334,39 @@ def bootstrap_ci(spark, d):
     return evaluate.bootstrap(rows, F.col("acc") & F.col("correct"), F.col("known"), evaluate.hashed_weights(rows, 200))
 
 
+_DRAWS = """, nb AS (SELECT base_id, row_number() OVER (ORDER BY base_id) - 1 AS j, count(*) OVER () AS n FROM (SELECT DISTINCT base_id FROM ju)),
+dr AS (SELECT rep, (CAST('0x' || substr(md5('7|' || rep || '|' || j), 1, 8) AS BIGINT) * n) >> 32 AS j FROM nb, range(200) t(rep)),
+mw AS (SELECT base_id, rep, count(*) AS k FROM dr JOIN nb USING (j) GROUP BY base_id, rep)"""
+
+
+@query(f"""WITH {_V2}{_DRAWS}, pb AS (SELECT base_id, sum(CAST(accepted AND correct AS INT)) AS v, count(*) AS n FROM ju WHERE known GROUP BY base_id),
+m AS (SELECT rep, sum(v * k) / sum(n * k) AS mean FROM pb JOIN mw USING (base_id) GROUP BY rep)
+SELECT round(quantile_cont(mean, 0.025), 4) AS lo, round(quantile_cont(mean, 0.975), 4) AS hi, (SELECT CAST(max(t) - min(t) AS BIGINT) FROM (SELECT sum(k) AS t FROM mw GROUP BY rep)) AS spread_of_totals, (SELECT CAST(sum(k) / 200 AS BIGINT) FROM mw) AS n_bases FROM m""")
+def bootstrap_multinomial(spark, d):
+    """Interval of DIR by multinomial draws; each replicate draws as many bases as there are."""
+    rows = staged(_judged(spark, d).withColumn("acc", _shipped()), "judged")
+    weights = staged(evaluate.multinomial_weights(rows, 200, 7), "weights")
+    totals = weights.groupBy("rep").agg(F.sum("weight").alias("t")).agg((F.max("t") - F.min("t")).alias("spread_of_totals"), F.max("t").alias("n_bases"))
+    return evaluate.bootstrap(rows, F.col("acc") & F.col("correct"), F.col("known"), weights).crossJoin(totals)
+
+
+@query(f"""WITH {_V2}{_DRAWS}, pb AS (SELECT base_id, sum(CAST(accepted AND correct AS INT)) AS v, sum(CAST(coalesce(confidence >= 0.7 AND ratio <= 0.95, false) AND correct AS INT)) AS x, count(*) AS n FROM ju WHERE known GROUP BY base_id),
+m AS (SELECT rep, sum(x * k) / sum(n * k) - sum(v * k) / sum(n * k) AS mean FROM pb JOIN mw USING (base_id) GROUP BY rep)
+SELECT (SELECT round(sum(x) / sum(n) - sum(v) / sum(n), 4) FROM pb) AS difference, round(quantile_cont(mean, 0.025), 4) AS lo, round(quantile_cont(mean, 0.975), 4) AS hi FROM m""")
+def paired_difference(spark, d):
+    """DIR at looser thresholds less DIR at the shipped ones, with the same draws for both."""
+    rows = staged(_judged(spark, d), "judged")
+    weights = staged(evaluate.multinomial_weights(rows, 200, 7), "weights")
+    run = lambda acc: rows.withColumn("acc", acc)
+    return evaluate.paired(run(_shipped(0.7, 0.95)), run(_shipped()), F.col("acc") & F.col("correct"), F.col("known"), weights)
+
+
+@query("SELECT event_type, share, round(percentile, 6) AS percentile FROM (SELECT event_type, 0.05::DOUBLE AS share, quantile_cont(value, 0.05) AS percentile FROM events GROUP BY event_type UNION ALL SELECT event_type, 0.5::DOUBLE, quantile_cont(value, 0.5) FROM events GROUP BY event_type UNION ALL SELECT event_type, 0.99::DOUBLE, quantile_cont(value, 0.99) FROM events GROUP BY event_type)")
+def percentiles_selected(spark, d):
+    """By selection over bins, however few values a bin is narrowed to."""
+    return evaluate.percentiles(_table(spark, d, "events"), F.col("value"), (0.05, 0.5, 0.99), ("event_type",), bins=16, left=20).select("event_type", "share", _r("percentile").alias("percentile"))
+
+
 def _event_frames(spark, d):
     return _table(spark, d, "events").select(F.col("user_id").cast("string").alias("video_id"), F.col("event_id").alias("frame_idx"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
 
