@@ -188,7 +188,7 @@ def percentiles(rows: DataFrame, value: Column, shares: tuple[float, ...], by: t
     spread = [F.count("*").alias("_count"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")]
     ranks = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("share"), F.lit(k).alias("_upper")) for s in shares for k in (0, 1)]))
     at = F.col("share") * (F.col("_count") - 1)
-    wanted = held.groupBy(*by).agg(*spread).withColumn("_r", ranks).select(*by, "_r.*", "_count", "_lo", "_hi").withColumn("_rank", F.when(F.col("_upper") == 0, F.floor(at)).otherwise(F.ceil(at)))
+    wanted = held.groupBy(*by).agg(*spread).where("_count > 0").withColumn("_r", ranks).select(*by, "_r.*", "_count", "_lo", "_hi").withColumn("_rank", F.when(F.col("_upper") == 0, F.floor(at)).otherwise(F.ceil(at)))
     wanted = staged(wanted.withColumns({"_weight": F.when(F.col("_upper") == 1, at - F.floor(at)).otherwise(1 - (at - F.floor(at)))}), "ranks")
     done = []
     for _ in range(64):
