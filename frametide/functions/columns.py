@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The patterns of ids.
 VIDEO_ID = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$"
 REQUEST_ID = r"^[A-Za-z0-9._-]{1,64}$"
 _INF = float("inf")

@@ -164,8 +164,48 @@ def shift_colors(image: np.ndarray, light: float, contrast: float, saturation: f
     return np.clip(np.rint(np.stack([r, g, b], -1)), 0, 255).astype(np.uint8)
 
 
+# The usual colour difference planes of pictures, as rows over red, green, blue.
+TO_PLANES = np.array([[0.299, 0.587, 0.114], [-0.168736, -0.331264, 0.5], [0.5, -0.418688, -0.081312]])
+
+
+def compress_blocks(image: np.ndarray, strength: float) -> np.ndarray:
+    """What a block codec leaves of a picture: the cosine coefficients of 8 x 8 blocks of each plane, rounded to steps.
+
+    A step grows with strength and with the frequency, (1 + u + v) / 4, and is twice
+    as large for the colour planes; the steps of a constant block are those of its mean.
+    """
+    h, w = image.shape[:2]
+    planes = np.pad(image.astype(float), ((0, -h % 8), (0, -w % 8), (0, 0)), mode="edge") @ TO_PLANES.T
+    high, wide = planes.shape[0] // 8, planes.shape[1] // 8
+    blocks = planes.reshape(high, 8, wide, 8, 3)
+    m = _dct(8)
+    freq = np.einsum("ua,iajbc,vb->iujvc", m, blocks, m, optimize=True)
+    u = np.arange(8)
+    step = np.maximum(1.0, strength * (1 + u[:, None] + u[None, :]) / 4)[None, :, None, :, None] * np.array([1.0, 2.0, 2.0])
+    kept = np.einsum("ua,iujvc,vb->iajbc", m, np.rint(freq / step) * step, m, optimize=True)
+    out = kept.reshape(high * 8, wide * 8, 3) @ np.linalg.inv(TO_PLANES).T
+    return np.clip(np.rint(out[:h, :w]), 0, 255).astype(np.uint8)
+
+
+def tilt(image: np.ndarray, angle: float) -> np.ndarray:
+    """The picture turned about its middle, bilinear, each pixel looked up where it came from; outside of the picture is black."""
+    h, w = image.shape[:2]
+    y, x = np.mgrid[0:h, 0:w].astype(float)
+    cy, cx, c, s = (h - 1) / 2, (w - 1) / 2, np.cos(angle), np.sin(angle)
+    sx, sy = c * (x - cx) + s * (y - cy) + cx, -s * (x - cx) + c * (y - cy) + cy
+    x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+    out = np.zeros(image.shape)
+    for dy in (0, 1):
+        for dx in (0, 1):
+            px, py = x0 + dx, y0 + dy
+            inside = (px >= 0) & (px < w) & (py >= 0) & (py < h)
+            weight = np.where(inside, (1 - np.abs(sx - px)) * (1 - np.abs(sy - py)), 0.0)
+            out += weight[..., None] * image[np.clip(py, 0, h - 1), np.clip(px, 0, w - 1)]
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+
 def distort(image: np.ndarray, kind: str, rng: np.random.Generator) -> np.ndarray:
-    """Pixel forms of the ten kinds; compression and screen recording are approximations by quantising, blur and noise.
+    """Pixel forms of the ten kinds; compression is an approximation by quantising, screen recording a chain of scale, tilt, blur, noise, fading and block compression.
 
     speed changes times only. Draws are the same for all frames of a clip where the generator is seeded alike.
     """
@@ -195,11 +235,12 @@ def distort(image: np.ndarray, kind: str, rng: np.random.Generator) -> np.ndarra
     if kind == "overlay":
         return paint_overlay(image, rng)
     if kind == "screen_recording":
-        small = np.rint(resize_area(image, max(1, int(h * 0.88)), max(1, int(w * 0.88))))
-        blurred = (small + np.roll(small, 1, 0) + np.roll(small, 1, 1) + np.roll(small, (1, 1), (0, 1))) / 4
-        noisy = blurred + rng.normal(0, 10, small.shape)
+        small = np.clip(np.rint(resize_area(image, max(1, int(h * 0.88)), max(1, int(w * 0.88)))), 0, 255).astype(np.uint8)
+        turned = tilt(small, rng.choice([-1, 1]) * rng.uniform(0.015, 0.04)).astype(float)
+        blurred = (turned + np.roll(turned, 1, 0) + np.roll(turned, 1, 1) + np.roll(turned, (1, 1), (0, 1))) / 4
+        noisy = blurred + rng.normal(0, 10, turned.shape)
         faded = shift_colors(np.clip(noisy, 0, 255).astype(np.uint8), 0.0, 1.0, 0.85, 0.0)
-        return (255 * (faded / 255) ** (1 / 1.15)).astype(np.uint8)
+        return compress_blocks((255 * (faded / 255) ** (1 / 1.15)).astype(np.uint8), 12.0)
     raise ValueError(f"unknown distortion {kind}")
 
 

@@ -1,20 +1,22 @@
 """The query store: embedded query clips in shards, each one committed write; what is done isn't done again.
 
-Layout: root/shards/shard-<name> with Parquet of STORED, root/failures/shard-<name> with
-(query_id, error), root/meta.json. A shard is written beside and renamed, so
-readers see whole ones only, and a shard of the same name is written once.
+Layout: root/shards/shard-<name>-<writer> with Parquet of STORED, root/failures likewise with
+(query_id, error), root/meta.json. A shard is there when root/shards/commits/<name>.json, which
+names its folder, is: that file is created in one step, so readers see whole
+shards only, and of several writers of a name one succeeds.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate
-from .library import LibraryError, _files
+from .library import LibraryError, _create, _files
 
 STORED = "query_id string, q_idx int, q_t float, vector array<float>, decode_ms double, embed_ms double"
 FAILURES = "query_id string, error string"
@@ -36,9 +38,10 @@ class QueryStore:
             stream.close()
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        fs, path = _files(self.spark, f"{self.root}/{kind}")
-        shards = sorted(str(s.getPath()) for s in fs.listStatus(path) if s.getPath().getName().startswith("shard-")) if fs.exists(path) else []
-        return self.spark.read.schema(schema).parquet(*shards) if shards else self.spark.createDataFrame([], schema)
+        fs, path = _files(self.spark, f"{self.root}/{kind}/commits")
+        names = sorted(str(s.getPath()) for s in fs.listStatus(path) if s.getPath().getName().endswith(".json")) if fs.exists(path) else []
+        folders = [r["value"] for r in self.spark.read.text(names).collect()] if names else []  # a line a shard
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{kind}/{json.loads(f)['folder']}" for f in sorted(folders)]) if folders else self.spark.createDataFrame([], schema)
 
     def load(self) -> DataFrame:
         """All shards as one table."""
@@ -55,12 +58,15 @@ class QueryStore:
         return self._commit(rows, "shards", name)
 
     def _commit(self, rows: DataFrame, kind: str, name: str) -> bool:
-        fs, done = _files(self.spark, f"{self.root}/{kind}/shard-{name}")
+        fs, done = _files(self.spark, f"{self.root}/{kind}/commits/{name}.json")
         if fs.exists(done):
             return False
-        _, tmp = _files(self.spark, f"{self.root}/{kind}/.writing-{name}")
-        rows.write.mode("overwrite").parquet(str(tmp))
-        return bool(fs.rename(tmp, done))
+        folder = f"shard-{name}-{uuid.uuid4().hex[:8]}"
+        rows.write.parquet(f"{self.root}/{kind}/{folder}")
+        if _create(self.spark, str(done), json.dumps({"folder": folder})):
+            return True
+        fs.delete(_files(self.spark, f"{self.root}/{kind}/{folder}")[1], True)
+        return False
 
     def todo(self, specs: DataFrame, limit: int | None = None) -> DataFrame:
         """Queries neither stored nor failed; the first ones by id where there is a limit."""

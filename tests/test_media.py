@@ -187,3 +187,38 @@ def test_index_decodes_once(spark, tmp_path):
     assert "length" in small._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["path"][-5:], r["content"] is None) for r in small.collect()) == [("a.npz", True), ("b.npz", False)]
     assert videos.probe(small.where(F.col("path").endswith("a.npz"))).first()["error"] == "the file can't be read"
+
+
+def test_block_compression_and_tilt():
+    """Against plain sums and loops."""
+    rng = np.random.default_rng(6)
+    image = rng.integers(0, 256, (10, 13, 3), np.uint8)
+    padded = np.pad(image.astype(float), ((0, 6), (0, 3), (0, 0)), mode="edge")
+    planes = np.stack([sum(row[c] * padded[..., c] for c in range(3)) for row in embedders.TO_PLANES], -1)
+    basis = np.array([[np.sqrt((1 if k == 0 else 2) / 8) * np.cos(np.pi * (2 * i + 1) * k / 16) for i in range(8)] for k in range(8)])
+    for by in range(2):
+        for bx in range(2):
+            for c in range(3):
+                block = planes[by * 8 : by * 8 + 8, bx * 8 : bx * 8 + 8, c]
+                steps = np.array([[max(1.0, 20.0 * (1 + u + v) / 4) * (1 if c == 0 else 2) for v in range(8)] for u in range(8)])
+                block[:] = basis.T @ (np.rint(basis @ block @ basis.T / steps) * steps) @ basis
+    want = np.clip(np.rint(planes @ np.linalg.inv(embedders.TO_PLANES).T), 0, 255)[:10, :13]
+    assert np.abs(embedders.compress_blocks(image, 20.0).astype(int) - want).max() <= 1
+    flat = np.full((16, 16, 3), 100, np.uint8)
+    assert np.abs(embedders.compress_blocks(flat, 4.0).astype(int) - 100).max() <= 1
+    harsh = [np.abs(embedders.compress_blocks(image, s).astype(int) - image).mean() for s in (0.0, 8.0, 60.0)]
+    assert harsh[0] < 1 < harsh[1] < harsh[2]
+
+    assert (embedders.tilt(image, 0.0) == image).all()
+    turned, angle = embedders.tilt(image, 0.3), 0.3
+    for y in range(10):
+        for x in range(13):
+            sx, sy = np.cos(angle) * (x - 6) + np.sin(angle) * (y - 4.5) + 6, -np.sin(angle) * (x - 6) + np.cos(angle) * (y - 4.5) + 4.5
+            total = np.zeros(3)
+            for py in (int(np.floor(sy)), int(np.floor(sy)) + 1):
+                for px in (int(np.floor(sx)), int(np.floor(sx)) + 1):
+                    if 0 <= py < 10 and 0 <= px < 13:
+                        total += (1 - abs(sx - px)) * (1 - abs(sy - py)) * image[py, px]
+            assert np.abs(turned[y, x] - total).max() <= 0.51
+    made = embedders.distort(image, "screen_recording", np.random.default_rng(1))
+    assert made.shape == (8, 11, 3) and (made == embedders.distort(image, "screen_recording", np.random.default_rng(1))).all()
