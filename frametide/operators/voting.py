@@ -81,20 +81,46 @@ def evidence(own: DataFrame) -> DataFrame:
 
 
 def decide(hits: DataFrame, clips: DataFrame, *, min_conf: float = 0.83, min_vote_ratio: float = 0.90) -> DataFrame:
-    """One row per clip: accepted, candidate_key, confidence, offset_s, window_start, window_end, reason, base_conf, align_ratio, aligned, vote_ratio, est_timestamp, evidence."""
-    counted = votes(hits)
-    won = winner(counted)
-    own = winner_hits(hits, won)
-    mode = histogram_mode(own)
-    used = inliers(own, mode)
-    w = F.greatest(F.col("score").cast("float").cast("double"), F.lit(1e-6))
-    shape = used.groupBy("clip_id").agg(F.first("best_offset").alias("offset_s"), F.first("aligned").alias("aligned"), (F.first("n_used") / F.first("n_hits")).alias("align_ratio"), rounded(F.sum(F.col("time32").cast("double") * w) / F.sum(w), 2).alias("est_timestamp"))
-    tally = counted.groupBy("clip_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", F.col("votes").cast("int").alias("n"))))).alias("votes"))
-    out = clips.join(won, "clip_id", "left").join(base_confidence(own), "clip_id", "left").join(shape, "clip_id", "left").join(densest_window(used), "clip_id", "left").join(tally, "clip_id", "left").join(evidence(own), "clip_id", "left")
-    out = out.withColumn("base_conf", F.when(F.col("key").isNotNull(), F.coalesce("base_conf", F.lit(0.0))))
+    """One row per clip: accepted, candidate_key, confidence, offset_s, window_start, window_end, reason, base_conf, align_ratio, aligned, vote_ratio, est_timestamp, evidence.
+
+    The steps above in one pass: hits are dealt out by clip once, the winner's hits
+    come out of one aggregate, and every later step is a window or an aggregate
+    within the clip, so that nothing is joined again or dealt out anew.
+    """
+    f32 = lambda c: c.cast("float").cast("double")
+    hit = F.struct((-F.col("score").cast("double")).alias("neg"), "q_idx", "rank", F.col("ref_t").cast("double").alias("ref_t"), F.col("q_t").cast("double").alias("q_t"))
+    dealt = hits.where("key >= 0").repartition("clip_id")
+    counted = dealt.groupBy("clip_id", "key").agg(F.count("*").alias("votes"), F.round(F.sum(F.col("score").cast("double")), 9).alias("score_sum"), F.min(F.struct("q_idx", "rank")).alias("first"), F.collect_list(hit).alias("own"))
+    order = F.struct((-F.col("votes")).alias("a"), (-F.col("score_sum")).alias("b"), "first", "key")
+    each = counted.groupBy("clip_id").agg(
+        F.min_by(F.struct("key", "votes", "own"), order).alias("won"), F.sum("votes").alias("every"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", F.col("votes").cast("int").alias("n"))))).alias("tally"))
+    told = each.select("clip_id", F.col("won.key").alias("key"), (F.col("won.votes") / F.col("every")).alias("vote_ratio"), "tally", F.posexplode(F.sort_array("won.own")).alias("pos", "h"))
+    clip, off = Window.partitionBy("clip_id"), F.col("h.ref_t") - F.col("h.q_t")
+    rows = told.select("clip_id", "key", "vote_ratio", "tally", (F.col("pos") + 1).alias("pos"), (-F.col("h.neg")).alias("score"), F.col("h.rank").alias("rank"), F.col("h.q_t").alias("q_t"), F.col("h.ref_t").alias("ref_t"), off.alias("off")).withColumn("bin", F.floor(f32(F.col("off")) / BIN_S))
+    by_bin = Window.partitionBy("clip_id", "bin")
+    rows = rows.withColumns({"_n": F.count("*").over(by_bin), "_p": F.min("pos").over(by_bin)})
+    rows = rows.withColumn("best_offset", (F.max(F.struct("_n", (-F.col("_p")).alias("p"), "bin")).over(clip)["bin"] + 0.5) * BIN_S)
+    near = F.abs(F.col("off") - F.col("best_offset")) <= INLIER_S
+    rows = rows.withColumns({"near": near, "n_hits": F.count("*").over(clip), "n_near": F.sum(near.cast("int")).over(clip)})
+    rows = rows.withColumn("aligned", F.col("n_near") >= F.greatest(F.lit(5), F.floor(0.3 * F.col("n_hits"))))
+    rows = rows.withColumns({"used": F.col("near") | ~F.col("aligned"), "t": f32(F.col("q_t") + F.col("best_offset")), "ref": rounded(F.col("ref_t"), 2)})
+    span = f"over (partition by clip_id order by t range between current row and {WINDOW_S}D following)"
+    rows = rows.withColumns({"_in": F.expr(f"count_if(used) {span}"), "_total": F.expr(f"round(sum(if(used, score, 0D)) {span}, 9)"), "_end": F.expr(f"max(if(used, t, null)) {span}")})
+    rows = rows.withColumn("_once", F.row_number().over(Window.partitionBy("clip_id", "ref").orderBy("pos")))
+    best = F.max(F.when(F.col("used"), F.struct("_in", "_total", (-F.col("t")).alias("neg"), "_end")))
+    w = F.greatest(f32(F.col("score")), F.lit(1e-6))
+    used, top = lambda x: F.sum(F.when(F.col("used"), x)), lambda x: F.avg(F.when(F.col("rank") == 0, x))
+    shown = F.slice(F.sort_array(F.collect_list(F.when(F.col("_once") == 1, F.struct("pos", F.col("q_t").alias("query_t"), "ref_t", "score")))), 1, 10)
+    shape = rows.groupBy("clip_id").agg(
+        F.first("key").alias("key"), F.first("vote_ratio").alias("vote_ratio"), F.first("tally").alias("votes"), F.first("best_offset").alias("offset_s"), F.first("aligned").alias("aligned"),
+        (F.first(F.when(F.col("aligned"), F.col("n_near")).otherwise(F.col("n_hits"))) / F.first("n_hits")).alias("align_ratio"), rounded(used(F.col("t") * w) / used(w), 2).alias("est_timestamp"), best.alias("window"),
+        F.coalesce(0.7 * top(f32(F.col("score"))) + 0.3 * top((F.col("score").cast("float") >= F.lit(STRONG).cast("float")).cast("double")), F.lit(0.0)).alias("base_conf"),
+        F.transform(shown, lambda x: F.struct(x["query_t"].alias("query_t"), x["ref_t"].alias("ref_t"), x["score"].alias("score"))).alias("evidence"))
+    out = clips.join(shape, "clip_id", "left")
     confidence = F.coalesce(rounded(clipped(0.6 * F.col("base_conf") + 0.4 * F.col("align_ratio")), 4), F.lit(0.0))
     accepted = gate(confidence, F.col("vote_ratio"), min_conf, min_vote_ratio)
     return out.select(
-        "clip_id", "n_frames", accepted.alias("accepted"), F.col("key").alias("candidate_key"), confidence.alias("confidence"), "offset_s", "window_start", "window_end",
+        "clip_id", "n_frames", accepted.alias("accepted"), F.col("key").alias("candidate_key"), confidence.alias("confidence"), "offset_s", rounded(-F.col("window.neg"), 2).alias("window_start"), rounded(F.col("window._end"), 2).alias("window_end"),
         F.when(F.col("key").isNull(), "no_candidates").when(~accepted, "below_threshold").alias("reason"), "base_conf", "align_ratio", "aligned", "vote_ratio", "est_timestamp", "votes", "evidence",
     )
