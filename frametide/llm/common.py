@@ -224,6 +224,22 @@ def among(ids: DataFrame, *columns: Column | str, map_bits: int = MAP_BITS) -> C
     return may(F.xxhash64(*columns))
 
 
+#: Keys with at least one in so many rows are looked up by broadcast: there can't be more of them than this.
+HOT_KEYS = 4096
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of table, which has a row a key; null where it has none.
+
+    Rows of frequent keys meet a broadcast of these keys' few rows; only the others are
+    shuffled by key, so that no key makes a task much larger than the rest.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
+    hot = materialize(counts.where(F.col("_rows") * HOT_KEYS > F.lit(rows.count())).select(key), "hot-keys")
+    near = rows.join(F.broadcast(hot), key, "left_semi").join(F.broadcast(table.join(F.broadcast(hot), key, "left_semi")), key, "left")
+    return near.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key, "left"))
+
+
 _MULT = mix(np.arange(1001, 1001 + 64, dtype=_U)) | _U(1)
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, blocks, gram_hashes, mapped, materialize, mix
+from .common import among, blocks, gram_hashes, look_up, mapped, materialize, mix
 from .graph import Forest, components, small, sorted_groups
 
 SHINGLE, PERCENT = 5, 80
@@ -376,9 +376,10 @@ def join(documents: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT, bloc
     local = materialize(_search(whole, ["comp", "block"], False, k, percent), "links")
     roots = local.select("s1", "s2", "root")
     tops = components(_across(whole, local, sketch, k, percent, block_sets))
-    labelled = roots.join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("s1", "s2", F.coalesce("top", "root").alias("root"))
+    named_tops = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    labelled = materialize(look_up(roots, named_tops, "root").select("s1", "s2", F.coalesce("top", "root").alias("root")), "labelled")
     least = inside.join(labelled, ["s1", "s2"]).groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = labelled.join(least, "root").select("s1", "s2", "component_id")
+    linked = look_up(labelled, least, "root").select("s1", "s2", "component_id")
     copied = sets.where("copies > 1").select("s1", "s2", "rep")
     special = copied.join(linked, ["s1", "s2"], "full_outer").select("s1", "s2", F.coalesce("component_id", "rep").alias("component_id"))
     return rows.join(special, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
