@@ -334,6 +334,21 @@ def bootstrap_ci(spark, d):
     return evaluate.bootstrap(rows, F.col("acc") & F.col("correct"), F.col("known"), evaluate.hashed_weights(rows, 200))
 
 
+@query(f"""WITH {_V2} SELECT 'length_s' AS kind, CAST(n_frames AS VARCHAR) AS slice, {_MET} FROM (SELECT ju.*, cl.n_frames FROM ju JOIN cl USING (clip_id)) GROUP BY n_frames
+UNION ALL SELECT 'group', concat('g', label % 2), {_MET} FROM ju WHERE NOT known GROUP BY label % 2""")
+def breakdown_groups(spark, d):
+    """By length, and by group of the unknown queries."""
+    rows = _judged(spark, d).withColumn("group", F.concat(F.lit("g"), (F.col("film_id").cast("int") % 2).cast("string")))
+    return evaluate.breakdown(rows, _shipped(), ("length_s",))
+
+
+@query(f"WITH {_V2.replace(' FROM v2)', ' FROM v2 WHERE chunk % 2 = 0)')}{_GRID} SELECT p AS \"primary\", q AS secondary, round(dir, 6) AS dir, round(far, 6) AS far, far <= 0.05 + 1e-12 AS feasible FROM sw ORDER BY far <= 0.05 + 1e-12 DESC, CASE WHEN far <= 0.05 + 1e-12 THEN dir ELSE -far END DESC, far, p DESC, q LIMIT 1")
+def threshold_choose(spark, d):
+    """Thresholds from the val split alone: base clips of even number."""
+    rows = _judged(spark, d).withColumn("split", F.when((F.col("true_offset_s") / 6).cast("int") % 2 == 0, "val").otherwise("test"))
+    return evaluate.choose(rows, evaluate.threshold_grid(spark, "v2"), 0.05, True).select("primary", "secondary", _r("dir").alias("dir"), _r("far").alias("far"), "feasible")
+
+
 _DRAWS = """, nb AS (SELECT base_id, row_number() OVER (ORDER BY base_id) - 1 AS j, count(*) OVER () AS n FROM (SELECT DISTINCT base_id FROM ju)),
 dr AS (SELECT rep, (CAST('0x' || substr(md5('7|' || rep || '|' || j), 1, 8) AS BIGINT) * n) >> 32 AS j FROM nb, range(200) t(rep)),
 mw AS (SELECT base_id, rep, count(*) AS k FROM dr JOIN nb USING (j) GROUP BY base_id, rep)"""
