@@ -15,6 +15,7 @@ import subprocess
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import numbered
 from . import evaluate
 from .answer_key import DISTORTIONS
 
@@ -50,10 +51,8 @@ def latency_sample(specs: DataFrame, n: int = 300) -> DataFrame:
 
 
 def base_index(rows: DataFrame) -> DataFrame:
-    """(base_id, base_index): places of the distinct base clips in order; an answer key bounds them."""
-    from pyspark.sql import Window
-
-    return rows.select("base_id").distinct().withColumn("base_index", F.dense_rank().over(Window.orderBy("base_id")) - 1)
+    """(base_id, base_index): places of the distinct base clips in order."""
+    return numbered(rows.select("base_id").distinct(), "base_id").select("base_id", F.col("_n").cast("int").alias("base_index"))
 
 
 def environment(spark: SparkSession) -> dict:
