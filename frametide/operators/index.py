@@ -35,8 +35,7 @@ def checked(rows: DataFrame, library: Library, replace: bool = False) -> DataFra
     batch: of these the least path stays.
     """
     named = rows if "video_id" in rows.columns else rows.withColumn("video_id", video_id_of(F.col("path")))
-    hashed = digests(named).select("path", "video_id", "sha256")
-    probed = videos.probe(named).join(hashed, "path")
+    probed = videos.probe(digests(named), "video_id", "sha256")  # contents are read once
     known = library.videos.select("video_id", F.col("sha256").alias("_has"))
     same = library.videos.groupBy("sha256").agg(F.min("video_id").alias("_same"))
     met = probed.join(known, "video_id", "left").join(same, "sha256", "left")

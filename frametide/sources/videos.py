@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.columns import suffix
 from ..operators.embedders import capped_height, shrink
@@ -163,8 +164,10 @@ def limited(rows: DataFrame, max_mb: float) -> DataFrame:
     return rows.where(F.col("length") <= most).unionByName(rows.where(F.col("length") > most).select("path", "length", F.lit(None).cast("binary").alias("content")))
 
 
-def probe(rows: DataFrame) -> DataFrame:
-    """One row of PROBED for each of rows(path, content): what the container says, or why it can't be used."""
+def probe(rows: DataFrame, *others: str) -> DataFrame:
+    """One row of PROBED for each of rows(path, content), and others of its columns: what the container says, or why it can't be used."""
+    kept = rows.select("path", "content", *others)
+    schema = StructType([*StructType.fromDDL(PROBED), *kept.schema.fields[2:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,9 +178,10 @@ def probe(rows: DataFrame) -> DataFrame:
                     row = (path, v.fps, v.n_frames, v.width, v.height, v.duration_s, None)
                 except BAD as e:
                     row = (path, None, None, None, None, None, str(e))
-                yield batch_of([row], PROBED)
+                made = batch_of([row], PROBED)
+                yield pa.RecordBatch.from_arrays([*made.columns, *(c.slice(i, 1) for c in batch.columns[2:])], names=[*made.schema.names, *batch.schema.names[2:]])
 
-    return rows.select("path", "content").mapInArrow(run, PROBED)
+    return kept.mapInArrow(run, schema)
 
 
 class Grid:

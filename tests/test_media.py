@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from frametide import schemas
 from frametide.operators import answer_key, embedders, index
 from frametide.sources import frames, videos
+from frametide.sources.library import Library
 
 
 def _npz(pictures, compressed=False, **more):
@@ -183,6 +184,8 @@ def test_index_decodes_once(spark, tmp_path):
     made, failed = index.query_frames(rows, "tiny16")
     assert made.count() == 6 and [r["clip_id"][-5:] for r in failed.collect()] == ["b.npz"]
     assert "MapInArrow" not in made._jdf.queryExecution().executedPlan().toString()
+    checked = index.checked(rows, Library.empty(spark, "tiny16", 256))
+    assert checked._jdf.queryExecution().executedPlan().toString().count("binaryFile") == 1
     small = videos.limited(rows, 0.00005)
     assert "length" in small._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["path"][-5:], r["content"] is None) for r in small.collect()) == [("a.npz", True), ("b.npz", False)]
