@@ -68,6 +68,7 @@ def references(documents: DataFrame, common: int = COMMON) -> dict[str, tuple[np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes: dict[str, np.ndarray] = {}
         words: dict[str, Counter] = {}
+        held = 0  # words of all languages together
 
         def flush(final: bool) -> Iterator[pa.RecordBatch]:
             rows = [(lang, "word", w.decode("utf-8", "replace"), n) for lang, c in words.items() for w, n in c.items()]
@@ -84,9 +85,12 @@ def references(documents: DataFrame, common: int = COMMON) -> dict[str, tuple[np
                 got = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=len(CLASSES) + 1)[:-1]
                 classes[lang] = classes.get(lang, 0) + got
                 counted = words.setdefault(lang, Counter())
+                held -= len(counted)
                 counted.update(_words_of(raw))
-                if len(counted) > FLUSH:
+                held += len(counted)
+                if held > FLUSH:
                     yield from flush(False)
+                    held = 0
         yield from flush(True)
 
     counted = documents.where("lang is not null and text is not null").select("lang", "text").transform(mapped, run, "lang string, kind string, key string, n long")
