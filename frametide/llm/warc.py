@@ -29,7 +29,7 @@ from urllib.parse import quote, urlsplit
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..staging import new_path
@@ -42,6 +42,7 @@ JOIN_GAP = 1 << 16
 READ_ROWS = 500
 PART_BLOCKS = 500_000
 _BLOCK = "key string, file string, at long, size long"
+_ROUTE = "key string, file string, part long"
 _FOUND = "key string, page_id long, record_type string, file string, at long, size long"
 _ENTRY = "key string, rid long, page_id long, url string, record_type string, file string, at long, size long"
 _DIRECTORY = "first_key string, file string, at long, size long, lines long"
@@ -141,38 +142,31 @@ class Archive:
     def find(self, urls: DataFrame) -> DataFrame:
         """(key, page_id, record_type, file, at, size): all captures of urls(url), each once; nulls and empty ones have a key too.
 
-        Tasks bisect the directory for each key, which gives the blocks to read; these are
-        dealt over tasks, so that a URL of very many captures is too, and each is
-        read once, as a range, and bisected for its keys. The directory has a line for
-        block_lines captures; it is sent in parts of at most part_blocks lines, in turn.
+        The directory, a line for block_lines captures, lies in runs of at most part_blocks lines of
+        an index file. Only the runs' first keys are sent: keys are routed to the runs that
+        may have them, and a task bisects each run for its keys, which gives the blocks to read. Those
+        are dealt over tasks, so that a URL of very many captures is too, and each is
+        read once, as a range, and bisected for its keys.
         """
         n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        place = F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1
+        runs = self.directory.withColumn("part", F.floor(place / self.part_blocks))
+        fences = [tuple(r) for r in runs.groupBy("file", "part").agg(F.min("first_key").alias("first")).select("first", "file", "part").orderBy("first", "file", "part").collect()]
+        if not fences:
+            return self.spark.createDataFrame([], _FOUND)
+        sent = self.spark.sparkContext.broadcast(fences)
 
-        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first = [f[0] for f in sent.value]
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(sorted({surt(u) for u in batch.column(0).to_pylist()}), pa.string())], names=["key"])
-
-        keys = urls.select("url").transform(mapped, keyed, "key string").distinct()
-        asked = None
-        for part in self._directory_parts():
-            sent = self.spark.sparkContext.broadcast(part)
-            got = keys.transform(mapped, _bisector(sent), _BLOCK)
-            asked = got if asked is None else asked.union(got)
-        if asked is None:
-            return self.spark.createDataFrame([], _FOUND)
-        return asked.repartition(n, "file", "at").sortWithinPartitions("file", "at", "key").transform(mapped, _in_blocks, _FOUND)
+                keys = sorted({surt(u) for u in batch.column(0).to_pylist()})
+                out = [(key, *sent.value[i][1:]) for key in keys for i in _may_have(first, key)]
+                if out:
+                    yield _batch(out, _ROUTE)
 
-    def _directory_parts(self) -> Iterator[tuple[list[str], list[tuple], bool, bool]]:
-        """First keys and places of part_blocks blocks each, whether the first one is of the part before, and whether it is the last part."""
-        held: list[tuple] = []
-        carried = False
-        for row in self.directory.orderBy("first_key", "file", "at").toLocalIterator():
-            if len(held) > self.part_blocks:
-                yield [r[0] for r in held], [r[1:] for r in held], carried, False
-                held, carried = held[-1:], True
-            held.append((row["first_key"], row["file"], row["at"], row["size"]))
-        if held:
-            yield [r[0] for r in held], [r[1:] for r in held], carried, True
+        keys = urls.select("url").transform(mapped, routed, _ROUTE).distinct()
+        asked = runs.groupBy("file", "part").cogroup(keys.groupBy("file", "part")).applyInArrow(_bisected, _BLOCK)
+        return asked.repartition(n, "file", "at").sortWithinPartitions("file", "at", "key").transform(mapped, _in_blocks, _FOUND)
 
     def read(self, urls: DataFrame) -> DataFrame:
         """One row per record of urls(url), see RECORD: found through the index, read in ranges, in the order of the archives."""
@@ -190,25 +184,18 @@ class Archive:
         return found.repartition(n, "file", F.shiftright("at", 26)).sortWithinPartitions("file", "at").transform(mapped, run, RECORD)
 
 
-def _bisector(sent):
-    """Of a part of the directory: the blocks that may have each key, as (key, file, at, size)."""
+def _may_have(first: list[str], key: str) -> range:
+    """Of runs of lines in order, by their first keys, those that may have key: where it begins one, and the last that begins before it."""
+    return range(max(bisect.bisect_left(first, key) - 1, 0), bisect.bisect_right(first, key))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, places, carried, last = sent.value
-        for batch in batches:
-            out = []
-            for key in batch.column(0).to_pylist():
-                lo, hi = bisect.bisect_left(first, key), bisect.bisect_right(first, key)
-                if lo and (last or lo < len(first)):  # the block before may end with it; past a part's end it is for the next part to say
-                    out.append((key, *places[lo - 1]))
-                out += [(key, *places[i]) for i in range(max(lo, 1 if carried else 0), hi)]
-                if len(out) >= 10_000:
-                    yield _batch(out, _BLOCK)
-                    out = []
-            if out:
-                yield _batch(out, _BLOCK)
 
-    return run
+def _bisected(_, run: pa.Table, keys: pa.Table) -> pa.Table:
+    """The blocks of a run of the directory that may have each key routed to it."""
+    run = run.sort_by("at")
+    first = run["first_key"].to_pylist()
+    out = [(i, key) for key in keys["key"].to_pylist() for i in _may_have(first, key)]
+    places = run.select(["file", "at", "size"]).take(pa.array([i for i, _ in out], pa.int64()))
+    return pa.table([pa.array([key for _, key in out], pa.string()), *places.columns], names=["key", "file", "at", "size"])
 
 
 def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
