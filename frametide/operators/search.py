@@ -36,8 +36,8 @@ BROADCAST_BYTES = 256 << 20
 BLOCK_BYTES = 32 << 20
 QUERY_BYTES = 64 << 20
 SQL_VECTORS = 50_000
-#: Rows and columns of the products that are held at a time: 64 MB in double precision.
-BATCH, TILE = 1024, 8192
+#: Rows and columns of the products that are held at a time, 4 MB in single precision, and bytes of what is scored again at a time.
+BATCH, TILE, EXACT_BYTES = 512, 2048, 4 << 20
 #: Bounds of what the centres are learned from, and of their number; rounds of learning.
 SAMPLE_BYTES, MAX_CELLS, CELL_ROUNDS = 64 << 20, 4096, 6
 _NO_KEY = -(1 << 31)
@@ -46,47 +46,87 @@ _HIT = "vector_id long, key int, ref_t double, score double"
 _HITS = ["clip_id", "q_idx", "q_t", "rank", "vector_id", "key", "ref_t", "score"]
 
 
+def _places(met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few that are true; looked for eight at a time."""
+    if met.shape[1] % 8:
+        return np.nonzero(met)
+    eights = np.flatnonzero(met.reshape(-1).view(np.uint64))
+    which, within = np.nonzero(met.reshape(-1, 8)[eights])
+    return np.divmod(eights[which] * 8 + within, met.shape[1])
+
+
 class Best:
-    """The k best of each of n queries among the vectors met so far: rows (queries), ids, scores and what else comes with a vector."""
+    """The k best of each of n queries among the vectors met so far: rows (queries), ids, scores and what else comes with a vector.
+
+    What a query may need is held back and sorted in when there is as much of it as of the best themselves.
+    """
 
     def __init__(self, n: int, k: int, least: np.ndarray | None = None):
         self.k, self.n = k, n
         self.floor = np.full(n, -np.inf) if least is None else least.astype(float)
-        self.rows, self.ids, self.scores, self.more = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), None
+        self._held: tuple = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self._new: list[tuple] = []
+        self._waiting = 0
+
+    rows = property(lambda self: self._settled()[0])
+    ids = property(lambda self: self._settled()[1])
+    scores = property(lambda self: self._settled()[2])
+    more = property(lambda self: self._settled()[3:])
 
     def meet(self, q: np.ndarray, vectors: np.ndarray, ids: np.ndarray, *more: np.ndarray, mine: np.ndarray | None = None) -> None:
         """Takes vectors in, for the queries at mine (all by default), whose rows q are.
 
         Products are taken in the vectors' own precision, a tile at a time; all that may
         reach a query's k-th score so far by its rounding error are scored again in double precision.
+        Rows whose best product of a tile is below that are done with it.
         """
         mine = np.arange(self.n) if mine is None else mine
-        longest = float(np.linalg.norm(vectors, axis=1).max(initial=0))
+        longest = float(np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max(initial=0)))
         error = 2 * np.finfo(vectors.dtype).eps * q.shape[1] * np.linalg.norm(q, axis=1) * longest
         q_own = q.astype(vectors.dtype)
+        step = max(1, EXACT_BYTES // (8 * q.shape[1]))
+        room = np.empty((len(q_own), min(TILE, len(vectors))), q_own.dtype)
         for lo in range(0, len(vectors), TILE):
             tile = vectors[lo : lo + TILE]
-            near = q_own @ tile.T
+            near = room if len(tile) == room.shape[1] else np.empty((len(q_own), len(tile)), q_own.dtype)
+            np.matmul(q_own, tile.T, out=near)
             floor = self.floor[mine] - error
-            if near.shape[1] > self.k:
-                floor = np.maximum(floor, np.partition(near, near.shape[1] - self.k, axis=1)[:, -self.k] - error)
-            rows, places = np.nonzero(near >= floor[:, None])
-            if len(rows):
-                exact = [np.einsum("ij,ij->i", q[rows[i : i + 65_536]].astype(np.float64), tile[places[i : i + 65_536]].astype(np.float64)) for i in range(0, len(rows), 65_536)]
-                places += lo
-                self._keep(mine[rows], ids[places], np.concatenate(exact), *[m[places] for m in more])
+            open_ = np.flatnonzero(near.max(axis=1, initial=-np.inf) >= floor)
+            if not len(open_):
+                continue
+            if 2 * len(open_) < len(near):
+                near, floor, at = near[open_], floor[open_], open_
+            else:
+                at = np.arange(len(near))
+            met = near >= floor.astype(near.dtype)[:, None]
+            if near.shape[1] > self.k and np.count_nonzero(met) > 2 * self.k * len(near):
+                floor = np.maximum(floor, np.partition(near, near.shape[1] - self.k, axis=1)[:, -self.k] - error[at])
+                met = near >= floor.astype(near.dtype)[:, None]
+            rows, places = _places(met)
+            rows = at[rows]
+            for i in range(0, len(rows), step):
+                r, c = rows[i : i + step], places[i : i + step]
+                exact = np.einsum("ij,ij->i", q[r].astype(np.float64), tile[c].astype(np.float64))
+                self._keep(mine[r], ids[c + lo], exact, *[m[c + lo] for m in more])
 
     def _keep(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, *more: np.ndarray) -> None:
         enough = scores >= self.floor[rows]
-        old = self.more if self.more is not None else tuple(m[:0] for m in more)
-        columns = [np.concatenate([a, b[enough]]) for a, b in zip((self.rows, self.ids, self.scores, *old), (rows, ids, scores, *more), strict=True)]
-        order = np.lexsort((columns[1], -columns[2], columns[0]))
-        columns = [c[order] for c in columns]
-        nth = np.arange(len(order)) - np.searchsorted(columns[0], columns[0])
-        last = nth == self.k - 1
-        self.floor[columns[0][last]] = np.maximum(self.floor[columns[0][last]], columns[2][last])
-        self.rows, self.ids, self.scores, *rest = (c[nth < self.k] for c in columns)
-        self.more = tuple(rest)
+        self._new.append(tuple(x[enough] for x in (rows, ids, scores, *more)))
+        self._waiting += int(enough.sum())
+        if self._waiting > self.n * self.k:
+            self._settled()
+
+    def _settled(self) -> tuple:
+        if self._new:
+            old = (*self._held, *[m[:0] for m in self._new[0][len(self._held) :]])
+            columns = [np.concatenate(x) for x in zip(old, *self._new, strict=True)]
+            order = np.lexsort((columns[1], -columns[2], columns[0]))
+            columns = [c[order] for c in columns]
+            nth = np.arange(len(order)) - np.searchsorted(columns[0], columns[0])
+            last = nth == self.k - 1
+            self.floor[columns[0][last]] = np.maximum(self.floor[columns[0][last]], columns[2][last])
+            self._held, self._new, self._waiting = tuple(c[nth < self.k] for c in columns), [], 0
+        return self._held
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -300,13 +340,14 @@ def topk(queries: DataFrame, library: DataFrame, k: int, dim: int, *, broadcast_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, keys, times, vectors = shared.value
+        all_places = np.arange(len(ids))
         for whole in batches:
             for lo in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(lo, BATCH)
                 if not len(ids) or not batch.num_rows:
                     continue
                 best = Best(batch.num_rows, k)
-                best.meet(_matrix(batch.column(3), dim), vectors, ids, np.arange(len(ids)))
+                best.meet(_matrix(batch.column(3), dim), vectors, ids, all_places)
                 take, places = pa.array(best.rows), pa.array(best.more[0])
                 nth = np.arange(len(best.rows)) - np.searchsorted(best.rows, best.rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(nth.astype(np.int32)), pa.array(best.ids), keys.take(places), times.take(places), pa.array(best.scores)], names=_HITS)
