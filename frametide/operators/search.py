@@ -10,8 +10,10 @@ that, and a cell that all of them skip isn't read.
 
 A search takes the queries in groups of bounded bytes. Each group is broadcast and
 meets the index twice: in the cells that promise most, for a first k-th score of
-each query, and in all that are left, block after block. The library is
-never copied or shuffled by a search.
+each query, and in all that are left. There, tasks take a slice of the index and a
+part of the group, and meet small blocks in stacks of some ``BLOCK_BYTES``, a batch
+of queries near the same cells at a time. The library is never copied or shuffled
+by a search.
 
 Ties go to the smaller vector_id. Rows whose vector is null or of the wrong length
 give no hits; an empty library gives none.
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,10 @@ QUERY_BYTES = 64 << 20
 SQL_VECTORS = 50_000
 #: Rows and columns of the products that are held at a time, 4 MB in single precision, and bytes of what is scored again at a time.
 BATCH, TILE, EXACT_BYTES = 512, 2048, 4 << 20
+#: Tasks a core of a search; bytes of an index in a task, and parts at most that a group of queries is cut into beside that.
+TASKS_A_CORE, SLICE_BYTES, MOST_PARTS = 4, 64 << 20, 64
+#: Share of the pairs of queries and blocks above which blocks are multiplied at once.
+DENSE = 0.25
 #: Bounds of what the centres are learned from, and of their number; rounds of learning.
 SAMPLE_BYTES, MAX_CELLS, CELL_ROUNDS = 64 << 20, 4096, 6
 _NO_KEY = -(1 << 31)
@@ -181,7 +188,7 @@ class Index:
     met: Accumulator | None = None
     skipped: Accumulator | None = None
 
-    @property
+    @cached_property
     def blocks(self) -> DataFrame:
         return self.spark.read.schema("chunk int, n int, centre array<double>, radius double, width int, ids binary, keys binary, times binary, vectors binary, cell int").parquet(self.path)
 
@@ -224,42 +231,105 @@ def build(library: DataFrame, dim: int, *, block_bytes: int = BLOCK_BYTES, cells
         head = [pa.array([group["chunk"][0].as_py()], pa.int32()), pa.array([len(v)], pa.int32()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([radius]), pa.array([width], pa.int32())]
         return pa.table([*head, *[pa.array([x.tobytes()], pa.binary()) for x in raw], pa.array([group["cell"][0].as_py()], pa.int32())], names=["chunk", "n", "centre", "radius", "width", "ids", "keys", "times", "vectors", "cell"])
 
+    placed = placed.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "cell", "chunk")  # a cell's blocks lie in few files
     packed = placed.groupBy("cell", "chunk").applyInArrow(pack, "chunk int, n int, centre array<double>, radius double, width int, ids binary, keys binary, times binary, vectors binary, cell int")
     path = path or new_path(spark, "index")
     packed.write.partitionBy("cell").parquet(path)
     return Index(spark, path, dim, centres, spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0))
 
 
-def _reach(q: np.ndarray, centre: np.ndarray, radius: float) -> np.ndarray:
-    """What no product of a query with a vector of a block is above, rounding included."""
-    norms = np.linalg.norm(q, axis=1)
-    slack = 8 * np.finfo(np.float64).eps * q.shape[1] * norms * (np.linalg.norm(centre) + radius)
-    return q @ centre + norms * radius + slack
+def _reach(q: np.ndarray, centre: np.ndarray, radius) -> np.ndarray:
+    """What no product of a query with a vector of a block is above, rounding included; a column a block for several centres and radii."""
+    norms = np.linalg.norm(q, axis=1).reshape(-1, *[1] * np.ndim(radius))
+    slack = 8 * np.finfo(np.float64).eps * q.shape[1] * norms * (np.linalg.norm(centre, axis=-1) + radius)
+    return q @ centre.T + norms * radius + slack
 
 
-def _floors(index: Index, group, k: int, cell_of: np.ndarray) -> np.ndarray:
+def _met(q: np.ndarray, least: np.ndarray | None, bound: np.ndarray, stack: Stack, k: int) -> tuple[Best, int]:
+    """The k best of queries among a stack's blocks whose bound (a row a query, a column a block; nan: not wanted) reaches
+    their k-th score, and the pairs of queries and blocks met.
+
+    Where most queries need most of the blocks that any of them needs, these are multiplied at once, else block by block.
+    """
+    best = Best(len(q), k, least)
+    need = bound >= best.floor[:, None]
+    rows, blocks = np.flatnonzero(need.any(axis=1)), np.flatnonzero(need.any(axis=0))
+    if not len(rows):
+        return best, 0
+    if need.sum() >= DENSE * len(rows) * len(blocks):
+        columns = (stack.vectors, stack.ids, stack.keys, stack.times)
+        if len(blocks) < len(stack.cells):
+            chosen = np.zeros(len(stack.cells), bool)
+            chosen[blocks] = True
+            taken = np.flatnonzero(np.repeat(chosen, np.diff(stack.starts)))
+            columns = tuple(x[taken] for x in columns)
+        best.meet(q[rows], *columns, mine=rows)
+        return best, len(rows) * len(blocks)
+    pairs = 0
+    for b in blocks:
+        mine = np.flatnonzero(bound[:, b] >= best.floor)
+        if len(mine):
+            at = slice(stack.starts[b], stack.starts[b + 1])
+            best.meet(q[mine], stack.vectors[at], stack.ids[at], stack.keys[at], stack.times[at], mine=mine)
+            pairs += len(mine)
+    return best, pairs
+
+
+def _floors(index: Index, group, k: int) -> np.ndarray:
     """A k-th score of each query, from the blocks of its own cell alone."""
     dim = index.dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = group.value
-        best = Best(len(q), k)
-        for cell, _, _, ids, _, _, vectors in _read(batches, dim):
-            mine = np.flatnonzero(cell_of == cell)
-            for lo in range(0, len(mine), BATCH):
-                part = mine[lo : lo + BATCH]
-                best.meet(q[part], vectors, ids, mine=part)
-        yield pa.RecordBatch.from_arrays([pa.array(best.rows), pa.array(best.scores)], names=["q", "score"])
-
-    cells = np.unique(cell_of).tolist()
+        vectors, cell_of = group.value
+        for stack in _stacks(batches, dim):
+            for lo in range(0, len(vectors), BATCH):
+                own = cell_of[lo : lo + BATCH, None] == stack.cells
+                if own.any():
+                    best, _ = _met(vectors[lo : lo + BATCH].astype(np.float64), None, np.where(own, np.inf, np.nan), stack, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(best.rows + lo), pa.array(best.scores)], names=["q", "score"])
+
+    cell_of = group.value[1]
     order = Window.partitionBy("q").orderBy(F.desc("score"))
-    found = index.blocks.where(F.col("cell").isin(cells)).mapInArrow(run, "q long, score double").withColumn("nth", F.row_number().over(order)).where(F.col("nth") == k).select("q", "score")
-    out = np.full(len(cell_of), -np.inf)
-    for q, score in found.collect():  # a number a query of the group
-        out[q] = score
+    found = index.blocks.where(F.col("cell").isin(np.unique(cell_of).tolist())).mapInArrow(run, "q long, score double").withColumn("nth", F.row_number().over(order)).where(F.col("nth") == k).select("q", "score").toArrow()
+    out = np.full(len(cell_of), -np.inf)  # a number a query of the group
+    out[found["q"].to_numpy()] = found["score"].to_numpy()
     return out
 
 
+@dataclass
+class Stack:
+    """Blocks one after another: a row a block in cells, centres, radii; block b has the vectors from starts[b] to starts[b + 1]."""
+
+    cells: np.ndarray
+    centres: np.ndarray
+    radii: np.ndarray
+    starts: np.ndarray
+    ids: np.ndarray
+    keys: np.ndarray
+    times: np.ndarray
+    vectors: np.ndarray
+
+
+def _stacks(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[Stack]:
+    """Blocks in stacks of BLOCK_BYTES, or a block where one has more."""
+    held: list[tuple] = []
+
+    def stacked() -> Stack:
+        cells, centres, radii, *raw = zip(*held, strict=True)
+        ids, keys, times, vectors = (x[0] if len(x) == 1 else np.concatenate(x) for x in raw)
+        return Stack(np.array(cells), np.array(centres), np.array(radii), np.cumsum([0, *map(len, raw[0])]), ids, keys, times, vectors)
+
+    size = 0
+    for block in _read(batches, dim):
+        if held and size + block[-1].nbytes > BLOCK_BYTES:
+            yield stacked()
+            held, size = [], 0
+        held.append(block)
+        size += block[-1].nbytes
+    if held:
+        yield stacked()
+
+
 def _read(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple]:
     """(cell, centre, radius, ids, keys, times, vectors) of each block in turn."""
     for batch in batches:
@@ -274,36 +344,46 @@ def search(queries: DataFrame, index: Index, k: int, *, query_bytes: int = QUERY
     """hits(clip_id, q_idx, q_t, rank, vector_id, key, ref_t, score) of queries(clip_id, q_idx, q_t, vector), a row for each of its sound rows' k best."""
     spark, dim = index.spark, index.dim
     asked = staged(_asked(queries, dim), "queries")
-    groups = max(1, -(-asked.count() * dim * 8 // query_bytes))
+    n = asked.count()
+    groups = max(1, -(-n * dim * 8 // query_bytes))
     met, skipped = index.met, index.skipped
     parts = []
     for g in range(groups):
         table = asked.where(F.pmod(F.xxhash64("clip_id", "q_idx"), F.lit(groups)) == g).orderBy("clip_id", "q_idx").toArrow()
-        q = _matrix(table["vector"], dim).astype(np.float64)
+        q = _matrix(table["vector"], dim)
         if not len(q) or not len(index.cells):
             continue
-        group = spark.sparkContext.broadcast(q)
-        cell_of = np.concatenate([(q[lo : lo + BATCH] @ index.cells.T).argmax(1) for lo in range(0, len(q), BATCH)])
-        floors = _floors(index, group, k, cell_of)
-        wanted = _cells_left(index, group, floors)
-        names = spark.sparkContext.broadcast(table.select(["clip_id", "q_idx", "q_t"]).combine_chunks())
-
-        def run(batches: Iterator[pa.RecordBatch], group=group, floors=floors, names=names) -> Iterator[pa.RecordBatch]:
-            q = group.value
-            best = Best(len(q), k, floors)
-            for _, centre, radius, ids, own_keys, own_times, vectors in _read(batches, dim):
-                mine = np.flatnonzero(_reach(q, centre, radius) >= best.floor)
-                met.add(len(mine))
-                skipped.add(len(q) - len(mine))
-                for lo in range(0, len(mine), BATCH):
-                    part = mine[lo : lo + BATCH]
-                    best.meet(q[part], vectors, ids, own_keys, own_times, mine=part)
-            if len(best.rows):
-                keys, times = best.more
-                mine = names.value.take(pa.array(best.rows)).combine_chunks().to_batches()[0]
-                yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(best.ids), pa.array(keys, mask=keys == _NO_KEY), pa.array(times, mask=np.isnan(times)), pa.array(best.scores)], names=[x.split()[0] for x in f"{_QUERY}, {_HIT}".split(", ")])
-
-        parts.append(index.blocks.where(F.col("cell").isin(wanted)).mapInArrow(run, f"{_QUERY}, {_HIT}"))
+        cell_of = np.concatenate([(q[lo : lo + BATCH].astype(np.float64) @ index.cells.T).argmax(1) for lo in range(0, len(q), BATCH)])
+        order = np.argsort(cell_of, kind="stable")  # queries of a batch need much the same blocks
+        q, cell_of = q[order], cell_of[order]
+        group = spark.sparkContext.broadcast((q, cell_of))
+        floors = _floors(index, group, k)
+        wanted, bytes_left = _cells_left(index, group, floors)
+        names = spark.sparkContext.broadcast(table.select(["clip_id", "q_idx", "q_t"]).take(pa.array(order)).combine_chunks())
+
+        def run(batches: Iterator[pa.RecordBatch], part: int, of: int, group=group, floors=floors, names=names) -> Iterator[pa.RecordBatch]:
+            vectors = group.value[0]
+            floors = floors.copy()
+            for stack in _stacks(batches, dim):
+                for lo in range(part * BATCH, len(vectors), of * BATCH):
+                    at = slice(lo, lo + BATCH)
+                    q = vectors[at].astype(np.float64)
+                    best, pairs = _met(q, floors[at], _reach(q, stack.centres, stack.radii), stack, k)
+                    met.add(pairs)
+                    skipped.add(len(q) * len(stack.cells) - pairs)
+                    if len(best.rows):
+                        floors[at] = best.floor
+                        keys, times = best.more
+                        mine = names.value.take(pa.array(best.rows + lo)).combine_chunks().to_batches()[0]
+                        yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(best.ids), pa.array(keys, mask=keys == _NO_KEY), pa.array(times, mask=np.isnan(times)), pa.array(best.scores)], names=[x.split()[0] for x in f"{_QUERY}, {_HIT}".split(", ")])
+
+        # few slices of the index, so that few tasks give k hits for one query, and parts of the group for the other cores;
+        # never one slice: a union of single partitions is a single partition, one task
+        tasks = -(-TASKS_A_CORE * spark.sparkContext.defaultParallelism // groups)
+        slices = max(2, -(-bytes_left // SLICE_BYTES), -(-tasks // MOST_PARTS))
+        of = max(1, min(-(-tasks // slices), -(-len(q) // BATCH)))
+        left = index.blocks.where(F.col("cell").isin(wanted)).coalesce(slices)
+        parts += [left.mapInArrow(partial(run, part=part, of=of), f"{_QUERY}, {_HIT}") for part in range(of)]
     if not parts:
         return spark.createDataFrame([], f"{_QUERY}, rank int, {_HIT}").select(*_HITS)
     hits = parts[0]
@@ -312,21 +392,32 @@ def search(queries: DataFrame, index: Index, k: int, *, query_bytes: int = QUERY
     return _ranked(hits, k).select(*_HITS)
 
 
-def _cells_left(index: Index, group, floors: np.ndarray) -> list[int]:
-    """The cells with a block that any query of the group may need; only centres and radii are read."""
-    skipped = index.skipped
+def _cells_left(index: Index, group, floors: np.ndarray) -> tuple[list[int], int]:
+    """The cells with a block that any query of the group may need, and the bytes of their vectors; only centres and radii are read."""
+    skipped, dim = index.skipped, index.dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, int] = {}
+        vectors = group.value[0]
         for batch in batches:
-            for cell, centre, radius in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                needed = bool((_reach(group.value, np.array(centre), radius) >= floors).any())
-                found[cell] = found.get(cell, 0) + (0 if needed else 1 << 32) + needed
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([v & 0xFFFFFFFF for v in found.values()], pa.int64()), pa.array([v >> 32 for v in found.values()], pa.int64())], names=["cell", "needed", "spared"])
-
-    rows = index.blocks.select("cell", "centre", "radius").mapInArrow(run, "cell int, needed long, spared long").groupBy("cell").agg(F.sum("needed").alias("needed"), F.sum("spared").alias("spared")).collect()
+            cells, centres, radii = batch.column(0).to_numpy(), _matrix(batch.column(1), dim), batch.column(2).to_numpy()
+            size = batch.column(3).to_numpy().astype(np.int64) * batch.column(4).to_numpy() * dim
+            open_ = np.arange(len(cells))  # blocks that no query needs so far
+            for lo in range(0, len(vectors), BATCH):
+                if not len(open_):
+                    break
+                reached = np.zeros(len(open_), bool)
+                q = vectors[lo : lo + BATCH].astype(np.float64)
+                for i in range(0, len(open_), TILE):
+                    some = open_[i : i + TILE]
+                    reached[i : i + TILE] = (_reach(q, centres[some], radii[some]) >= floors[lo : lo + BATCH, None]).any(axis=0)
+                open_ = open_[~reached]
+            needed = np.ones(len(cells), np.int64)
+            needed[open_] = 0
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(needed), pa.array(1 - needed), pa.array(size)], names=["cell", "needed", "spared", "size"])
+
+    rows = index.blocks.select("cell", "centre", "radius", "n", "width").mapInArrow(run, "cell int, needed long, spared long, size long").groupBy("cell").agg(F.sum("needed").alias("needed"), F.sum("spared").alias("spared"), F.sum("size").alias("size")).collect()  # a row a cell
     skipped.add(sum(r["spared"] for r in rows if not r["needed"]) * len(floors))
-    return sorted(r["cell"] for r in rows if r["needed"])
+    return sorted(r["cell"] for r in rows if r["needed"]), sum(r["size"] for r in rows if r["needed"])
 
 
 def topk(queries: DataFrame, library: DataFrame, k: int, dim: int, *, broadcast_bytes: int = BROADCAST_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -334,7 +425,7 @@ def topk(queries: DataFrame, library: DataFrame, k: int, dim: int, *, broadcast_
     lib = _sound(library, dim)
     if lib.count() * dim * _width(lib) > broadcast_bytes:
         return search(queries, build(library, dim, block_bytes=block_bytes), k)
-    q = _asked(queries, dim)
+    q = _asked(queries, dim).repartition(TASKS_A_CORE * queries.sparkSession.sparkContext.defaultParallelism, "clip_id", "q_idx")  # the products' work, not the queries' bytes, is what is dealt out
     held = lib.orderBy("vector_id").toArrow()
     shared = queries.sparkSession.sparkContext.broadcast((held["vector_id"].to_numpy().astype(np.int64), held["key"].combine_chunks(), held["t"].combine_chunks(), _matrix(held["vector"], dim)))
 

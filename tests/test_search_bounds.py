@@ -1,8 +1,10 @@
-"""What a search holds at a time."""
+"""What a search holds at a time, and how its work is dealt out."""
 
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from frametide.operators import search
 
@@ -26,3 +28,38 @@ def test_rising_scores_and_ties():
     best = search.Best(3, 5)
     best.meet(np.ones((3, 4), np.float32), vectors, np.arange(len(vectors))[::-1].copy())
     assert best.ids.reshape(3, 5).tolist() == [[0, 1, 2, 3, 4]] * 3 and set(best.scores) == {32.0}
+
+
+def test_one_partition_of_queries_is_dealt_out(spark):
+    lib = spark.createDataFrame([(i, 1, 0.0, [float(i), 1.0]) for i in range(20)], "vector_id long, key int, t double, vector array<float>")
+    asked = spark.createDataFrame([("a", i, 0.0, [1.0, float(i)]) for i in range(200)], "clip_id string, q_idx int, q_t double, vector array<float>").coalesce(1)
+    hits = search.topk(asked, lib, 2, 2)
+    assert hits.count() == 400
+    assert hits.select(F.spark_partition_id()).distinct().count() >= spark.sparkContext.defaultParallelism
+
+
+def test_small_blocks_are_met_at_once(monkeypatch):
+    rng = np.random.default_rng(7)
+    vectors, q = rng.normal(size=(4000, 16)).astype(np.float32), rng.normal(size=(64, 16))
+    blocks = vectors.reshape(500, 8, 16)
+    centres = blocks.mean(axis=1, dtype=np.float64)
+    raw = lambda x: [y.tobytes() for y in x.reshape(500, 8, -1)]
+    batch = pa.RecordBatch.from_pydict({
+        "cell": list(range(500)), "centre": centres.tolist(), "radius": np.sqrt(((blocks - centres[:, None]) ** 2).sum(2)).max(1).tolist(), "width": [4] * 500,
+        "ids": raw(np.arange(4000)), "keys": raw(np.zeros(4000, np.int32)), "times": raw(np.zeros(4000)), "vectors": raw(vectors)})
+    calls, meet = [], search.Best.meet
+    monkeypatch.setattr(search.Best, "meet", lambda self, *a, **b: calls.append(1) or meet(self, *a, **b))
+    (stack,) = search._stacks(iter([batch]), 16)
+    best, pairs = search._met(q, None, search._reach(q, stack.centres, stack.radii), stack, 10)
+    assert len(calls) == 1 and pairs == 64 * 500
+    assert best.ids.reshape(64, 10).tolist() == np.argsort(-(q @ vectors.T.astype(float)), axis=1, kind="stable")[:, :10].tolist()
+
+
+def test_many_small_blocks_in_few_files(spark):
+    rows = np.random.default_rng(8).normal(size=(2000, 4)).astype(np.float32).tolist()
+    lib = spark.createDataFrame([(i, 1, 0.0, v) for i, v in enumerate(rows)], "vector_id long, key int, t double, vector array<float>")
+    made = search.build(lib, 4, block_bytes=5 * 4 * 4, cells=12)
+    assert len(made.blocks.inputFiles()) <= len(made.cells) + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = spark.createDataFrame([("a", i, 0.0, v) for i, v in enumerate(rows[:700])], "clip_id string, q_idx int, q_t double, vector array<float>")
+    hits = search.search(asked, made, 3)
+    assert hits.exceptAll(search.topk(asked, lib, 3, 4)).count() == 0 and hits.count() == 2100
