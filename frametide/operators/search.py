@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property, partial
+from functools import cached_property, partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.columns import inner_product, is_valid_vector
+from ..functions.columns import is_valid_vector
 from ..staging import new_path, staged
 
 BROADCAST_BYTES = 256 << 20
@@ -447,9 +447,52 @@ def topk(queries: DataFrame, library: DataFrame, k: int, dim: int, *, broadcast_
 
 
 def topk_sql(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
-    """The same as a relational plan: nested loop over a broadcast library and a group limit before the shuffle; larger libraries are refused."""
-    if library.limit(SQL_VECTORS + 1).count() > SQL_VECTORS:
-        raise ValueError(f"more than {SQL_VECTORS} vectors: use topk")
-    pairs = queries.crossJoin(F.broadcast(library.withColumnRenamed("vector", "lv").withColumnRenamed("t", "lt")))
-    scored = pairs.select(F.col("clip_id").cast("string").alias("clip_id"), "q_idx", F.col("q_t").cast("double").alias("q_t"), "vector_id", "key", F.col("lt").cast("double").alias("ref_t"), inner_product(F.col("vector"), F.col("lv")).alias("score"))
-    return _ranked(scored, k).select(*_HITS)
+    """The same as a relational plan: nested loops over broadcast slices of the library, each some times larger than those before.
+
+    A pair's score is a sum over columns, one a dimension, and part of the join's condition: only
+    what reaches a query's k-th score among the slices before leaves the loop, to be ranked with the
+    hits so far. A slice has SQL_VECTORS rows at most. Every pair is scored, so time grows with the
+    product of queries and library, memory doesn't.
+    """
+    dim = library.select(F.max(F.size("vector"))).first()[0] or 0
+    lib = _sound(library, dim)
+    n = lib.count()
+    if not n:
+        return queries.sparkSession.createDataFrame([], f"{_QUERY}, rank int, {_HIT}").select(*_HITS)
+    tasks = TASKS_A_CORE * queries.sparkSession.sparkContext.defaultParallelism
+    wide = lambda df, name: df.select(*[c for c in df.columns if c != "vector"], *[F.coalesce(F.get("vector", F.lit(i)), F.lit(0.0).cast(_element(df))).alias(f"{name}{i}") for i in range(dim)])
+    # tables that are read have nullable columns; without nulls, the loop's code stays small enough to be compiled
+    sure = lambda df, name: df.withColumns({c: F.coalesce(c, F.lit(0.0).cast(df.schema[c].dataType)) for c in (f"{name}{i}" for i in range(dim))})
+    asked = sure(staged(wide(_asked(queries, dim), "q"), "asked"), "q")
+    held = sure(staged(wide(lib.withColumnRenamed("t", "ref_t"), "v").withColumn("_h", F.pmod(F.xxhash64("vector_id"), F.lit(n))), "library"), "v")
+    sums = [_sum([F.col(f"q{i}").cast("double") * F.col(f"v{i}").cast("double") for i in range(j, dim, 4)]) for j in range(min(4, dim))]
+    kept = None
+    for lo, hi in _slices(n, k):
+        some = F.broadcast(held.where(F.col("_h").between(lo, hi - 1)).drop("_h"))
+        if kept is None:
+            left, worth = asked, F.lit(True)
+        else:
+            floors = kept.groupBy("clip_id", "q_idx").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor"))
+            left, worth = asked.join(floors, ["clip_id", "q_idx"], "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), _sum(sums) >= F.col("floor")
+        found = left.repartition(tasks, "clip_id", "q_idx").join(some, worth).select(*["clip_id", "q_idx", "q_t", "vector_id", "key", "ref_t"], _sum(sums).alias("score"))
+        ranked = _ranked(found if kept is None else found.unionByName(kept.drop("rank")), k).select(*_HITS)
+        if hi >= n:
+            return ranked
+        kept = staged(ranked, "hits")
+
+
+def _element(df: DataFrame) -> str:
+    return "float" if _width(df) == 4 else "double"
+
+
+def _sum(terms: list):
+    return reduce(lambda a, b: a + b, terms)
+
+
+def _slices(n: int, k: int) -> list[tuple[int, int]]:
+    """[lo, hi) of 0 to n: 16 k at first, then as far as eight times what was before, SQL_VECTORS at most."""
+    out, lo = [], 0
+    while lo < n:
+        out.append((lo, min(n, lo + min(SQL_VECTORS, 7 * lo or 16 * k))))
+        lo = out[-1][1]
+    return out

@@ -63,3 +63,14 @@ def test_many_small_blocks_in_few_files(spark):
     asked = spark.createDataFrame([("a", i, 0.0, v) for i, v in enumerate(rows[:700])], "clip_id string, q_idx int, q_t double, vector array<float>")
     hits = search.search(asked, made, 3)
     assert hits.exceptAll(search.topk(asked, lib, 3, 4)).count() == 0 and hits.count() == 2100
+
+
+def test_sql_takes_any_library(spark, monkeypatch):
+    monkeypatch.setattr(search, "SQL_VECTORS", 150)
+    rows = np.random.default_rng(9).normal(size=(900, 6)).astype(np.float32).tolist()
+    rows += rows[:200]  # ties
+    lib = spark.createDataFrame([(i, 1, 0.5 * i, v) for i, v in enumerate(rows)] + [(9000, 1, 0.0, None)], "vector_id long, key int, t double, vector array<float>")
+    asked = spark.createDataFrame([("a", i, 0.0, v) for i, v in enumerate(rows[:40])], "clip_id string, q_idx int, q_t double, vector array<float>")
+    told = lambda df: sorted((r["clip_id"], r["q_idx"], r["rank"], r["vector_id"], r["key"], r["ref_t"], round(r["score"], 9)) for r in df.collect())
+    assert told(search.topk_sql(asked, lib, 4)) == told(search.topk(asked, lib, 4, 6))
+    assert search.topk_sql(asked, lib.limit(0), 4).count() == 0 and search.topk_sql(asked, lib.where("vector_id < 2"), 4).count() == 80
