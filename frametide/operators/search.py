@@ -44,7 +44,7 @@ BATCH, TILE, EXACT_BYTES = 512, 2048, 4 << 20
 #: Tasks a core of a search; bytes of an index in a task, and parts at most that a group of queries is cut into beside that.
 TASKS_A_CORE, SLICE_BYTES, MOST_PARTS = 4, 64 << 20, 64
 #: Share of the pairs of queries and blocks above which blocks are multiplied at once.
-DENSE = 0.25
+DENSE = 0.75
 #: Bounds of what the centres are learned from, and of their number; rounds of learning.
 SAMPLE_BYTES, MAX_CELLS, CELL_ROUNDS = 64 << 20, 4096, 6
 _NO_KEY = -(1 << 31)
