@@ -4,9 +4,10 @@
 each task multiplies its own queries by. Above, the library becomes an ``Index``:
 its vectors are dealt to cells around centres learned from a bounded sample, and
 written once, in blocks of about ``block_bytes`` with a centre and a radius each,
-in a folder a cell. No vector of a block has a higher product with a query than
-q.c + |q| r, so a block is skipped by the queries whose k-th score so far is above
-that, and a cell that all of them skip isn't read.
+in a folder a cell, small cells in folders of some ``FOLDER_BYTES``. No vector of a
+block has a higher product with a query than q.c + |q| r, so a block is skipped by
+the queries whose k-th score so far is above that, and a folder whose cells all of
+them skip isn't read.
 
 A search takes the queries in groups of bounded bytes. Each group is broadcast and
 meets the index twice: in the cells that promise most, for a first k-th score of
@@ -27,6 +28,7 @@ from functools import cached_property, partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,6 +40,7 @@ from ..staging import new_path, staged
 BROADCAST_BYTES = 256 << 20
 BLOCK_BYTES = 32 << 20
 QUERY_BYTES = 64 << 20
+FOLDER_BYTES = 8 << 20
 SQL_VECTORS = 50_000
 #: Rows and columns of the products that are held at a time, 4 MB in single precision, and bytes of what is scored again at a time.
 BATCH, TILE, EXACT_BYTES = 512, 2048, 4 << 20
@@ -152,7 +155,16 @@ def _sound(library: DataFrame, dim: int) -> DataFrame:
 
 
 def _asked(queries: DataFrame, dim: int) -> DataFrame:
-    return queries.where(is_valid_vector(F.col("vector"), dim)).select(F.col("clip_id").cast("string").alias("clip_id"), F.col("q_idx").cast("int").alias("q_idx"), F.col("q_t").cast("double").alias("q_t"), "vector")
+    """The rows with a sound vector; told in Arrow, since a filter would be pushed below what makes the vectors, and make them anew for each of its terms."""
+    rows = queries.select(F.col("clip_id").cast("string").alias("clip_id"), F.col("q_idx").cast("int").alias("q_idx"), F.col("q_t").cast("double").alias("q_t"), "vector")
+
+    def sound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column(3)), dim))  # noqa: PLW2901
+            if batch.num_rows:
+                yield batch.filter(pa.array(np.isfinite(_matrix(batch.column(3), dim)).all(axis=1)))
+
+    return rows.mapInArrow(sound, rows.schema)
 
 
 def _width(vectors: DataFrame) -> int:
@@ -179,18 +191,23 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """A library in blocks by cell: path has cell=.../ folders of (chunk, n, centre, radius, ids, keys, times, vectors)."""
+    """A library in blocks by cell: path has folder=.../ folders, each of so many cells, of (chunk, n, centre, radius, width, ids, keys, times, vectors, cell)."""
 
     spark: SparkSession
     path: str
     dim: int
     cells: np.ndarray  # centre of each cell, of at most MAX_CELLS
+    a_folder: int = 1
     met: Accumulator | None = None
     skipped: Accumulator | None = None
 
     @cached_property
     def blocks(self) -> DataFrame:
-        return self.spark.read.schema("chunk int, n int, centre array<double>, radius double, width int, ids binary, keys binary, times binary, vectors binary, cell int").parquet(self.path)
+        return self.spark.read.schema("chunk int, n int, centre array<double>, radius double, width int, ids binary, keys binary, times binary, vectors binary, cell int, folder int").parquet(self.path)
+
+    def of(self, cells: np.ndarray) -> DataFrame:
+        """The blocks of some cells; only their folders are read."""
+        return self.blocks.where(F.col("folder").isin(np.unique(cells // self.a_folder).tolist()) & F.col("cell").isin(cells.tolist())).drop("folder")
 
     def share_skipped(self) -> float:
         """Of the pairs of queries and blocks of all searches so far, the share that was skipped."""
@@ -231,11 +248,13 @@ def build(library: DataFrame, dim: int, *, block_bytes: int = BLOCK_BYTES, cells
         head = [pa.array([group["chunk"][0].as_py()], pa.int32()), pa.array([len(v)], pa.int32()), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([radius]), pa.array([width], pa.int32())]
         return pa.table([*head, *[pa.array([x.tobytes()], pa.binary()) for x in raw], pa.array([group["cell"][0].as_py()], pa.int32())], names=["chunk", "n", "centre", "radius", "width", "ids", "keys", "times", "vectors", "cell"])
 
-    placed = placed.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "cell", "chunk")  # a cell's blocks lie in few files
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n * dim * width // SLICE_BYTES))
+    placed = placed.repartitionByRange(max(1, min(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))), "cell", "chunk")  # a cell's blocks lie in few files
     packed = placed.groupBy("cell", "chunk").applyInArrow(pack, "chunk int, n int, centre array<double>, radius double, width int, ids binary, keys binary, times binary, vectors binary, cell int")
     path = path or new_path(spark, "index")
-    packed.write.partitionBy("cell").parquet(path)
-    return Index(spark, path, dim, centres, spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0))
+    a_folder = max(1, FOLDER_BYTES * len(centres) // max(1, n * dim * width))
+    packed.withColumn("folder", F.floor(F.col("cell") / a_folder).cast("int")).write.partitionBy("folder").parquet(path)
+    return Index(spark, path, dim, centres, a_folder, spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0))
 
 
 def _reach(q: np.ndarray, centre: np.ndarray, radius) -> np.ndarray:
@@ -290,7 +309,7 @@ def _floors(index: Index, group, k: int) -> np.ndarray:
 
     cell_of = group.value[1]
     order = Window.partitionBy("q").orderBy(F.desc("score"))
-    found = index.blocks.where(F.col("cell").isin(np.unique(cell_of).tolist())).mapInArrow(run, "q long, score double").withColumn("nth", F.row_number().over(order)).where(F.col("nth") == k).select("q", "score").toArrow()
+    found = index.of(np.unique(cell_of)).mapInArrow(run, "q long, score double").withColumn("nth", F.row_number().over(order)).where(F.col("nth") == k).select("q", "score").toArrow()
     out = np.full(len(cell_of), -np.inf)  # a number a query of the group
     out[found["q"].to_numpy()] = found["score"].to_numpy()
     return out
@@ -345,11 +364,11 @@ def search(queries: DataFrame, index: Index, k: int, *, query_bytes: int = QUERY
     spark, dim = index.spark, index.dim
     asked = staged(_asked(queries, dim), "queries")
     n = asked.count()
-    groups = max(1, -(-n * dim * 8 // query_bytes))
+    groups = max(1, -(-n * dim * _width(asked) // query_bytes))
     met, skipped = index.met, index.skipped
     parts = []
     for g in range(groups):
-        table = asked.where(F.pmod(F.xxhash64("clip_id", "q_idx"), F.lit(groups)) == g).orderBy("clip_id", "q_idx").toArrow()
+        table = asked.where(F.pmod(F.xxhash64("clip_id", "q_idx"), F.lit(groups)) == g).toArrow()
         q = _matrix(table["vector"], dim)
         if not len(q) or not len(index.cells):
             continue
@@ -359,11 +378,10 @@ def search(queries: DataFrame, index: Index, k: int, *, query_bytes: int = QUERY
         group = spark.sparkContext.broadcast((q, cell_of))
         floors = _floors(index, group, k)
         wanted, bytes_left = _cells_left(index, group, floors)
-        names = spark.sparkContext.broadcast(table.select(["clip_id", "q_idx", "q_t"]).take(pa.array(order)).combine_chunks())
+        asking = spark.sparkContext.broadcast((table.select(["clip_id", "q_idx", "q_t"]).take(pa.array(order)).combine_chunks(), floors))  # floors in a function would be sent once a part
 
-        def run(batches: Iterator[pa.RecordBatch], part: int, of: int, group=group, floors=floors, names=names) -> Iterator[pa.RecordBatch]:
-            vectors = group.value[0]
-            floors = floors.copy()
+        def run(batches: Iterator[pa.RecordBatch], part: int, of: int, group=group, asking=asking) -> Iterator[pa.RecordBatch]:
+            vectors, names, floors = group.value[0], asking.value[0], asking.value[1].copy()
             for stack in _stacks(batches, dim):
                 for lo in range(part * BATCH, len(vectors), of * BATCH):
                     at = slice(lo, lo + BATCH)
@@ -374,7 +392,7 @@ def search(queries: DataFrame, index: Index, k: int, *, query_bytes: int = QUERY
                     if len(best.rows):
                         floors[at] = best.floor
                         keys, times = best.more
-                        mine = names.value.take(pa.array(best.rows + lo)).combine_chunks().to_batches()[0]
+                        mine = names.take(pa.array(best.rows + lo)).combine_chunks().to_batches()[0]
                         yield pa.RecordBatch.from_arrays([*mine.columns, pa.array(best.ids), pa.array(keys, mask=keys == _NO_KEY), pa.array(times, mask=np.isnan(times)), pa.array(best.scores)], names=[x.split()[0] for x in f"{_QUERY}, {_HIT}".split(", ")])
 
         # few slices of the index, so that few tasks give k hits for one query, and parts of the group for the other cores;
@@ -382,7 +400,7 @@ def search(queries: DataFrame, index: Index, k: int, *, query_bytes: int = QUERY
         tasks = -(-TASKS_A_CORE * spark.sparkContext.defaultParallelism // groups)
         slices = max(2, -(-bytes_left // SLICE_BYTES), -(-tasks // MOST_PARTS))
         of = max(1, min(-(-tasks // slices), -(-len(q) // BATCH)))
-        left = index.blocks.where(F.col("cell").isin(wanted)).coalesce(slices)
+        left = index.of(wanted).coalesce(slices)
         parts += [left.mapInArrow(partial(run, part=part, of=of), f"{_QUERY}, {_HIT}") for part in range(of)]
     if not parts:
         return spark.createDataFrame([], f"{_QUERY}, rank int, {_HIT}").select(*_HITS)
@@ -392,7 +410,7 @@ def search(queries: DataFrame, index: Index, k: int, *, query_bytes: int = QUERY
     return _ranked(hits, k).select(*_HITS)
 
 
-def _cells_left(index: Index, group, floors: np.ndarray) -> tuple[list[int], int]:
+def _cells_left(index: Index, group, floors: np.ndarray) -> tuple[np.ndarray, int]:
     """The cells with a block that any query of the group may need, and the bytes of their vectors; only centres and radii are read."""
     skipped, dim = index.skipped, index.dim
 
@@ -417,7 +435,7 @@ def _cells_left(index: Index, group, floors: np.ndarray) -> tuple[list[int], int
 
     rows = index.blocks.select("cell", "centre", "radius", "n", "width").mapInArrow(run, "cell int, needed long, spared long, size long").groupBy("cell").agg(F.sum("needed").alias("needed"), F.sum("spared").alias("spared"), F.sum("size").alias("size")).collect()  # a row a cell
     skipped.add(sum(r["spared"] for r in rows if not r["needed"]) * len(floors))
-    return sorted(r["cell"] for r in rows if r["needed"]), sum(r["size"] for r in rows if r["needed"])
+    return np.array(sorted(r["cell"] for r in rows if r["needed"]), np.int64), sum(r["size"] for r in rows if r["needed"])
 
 
 def topk(queries: DataFrame, library: DataFrame, k: int, dim: int, *, broadcast_bytes: int = BROADCAST_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -65,6 +65,52 @@ def test_many_small_blocks_in_few_files(spark):
     assert hits.exceptAll(search.topk(asked, lib, 3, 4)).count() == 0 and hits.count() == 2100
 
 
+def test_small_cells_share_folders_and_few_tasks_write_them(spark):
+    rows = np.random.default_rng(10).normal(size=(2000, 4)).astype(np.float32).tolist()
+    lib = spark.createDataFrame([(i, 1, 0.0, v) for i, v in enumerate(rows)], "vector_id long, key int, t double, vector array<float>")
+    made = search.build(lib, 4, block_bytes=20 * 4 * 4)
+    assert len(made.cells) == 100
+    assert len(made.blocks.inputFiles()) <= spark.sparkContext.defaultParallelism
+    of = made.of(np.array([3, 50]))
+    assert {r["cell"] for r in of.select("cell").collect()} == {3, 50}
+
+
+def test_cells_of_several_folders(spark, monkeypatch):
+    monkeypatch.setattr(search, "FOLDER_BYTES", 3 * 40 * 4 * 4)
+    rows = np.random.default_rng(11).normal(size=(800, 4)).astype(np.float32).tolist()
+    lib = spark.createDataFrame([(i, 1, 0.0, v) for i, v in enumerate(rows)], "vector_id long, key int, t double, vector array<float>")
+    made = search.build(lib, 4, block_bytes=40 * 4 * 4)
+    assert made.a_folder == 3 and len(made.cells) == 20
+    some = made.of(np.array([6, 8]))
+    assert "folder" in some._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: ")[1].split("DataFilters")[0]
+    assert {r["f"].split("/")[-2] for r in some.select(F.input_file_name().alias("f")).collect()} == {"folder=2"}
+    assert sorted(x for r in made.blocks.collect() for x in np.frombuffer(r["ids"], "<i8")) == list(range(800))
+    asked = spark.createDataFrame([("a", i, 0.0, v) for i, v in enumerate(rows[:300])], "clip_id string, q_idx int, q_t double, vector array<float>")
+    hits = search.search(asked, made, 3)
+    assert hits.exceptAll(search.topk(asked, lib, 3, 4)).count() == 0 and hits.count() == 900
+
+
+def test_query_vectors_are_made_once_and_sent_in_few_groups(spark, monkeypatch):
+    rows = np.random.default_rng(12).normal(size=(200, 4)).astype(np.float32).tolist()
+    table = spark.createDataFrame([("a", i, 0.0, v) for i, v in enumerate(rows)], "clip_id string, q_idx int, q_t double, vector array<float>")
+    asked = table.withColumn("vector", F.transform("vector", lambda x: F.expm1(x).cast("float")))
+    plan = search._asked(asked, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("expm1") == 1
+    groups, floors = [], search._floors
+    monkeypatch.setattr(search, "_floors", lambda *a: groups.append(1) or floors(*a))
+    lib = table.select(F.col("q_idx").cast("long").alias("vector_id"), F.lit(1).alias("key"), "q_t", "vector").withColumnRenamed("q_t", "t")
+    assert search.search(asked, search.build(lib, 4), 2, query_bytes=200 * 4 * 4).count() == 400
+    assert len(groups) == 1  # single precision: four bytes a number
+
+
+def test_odd_query_vectors_are_left_out(spark):
+    nan, inf = float("nan"), float("inf")
+    odd = [None, [], [1.0], [1.0, None], [None, None], [nan, 1.0], [1.0, -inf], [inf, 0.0], [1.0, 2.0, 3.0]]
+    for kind in ("float", "double"):
+        asked = spark.createDataFrame([("a", i, None, v) for i, v in enumerate([*odd, [1.0, 0.0]])], f"clip_id string, q_idx int, q_t double, vector array<{kind}>")
+        assert [(r["q_idx"], r["q_t"], r["vector"]) for r in search._asked(asked.coalesce(1), 2).collect()] == [(len(odd), None, [1.0, 0.0])]
+
+
 def test_sql_takes_any_library(spark, monkeypatch):
     monkeypatch.setattr(search, "SQL_VECTORS", 150)
     rows = np.random.default_rng(9).normal(size=(900, 6)).astype(np.float32).tolist()
