@@ -5,13 +5,14 @@
    of fixed size. Documents with equal sets are one node from here on.
 2. Two sets that link share at least c shingles of their prefixes (n - T + c first
    ones in any order that holds for all); c is COMMON_PERCENT of the smaller set,
-   so that long texts aren't candidates for a few shingles that they share by
-   chance. The order is the sketch's count, then the hash: frequent shingles come
-   last and seldom are in a prefix. Prefix rows are sorted by shingle. Under a
-   shingle of more than RARE sets, neighbours of compatible size are chained, so
-   any frequency costs a linear stream. Of the others, pairs (at most RARE - 1 a
-   row) are counted and c must be reached: who shares no frequent shingle shares c
-   rare ones. The components of both are candidates.
+   so that texts aren't candidates for a few shingles that they share by chance.
+   The order is the sketch's count, then the hash: very frequent shingles come
+   last and seldom are in a prefix. Prefix rows are sorted by shingle. Of those
+   under a shingle of at most RARE sets, pairs (at most RARE - 1 a row) are counted.
+   Of c shingles either half are rare, and the pairs' count tells, or more than the
+   other half are frequent. Then neighbours of compatible size are chained under
+   each, so any frequency costs a linear stream; sets with fewer frequent shingles
+   in their prefix than that are in no chain. The components of both are candidates.
 3. Sets of a candidate component meet in blocks of bounded size. In a block, a
    set's inverted lists are divided: the L longest are put aside, the short ones
    are merged and what occurs T - L times or more is probed by binary search in
@@ -33,17 +34,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, blocks, gram_hashes, look_up, mapped, materialize, mix
+from .common import among, blocks, discard, gram_hashes, look_up, mapped, materialize, mix
 from .graph import Forest, components, small, sorted_groups
 
 SHINGLE, PERCENT = 5, 80
 SKETCH_BITS, SKETCH_PARTS = 20, 16
 BLOCK_SETS, BLOCK_SHINGLES = 1_024, 2_000_000
 MU = 0.0085
-COMMON_PERCENT, RARE = 2, 8
+COMMON_PERCENT, LEAST_COMMON, RARE = 4, 4, 8
+PAIRS_HELD = 1 << 18
 _U = np.uint64
 _SETS = "doc_id long, n long, s1 long, s2 long, alt long, part int, counts binary"
 
@@ -139,7 +141,12 @@ def _least_own(n: int, percent: int) -> int:
 def _least_common(n: np.ndarray, percent: int) -> np.ndarray:
     """How many prefix shingles sets of n share at least with any set that they link with and that isn't smaller."""
     n = np.asarray(n, np.int64)
-    return np.maximum(1, np.minimum(n * COMMON_PERCENT // 100, _least_own(n, percent)))
+    return np.maximum(1, np.minimum(np.maximum(n * COMMON_PERCENT // 100, LEAST_COMMON), _least_own(n, percent)))
+
+
+def _least_common_of(n: Column, percent: int) -> Column:
+    """The same of a column."""
+    return F.greatest(F.lit(1), F.least(F.greatest(F.floor(n * COMMON_PERCENT / 100), F.lit(LEAST_COMMON)), F.ceil(n * percent / 100)))
 
 
 def _prefix(s: np.ndarray, counts: np.ndarray, percent: int, common: int = 1) -> np.ndarray:
@@ -181,26 +188,31 @@ def _prefixes(documents: DataFrame, sketch, k: int, percent: int) -> DataFrame:
     return documents.select("text").transform(mapped, run, "token long, s1 long, n int")
 
 
-def _chains(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between sets that may link: chained under a frequent shingle, or with enough rare ones in common."""
+def _met(prefixes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, need, common): pairs of sets that may link, with how many rare shingles they share; (a, token, null, n): a set under a frequent shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
-        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last shingle's rows; of a frequent one, the last
+        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last shingle's rows; of a frequent one, the last, which was told
         frequent = False
+        waiting: list[tuple[np.ndarray, ...]] = []
 
-        def edges(token: np.ndarray, s1: np.ndarray, n: np.ndarray, hot: np.ndarray) -> pa.RecordBatch | None:
+        def pairs(token: np.ndarray, s1: np.ndarray, n: np.ndarray, hot: np.ndarray) -> None:
             least = _least_common(n, percent)
-            joined, a, b, need = [], [], [], []
             for d in range(1, RARE):
-                at = np.flatnonzero((token[d:] == token[:-d]) & (100 * n[:-d] >= percent * n[d:]) & (~hot[d:] | (d == 1)))
-                one = hot[at] | (least[at] == 1)  # rows are by size, so the first of a pair is the smaller set
-                joined += [x for x in zip(s1[at[one]].tolist(), s1[at[one] + d].tolist(), strict=True) if forest.join(*x)]
-                at = at[~one]
-                a.append(np.minimum(s1[at], s1[at + d])), b.append(np.maximum(s1[at], s1[at + d])), need.append(least[at])
-            left = np.array(joined, np.int64).reshape(-1, 2)
-            a, b, need = np.concatenate([left[:, 0], *a]), np.concatenate([left[:, 1], *b]), np.concatenate([np.zeros(len(left), np.int64), *need])
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(need)], names=["a", "b", "need"]) if len(a) else None
+                at = np.flatnonzero((token[d:] == token[:-d]) & (100 * n[:-d] >= percent * n[d:]) & ~hot[d:])
+                if len(at):  # rows are by size, so the first of a pair is the smaller set
+                    waiting.append((np.minimum(s1[at], s1[at + d]), np.maximum(s1[at], s1[at + d]), least[at]))
+
+        def counted() -> pa.RecordBatch:
+            a, b, need = (np.concatenate(c) for c in zip(*waiting, strict=True))
+            waiting.clear()
+            order = np.lexsort((b, a))
+            a, b, need = a[order], b[order], need[order]
+            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            return told(a[first], b[first], need[first], np.diff(np.r_[first, len(a)]))
+
+        def told(*columns: np.ndarray | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.nulls(len(columns[0]), pa.int64()) if c is None else pa.array(c) for c in columns], names=["a", "b", "need", "common"])
 
         for batch in batches:
             token, s1, n = (np.r_[h, np.asarray(c)].astype(np.int64) for h, c in zip(held, batch.columns, strict=True))
@@ -211,22 +223,64 @@ def _chains(prefixes: DataFrame, percent: int) -> DataFrame:
             begin = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             size = np.diff(np.r_[begin, len(token)])
             hot = size > RARE
-            hot[0] |= frequent and token[0] == held[0][0]
+            hot[0] |= frequent
+            new = np.repeat(hot, size)
+            new[0] &= not frequent
             frequent = bool(hot[-1])
             until = len(token) if frequent else begin[-1]  # a rare shingle waits for the rest of its rows
-            made = edges(token[:until], s1[:until], n[:until], np.repeat(hot, size)[:until])
-            if made is not None:
-                yield made
+            pairs(token[:until], s1[:until], n[:until], np.repeat(hot, size)[:until])
+            at = np.flatnonzero(new[:until])
+            if len(at):
+                yield told(s1[at], token[at], None, n[at])
+            if sum(len(w[0]) for w in waiting) > PAIRS_HELD:
+                yield counted()
             keep = len(token) - 1 if frequent else begin[-1]
             held = token[keep:], s1[keep:], n[keep:]
         if len(held[0]) > 1:
-            made = edges(*held, np.zeros(len(held[0]), bool))
-            if made is not None:
-                yield made
+            pairs(*held, np.zeros(len(held[0]), bool))
+        if waiting:
+            yield counted()
 
     parts = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = prefixes.repartition(parts, "token").sortWithinPartitions("token", "n", "s1").transform(mapped, run, "a long, b long, need long")
-    return met.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("need").alias("need")).where("common >= need").select("a", "b")
+    return prefixes.repartition(parts, "token").sortWithinPartitions("token", "n", "s1").transform(mapped, run, "a long, b long, need long, common long")
+
+
+def _chained(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b): under each shingle of rows(token, s1, n), sets of compatible size are chained."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        last = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            token, s1, n = (np.r_[h, np.asarray(c)].astype(np.int64) for h, c in zip(last, batch.columns, strict=True))
+            at = np.flatnonzero((token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:]))
+            joined = np.array([x for x in zip(s1[at].tolist(), s1[at + 1].tolist(), strict=True) if forest.join(*x)], np.int64).reshape(-1, 2)
+            if len(joined):
+                yield pa.RecordBatch.from_arrays([pa.array(joined[:, 0]), pa.array(joined[:, 1])], names=["a", "b"])
+            last = token[-1:], s1[-1:], n[-1:]
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "token").sortWithinPartitions("token", "n", "s1").transform(mapped, run, "a long, b long")
+
+
+def _chains(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between sets that may link: with enough rare shingles in common, or chained under a frequent one that they have room to share enough of.
+
+    Sets that link share c shingles of their prefixes, of which at most f are frequent
+    if the one with fewer frequent ones has f. So they share c - f rare ones at least,
+    and either half of c, or more than the other half are frequent: a set with fewer
+    frequent ones than that needs no chain.
+    """
+    met = materialize(_met(prefixes, percent), "met")
+    frequent = met.where("need is null").select(F.col("b").alias("token"), F.col("a").alias("s1"), F.col("common").alias("n"))
+    most = materialize(frequent.groupBy("s1").agg(F.count("*").alias("f"), F.min("n").alias("n")), "frequent")
+    pairs = met.where("need is not null").groupBy("a", "b").agg(F.sum("common").alias("common"), F.min("need").alias("need")).where("2 * common >= need")
+    of = lambda name: most.select(F.col("s1").alias(name), F.col("f").alias(f"f{name}"))
+    enough = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.col("common") >= F.col("need") - F.coalesce(F.least(F.coalesce("fa", F.lit(0)), F.coalesce("fb", F.lit(0))), F.lit(0)))
+    dense = most.where(F.col("f") > F.floor(_least_common_of(F.ceil(F.col("n") * percent / 100), percent) / 2)).select("s1")  # the smallest set that it may link with
+    chains = materialize(enough.select("a", "b").unionByName(_chained(frequent.where(among(dense, "s1")).select("token", "s1", "n"), percent)), "chains")
+    discard(met, most)
+    return chains
 
 
 def divide_skip(sets: list[np.ndarray], labels: list, sides: list | None = None, percent: int = PERCENT) -> Forest:
@@ -363,8 +417,7 @@ def join(documents: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT, bloc
     measured = materialize(_measure(documents, k), "sets")
     rows = measured.where("part is null").select("doc_id", "n", "s1", "s2", "alt")
     sketch = spark.sparkContext.broadcast(_sketch(measured))  # 4 MB at any input
-    chained = materialize(_chains(_prefixes(documents, sketch, k, percent), percent), "chains")
-    candidates = components(chained).select(F.col("node").alias("s1"), F.col("root").alias("comp"))
+    candidates = components(_chains(_prefixes(documents, sketch, k, percent), percent)).select(F.col("node").alias("s1"), F.col("root").alias("comp"))
     sets = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min("alt").alias("alt"), F.count("*").alias("copies"))
     inside = materialize(sets.join(candidates, "s1"), "candidates")
     load = inside.groupBy("comp").agg(F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n") / block_shingles)).cast("int").alias("of"))
@@ -378,6 +431,7 @@ def join(documents: DataFrame, *, k: int = SHINGLE, percent: int = PERCENT, bloc
     tops = components(_across(whole, local, sketch, k, percent, block_sets))
     named_tops = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
     labelled = materialize(look_up(roots, named_tops, "root").select("s1", "s2", F.coalesce("top", "root").alias("root")), "labelled")
+    discard(whole)
     least = inside.join(labelled, ["s1", "s2"]).groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = look_up(labelled, least, "root").select("s1", "s2", "component_id")
     copied = sets.where("copies > 1").select("s1", "s2", "rep")

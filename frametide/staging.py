@@ -56,13 +56,18 @@ def numbered(rows: DataFrame, order: str, size: str | None = None) -> DataFrame:
     return out.withColumns({"_n": F.col("_start") + F.row_number().over(within) - 1, "_before": F.col("_sum") + before}).drop("_range", "_start", "_sum")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table of new_path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def clean() -> None:
     """Removes what was written so far."""
     while _WRITTEN:
         spark, path = _WRITTEN.pop()
         try:
-            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            remove(spark, path)
         except Exception:  # the session has ended: the shared folder's owner cleans up
             return
 

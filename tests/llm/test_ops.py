@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,24 @@ def test_jaccard_long_texts(spark):
         assert _rows(jaccard.join(docs, **how)) == want
 
 
+def test_jaccard_candidates(spark):
+    """A few frequent shingles in common make no candidates, even in the first places of the order; near copies are candidates in groups of any size."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    passage, rows, sizes = [rng.choice(words) for _ in range(14)], [], [1] * 30 + [3, jaccard.RARE, jaccard.RARE + 1]
+    for group, copies in enumerate(sizes):
+        base = [rng.choice(words) for _ in range(300)] + passage
+        rows += [(group, " ".join(rng.choice(words) if rng.random() < 0.005 and copies > 1 else w for w in base)) for _ in range(copies)]
+    group_of = {jaccard.fingerprint(next(jaccard.shingle_sets(pa.array([t]), 5))[1])[0]: g for g, t in rows}
+    nothing = spark.sparkContext.broadcast(np.zeros(1 << jaccard.SKETCH_BITS, np.uint32))  # a sketch that tells nothing, as of many texts
+    forest = jaccard.Forest()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in jaccard._chains(jaccard._prefixes(docs, nothing, 5, 80), 80).collect():
+        forest.join(r["a"], r["b"])
+        assert group_of[r["a"]] == group_of[r["b"]]
+    assert len({forest.root(x) for x in group_of}) == len(sizes)
+
+
 def test_decontaminate(spark, docs):
     item = " ".join(_texts()[10].split()[30:60])
     bench = spark.createDataFrame([("long", item), ("short", "A, b!"), ("none", "..."), ("null", None), ("again", item)], "item_id string, text string")
