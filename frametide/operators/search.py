@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property, partial, reduce
+from functools import cached_property, partial
 
 import numpy as np
 import pyarrow as pa
@@ -465,52 +465,54 @@ def topk(queries: DataFrame, library: DataFrame, k: int, dim: int, *, broadcast_
 
 
 def topk_sql(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
-    """The same as a relational plan: nested loops over broadcast slices of the library, each some times larger than those before.
+    """The same as a relational plan: the library is met in slices of SQL_VECTORS rows, a broadcast each.
 
-    A pair's score is a sum over columns, one a dimension, and part of the join's condition: only
-    what reaches a query's k-th score among the slices before leaves the loop, to be ranked with the
-    hits so far. A slice has SQL_VECTORS rows at most. Every pair is scored, so time grows with the
-    product of queries and library, memory doesn't.
+    Block products tell the k vectors of a slice that each query is nearest to, of those that reach
+    its k-th score among the slices before; these are joined by id, scored by an expression, and ranked
+    with the hits so far. Every pair is multiplied, so time grows with the product of queries and
+    library; memory doesn't, and only k pairs a query and slice are joined.
     """
     dim = library.select(F.max(F.size("vector"))).first()[0] or 0
     lib = _sound(library, dim)
     n = lib.count()
     if not n:
         return queries.sparkSession.createDataFrame([], f"{_QUERY}, rank int, {_HIT}").select(*_HITS)
-    tasks = TASKS_A_CORE * queries.sparkSession.sparkContext.defaultParallelism
-    wide = lambda df, name: df.select(*[c for c in df.columns if c != "vector"], *[F.coalesce(F.get("vector", F.lit(i)), F.lit(0.0).cast(_element(df))).alias(f"{name}{i}") for i in range(dim)])
-    # tables that are read have nullable columns; without nulls, the loop's code stays small enough to be compiled
-    sure = lambda df, name: df.withColumns({c: F.coalesce(c, F.lit(0.0).cast(df.schema[c].dataType)) for c in (f"{name}{i}" for i in range(dim))})
-    asked = sure(staged(wide(_asked(queries, dim), "q"), "asked"), "q")
-    held = sure(staged(wide(lib.withColumnRenamed("t", "ref_t"), "v").withColumn("_h", F.pmod(F.xxhash64("vector_id"), F.lit(n))), "library"), "v")
-    sums = [_sum([F.col(f"q{i}").cast("double") * F.col(f"v{i}").cast("double") for i in range(j, dim, 4)]) for j in range(min(4, dim))]
+    asked = staged(_asked(queries, dim), "asked")
+    held = staged(lib.withColumnsRenamed({"t": "ref_t", "vector": "held"}).withColumn("_h", F.pmod(F.xxhash64("vector_id"), F.lit(n))), "library")
+    score = F.aggregate(F.zip_with("vector", "held", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
     kept = None
-    for lo, hi in _slices(n, k):
-        some = F.broadcast(held.where(F.col("_h").between(lo, hi - 1)).drop("_h"))
+    for lo in range(0, n, SQL_VECTORS):
+        some = held.where(F.col("_h").between(lo, lo + SQL_VECTORS - 1)).drop("_h")
         if kept is None:
-            left, worth = asked, F.lit(True)
+            left = asked.withColumn("floor", F.lit(float("-inf")))
         else:
             floors = kept.groupBy("clip_id", "q_idx").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor"))
-            left, worth = asked.join(floors, ["clip_id", "q_idx"], "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))), _sum(sums) >= F.col("floor")
-        found = left.repartition(tasks, "clip_id", "q_idx").join(some, worth).select(*["clip_id", "q_idx", "q_t", "vector_id", "key", "ref_t"], _sum(sums).alias("score"))
+            left = asked.join(floors, ["clip_id", "q_idx"], "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        near = _near(left, some, k, dim).withColumn("vector_id", F.explode("near"))
+        found = near.join(F.broadcast(some), "vector_id").select("clip_id", "q_idx", "q_t", "vector_id", "key", "ref_t", score.alias("score"))
         ranked = _ranked(found if kept is None else found.unionByName(kept.drop("rank")), k).select(*_HITS)
-        if hi >= n:
+        if lo + SQL_VECTORS >= n:
             return ranked
         kept = staged(ranked, "hits")
 
 
-def _element(df: DataFrame) -> str:
-    return "float" if _width(df) == 4 else "double"
+def _near(queries: DataFrame, some: DataFrame, k: int, dim: int) -> DataFrame:
+    """queries(clip_id, q_idx, q_t, vector, floor) with near, the ids of the k rows of some(vector_id, held) with the highest products of at least floor."""
+    spark = queries.sparkSession
+    table = some.select("vector_id", "held").orderBy("vector_id").toArrow()
+    sent = spark.sparkContext.broadcast((table["vector_id"].to_numpy(), _matrix(table["held"], dim)))
 
-
-def _sum(terms: list):
-    return reduce(lambda a, b: a + b, terms)
-
-
-def _slices(n: int, k: int) -> list[tuple[int, int]]:
-    """[lo, hi) of 0 to n: 16 k at first, then as far as eight times what was before, SQL_VECTORS at most."""
-    out, lo = [], 0
-    while lo < n:
-        out.append((lo, min(n, lo + min(SQL_VECTORS, 7 * lo or 16 * k))))
-        lo = out[-1][1]
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = sent.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(lo, BATCH)
+                floor = batch.column(4).to_numpy()
+                best = Best(batch.num_rows, k, floor - 1e-9 * np.abs(floor))  # its sums may differ from the expression's in the last places
+                best.meet(_matrix(batch.column(3), dim), vectors, ids)
+                at = np.searchsorted(best.rows, np.arange(batch.num_rows + 1))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(best.ids))], names=["clip_id", "q_idx", "q_t", "vector", "near"])
+
+    kind = queries.schema["vector"].dataType.simpleString()
+    dealt = queries.select("clip_id", "q_idx", "q_t", "vector", "floor").repartition(TASKS_A_CORE * spark.sparkContext.defaultParallelism, "clip_id", "q_idx")
+    return dealt.mapInArrow(run, f"{_QUERY}, vector {kind}, near array<long>")

@@ -120,3 +120,16 @@ def test_sql_takes_any_library(spark, monkeypatch):
     told = lambda df: sorted((r["clip_id"], r["q_idx"], r["rank"], r["vector_id"], r["key"], r["ref_t"], round(r["score"], 9)) for r in df.collect())
     assert told(search.topk_sql(asked, lib, 4)) == told(search.topk(asked, lib, 4, 6))
     assert search.topk_sql(asked, lib.limit(0), 4).count() == 0 and search.topk_sql(asked, lib.where("vector_id < 2"), 4).count() == 80
+
+
+def test_sql_joins_only_the_nearest(spark, monkeypatch):
+    """Pairs are met in products, not one by one in a loop; what is joined is k rows a query and slice."""
+    monkeypatch.setattr(search, "SQL_VECTORS", 400)
+    rows = np.random.default_rng(3).normal(size=(900, 6)).astype(np.float32).tolist()
+    lib = spark.createDataFrame([(i, 1, 0.5 * i, v) for i, v in enumerate(rows)], "vector_id long, key int, t double, vector array<float>")
+    asked = spark.createDataFrame([("a", i, 0.0, v) for i, v in enumerate(rows[:40])], "clip_id string, q_idx int, q_t double, vector array<float>")
+    hits = search.topk_sql(asked, lib, 4)
+    plan = hits._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    want = [sorted(range(900), key=lambda i, q=q: (-sum(float(x) * float(y) for x, y in zip(q, rows[i], strict=True)), i))[:4] for q in rows[:40]]
+    assert sorted((r["q_idx"], r["rank"], r["vector_id"]) for r in hits.collect()) == sorted((q, n, i) for q, of in enumerate(want) for n, i in enumerate(of))
